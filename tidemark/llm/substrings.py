@@ -73,8 +73,9 @@ def _blocks(window: int, buckets: int):
             packed = [_pack(hashes[edge[i] : edge[i + 1]], place[edge[i] : edge[i + 1]], known[edge2[i] : edge2[i + 1]]) for i in full]
             docs = np.array([-1 if i is None else i for i in ids], np.int64)
             head = [docs.tobytes(), rows.column(1).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), first.astype(np.int64).tobytes(), mine.tobytes()]
-            # the head travels with the first bucket's row
-            heads = pa.array([head, *[None] * (len(full) - 1)], pa.list_(pa.binary()))
+            # the head travels with one bucket's row, another one for each block
+            carrier = name % len(full)
+            heads = pa.array([head if i == carrier else None for i in range(len(full))], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), name, np.int64)), pa.array(full.astype(np.int32)), pa.array([h for h, _ in packed]), pa.array([p for _, p in packed]), heads], ["block", "bucket", "hashes", "places", "head"])
 
     return run

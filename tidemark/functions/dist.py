@@ -69,40 +69,38 @@ def power(d: float, n: float, alpha: float = 0.05) -> float:
     return 1 - below((c - shift) / spread) + below((-c - shift) / spread)
 
 
-@F.pandas_udf("double")
-def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _apply(t_p, t, df)
+def _udf(f, *columns: Column) -> Column:
+    """f over rows of one small table; NaN and null give null."""
+    return F.nanvl(_vector(f, len(columns))(*(c.cast("double") for c in columns)), F.lit(None).cast("double"))
 
 
-@F.pandas_udf("double")
-def _f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _apply(f_p, f, d1, d2)
+def _vector(f, n: int):
+    def one(a: pd.Series) -> pd.Series:
+        return _apply(f, a)
 
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _apply(f, a, b)
 
-@F.pandas_udf("double")
-def _normal_two_sided(z: pd.Series) -> pd.Series:
-    return _apply(normal_p, z)
+    def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return _apply(f, a, b, c)
 
-
-@F.pandas_udf("double")
-def _power(d: pd.Series, n: pd.Series) -> pd.Series:
-    return _apply(power, d, n)
+    return F.pandas_udf((one, two, three)[n - 1], "double")
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
-    return F.nanvl(_t_two_sided(t.cast("double"), df.cast("double")), F.lit(None).cast("double"))
+    return _udf(t_p, t, df)
 
 
 def f_upper(f: Column, d1: Column, d2: Column) -> Column:
-    return F.nanvl(_f_upper(f.cast("double"), d1.cast("double"), d2.cast("double")), F.lit(None).cast("double"))
+    return _udf(f_p, f, d1, d2)
 
 
 def normal_two_sided(z: Column) -> Column:
-    return F.nanvl(_normal_two_sided(z.cast("double")), F.lit(None).cast("double"))
+    return _udf(normal_p, z)
 
 
 def t_power(d: Column, n: Column) -> Column:
-    return F.nanvl(_power(d.cast("double"), n.cast("double")), F.lit(None).cast("double"))
+    return _udf(power, d, n)
 
 
 def poisson(uniform: np.ndarray) -> np.ndarray:

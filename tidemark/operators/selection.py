@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.combos import pair_correlations
 
@@ -44,7 +44,11 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
     """feature, mi (nats): contingency of quantile bins and the label, one shuffle of counts for all features."""
     probs = [i / bins for i in range(1, bins)]
     q = df.agg(*(F.percentile(f, probs).alias(f) for f in features)).first()
-    cells = F.array(*(F.struct(F.lit(f).alias("feature"), F.size(F.filter(F.array_distinct(F.array(*map(F.lit, q[f]))), lambda t, f=f: t < F.col(f))).alias("bin")) for f in features if q[f]))
+
+    def bin_of(f: str) -> Column:
+        return F.size(F.filter(F.array_distinct(F.array(*map(F.lit, q[f]))), lambda t: t < F.col(f)))
+
+    cells = F.array(*(F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in features if q[f]))
     long = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.inline(cells))
     n = long.groupBy("feature", "bin", "y").agg(F.count("*").cast("double").alias("n"))
     tot = n.groupBy("feature").agg(F.sum("n").alias("t"))

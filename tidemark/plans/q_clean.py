@@ -47,7 +47,7 @@ def _(v: Views) -> DataFrame:
     return v.records.select("record_id", *(clean.parse_date(x).alias(n) for n, x in {"d1": F.date_format(d, "yyyy-MM-dd"), "d2": F.date_format(d, "yyyy-MM-dd HH:mm:ss"), "d3": F.when(F.dayofmonth(d) > 12, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")), "d4": F.concat(F.lit("x"), d.cast("string"))}.items()))
 
 
-@query("p3_sentinels", f"SELECT record_id, {', '.join(f'nullif({c}, -1) AS {c}' for c in PRICES)}, {', '.join(f'nullif({c}, -999) AS {c}' for c in PERCENTS)}, nullif(data_source, 'FAILED') AS data_source FROM raw_records", "raw_records", " ".join(PRICES + PERCENTS), 9)
+@query("p3_sentinels", f"SELECT record_id, {', '.join(f'nullif({c}, -1) AS {c}' for c in PRICES)}, {', '.join(f'nullif({c}, -999) AS {c}' for c in PERCENTS)}, nullif(data_source, 'FAILED') AS data_source FROM raw_records", "raw_records", " ".join(PRICES + PERCENTS), 4)
 def _(v: Views) -> DataFrame:
     return clean.sentinels_to_null(v.raw_records, PRICES, PERCENTS, ["data_source"]).select("record_id", *PRICES, *PERCENTS, "data_source")
 

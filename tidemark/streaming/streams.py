@@ -5,10 +5,12 @@ Event time is the tick's own time. Late ticks are dropped after DELAY; the first
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.bars import minute_of_day
@@ -43,7 +45,7 @@ def once_per_session(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("session", F.to_date("t")).dropDuplicatesWithinWatermark(["symbol", "session"])
 
 
-def second_of_day(t) -> F.Column:
+def second_of_day(t: Column) -> Column:
     return minute_of_day(t) * 60 + F.second(t)
 
 
@@ -137,6 +139,7 @@ def second(t: pd.Timestamp) -> int:
 
 def exits(events: DataFrame) -> DataFrame:
     """Exit rows from events(symbol, session, t, kind 0 entry / 1 tick, tick_id, price, stop_loss, target_profit)."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the processor's driver-side worker has no package path
     return events.withWatermark("t", DELAY).groupBy("symbol", "session").transformWithStateInPandas(statefulProcessor=ExitProcessor(), outputStructType=EXITS, outputMode="Append", timeMode="EventTime")
 
 

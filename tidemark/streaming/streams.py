@@ -138,9 +138,10 @@ def second(t: pd.Timestamp) -> int:
 
 
 def exits(events: DataFrame) -> DataFrame:
-    """Exit rows from events(symbol, session, t, kind 0 entry / 1 tick, tick_id, price, stop_loss, target_profit)."""
+    """Exit rows from events(symbol, session, t, kind 0 entry / 1 tick, tick_id, price, stop_loss, target_profit) with a
+    watermark on t."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the processor's driver-side worker has no package path
-    return events.withWatermark("t", DELAY).groupBy("symbol", "session").transformWithStateInPandas(statefulProcessor=ExitProcessor(), outputStructType=EXITS, outputMode="Append", timeMode="EventTime")
+    return events.groupBy("symbol", "session").transformWithStateInPandas(statefulProcessor=ExitProcessor(), outputStructType=EXITS, outputMode="Append", timeMode="EventTime")
 
 
 def exits_batch(events: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ FOLDS = 5
 #: A base lexicon of English insults.
 LEXICON = ["idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "pathetic", "disgusting", "clown", "dumb", "imbecile", "filthy", "garbage", "vermin", "degenerate", "bastard", "jerk", "ugly", "hate", "shut"]
 PATTERNS = ["shouting", "exclaiming", "masked", "addressed"]
-MIN_SUPPORT, MIN_LIFT, MAX_STEMS, STEM = 6, 8.0, 80, range(3, 10)
-LABELLED_ROWS, TRAIN_ROWS = 8_000, 20_000
+MIN_SUPPORT, MIN_SHARE, MIN_LIFT, MAX_STEMS, STEM = 6, 0.01, 8.0, 80, range(3, 10)
+LABELLED_ROWS, TRAIN_ROWS, POSTERIOR_WEIGHT = 8_000, 20_000, 0.1
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[48:58] = _SEPARATORS[65:91] = _SEPARATORS[97:123] = _SEPARATORS[128:] = False
 _upper, _letter, _mask = (np.zeros(256, bool) for _ in range(3))
@@ -82,7 +82,7 @@ def induce(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROW
     size = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = max(1, size.get(1, 0)), max(1, size.get(0, 0))
     lift = (F.col("pos") + 0.5) / (p + 1) / ((F.col("neg") + 0.5) / (n + 1))
-    found = counts.filter((F.col("pos") >= MIN_SUPPORT) & (lift >= MIN_LIFT)).withColumn("gain", F.col("pos") * F.log(lift)).orderBy(F.desc("gain"), F.desc(F.length("gram")), "gram").limit(40 * MAX_STEMS).collect() if size.get(1) and size.get(0) else []
+    found = counts.filter((F.col("pos") >= max(MIN_SUPPORT, int(MIN_SHARE * p))) & (lift >= MIN_LIFT)).withColumn("gain", F.col("pos") * F.log(lift)).orderBy(F.desc("gain"), F.desc(F.length("gram")), "gram").limit(40 * MAX_STEMS).collect() if size.get(1) and size.get(0) else []
     picked: list = []
     for r in found:
         g = r["gram"]
@@ -273,7 +273,7 @@ def score(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
         soft = np.where(np.isnan(y), model.posterior(votes), y)
         # the labelled sample is balanced: its rows weigh as the classes do in the corpus
         known_rate = np.nanmean(y) if (~np.isnan(y)).any() else base
-        weight = np.where(np.isnan(y), 0.3, np.where(y > 0, base / max(known_rate, 1e-9), (1 - base) / max(1 - known_rate, 1e-9)))
+        weight = np.where(np.isnan(y), POSTERIOR_WEIGHT, np.where(y > 0, base / max(known_rate, 1e-9), (1 - base) / max(1 - known_rate, 1e-9)))
         weights = train_classifier(inputs(counts, rows["n_words"].to_numpy()), soft, weight)
     shared = spark.sparkContext.broadcast(weights)
 

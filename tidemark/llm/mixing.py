@@ -20,7 +20,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.store import keep
+from tidemark.llm.store import fresh, keep
 
 DIMS = ["source", "lang", "topic"]
 #: By default a column's targets are its measured shares, tempered: each to this power, scaled to sum 1.
@@ -121,26 +121,24 @@ def uniform(seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """The raked columns of docs (null as a value) and tokens. A topic column that docs has is used."""
-    has = topic() if "topic" not in docs.columns else F.col("topic")
-    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": has}
-    return docs.withColumns({f"_{d}": F.coalesce(c.cast("string"), F.lit(NULL)) for d, c in columns.items()}).withColumn("_tokens", tokens())
-
-
-def with_probability(docs: DataFrame, **options) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _weight and _probability."""
-    rows = measured(docs)
-    cells = probabilities(rows.select(*(F.col(f"_{d}").alias(d) for d in DIMS), F.col("_tokens").alias("tokens")), **options)
-    return rows.join(cells.select(*(F.col(d).alias(f"_{d}") for d in DIMS), F.col("weight").alias("_weight"), F.col("probability").alias("_probability")), [f"_{d}" for d in DIMS], "left")
+def with_probability(docs: DataFrame, **options) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its raked columns (null as a value), tokens, weight and probability, and the names of these columns,
+    which docs does not have. A topic column that docs has is used."""
+    names = {n: fresh(docs, f"mix_{n}") for n in [*DIMS, "tokens", "weight", "probability"]}
+    values = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic") if "topic" in docs.columns else topic()}
+    rows = docs.withColumns({names[d]: F.coalesce(c.cast("string"), F.lit(NULL)) for d, c in values.items()} | {names["tokens"]: tokens()})
+    cells = probabilities(rows.select(*(F.col(names[d]).alias(d) for d in DIMS), F.col(names["tokens"]).alias("tokens")), **options)
+    return rows.join(cells.select(*(F.col(c).alias(names[c]) for c in [*DIMS, "weight", "probability"])), [names[d] for d in DIMS], "left"), names
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability and kept of every row."""
-    rows = with_probability(docs, **options)
-    return rows.select(F.col("doc_id").cast("long"), "source", "lang", F.nullif("_topic", F.lit(NULL)).alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), (uniform() < F.col("_probability")).alias("kept"))
+    rows, n = with_probability(docs, **options)
+    kept = uniform() < F.col(n["probability"])
+    return rows.select(F.col("doc_id").cast("long"), *(F.nullif(n[d], F.lit(NULL)).alias(d) for d in DIMS), *(F.col(n[c]).alias(c) for c in ("tokens", "weight", "probability")), kept.alias("kept"))
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept."""
-    return with_probability(docs, **options).filter(uniform() < F.col("_probability")).select(docs.columns)
+    rows, n = with_probability(docs, **options)
+    return rows.filter(uniform() < F.col(n["probability"])).select(docs.columns)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import words
-from tidemark.llm.store import partitions
+from tidemark.llm.store import fresh, partitions
 
 WINDOW, BLOCK = 35, 2_000_000
 
@@ -92,7 +92,7 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
         if len(p) or head is not None:
             out.append((block, p.tobytes(), head))
         i += len(part)
-    return pd.DataFrame(out, columns=["block", "places", "head"])
+    return pd.DataFrame(out, columns=["block", "places", "head"], dtype=object)
 
 
 def _merge(window: int):
@@ -115,7 +115,7 @@ def _merge(window: int):
         some = np.unique(doc)
         lo, hi = np.searchsorted(doc, some), np.searchsorted(doc, some, "right")
         spans = np.column_stack([begin - base, end - base]).astype(np.int32)
-        return pd.DataFrame({"doc_id": docs[some], "key": keys[some], "spans": [spans[a:b].ravel().tolist() for a, b in zip(lo, hi, strict=True)]})
+        return pd.DataFrame({"doc_id": docs[some], "key": keys[some], "spans": pd.Series([spans[a:b].ravel().tolist() for a, b in zip(lo, hi, strict=True)], dtype=object)})
 
     return run
 
@@ -130,10 +130,11 @@ def intervals(docs: DataFrame, window: int = WINDOW, buckets: int | None = None)
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the column removed_spans (null: nothing goes)."""
-    found = intervals(docs, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("removed_spans"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_key": F.xxhash64("text")})
-    return keyed.join(found, ["_id", "_key"], "left").drop("_id", "_key")
+    """docs with one more column, the last, that holds each row's spans (null: nothing goes)."""
+    names = [fresh(docs, n) for n in ("removal_id", "removal_key", "removal_spans")]
+    found = intervals(docs, window).toDF(*names)
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), names[1]: F.xxhash64("text")})
+    return keyed.join(found, names[:2], "left").select(*docs.columns, names[2])
 
 
 def kept_words(text: str | None, spans: list[int] | None) -> tuple[int, int, bytes]:
@@ -177,5 +178,5 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def apply(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the repeated windows taken out of text (kept words joined by one space; other texts stay as they are)
     and n_chars, where there is such a column, set anew."""
-    out = with_spans(docs, window).select(*docs.columns, "removed_spans").mapInArrow(_rewrite, docs.schema)
+    out = with_spans(docs, window).mapInArrow(_rewrite, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -131,7 +131,7 @@ def _(v: Views) -> DataFrame:
 _RULES = {"surprise": [0.0, 0.5, 1.0], "volume_ratio_7_day": [0.0, 0.5, 1.1, 1.2]} | {f"pct_{w}": [0.0, 0.5, 1.0] for w in ("1min", "5min", "15min")}
 
 
-@query("c13_rule_grid", "WITH x AS (SELECT *, (close_price - open_price) / open_price AS r FROM records) " + _union([f"SELECT '{c}' AS rule, CAST({t} AS DOUBLE) AS threshold, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS std, avg(CASE WHEN r > 0 THEN 1e0 WHEN r IS NOT NULL THEN 0e0 END) AS win_rate FROM x WHERE {c} >= {t}" for c, ts in _RULES.items() for t in ts]), "records", "mean std win_rate")
+@query("c13_rule_grid", "WITH x AS (SELECT *, (close_price - open_price) / open_price AS r FROM records) " + _union([f"SELECT '{c}' AS rule, CAST({t} AS DOUBLE) AS threshold, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS std, avg(CASE WHEN r > 0 THEN 1e0 WHEN r IS NOT NULL THEN 0e0 END) AS win_rate FROM x WHERE {c} >= {t} HAVING count(*) > 0" for c, ts in _RULES.items() for t in ts]), "records", "mean std win_rate")
 def _(v: Views) -> DataFrame:
     return X.grid(E.price_returns(v.records).withColumnRenamed("return_open_close", "r"), _RULES, "r")
 
@@ -297,17 +297,17 @@ def _(v: Views) -> DataFrame:
 
 # robustness
 
-@query("r1_by_sector", "WITH m AS (SELECT substr(strategy, 2, 1) AS strategy, sector, avg(r) AS mean FROM trades GROUP BY 1, 2), g AS (SELECT strategy, count(*) AS n_groups, min(mean) AS worst, max(mean) AS best FROM m GROUP BY 1) SELECT *, coalesce(worst > 0.005 AND best / worst < 5, false) AS passed FROM g", "trades", "worst best")
+@query("r1_by_sector", "WITH m AS (SELECT substr(strategy, 2, 1) AS strategy, sector, avg(r) AS mean FROM trades GROUP BY 1, 2), g AS (SELECT strategy, count(*) AS n_groups, min(mean) AS worst, max(mean) AS best FROM m GROUP BY 1) SELECT *, coalesce(worst > 0.005 AND best / worst < 5, false) AS passed FROM g", "trades", "worst best", 9)
 def _(v: Views) -> DataFrame:
     return R.by_sector(v.trades.withColumn("strategy", F.substring("strategy", 2, 1)))
 
 
-@query("r2_by_cap", "WITH q AS (SELECT quantile_cont(price, 1/3e0) AS a, quantile_cont(price, 2/3e0) AS b FROM trades), m AS (SELECT strategy, CASE WHEN price <= a THEN 1 WHEN price <= b THEN 2 ELSE 3 END AS t, avg(r) AS mean FROM trades, q GROUP BY 1, 2), g AS (SELECT strategy, count(*) AS n_groups, min(mean) AS worst, max(mean) AS best FROM m GROUP BY 1) SELECT *, coalesce(worst > 0.005 AND best / worst < 5, false) AS passed FROM g", "trades", "worst best")
+@query("r2_by_cap", "WITH q AS (SELECT quantile_cont(price, 1/3e0) AS a, quantile_cont(price, 2/3e0) AS b FROM trades), m AS (SELECT strategy, CASE WHEN price <= a THEN 1 WHEN price <= b THEN 2 ELSE 3 END AS t, avg(r) AS mean FROM trades, q GROUP BY 1, 2), g AS (SELECT strategy, count(*) AS n_groups, min(mean) AS worst, max(mean) AS best FROM m GROUP BY 1) SELECT *, coalesce(worst > 0.005 AND best / worst < 5, false) AS passed FROM g", "trades", "worst best", 9)
 def _(v: Views) -> DataFrame:
     return R.by_cap(v.trades, "price")
 
 
-@query("r3_by_half", "WITH b AS (SELECT min(d) AS f, max(d) - min(d) AS s FROM trades), g AS (SELECT strategy, avg(r) FILTER (WHERE d - f <= CAST(floor(s / 2) AS INT)) AS first_mean, avg(r) FILTER (WHERE d - f > CAST(floor(s / 2) AS INT)) AS second_mean FROM trades, b GROUP BY 1) SELECT *, coalesce(first_mean > 0 AND second_mean > 0, false) AS passed FROM g", "trades", "first_mean second_mean")
+@query("r3_by_half", "WITH b AS (SELECT min(d) AS f, max(d) - min(d) AS s FROM trades), g AS (SELECT strategy, avg(r) FILTER (WHERE d - f <= CAST(floor(s / 2) AS INT)) AS first_mean, avg(r) FILTER (WHERE d - f > CAST(floor(s / 2) AS INT)) AS second_mean FROM trades, b GROUP BY 1) SELECT *, coalesce(first_mean > 0 AND second_mean > 0, false) AS passed FROM g", "trades", "first_mean second_mean", 9)
 def _(v: Views) -> DataFrame:
     return R.by_half(v.trades)
 
@@ -320,7 +320,7 @@ def _(v: Views) -> DataFrame:
 _MARKET = "m AS (SELECT d, avg(r) AS m FROM trades GROUP BY 1), q AS (SELECT quantile_cont(m, 0.6) AS hi FROM (SELECT m.m FROM trades JOIN m USING (d)) z)"
 
 
-@query("r6_by_market", f"WITH {_MARKET} SELECT strategy, avg(r) FILTER (WHERE m > hi + 1e-9) AS bull_mean, avg(r) FILTER (WHERE m <= hi + 1e-9) AS bear_mean, count(*) FILTER (WHERE m > hi + 1e-9) AS n_bull, count(*) FILTER (WHERE m <= hi + 1e-9) AS n_bear, coalesce(avg(r) FILTER (WHERE m > hi + 1e-9) > 0 AND avg(r) FILTER (WHERE m <= hi + 1e-9) > 0, false) AS passed FROM trades JOIN m USING (d), q GROUP BY 1", "trades", "bull_mean bear_mean")
+@query("r6_by_market", f"WITH {_MARKET} SELECT strategy, avg(r) FILTER (WHERE m > hi + 1e-9) AS bull_mean, avg(r) FILTER (WHERE m <= hi + 1e-9) AS bear_mean, count(*) FILTER (WHERE m > hi + 1e-9) AS n_bull, count(*) FILTER (WHERE m <= hi + 1e-9) AS n_bear, coalesce(avg(r) FILTER (WHERE m > hi + 1e-9) > 0 AND avg(r) FILTER (WHERE m <= hi + 1e-9) > 0, false) AS passed FROM trades JOIN m USING (d), q GROUP BY 1", "trades", "bull_mean bear_mean", 9)
 def _(v: Views) -> DataFrame:
     t = v.trades.join(v.trades.groupBy("d").agg(F.avg("r").alias("m")), "d")
     hi = t.agg(F.percentile("m", 0.6)).first()[0]

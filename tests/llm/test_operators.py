@@ -399,3 +399,20 @@ def test_windows_do_not_cross_documents():
     at, key = words.windows(words.Spans(buf)(starts, ends), first, 2)
     assert at.tolist() == [0, 1, 3, 4]
     assert key[0] == key[3] and len(set(key.tolist())) == 3
+
+
+def test_bpe_parts_with_white_space(tokenizer):
+    """Parts whose middle is encoded by pieces: ids and held spans are those of the whole encoding."""
+    model = bpe.encoder(bpe.default_path())
+    rng = np.random.default_rng(2)
+    syllables = ["the", "in", "er", "Éa", "don't", "x,", "42", "ß.", "日本"]
+    text = " ".join("".join(rng.choice(syllables, rng.integers(1, 6))) for _ in range(2500))
+    e = tokenizer.encode(text, add_special_tokens=False)
+    p = bpe.Part.of(model, text, 0, len(text))
+    assert p.ids.tolist() == e.ids
+    assert p.head.tolist() == [list(x) for x in e.offsets[: len(p.head)]]
+    assert p.tail.tolist() == [list(x) for x in e.offsets[-len(p.tail) :]]
+    for leaf in (1700, 3000):
+        at = bpe.cuts(len(text), leaf)
+        parts = [bpe.Part.of(model, text, a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert bpe.tree(model, text, parts).ids.tolist() == e.ids

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import words
 
-LONG, LEAF, EDGE, FIRST_WINDOW = 32_768, 16_384, 256, 32
+LONG, LEAF, EDGE, EDGE_CHARS, FIRST_WINDOW = 32_768, 16_384, 256, 600, 32
 PIECES = 500_000
 _encoders: dict[str, Encoder] = {}
 
@@ -119,9 +119,16 @@ class Part:
 
     @classmethod
     def of(cls, model: Encoder, text: str, begin: int, end: int) -> Part:
-        ids, at = model.spans(text[begin:end])
-        at = at + begin
-        return cls(begin, end, ids, at[:EDGE], at[max(0, len(at) - EDGE) :])
+        part = text[begin:end]
+        # white space splits the encoding: spans are only needed near the ends, the rest is encoded by pieces
+        front, back = part.find(" ", EDGE_CHARS), part.rfind(" ", 0, max(0, len(part) - EDGE_CHARS))
+        if 0 < front < back:
+            head, tail = model.spans(part[:front])[1], model.spans(part[back:])[1] + back
+            ids = model.encode(pa.array([part]))[0]
+        else:
+            ids, head = model.spans(part)
+            tail = head
+        return cls(begin, end, ids, head[:EDGE] + begin, tail[max(0, len(tail) - EDGE) :] + begin)
 
 
 def _agree(a_ids, a_at, b_ids, b_at, last: bool) -> tuple[int, int] | None:

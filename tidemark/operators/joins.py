@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.scalar import next_business_day, prev_business_day, reaction_date
+from tidemark.functions.scalar import prev_business_day, reaction_date
 
 #: A side is broadcast only below this size (Spark's own estimate decides for all other joins).
 MAX_BINS = 10_000
@@ -85,11 +85,3 @@ def average_before(rows: DataFrame, sessions: DataFrame, n: int, min_n: int, spa
     mean = F.when(F.size(last) >= min_n, F.aggregate(last, F.lit(0.0), lambda a, v: a + v) / F.size(last))
     found = both.withColumn(name, mean).filter("_kind = 0").select("symbol", "session_day", name)
     return rows.join(found, ["symbol", "session_day"], "left")
-
-
-def fold_rows(rows: DataFrame, folds: DataFrame, day: str = "d") -> DataFrame:
-    """(fold, role) for every row whose day lies in a fold's bounds. Folds are a small table made from distinct days."""
-    return rows.join(F.broadcast(folds.limit(1000)), (F.col(day) >= F.col("start")) & (F.col(day) <= F.col("end"))).drop("start", "end")
-
-
-__all__ = ["asof_close", "average_before", "exclude", "fold_rows", "match_bin", "next_business_day", "on_reaction_day", "prev_business_day", "previous_session_close", "revenue_entry", "with_fallback", "with_prev_close", "with_profile"]

@@ -126,10 +126,10 @@ def _(v: Views) -> DataFrame:
     return J.with_fallback(r.select("record_id"), r.filter("data_source = 'Alpaca'"), r.filter("data_source IS NOT NULL").withColumn("open_price", F.col("open_price") + 1), ["record_id"], ["open_price"])
 
 
-@query("j6_exclusions", "SELECT record_id, symbol FROM records WHERE date_trunc('month', report_date) NOT IN (SELECT DISTINCT date_trunc('month', report_date) FROM records WHERE data_source IS NULL AND record_id % 2 = 0)", "records")
+@query("j6_exclusions", "SELECT record_id, symbol FROM records WHERE date_trunc('month', report_date) NOT IN (SELECT DISTINCT date_trunc('month', report_date) FROM records WHERE data_source IS NULL AND surprise > 60)", "records")
 def _(v: Views) -> DataFrame:
     r = v.records.withColumn("month", F.trunc("report_date", "month"))
-    return J.exclude(r, r.filter("data_source IS NULL AND record_id % 2 = 0").select("month").distinct(), ["month"]).select("record_id", "symbol")
+    return J.exclude(r, r.filter("data_source IS NULL AND surprise > 60").select("month").distinct(), ["month"]).select("record_id", "symbol")
 
 
 BINS = [(0, -10.0, -2.0, -3.0, 2.0), (1, -2.0, 0.0, -2.0, 1.5), (2, 0.0, 2.0, -1.5, 2.5), (3, 1.0, 4.0, -2.5, 5.0), (4, 4.5, 10.0, -4.0, 8.0)]

@@ -15,10 +15,10 @@ from tidemark.sources import readers, sinks
 _T = "WITH t AS (SELECT strategy, d, avg(r) AS r FROM trades GROUP BY 1, 2)"
 
 
-@query("s2_tab_separated", "SELECT symbol, coalesce(surprise, -1) AS surprise FROM records WHERE record_id % 2 = 0", "records", "surprise", 4)
+@query("s2_tab_separated", "SELECT symbol, coalesce(surprise, -1) AS surprise FROM records", "records", "surprise", 4)
 def _(v: Views) -> DataFrame:
     path = new_path(v.spark, "records-tsv")
-    sinks.filled(v.records.filter("record_id % 2 = 0").drop("record_id")).write.option("header", True).option("sep", "\t").option("encoding", "iso-8859-1").csv(path)
+    sinks.filled(v.records.drop("record_id")).write.option("header", True).option("sep", "\t").option("encoding", "iso-8859-1").csv(path)
     return readers.records_csv(v.spark, path).select("symbol", "surprise")
 
 

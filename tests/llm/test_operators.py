@@ -416,3 +416,15 @@ def test_bpe_parts_with_white_space(tokenizer):
         at = bpe.cuts(len(text), leaf)
         parts = [bpe.Part.of(model, text, a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
         assert bpe.tree(model, text, parts).ids.tolist() == e.ids
+
+
+def test_first_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.store import first_by_hash
+
+    df = spark.range(1000).withColumnRenamed("id", "doc_id")
+    want = [r[0] for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()]
+    assert [r[0] for r in first_by_hash(df, "doc_id", 50, ["doc_id"]).collect()] == want
+    same = df.withColumn("doc_id", F.lit(7))
+    assert first_by_hash(same, "doc_id", 50, ["doc_id"]).count() == 50

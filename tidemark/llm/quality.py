@@ -5,7 +5,7 @@ lengths are anomalous. Which path length rejects is read from all labelled rows:
 from quality 1 best among those that reject at most `max_clean_loss` of the rows labelled 1.
 
 Defined results: null text counts as empty (no words, so it fails the base rules); null doc_ids stay and get a verdict;
-repeated rows give equal rows; an empty table gives an empty result; without labelled rows of both classes the forest
+repeated rows give equal rows; of several labels of a document the lowest counts; an empty table gives an empty result; without labelled rows of both classes the forest
 rejects nothing. Other columns of the input are ignored, except by `apply`, which returns them all.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import words
-from tidemark.llm.store import keep
+from tidemark.llm.store import first_by_hash, keep
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 #: The symbols of the base rule.
@@ -155,12 +155,12 @@ def fit(stats: DataFrame, labels: DataFrame, trees: int = 64, tree_rows: int = 2
     the method prescribes, so trees * tree_rows rows at any size); one Spark task grows one tree. The threshold comes
     from a histogram of the scores of all labelled rows."""
     spark = stats.sparkSession
-    ordered = stats.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", *FEATURES).limit(trees * tree_rows)
-    grown = ordered.withColumn("tree", F.pmod(F.xxhash64("order", F.lit(7)), F.lit(trees))).groupBy("tree").applyInPandas(_fit_tree, "tree int, f array<int>, cut array<double>, l array<int>, r array<int>, leaf array<double>")
+    chosen = first_by_hash(stats, "doc_id", trees * tree_rows, ["doc_id", *FEATURES]).withColumn("order", F.xxhash64("doc_id"))
+    grown = chosen.withColumn("tree", F.pmod(F.xxhash64("order", F.lit(7)), F.lit(trees))).groupBy("tree").applyInPandas(_fit_tree, "tree int, f array<int>, cut array<double>, l array<int>, r array<int>, leaf array<double>")
     forest = Forest(sorted(grown.collect(), key=lambda t: t["tree"]), tree_rows)
     if not forest.trees:
         return forest, 1.1
-    labelled = stats.filter(~base_failed()).join(labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"]), "doc_id")
+    labelled = stats.filter(~base_failed()).join(labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
     scored = labelled.select("doc_id", "quality", *FEATURES).mapInArrow(_scorer(spark, forest, ["doc_id", "quality"]), "doc_id bigint, quality int, anomaly double")
     rows = scored.groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin")).agg(F.sum("quality").alias("good"), F.count("*").alias("n")).collect()
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)

@@ -11,7 +11,7 @@ Labels are read only from rows whose crc32(doc_id) modulo 5 is not 0. The lexico
 and the label model cover all documents. Labels, language, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts get the score of a text without votes; null doc_ids are scored, never trained on
-(held_out is null); repeated rows get equal scores; an empty table gives an empty result; without labelled rows of both
+(held_out is null); repeated rows get equal scores; of several labels of a document the greatest counts; an empty table gives an empty result; without labelled rows of both
 classes, the base lexicon and patterns vote alone with set accuracies.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import words
-from tidemark.llm.store import keep
+from tidemark.llm.store import first_by_hash, keep
 
 FOLDS = 5
 #: A base lexicon of English insults.
@@ -74,10 +74,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPACED = bytes(32 if s else i for i, s in enumerate(_SEPARATORS))
 
 
-def induce(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> tuple[list[Gram], np.ndarray, np.ndarray, float]:
-    """The voters' words and stems, how often each hits in labelled rows of class 1 and 0, and the share of class 1."""
-    chosen = sample_labels(labels, labelled_rows)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # labelled_rows rows at most
+def induce(docs: DataFrame, chosen: DataFrame) -> tuple[list[Gram], np.ndarray, np.ndarray, float]:
+    """The voters' words and stems, how often each hits in the chosen rows (see sample_labels) of class 1 and 0, and the
+    share of class 1."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # bounded by sample_labels
     counts = rows.select("text", "toxic").mapInArrow(_count_grams, "gram string, pos bigint, neg bigint").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     size = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = max(1, size.get(1, 0)), max(1, size.get(0, 0))
@@ -102,8 +102,9 @@ def induce(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROW
 
 def sample_labels(labels: DataFrame, rows: int) -> DataFrame:
     """(doc_id, toxic) of training rows, half of them of either class where there are enough; the first by hash."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(training(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
-    first = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for k in (0, 1)]
+    known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(training(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    known = keep(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    first = [first_by_hash(known.filter(F.col("toxic") == k), "doc_id", rows // 2, ["doc_id"]) for k in (0, 1)]
     return keep(first[0].unionByName(first[1]), "labelled")
 
 
@@ -254,15 +255,15 @@ def train_classifier(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: fl
 def score(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
-    grams, hit1, hit0, base = induce(docs, labels, labelled_rows)
+    known = sample_labels(labels, labelled_rows)
+    grams, hit1, hit0, base = induce(docs, known)
     m = len(grams) + len(PATTERNS)
     table = keep(ballots(docs, grams), "ballots")
     patterns = keep(table.groupBy("votes").agg(F.count("*").alias("n")), "vote-patterns")
     start = LabelModel(np.append(hit1, [0.1, 0.1, 0.02, 0.02]), np.append(hit0, [0.08, 0.08, 0.01, 0.002]), min(max(base, 0.01), 0.3))
     model = fit_label_model(patterns, m, start)
 
-    known = sample_labels(labels, labelled_rows)
-    free = table.filter(training(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "n_words").limit(train_rows)
+    free = first_by_hash(table.filter(training(F.col("doc_id"))), "doc_id", train_rows, ["doc_id", "n_words"])
     sets = [table.join(F.broadcast(known), "doc_id").select("n_words", "counts", "votes", F.col("toxic").cast("double").alias("y")), free.select("n_words", "counts", "votes", F.lit(None).cast("double").alias("y"))]
     weights = np.zeros(0)
     rows = sets[0].unionByName(sets[1]).toArrow()  # labelled_rows + train_rows rows at most

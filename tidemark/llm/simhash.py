@@ -1,11 +1,11 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Each text gets a 64-bit fingerprint: a bit is set if more than half of its shingle hashes have it. Distinct fingerprints
-are sorted by the bit counts of their four 16-bit quarters and cut into tiles. A pair of tiles whose bit counts differ
-beyond the radius in every combination holds no link and is skipped; the other pairs are compared whole, with numpy
-exclusive-or and bit counts. A task returns a spanning forest of the links it found, never all pairs of a group.
-The comparison is exact, so its work grows with the square of the number of distinct fingerprints times the share of
-tile pairs that remain; that share falls as the tiles get narrower with more rows.
+Each text gets a 64-bit fingerprint: a bit is set if more than half of its shingle hashes have it. Two fingerprints that
+differ in at most RADIUS bits agree in one of RADIUS + 1 blocks of bits, so every link lies among the fingerprints of
+some block value. These are sorted by the bit counts of their four 16-bit quarters and cut into tiles. A pair of tiles
+of one block value whose bit counts differ beyond the radius holds no link and is skipped; the other pairs are compared
+whole, with numpy exclusive-or and bit counts. A task returns a spanning forest of the links it found, never all pairs of
+a group. No link is lost, and a block value with many fingerprints is spread over many tiles.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows share a fingerprint;
 a row with null doc_id gets a fingerprint and no component, and links nothing; two rows with one doc_id are one node.
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import components
 from tidemark.llm.store import keep
 
-SHINGLE, RADIUS, TILE = 4, 4, 4096
+SHINGLE, RADIUS, TILE, PER_KEY = 4, 4, 4096, 128
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -78,21 +78,30 @@ def quarters(fp: np.ndarray) -> np.ndarray:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts each sorted partition into tiles, named by their first fingerprint (unique, as fingerprints are distinct)."""
+    """Cuts each sorted partition into tiles of one key, named by key and first fingerprint (distinct within a key)."""
+    names = ["key", "tile", "n", "low", "high", "fps", "nodes"]
 
-    def tile(fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def tiles(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        edge = np.unique(np.concatenate([edge, *(np.arange(a, b, TILE) for a, b in zip(edge, np.append(edge[1:], len(key)), strict=True) if b - a > TILE)])).astype(np.int64)
+        end = np.append(edge[1:], len(key))
         q = quarters(fp)
-        return pa.RecordBatch.from_arrays([pa.array(fp[:1].view(np.int64)), pa.array([q.min(0).tolist()], pa.list_(pa.int32())), pa.array([q.max(0).tolist()], pa.list_(pa.int32())), pa.array([fp.tobytes()]), pa.array([node.tobytes()])], ["tile", "low", "high", "fps", "nodes"])
+        box = [pa.array(f(q, edge, axis=0).tolist(), pa.list_(pa.int32())) for f in (np.minimum.reduceat, np.maximum.reduceat)]
+        body = [pa.array([x[a:b].tobytes() for a, b in zip(edge, end, strict=True)], pa.binary()) for x in (fp, node)]
+        return pa.RecordBatch.from_arrays([pa.array(key[edge]), pa.array(fp[edge].view(np.int64)), pa.array((end - edge).astype(np.int32)), *box, *body], names)
 
-    fps, nodes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
     for b in batches:
-        fps = np.concatenate([fps, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-        nodes = np.concatenate([nodes, b.column(1).to_numpy(zero_copy_only=False)])
-        while len(fps) >= TILE:
-            yield tile(fps[:TILE], nodes[:TILE])
-            fps, nodes = fps[TILE:], nodes[TILE:]
-    if len(fps):
-        yield tile(fps, nodes)
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        held = [np.concatenate([x, y.view(x.dtype)]) for x, y in zip(held, new, strict=True)]
+        # the last key may go on in the next batch; of a long one, whole tiles are cut off
+        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        cut = last + (len(held[0]) - last) // TILE * TILE
+        if cut:
+            yield tiles(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+    if len(held[0]):
+        yield tiles(*held)
 
 
 def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -147,22 +156,32 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], ["a", "b"])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A spanning set (a, b) of the links among distinct(fp, node), fp without repeats."""
-    if radius > RADIUS:
-        raise ValueError(f"tiles are compared at a radius of {RADIUS} at most")
+def block_keys(bits: int) -> list[Column]:
+    """For each of RADIUS + 1 blocks a key: the block's number and the low bits of its value."""
+    width = 64 // (RADIUS + 1) + 1
+    blocks = [(i * width, min(width, 64 - i * width)) for i in range(RADIUS + 1)]
+    return [F.shiftrightunsigned("fp", at).bitwiseAND((1 << min(bits, w)) - 1) + F.lit(i << width).cast("bigint") for i, (at, w) in enumerate(blocks)]
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """A spanning set (a, b) of the links among distinct(fp, node), fp without repeats. Keys use as many bits of a block
+    as leave about PER_KEY fingerprints to a key."""
     count = distinct.count()
+    bits = max(0, (count // PER_KEY).bit_length())
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)) for i in range(4)]
-    ordered = distinct.withColumns({f"q{i}": q for i, q in enumerate(quarter)}).repartitionByRange(max(1, -(-count // TILE)), "q0", "q1", "q2", "q3", "fp").sortWithinPartitions("q0", "q1", "q2", "q3", "fp")
-    tiles = keep(ordered.select("fp", "node").mapInArrow(_tiles, "tile bigint, low array<int>, high array<int>, fps binary, nodes binary"), "tiles")
-    a, b = (tiles.select(F.col("tile").alias(f"tile_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ab")
+    order = ["key", "q0", "q1", "q2", "q3", "fp"]
+    keyed = distinct.select("fp", "node", F.explode(F.array(*block_keys(bits))).alias("key"), *(q.alias(f"q{i}") for i, q in enumerate(quarter)))
+    # by range over all of the order, so a key with many fingerprints is dealt to many tasks
+    ordered = keyed.repartitionByRange(max(1, -(-count * (RADIUS + 1) // 65536)), *order).sortWithinPartitions(*order)
+    tiles = keep(ordered.select("key", "fp", "node").mapInArrow(_tiles, "key bigint, tile bigint, n int, low array<int>, high array<int>, fps binary, nodes binary"), "tiles")
+    a, b = (tiles.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("tile", "n", "low", "high"))) for x in "ab")
     # every pair within reach meets at a bit count of the first quarter
     a = a.withColumn("q", F.explode(F.sequence(F.col("low_a")[0] - RADIUS, F.col("high_a")[0] + RADIUS)))
     b = b.withColumn("q", F.explode(F.sequence(F.col("low_b")[0], F.col("high_b")[0])))
     gap = sum((F.greatest(F.lit(0), F.col("low_a")[i] - F.col("high_b")[i], F.col("low_b")[i] - F.col("high_a")[i]) for i in range(4)), F.lit(0))
-    pairs = a.join(b, "q").filter((F.col("tile_a") <= F.col("tile_b")) & (gap <= RADIUS)).select("tile_a", "tile_b").distinct()
-    body = [tiles.select(F.col("tile").alias(f"tile_{x}"), F.col("fps").alias(f"fps_{x}"), F.col("nodes").alias(f"nodes_{x}")) for x in "ab"]
-    both = pairs.join(body[0], "tile_a").join(body[1], "tile_b").select("tile_a", "tile_b", "fps_a", "nodes_a", "fps_b", "nodes_b")
+    pairs = a.join(b, ["key", "q"]).filter((F.col("tile_a") <= F.col("tile_b")) & (gap <= RADIUS) & ((F.col("tile_a") < F.col("tile_b")) | (F.col("n_a") > 1))).select("key", "tile_a", "tile_b").distinct()
+    body = [tiles.select("key", F.col("tile").alias(f"tile_{x}"), F.col("fps").alias(f"fps_{x}"), F.col("nodes").alias(f"nodes_{x}")) for x in "ab"]
+    both = pairs.join(body[0], ["key", "tile_a"]).join(body[1], ["key", "tile_b"]).select("tile_a", "tile_b", "fps_a", "nodes_a", "fps_b", "nodes_b")
     return both.mapInArrow(_compare, "a bigint, b bigint")
 
 

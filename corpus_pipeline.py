@@ -1,10 +1,10 @@
-"""A corpus from raw documents to token ids: quality rules, near-dedup, substring dedup, mixing, BPE."""
+"""A corpus from raw documents to token ids: quality rules, near-dedup, edited copies, substring dedup, mixing, BPE."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, quality, simhash, substrings
+from tidemark.llm import bpe, mixing, nearcopies, quality, simhash, substrings
 from tidemark.llm.store import keep
 
 
@@ -16,6 +16,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.apply(docs)
 
 
+def edited_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return nearcopies.apply(docs)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substrings.apply(docs)
 
@@ -28,7 +32,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.apply(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("source mix", source_mix), ("bpe encoding", bpe_encode)]
+STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_dedup), ("edited copies", edited_copies), ("substring dedup", substring_dedup), ("source mix", source_mix), ("bpe encoding", bpe_encode)]
 
 #: SQL expresses neither fingerprints nor the tokenizer; the tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.llm import brute, cases
-from tidemark.llm import bpe, components, kdshard, mixing, mjpeg, quality, simhash, substrings, toxicity, urls, wavelet, words
+from tidemark.llm import bpe, components, kdshard, mixing, mjpeg, nearcopies, quality, simhash, substrings, toxicity, urls, wavelet, words
 
 
 @pytest.fixture(scope="module")
@@ -186,6 +186,52 @@ def test_components(spark):
     assert out == {**dict.fromkeys((1, 2, 3, 4), 1), **dict.fromkeys((10, 11, 12), 10), **dict.fromkeys(range(100, 141), 100)}
 
 
+def jaccard(texts):
+    """(doc_id, text) to {doc_id: component} over all pairs of similarity 0.8 at least."""
+    sets = {}
+    for i, t in texts:
+        w = brute.WORD.findall((t or "").lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    return root
+
+
+def test_edited_copies(spark):
+    """Chains and groups of copies with edited words, which SimHash at four bits keeps apart."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(12):
+        text = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for _ in range(8):
+            rows.append((len(rows), " ".join(text)))
+            for at in rng.integers(0, len(text), 4):
+                text[at] = f"e{rng.integers(0, 5000)}"
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", " ", "one two", "One  two", "one three"])]
+    rng.shuffle(order := list(range(len(rows))))
+    rows = [(order[i], t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(jaccard(rows).values())
+    by_simhash = {r["doc_id"] for r in simhash.apply(df).collect()}
+    assert len(by_simhash) > len(want)
+    assert {r["doc_id"] for r in nearcopies.apply(df).collect()} == want
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["edited copies"]
+    assert {r["doc_id"] for r in stage(spark, df, "").collect()} == want
+
+
+def test_edited_copies_tiles(spark, documents, monkeypatch):
+    monkeypatch.setattr(nearcopies, "TILE", 500)
+    want = jaccard([(r["doc_id"], r["text"]) for r in documents.collect()])
+    assert {r["doc_id"] for r in nearcopies.apply(documents).collect()} == set(want.values())
+    assert nearcopies.apply(empty(spark)).collect() == []
+
+
 # 5
 
 def test_substrings(spark, docs, documents):

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute, cases
@@ -286,6 +287,17 @@ def test_bpe(spark, docs, documents, tokenizer):
     assert bpe.digest(empty(spark)).collect() == []
 
 
+def test_bpe_composes_before_lower_case(tokenizer):
+    """Capitals that compose with a mark only in lower case, alone and beside texts that look like special tokens."""
+    model = bpe.encoder(bpe.default_path())
+    marked = ["T\u0308est", "H\u0331 x", "W\u030aA.B,", "Y\u030a", "J\u030cabc", "ABC T\u0308", "E\u0301TE\u0301"]
+    special = ["<|STARTOFTEXT|> ABC", "a<|endoftext|>B", "<|T\u0308"]
+    for batch in (marked, special, marked + special, *([x] for x in marked + special)):
+        flat, before = model.encode(pa.array(batch))
+        for t, a, b in zip(batch, before[:-1], before[1:], strict=True):
+            assert flat[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, (t, batch)
+
+
 def test_bpe_trees(tokenizer):
     """Every way of cutting awkward texts, joined again, gives the encoding of the whole."""
     model = bpe.encoder(bpe.default_path())

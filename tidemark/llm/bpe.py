@@ -76,15 +76,18 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, and for each text the number of ids before it (one entry more than texts)."""
         texts = pc.fill_null(texts, "")
-        if self.lower_safe and not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, "([A-Za-z])([.,])", r"\1 \2"))
         of = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary
+        if self.lower_safe:
+            # the tokenizer composes before it lowers case: only pieces in which nothing composes are lowered here
+            plain = pc.and_not(pc.string_is_ascii(distinct), pc.match_substring(distinct, "<|"))
+            distinct = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
+        distinct = distinct.to_pylist()
         if len(self.code) + len(distinct) > PIECES:
             self.clear()
-        new = [p for p in distinct if p not in self.code]
+        new = [p for p in dict.fromkeys(distinct) if p not in self.code]
         if new:
             self._add(new)
         at = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)

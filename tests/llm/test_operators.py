@@ -146,6 +146,34 @@ def test_mixing_edges(spark, docs):
     assert len(given) == len(out)
 
 
+def test_mixing_meets_marginals(spark, documents):
+    """The expected shares, not only the weights, meet every target that the tokens allow."""
+    for share in (mixing.KEEP_SHARE, 0.3, None):
+        rows = mixing.report(documents, share=share).collect()
+        out = mixing.sample(documents, share=share).collect()
+        kept = sum(r["tokens"] * r["probability"] for r in out)
+        for d in mixing.DIMS:
+            mine = [r for r in rows if r["dim"] == d]
+            for r in mine:
+                assert r["expected"] * kept == pytest.approx(sum(x["tokens"] * x["probability"] for x in out if x[d] == r["value"]))
+                if not r["reachable"]:  # all it has
+                    assert share and r["expected"] * kept == pytest.approx(r["tokens"], rel=1e-4)
+            low = [r for r in mine if r["reachable"] and r["expected"] * kept < r["tokens"] * (1 - 1e-4)]
+            ratio = [r["expected"] / r["target"] for r in low]  # the others share the rest by their targets
+            assert ratio and max(ratio) == pytest.approx(min(ratio), rel=1e-4), (share, d)
+            if all(r["reachable"] for r in mine):
+                assert ratio == pytest.approx([1] * len(ratio), rel=1e-4)
+
+
+def test_mixing_within_bounds(spark):
+    """One cell is full although every target can be met: its row and column take more from their other cells."""
+    rows = [(i, "x" * 400, lang, source) for i, (lang, source) in enumerate([("a", "s")] * 5 + [("a", "t")] * 45 + [("b", "s")] * 25 + [("b", "t")] * 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    options = {"share": 0.6, "targets": {"lang": {"a": 0.7, "b": 0.3}, "source": {"s": 0.35, "t": 0.65}}}
+    got = {(r["dim"], r["value"]): (round(r["expected"], 4), r["reachable"]) for r in mixing.report(df, **options).collect()}
+    assert got == {("lang", "a"): (0.7, True), ("lang", "b"): (0.3, True), ("source", "s"): (0.35, True), ("source", "t"): (0.65, True), ("topic", "prose"): (1.0, True)}
+
+
 # 4
 
 def test_simhash(docs, documents):

@@ -1,9 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell (one combination of the raked columns), combined before the shuffle. Raking scales the cells
-in turn until the token shares along each column meet their targets. A cell's factor (fitted over measured tokens) times
-one constant, 1 at most, is the probability of its documents; the constant is calibrated so that the expected tokens
-meet the budget. A document is kept if a hash of its doc_id, uniform in [0, 1), lies below its cell's probability.
+in turn until the token shares along each column meet their targets; a cell's factor is its weight. A document is kept
+once at most, so the expected tokens of a cell are bounded by its tokens: a second fit within these bounds gives the
+probability of its documents. There the tokens along each column are the targets' parts of the budget; a value with fewer
+tokens than its part gives all it has, and the others share the rest by their targets. With share=None the budget is the
+largest multiple of the raked tokens within all bounds, and every target is met. A document is kept if a hash of its
+doc_id, uniform in [0, 1), lies below its cell's probability. `report` lists targets, expected shares and the values that
+cannot reach theirs.
 
 Cells are a summary, at most the product of the columns' distinct values. Up to DRIVER_CELLS of them are raked with
 numpy; more are raked by DataFrame steps that do the same.
@@ -25,7 +29,7 @@ from tidemark.llm.store import fresh, keep
 DIMS = ["source", "lang", "topic"]
 #: By default a column's targets are its measured shares, tempered: each to this power, scaled to sum 1.
 TEMPER = {"source": 0.6, "lang": 0.7, "topic": 0.8}
-KEEP_SHARE, ROUNDS, CLOSE, SEED, DRIVER_CELLS = 0.75, 40, 1e-7, 17, 100_000
+KEEP_SHARE, ROUNDS, FIT_ROUNDS, CLOSE, SEED, DRIVER_CELLS = 0.75, 40, 200, 1e-7, 17, 100_000
 NULL = "\u0000"
 
 
@@ -55,15 +59,52 @@ def rake(weight: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray])
     return w
 
 
-def rake_frame(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """The same on cells(key columns, tokens): adds fitted. targets: for each column (column, target)."""
-    cells = cells.withColumn("fitted", F.col("tokens").cast("double"))
-    for _ in range(ROUNDS):
+def reach(have: np.ndarray, target: np.ndarray, budget: float) -> np.ndarray:
+    """Masses within what the values have, in proportion to target where that allows, with budget as their sum."""
+    k = budget / max(target.sum(), 1e-300)
+    while True:
+        full = k * target >= have
+        more = (budget - have[full].sum()) / target[~full].sum() if target[~full].sum() > 0 else 0
+        if more <= k * (1 + 1e-12):
+            return np.minimum(have, k * target)
+        k = more
+
+
+def fit(fitted: np.ndarray, bound: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray]) -> np.ndarray:
+    """fitted scaled so that the sums of min(fitted, bound) by each code meet the goals."""
+    x = fitted.astype(float)
+    for _ in range(FIT_ROUNDS):
+        worst = 0.0
+        for code, goal in zip(codes, goals, strict=True):
+            full = x >= bound
+            held, free = np.bincount(code, bound * full, len(goal)), np.bincount(code, x * ~full, len(goal))
+            mass = held + free
+            # what is full stays, the rest is scaled; where the full cells are too much, all is
+            some = (goal > held) & (free > 0)
+            factor = np.divide(np.where(some, goal - held, goal), np.where(some, free, mass), out=np.ones(len(mass)), where=mass > 0)
+            factor[(free <= 0) & (goal >= held)] = 1
+            worst = max(worst, float((np.abs(mass - goal)[mass > 0] / np.maximum(goal, 1e-300)[mass > 0]).max(initial=0)))
+            x = x * factor[code]
+        if worst < CLOSE:
+            break
+    return x
+
+
+def rake_frame(cells: DataFrame, targets: dict[str, DataFrame], bounded: bool = False) -> DataFrame:
+    """The same on cells(key columns, tokens): adds fitted, or fits it within tokens. targets: for each column (column, target)."""
+    if not bounded:
+        cells = cells.withColumn("fitted", F.col("tokens").cast("double"))
+    full = (F.col("fitted") >= F.col("tokens")) & F.lit(bounded)
+    for _ in range(FIT_ROUNDS if bounded else ROUNDS):
         cells = cells.withColumn("worst", F.lit(0.0))
         for dim, target in targets.items():
-            mass = cells.groupBy(dim).agg(F.sum("fitted").alias("mass")).filter("mass > 0").join(target, dim).select(dim, (F.col("target") / F.col("mass")).alias("factor"))
-            cells = cells.join(mass, dim, "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
-            cells = cells.withColumn("fitted", F.col("fitted") * F.col("factor")).withColumn("worst", F.greatest("worst", F.abs(F.col("factor") - 1))).drop("factor")
+            sums = cells.groupBy(dim).agg(F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("fitted"))).alias("free"))
+            some, mass = (F.col("target") > F.col("held")) & (F.col("free") > 0), F.col("held") + F.col("free")
+            factor = F.when((F.col("free") <= 0) & (F.col("target") >= F.col("held")), 1.0).when(some, F.try_divide(F.col("target") - F.col("held"), F.col("free"))).otherwise(F.try_divide(F.col("target"), mass))
+            off = F.abs(mass - F.col("target")) / F.greatest(F.col("target"), F.lit(1e-300)) if bounded else F.abs(factor - 1)
+            sums = sums.join(target, dim).filter(mass > 0).select(dim, factor.alias("factor"), off.alias("off"))
+            cells = cells.join(sums, dim, "left").withColumn("fitted", F.col("fitted") * F.coalesce("factor", F.lit(1.0)))
+            cells = cells.withColumn("worst", F.greatest("worst", F.coalesce("off", F.lit(0.0)))).drop("factor", "off")
         cells = keep(cells, "cells")
         if (cells.agg(F.max("worst")).first()[0] or 0) < CLOSE:
             break
@@ -71,6 +112,18 @@ def rake_frame(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return cells.drop("worst")
 
 
+def reach_frame(margin: DataFrame, dim: str, budget: float) -> DataFrame:
+    """reach on margin(dim, tokens, target): (dim, target)."""
+    k = budget / ((margin.agg(F.sum("target")).first()[0] or 0) or 1e-300)
+    while True:
+        full = F.col("target") * k >= F.col("tokens")
+        held, free = margin.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("target")))).first()
+        more = (budget - held) / free if free else 0
+        if more <= k * (1 + 1e-12):
+            return margin.select(dim, F.least(F.col("tokens").cast("double"), F.col("target") * k).alias("target"))
+        k = more
+
+
 def calibrate(expected: Callable[[float], float], budget: float) -> float:
     """The constant at which the expected tokens meet the budget (they grow with it)."""
     low, high = 0.0, 1.0
@@ -82,38 +135,54 @@ def calibrate(expected: Callable[[float], float], budget: float) -> float:
     return high
 
 
-def probabilities(docs: DataFrame, share: float = KEEP_SHARE, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def margin(cells: DataFrame, d: str, temper: dict[str, float], targets: dict[str, dict[str, float]]) -> DataFrame:
+    """(d, tokens, target) of each value of a column; the targets are masses over the same total."""
+    m = cells.groupBy(d).agg(F.sum("tokens").alias("tokens"))
+    if d in targets:
+        given = cells.sparkSession.createDataFrame(list(targets[d].items()), f"{d} string, part double")
+        m = m.join(given, d, "left").withColumn("part", F.coalesce("part", F.lit(0.0)))
+    else:
+        m = m.withColumn("part", F.pow(F.col("tokens").cast("double"), F.lit(temper[d])))
+    total, whole = m.agg(F.sum("tokens"), F.sum("part")).first()
+    return m.select(d, "tokens", (F.col("part") / (whole or 1.0) * (total or 0)).alias("target"))
+
+
+def probabilities(docs: DataFrame, share: float | None = KEEP_SHARE, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(the raked columns, weight, probability) by cell of docs(the raked columns, tokens)."""
     temper, targets = temper or TEMPER, targets or {}
     cells = keep(docs.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
-    margins = {d: cells.groupBy(d).agg(F.sum("tokens").alias("tokens")) for d in DIMS}
     total = cells.agg(F.sum("tokens")).first()[0] or 0
 
-    def target(d: str) -> DataFrame:
-        if d in targets:
-            given = docs.sparkSession.createDataFrame(list(targets[d].items()), f"{d} string, part double")
-            m = margins[d].join(given, d, "left").withColumn("part", F.coalesce("part", F.lit(0.0)))
-        else:
-            m = margins[d].withColumn("part", F.pow(F.col("tokens").cast("double"), F.lit(temper[d])))
-        whole = m.agg(F.sum("part")).first()[0] or 1.0
-        return m.select(d, (F.col("part") / whole * total).alias("target"))
-
     if cells.count() <= driver_cells:
         local = cells.toPandas()
-        codes, goals = [], []
+        have = local["tokens"].to_numpy(float)
+        codes, goals, margins = [], [], []
         for d in DIMS:
             values = sorted(local[d].unique())
             codes.append(np.searchsorted(np.array(values, object), local[d].to_numpy(object)) if len(values) else np.zeros(0, np.int64))
-            mass = np.bincount(codes[-1], local["tokens"], len(values))
-            part = np.array([targets[d].get(v, 0.0) for v in values]) if d in targets else mass.astype(float) ** temper[d]
+            margins.append(np.bincount(codes[-1], have, len(values)))
+            part = np.array([targets[d].get(v, 0.0) for v in values]) if d in targets else margins[-1] ** temper[d]
             goals.append(part / max(part.sum(), 1e-300) * total)
-        local["weight"] = np.divide(rake(local["tokens"].to_numpy(), codes, goals), local["tokens"], out=np.ones(len(local)), where=local["tokens"].to_numpy() > 0)
-        c = calibrate(lambda c: float((local["tokens"] * np.minimum(1, c * local["weight"])).sum()), share * total)
-        local["probability"] = np.where(local["tokens"] > 0, np.minimum(1, c * local["weight"]), 1.0)
+        fitted = rake(have, codes, goals)
+        weight = np.divide(fitted, have, out=np.ones(len(have)), where=have > 0)
+        if share is None:
+            kept = fitted / max(weight[have > 0].max(initial=0), 1e-300)
+        else:
+            budget = min([share * total, *(float(m[g > 0].sum()) for m, g in zip(margins, goals, strict=True))])
+            kept = fit(fitted * share, have, codes, [reach(m, g, budget) for m, g in zip(margins, goals, strict=True)])
+            kept = kept * calibrate(lambda c: float(np.minimum(have, c * kept).sum()), budget)
+        local["weight"] = weight
+        local["probability"] = np.minimum(1, np.divide(kept, have, out=np.ones(len(have)), where=have > 0))
         return docs.sparkSession.createDataFrame(local[[*DIMS, "weight", "probability"]], f"{', '.join(f'{d} string' for d in DIMS)}, weight double, probability double")
-    fitted = rake_frame(cells, {d: keep(target(d), "targets") for d in DIMS}).withColumn("weight", F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0)))
-    c = calibrate(lambda c: fitted.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * c))).first()[0] or 0.0, share * total)
-    return fitted.select(*DIMS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * c)).otherwise(1.0).alias("probability"))
+    margins = {d: keep(margin(cells, d, temper, targets), "targets") for d in DIMS}
+    fitted = rake_frame(cells, {d: m.select(d, "target") for d, m in margins.items()}).withColumn("weight", F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0)))
+    if share is None:
+        c = 1 / max(fitted.filter("tokens > 0").agg(F.max("weight")).first()[0] or 0, 1e-300)
+    else:
+        budget = min([share * total, *(m.filter("target > 0").agg(F.sum("tokens")).first()[0] or 0 for m in margins.values())])
+        fitted = rake_frame(fitted.withColumn("fitted", F.col("fitted") * share), {d: keep(reach_frame(m, d, budget), "targets") for d, m in margins.items()}, bounded=True)
+        c = calibrate(lambda c: fitted.agg(F.sum(F.least(F.col("tokens"), F.col("fitted") * c))).first()[0] or 0.0, budget)
+    return fitted.select(*DIMS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("fitted") * c / F.col("tokens"))).otherwise(1.0).alias("probability"))
 
 
 def uniform(seed: int = SEED) -> Column:
@@ -142,3 +211,17 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept."""
     rows, n = with_probability(docs, **options)
     return rows.filter(uniform() < F.col(n["probability"])).select(docs.columns)
+
+
+def report(docs: DataFrame, **options) -> DataFrame:
+    """For each value of each raked column: its tokens, its target and its expected share of the kept tokens, and whether
+    it has as many tokens as its target asks for."""
+    rows, n = with_probability(docs, **options)
+    cells = keep(rows.groupBy(*(F.col(n[d]).alias(d) for d in DIMS)).agg(F.sum(n["tokens"]).alias("tokens"), F.sum(F.col(n["tokens"]) * F.col(n["probability"])).alias("kept")), "mixed-cells")
+    total, kept = (x or 1 for x in cells.agg(F.sum("tokens"), F.sum("kept")).first())
+    out = None
+    for d in DIMS:
+        m = margin(cells, d, options.get("temper") or TEMPER, options.get("targets") or {})
+        m = m.join(cells.groupBy(d).agg(F.sum("kept").alias("kept")), d).select(F.lit(d).alias("dim"), F.nullif(d, F.lit(NULL)).alias("value"), "tokens", (F.col("target") / total).alias("target"), (F.col("kept") / kept).alias("expected"), (F.col("target") / total * kept <= F.col("tokens") * (1 + 1e-9)).alias("reachable"))
+        out = m if out is None else out.unionByName(m)
+    return out

@@ -306,6 +306,23 @@ def test_csv_fallbacks(spark, tmp_path):
         readers.records_csv(spark, str(tmp_path / "bad.csv"))
 
 
+def test_csv_encoding_of_whole_files(spark, tmp_path):
+    """The first accent lies far behind the head, or in another file; a file in UTF-8 beside them keeps its own."""
+    head = ",".join(readers.COLUMNS)
+
+    def row(symbol, sector):
+        return ",".join({"symbol": symbol, "sector": sector}.get(c, "") for c in readers.COLUMNS)
+
+    plain = "\n".join(row(f"P{i}", "Energy") for i in range(3000))
+    for name, sector, code in (("a", "Plain", "utf-8"), ("b é", "Énergie", "latin-1"), ("c", "Santé", "utf-8")):
+        (tmp_path / f"{name}.csv").write_bytes(f"{head}\n{plain}\n{row(name[0].upper(), sector)}\n".encode(code))
+    alone = readers.records_csv(spark, str(tmp_path / "b é.csv"))
+    assert alone.filter("symbol = 'B'").first()["sector"] == "Énergie"
+    rows = readers.records_csv(spark, str(tmp_path))
+    assert rows.count() == 9003
+    assert {r["symbol"]: r["sector"] for r in rows.filter("length(symbol) = 1").collect()} == {"A": "Plain", "B": "Énergie", "C": "Santé"}
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"timestamp": "t", "date": "2024-01-02", "data": [{"symbol": "A", "surprise": 2.5, "volume_comparison": "2.63x"}, {"symbol": "B"}]}]')
     assert [(r["symbol"], r["surprise"]) for r in readers.snapshots_json(spark, str(tmp_path / "s.json")).collect()] == [("A", 2.5), ("B", None)]

@@ -475,6 +475,51 @@ def test_quality_edges(spark, docs):
 
 # words
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_periodic_words(spark):
+    """Words and lines on which polynomials modulo a power of two collide are told apart."""
+    a, b = thue_morse(1024)
+    texts_ = [" ".join([a] * 34 + ["x"]), " ".join([b] * 34 + ["x"]), f"{a}\n{b}", " ".join([a, b] * 5), " ".join((a, b)["01101001100101101001011001101001"[i] == "1"] + str(i) for i in range(32))]
+    texts_ += [" ".join("ab"[int(c)] for c in bin(i)[2:].zfill(40)) for i in (0x6996966996, 0x9669699669)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digest(df).collect()}
+    assert out == dict(enumerate(brute.substrings(texts_)))
+    buf, off = words.buffer(pa.array(texts_))
+    s = quality.statistics(buf, off)
+    for i, t in enumerate(texts_):
+        assert tuple(int(s[c][i]) for c in quality.BASE) == brute.quality(t)[:-1]
+
+
+def test_window_hashes_are_rabin_karp():
+    rng = np.random.default_rng(0)
+    a, b = (rng.integers(0, words.PRIME, 5000, dtype=np.uint64) for _ in range(2))
+    a[:3] = b[:3] = words.PRIME - 1
+    assert words.multiply(a, b).tolist() == [int(x) * int(y) % words.PRIME for x, y in zip(a, b, strict=True)]
+    h, first = rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 100, 100, 102, 500])
+    starts, key = words.windows(h, first, 35)
+    assert starts.tolist() == [*range(66), *range(102, 466)]
+    poly = [sum((int(x) & (2**63 - 1)) % words.PRIME * pow(words.WORD_BASE, i, words.PRIME) for i, x in enumerate(h[s : s + 35])) % words.PRIME for s in starts]
+    top = words.bags(h, starts, 35) & np.uint64(7 << 61)
+    assert key.tolist() == words.mix(np.array(poly, np.uint64) | top).tolist()
+
+
+def test_spans_of_any_length():
+    rng = np.random.default_rng(1)
+    buf = rng.integers(0, 3, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3900, 6000)
+    ends = np.minimum(4000, starts + rng.integers(0, 110, 6000))
+    seen: dict = {}
+    for x, y, h in zip(starts, ends, words.Spans(buf)(starts, ends).tolist(), strict=True):
+        assert seen.setdefault(buf[x:y].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_windows_do_not_cross_documents():
     import pyarrow as pa
 

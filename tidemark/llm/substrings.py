@@ -2,12 +2,14 @@
 
 Every window of `window` words gets a Rabin-Karp hash. Windows are counted in Spark: each task lays the distinct hashes
 of a block of text (BLOCK bytes) out by hash bucket, Spark shuffles the packed rows, and a group of one bucket finds the
-hashes that occur in more than one place. Within a block a hash is sent once, however often it occurs there, so a hot
-passage costs one entry a block. Positions of repeated windows return to their block, merge with the windows repeated
-inside it into maximal intervals of words, and a join by document removes them.
+hashes that occur in more than one place. The number of buckets follows from the bytes of text, so a group holds about
+GROUP bytes at any size. Within a block a hash is sent once, however often it occurs there, so a hot passage costs one
+entry a block. Positions of repeated windows return to their block, merge with the windows repeated inside it into maximal
+intervals of words, and a join by document removes them.
 
-Two different windows are taken for equal only if their 64-bit hashes and buckets agree: under 1e-3 expected pairs for
-1e8 windows (the odds for one window are the number of windows over 2**64).
+Two different windows are taken for equal only if their 61-bit polynomials modulo a prime, three more bits and their
+buckets agree, which are independent: about 6e-4 expected pairs among the 9e9 windows of 50 GB of text, and, since the
+buckets grow with the table, about two among the 1.6e13 windows of 100 TB.
 
 Defined results: null and empty texts have no words; repeated rows repeat each other's windows, so all of their words in
 windows go; a null doc_id is an id like any other; an empty table gives an empty result; other columns are ignored, and
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm import words
 from tidemark.llm.store import fresh, partitions
 
-WINDOW, BLOCK = 35, 2_000_000
+WINDOW, BLOCK, GROUP = 35, 2_000_000, 32_000_000
+
 
 def _pack(hashes: np.ndarray, places: np.ndarray, known: np.ndarray) -> tuple[bytes, bytes]:
     """Hashes in the order of their places, then those known to repeat; the gaps between places as byte planes, which
@@ -46,29 +49,30 @@ def _blocks(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in words.slices(batches, limit=BLOCK):
             starts, ends, first = words.spans(buf, off)
-            at, key = words.windows(words.Spans(buf)(starts, ends), first, window)
+            word = words.Spans(buf)(starts, ends)
+            at, key = words.windows(word, first, window)
             if not len(at):
                 continue
             # a block is named by what it holds, so a task that runs again names it alike
             ids = rows.column(0).to_pylist()
             name = xxhash.xxh64_intdigest(repr(ids).encode() + buf.tobytes(), 1) - (1 << 63)
+            bag = words.bags(word, at, window)
             order = np.argsort(key)
             sorted_key = key[order]
             new = np.ones(len(key), bool)
             new[1:] = sorted_key[1:] != sorted_key[:-1]
             group = np.flatnonzero(new)
             size = np.diff(np.append(group, len(key)))
-            known = sorted_key[group[size > 1]]
+            twice = order[group[size > 1]]
             mine = np.sort(at[order[np.repeat(size > 1, size)]]).astype(np.uint32)
             single = np.sort(order[group[size == 1]])
-            hashes, place = key[single], at[single].astype(np.uint32)
             cuts = []
-            for h in (hashes, known):
-                bucket = (words.mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.uint32)
+            for some in (single, twice):
+                bucket = (bag[some] % np.uint64(buckets)).astype(np.uint32)
                 turn = np.argsort(bucket, kind="stable")
-                cuts.append((turn, np.searchsorted(bucket[turn], np.arange(buckets + 1))))
-            (turn, edge), (turn2, edge2) = cuts
-            hashes, place, known = hashes[turn], place[turn], known[turn2]
+                cuts.append((some[turn], np.searchsorted(bucket[turn], np.arange(buckets + 1))))
+            (single, edge), (twice, edge2) = cuts
+            hashes, place, known = key[single], at[single].astype(np.uint32), key[twice]
             full = np.flatnonzero((np.diff(edge) > 0) | (np.diff(edge2) > 0))
             packed = [_pack(hashes[edge[i] : edge[i + 1]], place[edge[i] : edge[i + 1]], known[edge2[i] : edge2[i + 1]]) for i in full]
             docs = np.array([-1 if i is None else i for i in ids], np.int64)
@@ -123,7 +127,10 @@ def _merge(window: int):
 def intervals(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """(doc_id, key, spans): the maximal removal intervals of each text that has any, as from, to, from, to ... in words.
     key is the text's 64-bit hash; a null doc_id is given as -1."""
-    buckets = buckets or 4 * partitions(docs.sparkSession)
+    if not buckets:
+        # a word of about six bytes begins a window, whose hash and place take ten
+        text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(4 * partitions(docs.sparkSession), int(text_bytes * 10 / 6 / GROUP))
     blocks = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(_blocks(window, buckets), "block bigint, bucket int, hashes binary, places binary, head array<binary>")
     found = blocks.groupBy("bucket").applyInPandas(_count, "block bigint, places binary, head array<binary>")
     return found.groupBy("block").applyInPandas(_merge(window), "doc_id bigint, key bigint, spans array<int>").dropDuplicates(["doc_id", "key"])

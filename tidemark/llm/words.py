@@ -1,9 +1,11 @@
 """Words and token windows of whole Arrow batches, as numpy arrays over the UTF-8 bytes.
 
-A word is a maximal run of bytes outside a separator table (by default the six ASCII white-space bytes). Hashes are
-polynomials modulo 2**64 taken from prefix sums, so a hash of any span costs two look-ups (the Rabin-Karp idea without
-the rolling loop). The working memory is about 60 bytes per byte of a slice; slices hold SLICE bytes, or one document
-if that alone is longer.
+A word is a maximal run of bytes outside a separator table (by default the six ASCII white-space bytes). A byte span is
+hashed by the sum of its 8-byte chunks, each spread over 64 bits together with its place in the span, so no structure of
+the bytes cancels out. A window of k words is hashed by Rabin-Karp: the polynomial of its words' hashes modulo the prime
+2**61 - 1, taken from prefix sums; two different windows agree with a chance of at most k / 2**61. Three more bits of a
+window's key, and `bags` for a bucket, come from sums that do not depend on the polynomial. The working memory is about
+60 bytes per byte of a slice; slices hold SLICE bytes, or one document if that alone is longer.
 """
 
 from __future__ import annotations
@@ -18,23 +20,37 @@ SLICE = 2_000_000
 U = np.uint64
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
-#: Bases are odd, so that they have inverses modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The prime of the window hashes, a base below it, and how many chunks of a span are hashed before long ones are set apart.
+PRIME, WORD_BASE, SHORT = (1 << 61) - 1, 0x1342543DE82EF95B, 4
+_tables: list[np.ndarray] = []
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1024, 1 << (n - 1).bit_length())
-        out = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, x, U)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        have = _tables[base] = (out[0], out[1])
-    return have
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**63."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for factors below it."""
+    low = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    middle = a1 * b0 + a0 * b1  # times 2**31; 2**62 is 2
+    t = (a1 * b1 << U(1)) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31)) + _mod(a0 * b0)
+    return _mod(t)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """WORD_BASE**i and WORD_BASE**-i modulo PRIME for i < n."""
+    if not _tables or len(_tables[0]) < n:
+        size, out = max(1024, 1 << (n - 1).bit_length()), []
+        for x in (WORD_BASE, pow(WORD_BASE, -1, PRIME)):
+            a = np.ones(1, U)
+            while len(a) < size:
+                a = np.concatenate([a, multiply(a, U(pow(x, len(a), PRIME)))])
+            out.append(a)
+        _tables[:] = out
+    return _tables
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,24 +102,58 @@ class Spans:
     """Hashes of byte spans of one buffer."""
 
     def __init__(self, buf: np.ndarray):
-        self.power, self.inverse = _powers(BYTE_BASE, len(buf) + 1)
-        self.prefix = np.zeros(len(buf) + 1, U)
-        np.cumsum((buf.astype(U) + U(1)) * self.power[: len(buf)], out=self.prefix[1:])
+        held = np.zeros(len(buf) + 8, np.uint8)
+        held[: len(buf)] = buf
+        self.chunk = np.ndarray(len(buf) + 1, "<u8", held, strides=(1,))  # the 8 bytes from each place on
+
+    def _part(self, at: np.ndarray, left: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+        """Spread chunks of which `left` bytes (1 or more) belong to the span."""
+        x = self.chunk[at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - (np.minimum(left, 8) << 3).astype(U)))
+        return mix(x ^ mix(np.atleast_1d(np.asarray(place, U)) + U(0x9E3779B97F4A7C15)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+        size = ends - starts
+        out = size.astype(U) * U(0xA24BAED4963EE407)
+        some = np.flatnonzero(size > 0)
+        for place in range(SHORT):
+            if not len(some):
+                return mix(out)
+            out[some] += self._part(starts[some] + 8 * place, size[some] - 8 * place, place)
+            some = some[size[some] > 8 * (place + 1)]
+        if len(some):
+            count = (size[some] - 8 * SHORT + 7) // 8
+            before = np.cumsum(count) - count
+            place = np.arange(count.sum()) - np.repeat(before, count) + SHORT
+            of = np.repeat(some, count)
+            out[some] += np.add.reduceat(self._part(starts[of] + 8 * place, size[of] - 8 * place, place), before)
+        return mix(out)
+
+
+def window_starts(first: np.ndarray, k: int) -> np.ndarray:
+    """Starts of the k-word windows that lie in one document."""
+    counts = np.diff(first)
+    return np.flatnonzero(np.repeat(first[1:], counts) - np.arange(first[-1]) >= k)
+
 
+def bags(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words from each start on, whatever their order."""
+    total = np.zeros(len(hashes) + 1, U)
+    np.cumsum(mix(hashes ^ U(0x5851F42D4C957F2D)), out=total[1:])
+    return mix(total[starts + k] - total[starts])
 
-def windows(hashes: np.ndarray, first: np.ndarray, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+
+def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the k-word windows that lie in one document, and their hashes."""
-    n = len(hashes)
-    counts = np.diff(first)
-    left = np.repeat(first[1:], counts) - np.arange(n)
-    starts = np.flatnonzero(left >= k)
-    power, inverse = _powers(WORD_BASE, n + 1)
-    prefix = np.zeros(n + 1, U)
-    np.cumsum((hashes ^ U(salt)) * power[:n], out=prefix[1:])
-    return starts, mix((prefix[starts + k] - prefix[starts]) * inverse[starts])
+    n, starts = len(hashes), window_starts(first, k)
+    power, inverse = _powers(n + 1)
+    term = multiply(_mod(hashes & U((1 << 63) - 1)), power[:n])
+    # sums of the lower 32 bits and of the rest, of which neither overflows
+    low, high = np.zeros(n + 1, U), np.zeros(n + 1, U)
+    np.cumsum(term & U(0xFFFFFFFF), out=low[1:])
+    np.cumsum(term >> U(32), out=high[1:])
+    low, high = (x[starts + k] - x[starts] for x in (low, high))
+    sums = _mod((high >> U(29)) + ((high & U((1 << 29) - 1)) << U(32)) + low)
+    return starts, mix(multiply(sums, inverse[starts]) | bags(hashes, starts, k) & U(7 << 61))
 
 
 def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:

@@ -1,16 +1,19 @@
 """Token shards as wavelet matrices.
 
 A shard file holds the ids of a run of documents as bit planes over the shard's own alphabet (its distinct ids, sorted).
-Plane l holds bit l of all codes, in the order that the planes above leave: zeros first, then ones, stably. With ranks
-(ones before a position) the file answers access, counting and occurrence look-ups without being unpacked.
+Plane l holds bit l of all codes, in the order that the planes above leave: zeros first, then ones, stably. Every BLOCK
+bits of a plane the file holds its ones so far, so a rank takes one sample and the bits of one block, and a select a search
+among samples and one block. With these the file answers access, counting and occurrence look-ups where it lies: opening
+it reads no plane.
 
 File: a header (magic, numbers of documents n, of ids t, of distinct ids s and of planes p), a mask of null doc_ids, n
-doc_ids (8 bytes each), n + 1 offsets (8), s ids (4), p zero counts (8), then p planes of ceil(t / 8) bytes, first bit
-highest. The global start is not inside, so a shard is written before those in front of it are known; a prefix sum over
-the table of shards gives it. All integers are little-endian. Files are the binary column of a Parquet table in the shared folder, since only Spark's
-writers reach every store.
+doc_ids (8 bytes each), n + 1 offsets (8), s ids (4), p zero counts (8), p times ceil(t / BLOCK) samples (4), then p planes
+of ceil(t / 8) bytes, first bit highest. The global start is not inside, so a shard is written before those in front of it
+are known; a prefix sum over the table of shards gives it. All integers are little-endian. Files are the binary column of a
+Parquet table in the shared folder, since only Spark's writers reach every store.
 
-Defined results: null and empty texts hold the end id alone; null doc_ids come first; repeated rows follow each other;
+Defined results: null and empty texts hold the end id alone; null doc_ids come first; rows of one doc_id are
+ordered by their texts' hashes; repeated rows follow each other;
 an empty table writes no file and gives an empty result; other columns are ignored.
 """
 
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import words
-from tidemark.llm.bpe import default_path, encoder
+from tidemark.llm.bpe import SLICE, default_path, encoder
 from tidemark.llm.store import new_path, partitions
 
-END_ID, SHARD_IDS = 2, 1_000_000
-_MAGIC, _HEAD = b"TMWM", struct.Struct("<4sqqqq")
+END_ID, SHARD_IDS, BLOCK = 2, 1_000_000, 512
+_MAGIC, _HEAD = b"TMW2", struct.Struct("<4sqqqq")
 
 
 def build(doc_ids: list[int | None], offsets: np.ndarray, ids: np.ndarray) -> bytes:
@@ -41,15 +44,18 @@ def build(doc_ids: list[int | None], offsets: np.ndarray, ids: np.ndarray) -> by
     code[alphabet] = np.arange(len(alphabet))
     x = code[ids].astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
     n_planes = max(0, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
-    zeros, planes = [], []
+    zeros, samples, planes = [], [], []
     for level in range(n_planes - 1, -1, -1):
         bit = ((x >> x.dtype.type(level)) & x.dtype.type(1)).astype(bool)
-        planes.append(np.packbits(bit).tobytes())
+        plane = np.packbits(bit)
+        planes.append(plane.tobytes())
+        ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK // 8), dtype=np.uint32)
+        samples.append((np.cumsum(ones, dtype="<u4") - ones).astype("<u4").tobytes())
         x = np.concatenate([low := x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))])
         zeros.append(len(low))
     ids8 = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.packbits(np.array([d is None for d in doc_ids], bool))
-    return b"".join([_HEAD.pack(_MAGIC, len(doc_ids), t, len(alphabet), n_planes), null.tobytes(), ids8.tobytes(), offsets.astype("<i8").tobytes(), alphabet.astype("<u4").tobytes(), np.array(zeros, "<i8").tobytes(), *planes])
+    return b"".join([_HEAD.pack(_MAGIC, len(doc_ids), t, len(alphabet), n_planes), null.tobytes(), ids8.tobytes(), offsets.astype("<i8").tobytes(), alphabet.astype("<u4").tobytes(), np.array(zeros, "<i8").tobytes(), *samples, *planes])
 
 
 class Shard:
@@ -70,8 +76,8 @@ class Shard:
         null = np.unpackbits(take("u1", -(-n // 8)), count=n).astype(bool)
         self.doc_ids = [None if z else int(d) for d, z in zip(take("<i8", n), null, strict=True)]
         self.offsets, self.alphabet, self.zeros = take("<i8", n + 1), take("<u4", s), take("<i8", self.n_planes)
+        self.samples = [take("<u4", -(-self.size // BLOCK)) for _ in range(self.n_planes)]
         self.planes = [take("u1", -(-self.size // 8)) for _ in range(self.n_planes)]
-        self._ones: list[np.ndarray] | None = None
 
     def ids(self) -> np.ndarray:
         """All ids in order, by undoing the planes from the last one up."""
@@ -87,10 +93,11 @@ class Shard:
 
     def _rank(self, level: int, at: int) -> int:
         """Ones in plane `level` before position at."""
-        if self._ones is None:
-            self._ones = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)]) for p in self.planes]
-        byte, bit = divmod(at, 8)
-        return int(self._ones[level][byte]) + (int(self.planes[level][byte] >> (8 - bit)).bit_count() if bit else 0)
+        block, left = divmod(at, BLOCK)
+        if block == len(self.samples[level]):  # the very end, on a block's edge
+            return self.size - int(self.zeros[level])
+        bits = int.from_bytes(self.planes[level][block * BLOCK // 8 :][: BLOCK // 8].tobytes().ljust(BLOCK // 8, b"\0"))
+        return int(self.samples[level][block]) + (bits >> (BLOCK - left)).bit_count()
 
     def access(self, at: int) -> int:
         """The id at a position."""
@@ -119,15 +126,10 @@ class Shard:
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """The position of the k-th (from 0) such bit in a plane."""
-        low, high = 0, self.size
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._rank(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        before = self.samples[level] if bit else np.arange(len(self.samples[level]), dtype=np.int64) * BLOCK - self.samples[level]
+        block = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self.planes[level][block * BLOCK // 8 :][: BLOCK // 8], count=min(BLOCK, self.size - block * BLOCK))
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
     def locate(self, token: int) -> list[int]:
         """All positions of a token, in order."""
@@ -155,7 +157,7 @@ def _write(path: str, shard_ids: int):
             seq += 1
             return out
 
-        for rows, _, _ in words.slices(batches):
+        for rows, _, _ in words.slices(batches, limit=SLICE):
             flat, before = model.encode(rows.column(1))
             ends = np.insert(flat, before[1:], END_ID)  # each document's ids are followed by the end id
             docs += rows.column(0).to_pylist()
@@ -174,7 +176,8 @@ def write(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS)
     """Writes the shards of docs in ascending doc_id order and returns their table: part, seq, n_ids, file. Shards are
     ordered by part and seq; one is closed by the first slice of documents that fills it."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))  # deals out the rows of one doc_id
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     out = new_path(spark, "token-shards")
     table = ordered.mapInArrow(_write(path or default_path(), shard_ids), "seq bigint, n_ids bigint, file binary").select(F.spark_partition_id().alias("part"), "seq", "n_ids", "file")
     table.write.option("compression", "uncompressed").parquet(out)

@@ -1,14 +1,15 @@
 """BPE encoding and decoding with a tokenizers file.
 
-Ordinary texts: the model never merges across white space, so a text is cut at ASCII white space (and between an ASCII
-letter and a following full stop or comma, where the pre-tokenizer always cuts), distinct pieces are encoded once and
-kept in a bounded table, and ids are gathered with numpy.
+Every text is a tree: it is halved until its parts have LEAF characters at most (a shorter text is one part). Parts are
+rows of their own, encoded in parallel; then neighbours are joined pairwise up the tree. At each join a window around the
+cut is encoded again and grown until it agrees with both sides: two consecutive tokens with equal ids and spans on the
+left and on the right. A BPE encoding is valid exactly if its neighbouring tokens are, so agreement makes the joined
+encoding that of the whole text.
 
-Long texts (over LONG characters) may hold unsplit runs of any length: tree concatenation. A text is halved until its
-parts have LEAF characters at most; parts are rows of their own, encoded in parallel; then neighbours are joined pairwise
-up the tree. At each join a window around the cut is encoded again and grown until it agrees with both sides: two
-consecutive tokens with equal ids and spans on the left and on the right. A BPE encoding is valid exactly if its
-neighbouring tokens are, so agreement makes the joined encoding that of the whole text.
+Parts are encoded by pieces where the tokenizer's file says that no token crosses white space: a part is cut at ASCII
+white space (and between an ASCII letter and a following full stop or comma, where the pre-tokenizer always cuts),
+distinct pieces are encoded once and kept in a bounded table, and ids are gathered with numpy. Other tokenizers encode
+their parts whole.
 
 Defined results: null counts as empty (no ids, empty decoded text); repeated rows repeat; null doc_ids stay; an empty
 table gives an empty result; other columns are ignored, and `apply` returns doc_id, n_tokens and ids.
@@ -17,19 +18,25 @@ table gives an empty result; other columns are ignored, and `apply` returns doc_
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import words
 
-LONG, LEAF, EDGE, EDGE_CHARS, FIRST_WINDOW = 32_768, 16_384, 256, 600, 32
-PIECES = 500_000
+LEAF, EDGE, EDGE_CHARS, FIRST_WINDOW = 32_768, 256, 600, 32
+PIECES, SLICE, JOINED, AT_ONCE = 1_000_000, 6_000_000, 256, 250_000
+#: The normalizer and pre-tokenizer of tokenizers with word ends, of which each token ends within a word.
+WORD_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+#: Pieces of these letters alone are one word each, before and after NFC and lower case.
+LETTERS = "^[a-zA-ZÀ-ÖØ-öø-ÿ]+$"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -50,48 +57,71 @@ class Encoder:
         self.model.no_padding()
         self.model.no_truncation()
         n = self.model.get_vocab_size(with_added_tokens=True)
-        self.tokens = [(self.model.id_to_token(i) or "").encode() for i in range(n)]
-        self.lower_safe = '"Lowercase"' in self.model.to_str()[:4000]
+        names = [self.model.id_to_token(i) or "" for i in range(n)]
+        self.tokens = [t.encode() for t in names]
+        self.ends = np.array([t.endswith(WORD_END) for t in names])
+        spec = json.loads(self.model.to_str())
+        normalizers = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        pattern = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        self.by_pieces = normalizers == WORD_NORMALIZER and pattern == WORD_PATTERN and spec["model"].get("end_of_word_suffix") == WORD_END and not spec["post_processor"]
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.start, self.size, self.ids, self.used = np.zeros(PIECES + 1, np.int64), np.zeros(PIECES + 1, np.int32), np.zeros(1 << 20, np.uint32), 0
-
-    def _add(self, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        n = len(self.code)
-        if n + len(pieces) > len(self.start):
-            self.start, self.size = (np.concatenate([a, np.zeros(len(pieces), a.dtype)]) for a in (self.start, self.size))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[n : n + len(pieces)] = size
-        self.start[n : n + len(pieces)] = self.used + np.cumsum(size) - size
-        self.code.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.used += len(flat)
+        self.known = pa.array([], pa.string())
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. AT_ONCE characters or so are encoded together."""
+        flats, sizes, i = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while i < len(texts):
+            j, left = i, AT_ONCE
+            while j < len(texts) and (j == i or left > 0):
+                left -= len(texts[j]) + 16
+                j += 1
+            encoded = [e.ids for e in self.model.encode_batch_fast(texts[i:j], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            flats.append(np.fromiter((t for e in encoded for t in e), np.uint32, int(sizes[-1].sum())))
+            i = j
+        return np.concatenate(flats), np.concatenate(sizes)
+
+    def _words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of one word each: many are encoded as one text, and word ends tell them apart."""
+        if not pieces:
+            return self._whole([])
+        flat = self._whole([" ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)])[0]
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        return (flat, np.diff(ends, prepend=0)) if len(ends) == len(pieces) else self._whole(pieces)
+
+    def _add(self, pieces: pa.Array) -> None:
+        letters = pc.match_substring_regex(pieces, LETTERS)
+        for some, encoded in ((pieces.filter(letters), self._words), (pieces.filter(pc.invert(letters)), self._whole)):
+            flat, size = encoded(some.to_pylist())
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.known, self.size, self.ids = pa.concat_arrays([self.known, some]), np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, and for each text the number of ids before it (one entry more than texts)."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        if not self.by_pieces:
+            flat, size = self._whole(texts.to_pylist())
+            return flat, np.concatenate([[0], np.cumsum(size)])
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, "([A-Za-z])([.,])", r"\1 \2"))
         of = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary
-        if self.lower_safe:
-            # the tokenizer composes before it lowers case: only pieces in which nothing composes are lowered here
-            plain = pc.and_not(pc.string_is_ascii(distinct), pc.match_substring(distinct, "<|"))
-            distinct = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
-        distinct = distinct.to_pylist()
-        if len(self.code) + len(distinct) > PIECES:
-            self.clear()
-        new = [p for p in dict.fromkeys(distinct) if p not in self.code]
-        if new:
+        # the tokenizer composes before it lowers case: only pieces in which nothing composes are lowered here
+        plain = pc.and_not(pc.string_is_ascii(distinct), pc.match_substring(distinct, "<|"))
+        distinct = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
+        at = pc.index_in(distinct, value_set=self.known)
+        new = pc.unique(distinct.filter(pc.is_null(at)))
+        if len(new):
+            if len(self.known) + len(new) > PIECES:
+                self.clear()
+                new = pc.unique(distinct)
             self._add(new)
-        at = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-        size = self.size[at].astype(np.int64)
+            at = pc.index_in(distinct, value_set=self.known)
+        at = at.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        size = self.size[at]
         before = np.concatenate([[0], np.cumsum(size)])
         flat = self.ids[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
         return flat, before[of]
@@ -121,13 +151,14 @@ class Part:
         self.begin, self.end, self.ids, self.head, self.tail = begin, end, ids, head, tail
 
     @classmethod
-    def of(cls, model: Encoder, text: str, begin: int, end: int) -> Part:
+    def of(cls, model: Encoder, text: str, begin: int, end: int, ids: np.ndarray | None = None) -> Part:
+        """The stretch encoded; ids are its tokens, if they are known."""
         part = text[begin:end]
         # white space splits the encoding: spans are only needed near the ends, the rest is encoded by pieces
         front, back = part.find(" ", EDGE_CHARS), part.rfind(" ", 0, max(0, len(part) - EDGE_CHARS))
-        if 0 < front < back:
+        if model.by_pieces and 0 < front < back:
             head, tail = model.spans(part[:front])[1], model.spans(part[back:])[1] + back
-            ids = model.encode(pa.array([part]))[0]
+            ids = model.encode(pa.array([part]))[0] if ids is None else ids
         else:
             ids, head = model.spans(part)
             tail = head
@@ -205,10 +236,12 @@ def _ids_column(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.astype("<u4").tobytes() for a in arrays], pa.binary())
 
 
-def _short(path: str):
+def _single(path: str):
+    """Texts of one part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for rows, _, _ in words.slices(batches):
+        for rows, _, _ in words.slices(batches, limit=SLICE):
             flat, before = model.encode(rows.column(1))
             yield pa.RecordBatch.from_arrays([rows.column(0), _ids_column([flat[a:b] for a, b in zip(before[:-1], before[1:], strict=True)])], ["doc_id", "ids"])
 
@@ -218,26 +251,27 @@ def _short(path: str):
 def _leaves(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for b in batches:
-            for r in range(b.num_rows):
-                row, doc, i, text = (b.column(c)[r].as_py() for c in range(4))
-                p = Part.of(model, text, 0, len(text))
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc], pa.int64()), pa.array([i], pa.int32()), pa.array([text]), pa.array([p.ids.tobytes()]), pa.array([p.head.tobytes()]), pa.array([p.tail.tobytes()])], ["row", "doc_id", "i", "text", "ids", "head", "tail"])
+        for b, _, _ in words.slices(batches, limit=SLICE):
+            flat, before = model.encode(b.column(3))
+            texts = b.column(3).to_pylist()
+            parts = [Part.of(model, t, 0, len(t), flat[x:y]) for t, x, y in zip(texts, before[:-1], before[1:], strict=True)]
+            raw = [pa.array([getattr(p, n).tobytes() for p in parts], pa.binary()) for n in ("ids", "head", "tail")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), *raw], ["row", "doc_id", "i", "text", "ids", "head", "tail"])
 
     return run
 
 
 def _joined(path: str):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.RecordBatch:
         model = encoder(path)
-        rows = rows.sort_values("i")
-        at, parts = 0, []
-        for text, ids, head, tail in zip(rows["text"], rows["ids"], rows["head"], rows["tail"], strict=True):
-            head, tail = (np.frombuffer(x, np.int64).reshape(-1, 2) + at for x in (head, tail))
-            parts.append(Part(at, at + len(text), np.frombuffer(ids, np.uint32), head, tail))
+        rows = rows.sort_by("i")
+        texts, at, parts = rows["text"].to_pylist(), 0, []
+        for text, *raw in zip(texts, *(rows[c].to_pylist() for c in ("ids", "head", "tail")), strict=True):
+            head, tail = (np.frombuffer(x, np.int64).reshape(-1, 2) + at for x in raw[1:])
+            parts.append(Part(at, at + len(text), np.frombuffer(raw[0], np.uint32), head, tail))
             at += len(text)
-        ids = tree(model, "".join(rows["text"]), parts).ids
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64"), "ids": [ids.astype("<u4").tobytes()]})
+        ids = tree(model, "".join(texts), parts).ids
+        return pa.RecordBatch.from_arrays([pa.array(rows["doc_id"].to_pylist()[:1], pa.int64()), _ids_column([ids])], ["doc_id", "ids"])
 
     return run
 
@@ -251,18 +285,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row] * n), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([text[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])], ["row", "doc_id", "i", "text"])
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text."""
-    path = path or default_path()
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoded(docs: DataFrame, path: str, finish: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """finish, which gives rows of schema, over (doc_id, ids) of every whole text; it runs in the tasks that encode."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    short = docs.filter(F.length("text") <= LONG).mapInArrow(_short(path), "doc_id bigint, ids binary")
-    long = docs.filter(F.length("text") > LONG).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
+    single = docs.filter(F.length("text") <= LEAF).mapInArrow(lambda batches: finish(_single(path)(batches)), schema)
+    long = docs.filter(F.length("text") > LEAF).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
     leaves = long.mapInArrow(_cut, "row bigint, doc_id bigint, i int, text string").repartition("row", "i").mapInArrow(_leaves(path), "row bigint, doc_id bigint, i int, text string, ids binary, head binary, tail binary")
-    return short.unionByName(leaves.groupBy("row").applyInPandas(_joined(path), "doc_id bigint, ids binary"))
+    join = _joined(path)
+    return single.unionByName(leaves.groupBy("row").applyInArrow(lambda rows: pa.Table.from_batches(finish(iter([join(rows)]))), schema))
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of every whole text."""
+    return _encoded(docs, path or default_path(), lambda batches: batches, "doc_id bigint, ids binary")
 
 
 def _digest(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         model = encoder(path)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
@@ -280,7 +322,7 @@ def _digest(path: str):
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: every text encoded, and its ids decoded again."""
     path = path or default_path()
-    return encode(docs, path).mapInArrow(_digest(path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path, _digest(path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def _decode(path: str):

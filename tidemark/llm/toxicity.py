@@ -3,12 +3,14 @@
 Voters are words of a base lexicon, word stems and words induced from labelled rows, and surface patterns. Each votes on
 every document. A generative label model (two hidden classes, fitted by expectation maximisation over the counted vote
 vectors of all documents) estimates each voter's accuracy in either class; pairs of voters that still correlate inside
-the classes share their weight. Its posteriors, with the label itself where a training row has one, train a linear
-classifier on the voters' counts, and that scores every whole text.
+the classes share their weight. A training row's label, where it has one, is known to the model. Its posteriors over all
+training rows train a linear classifier on the voters' counts, by Newton steps whose sums are made in Spark, and that
+scores every whole text.
 
 Labels are read only from rows whose crc32(doc_id) modulo 5 is not 0. The lexicon is induced from at most
-`labelled_rows` of them and the classifier is trained on at most `train_rows` rows, both the first by hash; vote counts
-and the label model cover all documents. Labels, language, source and doc_id are no inputs of a score.
+`labelled_rows` of them, the first by hash: every word or stem whose excess in toxic rows is beyond chance votes. Vote
+counts, the label model and the classifier cover all rows. Labels, language, source and doc_id are no inputs of a score,
+and a document's votes depend on its own text alone.
 
 Defined results: null and empty texts get the score of a text without votes; null doc_ids are scored, never trained on
 (held_out is null); repeated rows get equal scores; of several labels of a document the greatest counts; an empty table gives an empty result; without labelled rows of both
@@ -18,7 +20,7 @@ classes, the base lexicon and patterns vote alone with set accuracies.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,16 @@ FOLDS = 5
 #: A base lexicon of English insults.
 LEXICON = ["idiot", "idiots", "moron", "morons", "stupid", "trash", "scum", "loser", "losers", "worthless", "pathetic", "disgusting", "clown", "dumb", "imbecile", "filthy", "garbage", "vermin", "degenerate", "bastard", "jerk", "ugly", "hate", "shut"]
 PATTERNS = ["shouting", "exclaiming", "masked", "addressed"]
-MIN_SUPPORT, MIN_SHARE, MIN_LIFT, MAX_STEMS, STEM = 6, 0.01, 8.0, 80, range(3, 10)
-LABELLED_ROWS, TRAIN_ROWS, POSTERIOR_WEIGHT = 8_000, 20_000, 0.1
+#: A voter's least number of toxic rows, least lift and least likelihood ratio (40: by chance once in 4e9 grams).
+MIN_SUPPORT, MIN_LIFT, BEYOND_CHANCE, STEM = 6, 8.0, 40.0, range(3, 10)
+LABELLED_ROWS, NEWTON_STEPS = 8_000, 15
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[48:58] = _SEPARATORS[65:91] = _SEPARATORS[97:123] = _SEPARATORS[128:] = False
-_upper, _letter, _mask = (np.zeros(256, bool) for _ in range(3))
+_upper, _letter, _mask, _bang = (np.zeros(256, bool) for _ in range(4))
 _upper[65:91] = True
 _letter[65:91] = _letter[97:123] = True
 _mask[list(b"*#@$")] = True
+_bang[33] = True
 
 Gram = tuple[str, bool]  # text, and whether it is a whole word (else a stem)
 
@@ -82,11 +86,16 @@ def induce(docs: DataFrame, chosen: DataFrame) -> tuple[list[Gram], np.ndarray,
     size = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     p, n = max(1, size.get(1, 0)), max(1, size.get(0, 0))
     lift = (F.col("pos") + 0.5) / (p + 1) / ((F.col("neg") + 0.5) / (n + 1))
-    found = counts.filter((F.col("pos") >= max(MIN_SUPPORT, int(MIN_SHARE * p))) & (lift >= MIN_LIFT)).withColumn("gain", F.col("pos") * F.log(lift)).orderBy(F.desc("gain"), F.desc(F.length("gram")), "gram").limit(40 * MAX_STEMS).collect() if size.get(1) and size.get(0) else []
+    # twice the log likelihood ratio of different rates in the classes against one rate
+    both = F.col("pos") + F.col("neg")
+    term = lambda k, of: F.when(k > 0, k * F.log(k / of)).otherwise(0.0)
+    ratio = 2 * (term(F.col("pos"), both * p / (p + n)) + term(F.col("neg"), both * n / (p + n)) + term(p - F.col("pos"), (p + n - both) * p / (p + n)) + term(n - F.col("neg"), (p + n - both) * n / (p + n)))
+    # grams of the bounded sample, MIN_SUPPORT rows or more each
+    found = counts.filter((F.col("pos") >= MIN_SUPPORT) & (lift >= MIN_LIFT) & (ratio >= BEYOND_CHANCE)).withColumn("gain", F.col("pos") * F.log(lift)).collect() if size.get(1) and size.get(0) else []
     picked: list = []
-    for r in found:
+    for r in sorted(found, key=lambda r: (-r["gain"], -len(r["gram"]), r["gram"])):
         g = r["gram"]
-        if len(picked) < MAX_STEMS and not any(g.startswith(q["gram"].rstrip(" ")) or q["gram"].startswith(g.rstrip(" ")) for q in picked):
+        if not any(g.startswith(q["gram"].rstrip(" ")) or q["gram"].startswith(g.rstrip(" ")) for q in picked):
             picked.append(r)
     hits = {r["gram"]: (r["pos"], r["neg"]) for r in picked}
     for w in LEXICON:
@@ -100,14 +109,30 @@ def induce(docs: DataFrame, chosen: DataFrame) -> tuple[list[Gram], np.ndarray,
     return grams, pos / p + prior[0], neg / n + prior[1], base
 
 
-def sample_labels(labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, toxic) of training rows, half of them of either class where there are enough; the first by hash."""
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of all training rows."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(training(F.col("doc_id")) & F.col("toxic").isin(0, 1))
-    known = keep(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    return keep(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+
+
+def sample_labels(known: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` of training_labels, half of them of either class where there are enough; the first by hash."""
     first = [first_by_hash(known.filter(F.col("toxic") == k), "doc_id", rows // 2, ["doc_id"]) for k in (0, 1)]
     return keep(first[0].unionByName(first[1]), "labelled")
 
 
+def _runs(buf: np.ndarray, off: np.ndarray, kinds: list[np.ndarray]) -> np.ndarray:
+    """Where a run of bytes of these kinds begins that lies in one document."""
+    out = np.zeros(len(buf), bool)
+    k = len(kinds)
+    if len(buf) >= k:
+        out[: len(buf) - k + 1] = np.logical_and.reduce([kind[buf[i : len(buf) - k + 1 + i]] for i, kind in enumerate(kinds)])
+        for left in range(1, k):  # fewer than k bytes are left in the document
+            at = off[1:] - left
+            out[at[at >= 0]] = False
+    return out
+
+
 def _vote(grams: list[Gram]):
     whole = [(i, g.encode()) for i, (g, w) in enumerate(grams) if w]
     stems = [(i, g.encode()) for i, (g, w) in enumerate(grams) if not w]
@@ -132,11 +157,8 @@ def _vote(grams: list[Gram]):
             by_size.setdefault(len(g), []).append((i, g))
         for rows, buf, off in words.slices(batches):
             n = rows.num_rows
-            upper, letters, marks = (words.per_document(x, off) for x in (_upper[buf], _letter[buf], np.concatenate([(buf[:-1] == 33) & (buf[1:] == 33), [False]]) if len(buf) else np.zeros(0, bool)))
-            masks = np.zeros(len(buf), bool)
-            if len(buf) > 3:
-                masks[:-3] = _letter[buf[:-3]] & _mask[buf[1:-2]] & _mask[buf[2:-1]] & _letter[buf[3:]]
-            masked = words.per_document(masks, off)
+            upper, letters = (words.per_document(x, off) for x in (_upper[buf], _letter[buf]))
+            marks, masked = (words.per_document(x, off) for x in (_runs(buf, off, [_bang] * 2), _runs(buf, off, [_letter, _mask, _mask, _letter])))
             low, loff = _lowered(rows, 1)
             starts, ends, first = words.spans(low, loff, _SEPARATORS)
             doc = np.repeat(np.arange(n), np.diff(first))
@@ -154,21 +176,25 @@ def _vote(grams: list[Gram]):
                 np.add.at(counts, (doc[some[at]], np.array([i for i, _ in own])[which]), 1)
                 insult[some[at]] = True
             at, _ = matches(full, you_h)
-            near = at[at + 1 < len(starts)]
-            near = near[(doc[near] == doc[near + 1]) & (insult[near + 1] | insult[np.minimum(near + 2, len(starts) - 1)])]
+            near = np.zeros(len(at), bool)
+            for ahead in (1, 2):  # an insult one or two words on in the same document
+                to = np.minimum(at + ahead, max(len(starts) - 1, 0))
+                near |= (at + ahead < len(starts)) & (doc[to] == doc[at]) & insult[to]
+            near = at[near]
             counts[:, m] = 2 * upper > letters
             counts[:, m + 1] = marks
             counts[:, m + 2] = masked
             counts[:, m + 3] = np.bincount(doc[near], minlength=n)
+            hit_words = np.where(counts[:, :m].any(1), np.diff(first), 0)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel()))
             bits = np.packbits(counts > 0, axis=1)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first).astype(np.int64)), flat, pa.array([b.tobytes() for b in bits], pa.binary())], ["doc_id", "n_words", "counts", "votes"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(hit_words.astype(np.int64)), flat, pa.array([b.tobytes() for b in bits], pa.binary())], ["doc_id", "n_words", "counts", "votes"])
 
     return run
 
 
 def ballots(docs: DataFrame, grams: list[Gram]) -> DataFrame:
-    """doc_id, n_words, counts (hits by voter) and votes (a bit by voter) of every whole text."""
+    """doc_id, n_words (0 where no word or stem hits), counts (hits by voter) and votes (a bit by voter) of every whole text."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_vote(grams), "doc_id bigint, n_words bigint, counts array<int>, votes binary")
 
 
@@ -184,41 +210,60 @@ class LabelModel:
         z = np.log(self.base / (1 - self.base)) + votes @ (self.share * (on - off)) + (self.share * off).sum()
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def moments(self, votes: np.ndarray, weight: np.ndarray, pairs: bool) -> np.ndarray:
+    def soft(self, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The chance of class 1: the label where it is known (not nan), else the posterior."""
+        return np.where(np.isnan(known), self.posterior(votes), known)
+
+    def moments(self, votes: np.ndarray, known: np.ndarray, weight: np.ndarray, pairs: bool) -> np.ndarray:
         """Sums by class: documents, votes and, if asked, pairs of votes."""
-        q = self.posterior(votes)
+        q = self.soft(votes, known)
         out = []
         for w in (q * weight, (1 - q) * weight):
             out += [[w.sum()], w @ votes] + ([((votes * w[:, None]).T @ votes).ravel()] if pairs else [])
         return np.concatenate(out)
 
 
+def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum of part(batch), `size` numbers at any size of df, over all of its batches; made in Spark."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += part(b)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "x"])
+
+    out = np.zeros(size)
+    rows = df.mapInArrow(sums, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    out[rows["at"].to_numpy()] = rows["x"].to_numpy()
+    return out
+
+
+def _bits(column: pa.Array, m: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), axis=1, count=m).astype(float)
+
+
+def _known(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null is nan
+
+
 def fit_label_model(patterns: DataFrame, m: int, model: LabelModel, rounds: int = 6, strength: float = 200.0) -> LabelModel:
-    """Expectation maximisation over patterns(votes, n). Sums are made in Spark and have a fixed size; the start values
-    stay in as `strength` pseudo-documents of either class."""
+    """Expectation maximisation over patterns(votes, toxic, n), where toxic may be null. Sums have a fixed size; the start
+    values stay in as `strength` pseudo-documents of either class."""
     for step in range(rounds + 1):
         pairs = step == rounds
-
-        def sums(batches: Iterator[pa.RecordBatch], model=model, pairs=pairs) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2 + 2 * m) + (2 * m * m if pairs else 0))
-            for b in batches:
-                if b.num_rows:
-                    bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, count=m).astype(float)
-                    total += model.moments(bits, b.column(1).to_numpy(zero_copy_only=False).astype(float), pairs)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "x"])
-
-        total = np.zeros((2 + 2 * m) + (2 * m * m if pairs else 0))
-        for r in patterns.mapInArrow(sums, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-            total[r["at"]] = r["x"]
+        total = summed(patterns, lambda b, model=model, pairs=pairs: model.moments(_bits(b.column(0), m), _known(b.column(1)), b.column(2).to_numpy(zero_copy_only=False).astype(float), pairs), (2 + 2 * m) + (2 * m * m if pairs else 0))
         half = len(total) // 2
         n1, n0, v1, v0 = total[0], total[half], total[1 : m + 1], total[half + 1 : half + m + 1]
         if not n1 + n0:
             return model
         if not pairs:
-            model.hit1 = np.clip((v1 + strength * model.start[0]) / (n1 + strength), 1e-4, 0.99)
-            model.hit0 = np.clip((v0 + strength * model.start[1]) / (n0 + strength), 1e-6, 0.99)
-            model.base = float(np.clip(n1 / (n1 + n0), 0.005, 0.5))
+            # a new model, as the old one is still named by the tasks of its round
+            new = LabelModel(model.start[0], model.start[1], float(np.clip(n1 / (n1 + n0), 0.005, 0.5)))
+            new.hit1 = np.clip((v1 + strength * model.start[0]) / (n1 + strength), 1e-4, 0.99)
+            new.hit0 = np.clip((v0 + strength * model.start[1]) / (n0 + strength), 1e-6, 0.99)
+            model = new
         else:
             shared = np.zeros((m, m))
             for n, v, pair in ((n1, v1, total[m + 1 : half]), (n0, v0, total[half + m + 1 :])):
@@ -238,50 +283,51 @@ def inputs(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(counts), (lexical > 0).sum(1), np.log1p(hits), np.minimum(50.0, 100.0 * hits / np.maximum(n_words, 1)), np.ones(len(counts))])
 
 
-def train_classifier(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, steps: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (p - y)) + penalty * w)
-        w -= np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
+def slopes(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the logistic loss of soft labels y, in a row."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate([x.T @ (weight * (p - y)), ((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x).ravel()])
+
+
+def train_classifier(vectors: DataFrame, m: int, model: LabelModel, ridge: float = 0.5) -> np.ndarray:
+    """Logistic regression on the model's posteriors over vectors(counts, n_words, votes, toxic, n), by Newton steps."""
+    d = m + 4
+    w, penalty = np.zeros(d), np.append(np.full(d - 1, ridge), 1e-6)
+    for _ in range(NEWTON_STEPS):
+
+        def part(b: pa.RecordBatch, w: np.ndarray = w) -> np.ndarray:
+            return slopes(w, inputs(_counts(b.column(0), m), b.column(1).to_numpy(zero_copy_only=False)), model.soft(_bits(b.column(2), m), _known(b.column(3))), b.column(4).to_numpy(zero_copy_only=False).astype(float))
+
+        total = summed(vectors, part, d + d * d)
+        if not total.any():
+            break
+        step = np.clip(np.linalg.solve(total[d:].reshape(d, d) + np.diag(penalty), total[:d] + penalty * w), -4, 4)
+        w = w - step
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def _counts(column: pa.Array, m: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, m).astype(np.int64)
+
+
+def score(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
-    known = sample_labels(labels, labelled_rows)
-    grams, hit1, hit0, base = induce(docs, known)
+    known = training_labels(labels)
+    grams, hit1, hit0, base = induce(docs, sample_labels(known, labelled_rows))
     m = len(grams) + len(PATTERNS)
     table = keep(ballots(docs, grams), "ballots")
-    patterns = keep(table.groupBy("votes").agg(F.count("*").alias("n")), "vote-patterns")
+    vectors = keep(table.join(known, "doc_id", "left").groupBy("counts", "n_words", "votes", "toxic", F.coalesce(training(F.col("doc_id")), F.lit(False)).alias("training")).agg(F.count("*").alias("n")), "vote-vectors")
     start = LabelModel(np.append(hit1, [0.1, 0.1, 0.02, 0.02]), np.append(hit0, [0.08, 0.08, 0.01, 0.002]), min(max(base, 0.01), 0.3))
-    model = fit_label_model(patterns, m, start)
-
-    free = first_by_hash(table.filter(training(F.col("doc_id"))), "doc_id", train_rows, ["doc_id", "n_words"])
-    sets = [table.join(F.broadcast(known), "doc_id").select("n_words", "counts", "votes", F.col("toxic").cast("double").alias("y")), free.select("n_words", "counts", "votes", F.lit(None).cast("double").alias("y"))]
-    weights = np.zeros(0)
-    rows = sets[0].unionByName(sets[1]).toArrow()  # labelled_rows + train_rows rows at most
-    if rows.num_rows:
-        counts = np.array(rows["counts"].to_pylist(), np.int64).reshape(rows.num_rows, m)
-        votes = (counts > 0).astype(float)
-        y = rows["y"].to_numpy()
-        soft = np.where(np.isnan(y), model.posterior(votes), y)
-        # the labelled sample is balanced: its rows weigh as the classes do in the corpus
-        known_rate = np.nanmean(y) if (~np.isnan(y)).any() else base
-        weight = np.where(np.isnan(y), POSTERIOR_WEIGHT, np.where(y > 0, base / max(known_rate, 1e-9), (1 - base) / max(1 - known_rate, 1e-9)))
-        weights = train_classifier(inputs(counts, rows["n_words"].to_numpy()), soft, weight)
+    model = fit_label_model(vectors.groupBy("votes", "toxic").agg(F.sum("n").alias("n")), m, start)
+    weights = train_classifier(vectors.filter("training").select("counts", "n_words", "votes", "toxic", "n"), m, model)
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, m).astype(np.int64)
-            z = inputs(counts, b.column(1).to_numpy(zero_copy_only=False)) @ shared.value if len(shared.value) else np.zeros(b.num_rows)
+            z = inputs(_counts(b.column(2), m), b.column(1).to_numpy(zero_copy_only=False)) @ shared.value
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             ids = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else zlib.crc32(str(i).encode()) % FOLDS == 0 for i in ids], pa.bool_()), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

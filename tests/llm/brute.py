@@ -12,16 +12,16 @@ import xxhash
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def simhash(text):
+def simhash(text, k=4):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(rows):
+def classes(rows, k=4):
     """(doc_id, text) to {doc_id: (fingerprint, component)}."""
-    prints = {i: simhash(t) for i, t in rows}
+    prints = {i: simhash(t, k) for i, t in rows}
     ids = sorted(prints)
     root = {i: i for i in ids}
 
@@ -38,6 +38,26 @@ def classes(rows):
     return {i: (f"{prints[i]:016x}", find(i)) for i in ids}
 
 
+def jaccard(rows, more=()):
+    """(doc_id, text) to {doc_id: component} over all pairs of five-word similarity 0.8 at least, and more pairs."""
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    near_pairs = ((i, j) for i in sorted(sets) for j in sorted(sets) if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    for i, j in (*near_pairs, *more):
+        if root[i] != root[j]:
+            a, b = sorted((root[i], root[j]))
+            root = {k: a if v == b else v for k, v in root.items()}
+    return root
+
+
+def near(rows):
+    """The doc_ids that the near-dedup stage keeps: one of each group that SimHash classes and edited copies connect."""
+    return set(jaccard(rows, [(c, i) for i, (_, c) in classes(rows, 5).items()]).values())
+
+
 def substrings(texts, k=35):
     """n_words, n_removed and the digest of the kept words, for each text."""
     words = [WORD.findall(t or "") for t in texts]

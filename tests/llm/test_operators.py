@@ -107,6 +107,75 @@ def test_toxicity_learns_without_held_out_labels(spark, documents, sf):
     assert a == b
 
 
+def test_votes_depend_on_one_text_alone(spark):
+    """However rows are dealt to batches, a document's score stays."""
+    from pyspark.sql import functions as F
+
+    pieces = ["wow!", "!bang", "a*", "*b", "a**b", "see you there", "see you", "idiot", "idiot and moron", "you are an idiot", "", "plain text", "you", "SHOUT", "f#@k", "!!"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(pieces * 3)], "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    labels = spark.createDataFrame([(i, int(i % 16 in (7, 8, 9))) for i in range(48)], "doc_id long, toxic int")
+    runs = []
+    for dealt in (df, df.repartition(7, "doc_id"), df.repartition(1).sortWithinPartitions(F.desc("doc_id"))):
+        runs.append({r["doc_id"]: round(r["score"], 9) for r in toxicity.score(dealt, labels).collect()})
+    assert runs[0] == runs[1] == runs[2]
+    grams = [("idiot", True), ("moro", False)]
+    m = len(grams)
+    votes = {r["doc_id"]: r["counts"] for r in toxicity.ballots(df, grams).collect()}
+    for i, t in enumerate(pieces * 3):
+        low = [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
+        hit = [w == "idiot" or w.startswith("moro") for w in low]
+        letters = [c for c in t if c.isascii() and c.isalpha()]
+        masked = sum(t[j].isalpha() and t[j + 1] in "*#@$" and t[j + 2] in "*#@$" and t[j + 3].isalpha() for j in range(len(t) - 3))
+        addressed = sum(w == "you" and any(hit[j + 1 : j + 3]) for j, w in enumerate(low))
+        assert votes[i] == [low.count("idiot"), sum(w.startswith("moro") for w in low), int(2 * sum(c.isupper() for c in letters) > len(letters)), sum(t[j : j + 2] == "!!" for j in range(len(t) - 1)), masked, addressed][: m + 4]
+
+
+def test_label_model(spark):
+    """Expectation maximisation and the classifier against plain versions, one document at a time."""
+    import itertools
+    import math
+
+    m, rng = 6, np.random.default_rng(4)
+    truth = rng.random(400) < 0.3
+    votes = rng.random((400, m)) < np.where(truth[:, None], 0.6, 0.1)
+    votes[:, 1] |= votes[:, 0]  # two voters that copy each other
+    known = [int(t) if i % 5 == 0 else None for i, t in enumerate(truth)]
+    rows = [(bytearray(np.packbits(v).tobytes()), k, 1) for v, k in zip(votes, known, strict=True)]
+    table = spark.createDataFrame(rows, "votes binary, toxic int, n long")
+    start = toxicity.LabelModel(np.full(m, 0.5), np.full(m, 0.2), 0.2)
+    got = toxicity.fit_label_model(table, m, start)
+    a1, a0, base = [0.5] * m, [0.2] * m, 0.2
+
+    def posterior(v, share):
+        odds = math.log(base / (1 - base)) + sum(s * math.log((p if x else 1 - p) / (q if x else 1 - q)) for x, p, q, s in zip(v, a1, a0, share, strict=True))
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(6):
+        q = [posterior(v, [1] * m) if k is None else k for v, k in zip(votes, known, strict=True)]
+        n1, n0 = sum(q), len(q) - sum(q)
+        a1 = [(sum(x for x, v in zip(q, votes, strict=True) if v[j]) + 200 * 0.5) / (n1 + 200) for j in range(m)]
+        a0 = [(sum(1 - x for x, v in zip(q, votes, strict=True) if v[j]) + 200 * 0.2) / (n0 + 200) for j in range(m)]
+        base = n1 / len(q)
+    assert got.hit1 == pytest.approx(a1) and got.hit0 == pytest.approx(a0) and got.base == pytest.approx(base)
+    q = np.array([posterior(v, [1] * m) if k is None else k for v, k in zip(votes, known, strict=True)])
+    shared = np.zeros((m, m))
+    for w in (q, 1 - q):
+        for i, j in itertools.permutations(range(m), 2):
+            mi, mj = (np.average(votes[:, k], weights=w) for k in (i, j))
+            r = (np.average(votes[:, i] & votes[:, j], weights=w) - mi * mj) / math.sqrt(mi * (1 - mi) * mj * (1 - mj))
+            shared[i, j] = max(shared[i, j], r)
+    share = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(1))
+    assert got.share == pytest.approx(share) and share[0] < 0.7
+    assert got.posterior(votes.astype(float)) == pytest.approx([posterior(v, share) for v in votes])
+
+    counts = votes.astype(int)
+    vectors = spark.createDataFrame([(c.tolist(), 20, *r) for c, r in zip(counts, rows, strict=True)], "counts array<int>, n_words long, votes binary, toxic int, n long").repartition(3)
+    w = toxicity.train_classifier(vectors, m, got)
+    x, y = toxicity.inputs(counts, np.full(400, 20)), got.soft(votes.astype(float), np.array([np.nan if k is None else k for k in known]))
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) + np.append(np.full(len(w) - 1, 0.5), 1e-6) * w
+    assert np.abs(slope).max() < 0.05  # the optimum
+
+
 # 3
 
 def test_rake_and_sample(spark, documents):
@@ -215,21 +284,6 @@ def test_components(spark):
     assert out == {**dict.fromkeys((1, 2, 3, 4), 1), **dict.fromkeys((10, 11, 12), 10), **dict.fromkeys(range(100, 141), 100)}
 
 
-def jaccard(texts):
-    """(doc_id, text) to {doc_id: component} over all pairs of similarity 0.8 at least."""
-    sets = {}
-    for i, t in texts:
-        w = brute.WORD.findall((t or "").lower())
-        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
-    root = {i: i for i in sets}
-    for i in sorted(sets):
-        for j in sorted(sets):
-            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                a, b = sorted((root[i], root[j]))
-                root = {k: a if v == b else v for k, v in root.items()}
-    return root
-
-
 def test_edited_copies(spark):
     """Chains and groups of copies with edited words, which SimHash at four bits keeps apart."""
     rng = np.random.default_rng(8)
@@ -244,19 +298,30 @@ def test_edited_copies(spark):
     rng.shuffle(order := list(range(len(rows))))
     rows = [(order[i], t) for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = set(jaccard(rows).values())
+    want = set(brute.jaccard(rows).values())
     by_simhash = {r["doc_id"] for r in simhash.apply(df).collect()}
     assert len(by_simhash) > len(want)
     assert {r["doc_id"] for r in nearcopies.apply(df).collect()} == want
     import corpus_pipeline
 
-    stage = dict(corpus_pipeline.STAGES)["edited copies"]
-    assert {r["doc_id"] for r in stage(spark, df, "").collect()} == want
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert {r["doc_id"] for r in stage(spark, df, "").collect()} == brute.near(rows) == want
+
+
+def test_rows_of_one_doc_id(spark):
+    """They are one node, which links what any of them links, and the smallest text stays."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (5, "b c d e f"), (3, "b c d e f"), (9, text), (9, text + " x"), (9, None), (7, "lone " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.classes(df).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (7, 7)}
+    assert sorted(map(tuple, simhash.apply(df).collect())) == [(3, "b c d e f"), (7, "lone " * 9)]
+    assert sorted(map(tuple, simhash.one_row_each(df).collect()), key=str) == [(3, "b c d e f"), (5, "b c d e f"), (7, "lone " * 9), (9, None)]
 
 
 def test_edited_copies_tiles(spark, documents, monkeypatch):
     monkeypatch.setattr(nearcopies, "TILE", 500)
-    want = jaccard([(r["doc_id"], r["text"]) for r in documents.collect()])
+    want = brute.jaccard([(r["doc_id"], r["text"]) for r in documents.collect()])
     assert {r["doc_id"] for r in nearcopies.apply(documents).collect()} == set(want.values())
     assert nearcopies.apply(empty(spark)).collect() == []
 
@@ -341,6 +406,29 @@ def test_bpe_trees(tokenizer):
             assert got.ids.tolist() == want, (text, leaf)
 
 
+def test_other_tokenizers():
+    """A tokenizer whose tokens cross white space is not cut into pieces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, plain = bpe.encoder(path), Tokenizer.from_file(path)
+    text = "In  the end, all's well. " * 40 + "\n\n x=1;   y"
+    flat, before = model.encode(pa.array([text, None, "a b"]))
+    assert [flat[a:b].tolist() for a, b in zip(before[:-1], before[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in (text, "", "a b")]
+    parts = [bpe.Part.of(model, text, a, b) for a, b in zip(bpe.cuts(len(text), 100)[:-1], bpe.cuts(len(text), 100)[1:], strict=True)]
+    assert bpe.tree(model, text, parts).ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_piece_table_starts_anew(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 50)
+    model = bpe.Encoder(bpe.default_path())
+    for k in range(4):
+        batch = [" ".join(f"Wörd{'xyz'[i % 3] * (i % 7)}{k} ßab'{i} Éa{'q' * i}" for i in range(j, j + 9)) for j in range(0, 45, 9)]
+        flat, before = model.encode(pa.array(batch))
+        assert [flat[a:b].tolist() for a, b in zip(before[:-1], before[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
+
+
 def test_bpe_decode(docs, tokenizer):
     t = texts(docs)
     for r in bpe.decode(bpe.encode(docs)).collect():
@@ -356,12 +444,23 @@ def test_wavelet(spark, docs, documents, tokenizer):
     assert wavelet.read(wavelet.write(empty(spark))).collect() == []
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
+def test_wavelet_of_one_doc_id(spark, tokenizer):
+    """Rows of one doc_id or none are dealt to several tasks and keep their order."""
+    rows = [(7 if i % 3 else None, f"text {i} " * (i % 5)) for i in range(300)]
+    out = sorted(wavelet.read(wavelet.write(spark.createDataFrame(rows, "doc_id long, text string"), shard_ids=100)).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None] * 100 + [7] * 200
+    assert [r["start"] for r in out] == np.cumsum([0, *(r["n_tokens"] for r in out)]).tolist()[:-1]
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    assert Counter(r["n_tokens"] for r in out) == Counter(size(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 511, 512, 1024, 3000])
 def test_wavelet_queries(n):
     ids = np.random.default_rng(n).integers(0, 50, n).astype(np.uint32) * 977
     s = wavelet.Shard(wavelet.build([1, None], np.array([0, n // 2, n]), ids))
     assert s.ids().tolist() == ids.tolist()
     assert s.doc_ids == [1, None]
+    assert sum(x.nbytes for x in s.samples) == 4 * s.n_planes * -(-n // wavelet.BLOCK)
     assert [s.access(i) for i in range(n)] == ids.tolist()
     for t in {*ids.tolist()[:20], 5}:
         assert s.locate(t) == np.flatnonzero(ids == t).tolist()

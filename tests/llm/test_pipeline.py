@@ -22,7 +22,7 @@ def test_stages(spark, sf):
         assert len(rows) == out.count() > 0
         assert set(rows) <= set(seen)
         if name == "simhash near-dedup":
-            assert set(rows) == {c for _, c in brute.classes([(i, r["text"]) for i, r in seen.items()]).values()}
+            assert set(rows) == set(brute.near([(i, r["text"]) for i, r in seen.items()]))
         if name == "substring dedup":
             ids = list(seen)
             want = brute.substrings([seen[i]["text"] for i in ids])
@@ -59,6 +59,10 @@ def test_stages_on_edge_cases(spark, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
 
 
+def test_order_of_stages():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "simhash near-dedup", "substring dedup", "source mix", "bpe encoding"]
+
+
 def test_registered():
     import __spark_entry__
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import components
-from tidemark.llm.simhash import _lower
+from tidemark.llm.simhash import _lower, one_row_each
 from tidemark.llm.store import keep
 
 SHINGLE, NEAR, BANDS, ROWS, TILE = 5, (4, 5), 32, 5, 100_000
@@ -153,8 +153,9 @@ def links(docs: DataFrame) -> DataFrame:
     return stars.unionByName(equal).unionByName(rest)
 
 
-def apply(docs: DataFrame) -> DataFrame:
-    """One row of each group of copies: that of the smallest doc_id. Rows without doc_id stay."""
-    gone = components(links(docs)).filter("node <> label").select(F.col("node").alias("doc_id"))
-    named = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+def apply(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """One row of each group of copies: that of the smallest doc_id, and of its rows that of the smallest text. Rows
+    without doc_id stay. more: further links (a, b) between doc_ids."""
+    found = links(docs) if more is None else links(docs).unionByName(more)
+    gone = components(found).filter("node <> label").select(F.col("node").alias("doc_id"))
+    return one_row_each(docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)).unionByName(docs.filter("doc_id is null"))

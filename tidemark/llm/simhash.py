@@ -8,7 +8,8 @@ whole, with numpy exclusive-or and bit counts. A task returns a spanning forest
 a group. No link is lost, and a block value with many fingerprints is spread over many tiles.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows share a fingerprint;
-a row with null doc_id gets a fingerprint and no component, and links nothing; two rows with one doc_id are one node.
+a row with null doc_id gets a fingerprint and no component, and links nothing; rows with one doc_id are one node, and
+`apply` keeps the smallest text of them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import components
-from tidemark.llm.store import keep
+from tidemark.llm.store import fresh, keep
 
 SHINGLE, RADIUS, TILE, PER_KEY = 4, 4, 4096, 128
 _lower = np.arange(256, dtype=np.uint8)
@@ -63,14 +64,14 @@ def fingerprints_of(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> np.nd
     return out
 
 
-def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, off in words.slices(batches):
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints_of(buf, off).view(np.int64))], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a long) of every whole text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, off in words.slices(batches):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints_of(buf, off, shingle).view(np.int64))], ["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every whole text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def quarters(fp: np.ndarray) -> np.ndarray:
@@ -185,18 +186,27 @@ def links(distinct: DataFrame) -> DataFrame:
     return both.mapInArrow(_compare, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id of every row: the smallest doc_id reachable over links of RADIUS bits at most."""
-    fps = keep(fingerprints(docs), "fingerprints")
+    fps = keep(fingerprints(docs, shingle), "fingerprints")
     first = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    labels = components(links(first.dropna()))
+    # rows with one doc_id but different fingerprints are one node: they link their fingerprints' nodes
+    several = fps.dropna().groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("doc_id")
+    ties = fps.join(several, "doc_id", "left_semi").join(first, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    labels = components(links(first.dropna()).unionByName(ties))
     of_fp = first.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
-    # rows with one doc_id but different fingerprints meet in one node, the id itself
     return fps.join(of_fp, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def apply(docs: DataFrame) -> DataFrame:
-    """One row of each class: that of the smallest doc_id. Rows without doc_id stay."""
-    ids = classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null")
-    return named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+def apply(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each class: that of the smallest doc_id, and of its rows that of the smallest text. Rows without doc_id
+    stay."""
+    ids = classes(docs, shingle).filter("doc_id = component_id").select("doc_id").distinct()
+    return one_row_each(docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").select(docs.columns)).unionByName(docs.filter("doc_id is null"))
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """Of the rows of each doc_id that of the smallest text (null is the smallest), then the smallest hash of the row."""
+    order = F.struct(F.col("text").isNotNull(), F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))
+    once = docs.groupBy(F.col("doc_id").alias(fresh(docs, "one_id"))).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return once.select("row.*")

@@ -123,7 +123,9 @@ def test_percent_ranks(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", 4.0), ("a", None), ("b", 7.0)], "sector string, x double")
     out = E.relative(df, ["x"]).orderBy("sector", F.asc_nulls_first("x")).collect()
     assert [r["x_sector_rank"] for r in out] == [None, 0.25, 0.625, 0.625, 1.0, 1.0]
-    assert [r[0] for r in df.select(E.percent_rank("x", "sector").alias("p"), "sector", "x").orderBy("sector", F.asc_nulls_first("x")).collect()] == [None, 0.25, 0.625, 0.625, 1.0, 1.0]
+    from tidemark.plans.prefix import average_ranks
+
+    assert [r["p"] for r in average_ranks(df, "x", "p", ["sector"], share=True).orderBy("sector", F.asc_nulls_first("x")).collect()] == [None, 0.25, 0.625, 0.625, 1.0, 1.0]
     assert out[-1]["x_sector_zscore"] is None
 
 
@@ -197,6 +199,65 @@ def test_average_ranks(spark):
     assert sorted(r["rank"] for r in prefix.average_ranks(df, "x").collect() if r["x"] is not None) == [1.0, 2.5, 2.5, 4.0, 5.0]
 
 
+def test_quantiles(spark):
+    """Exact for outliers, ties, infinities, one value and none, by group."""
+    import numpy as np
+
+    from tidemark.plans.prefix import quantile_values, quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {"normal": rng.normal(size=501).tolist(), "tail": (rng.pareto(0.3, 400) * rng.choice([-1, 1], 400)).tolist(), "ties": [1.0] * 300 + [2.0] * 100, "one": [5.0], "spread": [*range(50), 1e300, -1e300], "infinite": [float("inf"), 1.0, 2.0, 3.0, 4.0]}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    probs = [0.0, 0.05, 1 / 3, 0.5, 0.75]
+    got = {r["g"]: r["q"] for r in quantiles(df, "x", probs, ["g"]).collect()}
+    assert set(got) == set(groups)
+
+    def plain(xs, p):
+        xs, at = sorted(xs), p * (len(xs) - 1)
+        a, b = xs[math.floor(at)], xs[math.ceil(at)]
+        return a if a == b else a + (b - a) * (at - math.floor(at))
+
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx([plain(xs, p) for p in probs], rel=1e-12), g
+    whole = [x for _, x in rows if x is not None]
+    assert quantile_values(df, {"a": F.col("x"), "b": F.lit(None)}, [0.5, 0.6]) == {"a": pytest.approx([plain(whole, 0.5), plain(whole, 0.6)]), "b": None}
+
+
+def test_ranks_with_outliers(spark):
+    from tidemark.plans.prefix import average_ranks
+
+    values = [0.1 * i for i in range(100)] + [1e12, -1e12, 0.5, float("inf")]
+    out = {r["x"]: r["rank"] for r in average_ranks(spark.createDataFrame([(x,) for x in values], "x double"), "x").collect()}
+    for x in values:
+        below, same = sum(y < x for y in values), values.count(x)
+        assert out[x] == below + (same + 1) / 2
+
+
+def test_label_codes_of_many_values(spark):
+    df = spark.range(12000).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("sector")).unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS sector"))
+    out = E.label_codes(df).orderBy(F.asc_nulls_last("sector")).collect()
+    assert [r["sector_code"] for r in out] == [*range(12000), None]
+
+
+def test_new_york_sessions(spark):
+    """Bars in UTC are cut by New York's clock, in summer and winter."""
+    df = spark.createDataFrame([("A", datetime.fromisoformat("2024-01-10 14:29:00"), 1.0), ("A", datetime.fromisoformat("2024-01-10 14:30:00"), 2.0), ("A", datetime.fromisoformat("2024-07-10 13:30:00"), 3.0), ("A", datetime.fromisoformat("2024-07-10 20:00:00"), 4.0), ("A", datetime.fromisoformat("2024-07-10 20:01:00"), 5.0)], "symbol string, t timestamp, o double").selectExpr("*", "o AS h", "o AS l", "o AS c", "10 AS v")
+    out = {str(r["session_day"]): r for r in bars.sessions(df, zone=bars.NEW_YORK).collect()}
+    assert (out["2024-01-10"]["n_bars"], out["2024-01-10"]["open"], out["2024-01-10"]["premarket_high"]) == (1, 2.0, 1.0)
+    assert (out["2024-07-10"]["n_bars"], out["2024-07-10"]["open"], out["2024-07-10"]["close"]) == (2, 3.0, 4.0)
+
+
+def test_bins(spark):
+    df = spark.createDataFrame([(float(i), "abcdefgh"[min(7, i % 11)], -0.1 if i < 60 else 0.2) for i in range(100)], "x double, c string, r double")
+    count = lambda label, f: {r["bin"]: r["n"] for r in combos.bin_performance(df, f, label).collect()}
+    assert count(combos.width_bins(df, "x", 4), "x") == {"w1": 25, "w2": 25, "w3": 25, "w4": 25}
+    assert count(combos.quantile_bins(df, "x"), "x") == {"q1": 25, "q2": 25, "q3": 25, "q4": 25}
+    assert set(count(combos.category_bins(df, "c", 3), "c")) == {"h", "a", "b", "other"}
+    tree = combos.bin_performance(df, "x", combos.tree_bins(df, "x", depth=1)).orderBy("bin").collect()
+    assert tree[0]["mean"] == pytest.approx(-0.1) and tree[1]["mean"] > 0.18  # the cut lies on one of the tree's candidate edges
+
+
 def test_conditions_partition_rows(spark):
     df = spark.createDataFrame([(float(i), float(i % 7) - 3) for i in range(50)] + [(None, 1.0)], "x double, r double")
     out = conditions.split_stats(df, {"high": F.col("x") > 30, "none": F.lit(False)}, "r").collect()
@@ -230,7 +291,7 @@ def test_few_values_are_the_grid(spark):
 def test_strategies_two_ways(spark):
     rows = spark.createDataFrame([(str(i), float(i), float(i % 4), 0.1) for i in range(20)] + [("n", None, 1.0, 0.1)], "k string, a double, b double, r double")
     c = spark.createDataFrame([("s", "a", 10.0, ">"), ("s", "b", 1.0, "<="), ("t", "a", 3.0, "<=")], "strategy string, feature string, threshold double, direction string")
-    x, y = ({tuple(r) for r in f(rows, c, "k").select("strategy", "k").collect()} for f in (combos.trades_of, combos.trades_by_join))
+    x, y = ({tuple(r) for r in f(rows, c, "k").select("strategy", "k").collect()} for f in (combos.trades_of, combos.trades_of_many))
     assert x == y == {("s", k) for k in ("12", "13", "16", "17")} | {("t", str(i)) for i in range(4)}
     assert combos.trades_of(rows, c.limit(0), "k").count() == 0
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 OPEN, CLOSE, PREMARKET = 570, 960, 240
+NEW_YORK = "America/New_York"
 INTERVALS = {"1min": 1, "5min": 5, "15min": 15, "30min": 30, "1hr": 60}
 
 
@@ -12,8 +13,9 @@ def minute_of_day(t: Column) -> Column:
     return F.hour(t) * 60 + F.minute(t)
 
 
-def local_time(t: Column, zone: str = "America/New_York") -> Column:
-    return F.from_utc_timestamp(t, zone)
+def local_time(t: Column, zone: str | None = NEW_YORK) -> Column:
+    """The wall clock of a zone for times in UTC; without a zone times are local already."""
+    return F.from_utc_timestamp(t, zone) if zone else t
 
 
 def in_session(t: Column) -> Column:
@@ -32,8 +34,10 @@ def minute_bars(ticks: DataFrame, minutes: int = 1) -> DataFrame:
     return ticks.groupBy("symbol", start.alias("bar")).agg(F.min_by("price", order).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"), F.max_by("price", order).alias("c"), F.sum("size").alias("v")).withColumnRenamed("bar", "t")
 
 
-def sessions(bars: DataFrame) -> DataFrame:
-    """One row a symbol and day: OHLC, times of the first high and low, premarket range, volumes, high_before_low."""
+def sessions(bars: DataFrame, zone: str | None = None) -> DataFrame:
+    """One row a symbol and day: OHLC, times of the first high and low, premarket range, volumes, high_before_low. Bars
+    stamped in UTC are cut into the sessions of `zone`."""
+    bars = bars.withColumn("t", local_time(F.col("t"), zone))
     t = F.col("t")
     s, p = in_session(t), in_premarket(t)
     only = lambda flag, c: F.when(flag, c)
@@ -49,9 +53,10 @@ def sessions(bars: DataFrame) -> DataFrame:
     return out.withColumns({"high_time": F.date_format("high_at", "HH:mm"), "low_time": F.date_format("low_at", "HH:mm"), "high_before_low": F.when(none, -1).when(F.col("high_at") < F.col("low_at"), 1).otherwise(0)}).drop("high_at", "low_at")
 
 
-def interval_returns(bars: DataFrame, strict: bool = False) -> DataFrame:
+def interval_returns(bars: DataFrame, strict: bool = False, zone: str | None = None) -> DataFrame:
     """symbol, session_day and pct_<interval>: the close of the k-th session bar against the open, in percent. With
     fewer than k bars the last one counts, or none if strict."""
+    bars = bars.withColumn("t", local_time(F.col("t"), zone))
     w = Window.partitionBy("symbol", F.to_date("t")).orderBy("t")
     n = bars.filter(in_session(F.col("t"))).withColumn("k", F.row_number().over(w)).groupBy("symbol", F.to_date("t").alias("session_day"))
     at = {name: F.max(F.when(F.col("k") == k, F.col("c"))) for name, k in INTERVALS.items()}

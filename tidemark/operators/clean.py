@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import surprise_pct
+from tidemark.plans.prefix import quantile_values
 
 DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss"]
 #: Markers of missing data by kind of column.
@@ -48,20 +49,9 @@ def to_numbers(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})
 
 
-def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """One row (or one a group) with an array of exact percentiles for each named column."""
-    return df.groupBy(*(by or [])).agg(*(F.percentile(c, probs).alias(n) for n, c in columns.items()))
-
-
-def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """df with the columns of a one-row table. The row is fetched, so later filters can use it as a literal."""
-    row = scalars.first()
-    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) if row is not None and row[f.name] is not None else F.lit(None).cast(f.dataType) for f in scalars.schema})
-
-
 def iqr_outliers(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame:
     """column, q1, q3 and the number of values beyond k interquartile ranges: two passes for all columns."""
-    q = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75]).first()
+    q = quantile_values(df, {c: F.col(c) for c in columns}, [0.25, 0.75])
     bound = {c: q[c] for c in columns if q[c] is not None}
     counts = df.agg(*(F.count_if((F.col(c) < b[0] - k * (b[1] - b[0])) | (F.col(c) > b[1] + k * (b[1] - b[0]))).alias(c) for c, b in bound.items()))
     unpivoted = counts.unpivot([], list(bound), "column", "n_outliers")
@@ -71,7 +61,7 @@ def iqr_outliers(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame
 
 def winsorise(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995, k: float = 3.0) -> DataFrame:
     """Clips to two percentiles those columns that have outliers beyond k interquartile ranges."""
-    q = quantiles(df, {c: F.col(c) for c in columns}, [low, 0.25, 0.75, high]).first()
+    q = quantile_values(df, {c: F.col(c) for c in columns}, [low, 0.25, 0.75, high])
     edges = {c: q[c] for c in columns if q[c] is not None}
     some = df.agg(*(F.max(((F.col(c) < e[1] - k * (e[2] - e[1])) | (F.col(c) > e[2] + k * (e[2] - e[1]))).cast("int")).alias(c) for c, e in edges.items())).first()
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(e[0]), F.least(F.lit(e[3]), F.col(c)))) for c, e in edges.items() if some[c]})
@@ -79,15 +69,16 @@ def winsorise(df: DataFrame, columns: list[str], low: float = 0.005, high: float
 
 def mad_clip(df: DataFrame, columns: list[str], threshold: float = 3.5, min_rows: int = 10) -> DataFrame:
     """Clips to the median plus or minus threshold * MAD / 0.6745; columns with few values or MAD 0 stay."""
-    first = df.agg(*(F.struct(F.percentile(c, 0.5).alias("m"), F.count(c).alias("n")).alias(c) for c in columns)).first()
-    live = [c for c in columns if first[c]["n"] >= min_rows]
-    mads = df.agg(*(F.percentile(F.abs(F.col(c) - first[c]["m"]), 0.5).alias(c) for c in live)).first() if live else {}
-    span = {c: threshold * mads[c] / 0.6745 for c in live if mads[c]}
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(first[c]["m"] - s), F.least(F.lit(first[c]["m"] + s), F.col(c)))) for c, s in span.items()})
+    counts = df.agg(*(F.count(c).alias(c) for c in columns)).first()
+    live = [c for c in columns if counts[c] >= max(1, min_rows)]
+    middle = {c: q[0] for c, q in quantile_values(df, {c: F.col(c) for c in live}, [0.5]).items()} if live else {}
+    mads = quantile_values(df, {c: F.abs(F.col(c) - middle[c]) for c in live}, [0.5]) if live else {}
+    span = {c: threshold * mads[c][0] / 0.6745 for c in live if mads[c][0]}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(middle[c] - s), F.least(F.lit(middle[c] + s), F.col(c)))) for c, s in span.items()})
 
 
 def iqr_clip(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
-    q = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.75]).first()
+    q = quantile_values(df, {c: F.col(c) for c in columns}, [0.25, 0.75])
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(b[0] - k * (b[1] - b[0])), F.least(F.lit(b[1] + k * (b[1] - b[0])), F.col(c)))) for c in columns if (b := q[c]) is not None})
 
 
@@ -116,8 +107,8 @@ def forward_fill(df: DataFrame, columns: list[str], by: str = "symbol", order: l
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    m = df.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
-    return df.fillna({c: m[c] for c in columns if m[c] is not None})
+    m = quantile_values(df, {c: F.col(c) for c in columns}, [0.5])
+    return df.fillna({c: m[c][0] for c in columns if m[c] is not None})
 
 
 def fill_text(df: DataFrame, columns: list[str], value: str = "Other") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
 
-from tidemark.operators.thresholds import long_features, passes
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidemark.functions.scalar import cut, equal_width
+from tidemark.operators.thresholds import passes
+from tidemark.plans.prefix import quantile_values
 
 MAX_FEATURES = 200
 
@@ -74,13 +78,25 @@ def trades_of(rows: DataFrame, conditions: DataFrame, key: str, r: str = "r") ->
     return rows.select(F.explode(names).alias("strategy"), *keep)
 
 
-def trades_by_join(rows: DataFrame, conditions: DataFrame, key: str, r: str = "r") -> DataFrame:
-    """The same for thousands of strategies: conditions meet the features in long form, and a strategy holds where as
-    many conditions are met as it has."""
-    features = [x["feature"] for x in conditions.select("feature").distinct().collect()]
-    need = conditions.groupBy("strategy").agg(F.count("*").alias("need"))
-    met = long_features(rows, features, [key, r]).join(conditions, "feature").filter(passes(F.col("x"), F.col("threshold"), F.col("direction")))
-    return met.groupBy("strategy", key, r).agg(F.count("*").alias("met")).join(need, "strategy").filter("met = need").select("strategy", key, r)
+def trades_of_many(rows: DataFrame, conditions: DataFrame, key: str, r: str = "r") -> DataFrame:
+    """The same for thousands of strategies: they are one array of rules that each row filters, so the plan stays small
+    and no row is shuffled."""
+    rules: dict[str, list] = {}
+    for c in conditions.collect():
+        rules.setdefault(c["strategy"], []).append(c)
+    features = sorted({c["feature"] for cs in rules.values() for c in cs})
+    if not rules:
+        return rows.select(F.lit("").alias("strategy"), key, r).limit(0)
+    rule = lambda c: F.struct(F.lit(features.index(c["feature"]) + 1).alias("i"), F.lit(float(c["threshold"])).alias("t"), F.lit(c["direction"] == ">").alias("above"))
+    table = F.array(*(F.struct(F.lit(n).alias("strategy"), F.array(*map(rule, rules[n])).alias("rules")) for n in sorted(rules)))
+    x = F.array(*(F.col(f).cast("double") for f in features))
+
+    def met(c):
+        value = F.element_at(x, c["i"])
+        return F.coalesce(F.when(c["above"], value > c["t"]).otherwise(value <= c["t"]), F.lit(False))
+
+    names = F.transform(F.filter(table, lambda s: F.forall(s["rules"], met)), lambda s: s["strategy"])
+    return rows.select(F.explode(names).alias("strategy"), key, r)
 
 
 def final_filter(strategies: DataFrame, min_sharpe: float = 0.8, min_win: float = 0.48, max_dd: float = 0.10, min_n: int = 20) -> DataFrame:
@@ -104,6 +120,36 @@ def bin_performance(df: DataFrame, feature: str, label, r: str = "r") -> DataFra
     return df.withColumn("bin", label).filter(F.col("bin").isNotNull() & x.isNotNull()).groupBy(F.lit(feature).alias("feature"), "bin").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg((x > 0).cast("int")).alias("win_rate"))
 
 
+def width_bins(df: DataFrame, feature: str, n: int = 5) -> Column:
+    """A label of n classes of equal width over the feature's range."""
+    low, high = df.agg(F.min(feature), F.max(feature)).first()
+    return equal_width(F.col(feature), F.lit(low), F.lit(high), [f"w{i}" for i in range(1, n + 1)])
+
+
+def quantile_bins(df: DataFrame, feature: str, n: int = 4) -> Column:
+    """A label of n classes of equal counts."""
+    edges = quantile_values(df, {feature: F.col(feature)}, [i / n for i in range(1, n)])[feature]
+    return cut(F.col(feature), edges or [], [f"q{i}" for i in range(1, n + 1)])
+
+
+def category_bins(df: DataFrame, feature: str, k: int = 10) -> Column:
+    """The k most frequent values, and `other`."""
+    from tidemark.operators.features import top_values
+
+    return F.when(F.col(feature).isin(top_values(df, feature, k)), F.col(feature)).when(F.col(feature).isNotNull(), "other")
+
+
+def tree_bins(df: DataFrame, feature: str, r: str = "r", depth: int = 2) -> Column:
+    """A label by the cuts of a regression tree of the return on the feature."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rows = VectorAssembler(inputCols=[feature], outputCol="_features", handleInvalid="skip").transform(df.select(F.col(feature).cast("double"), F.col(r).cast("double").alias("label")).dropna())
+    tree = DecisionTreeRegressor(featuresCol="_features", maxDepth=depth, minInstancesPerNode=20).fit(rows)
+    edges = sorted({float(x) for x in re.findall(r"feature 0 <= (\S+?)\)", tree.toDebugString)})
+    return cut(F.col(feature), edges, [f"t{i}" for i in range(1, len(edges) + 2)])
+
+
 def best_bin(bins: DataFrame, min_n: int = 10) -> DataFrame:
     return bins.filter(F.col("n") >= min_n).groupBy("feature").agg(F.max_by("bin", F.struct("mean", "bin")).alias("bin"), F.max("mean").alias("mean"))
 

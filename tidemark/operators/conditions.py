@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.features import top_values
+from tidemark.plans.prefix import quantile_values, quantiles, with_bins
 
 SPIKE_30D, SPIKE_7D = 2.0, 1.5
 GAPS = {"small": 0.005, "medium": 0.01, "large": 0.02}
@@ -14,7 +15,7 @@ def library(df: DataFrame) -> dict[str, Column]:
     """The condition library over a feature table: fixed, quantile and category conditions and combinations. All
     quantiles come from one pass."""
     probs = [0.1, 0.2, 0.8, 0.9]
-    q = df.agg(*(F.percentile(c, probs).alias(n) for n, c in {"s": F.col("surprise"), "a": F.abs("surprise"), "v": F.col("premarket_volume"), "p": F.col("premarket_range"), "m": F.col("market_cap")}.items())).first()
+    q = quantile_values(df, {"s": F.col("surprise"), "a": F.abs("surprise"), "v": F.col("premarket_volume"), "p": F.col("premarket_range"), "m": F.col("market_cap")}, probs)
     at = lambda n, p: F.lit(q[n][probs.index(p)] if q[n] else None)
     s, v7, v30, gap = F.col("surprise"), F.col("volume_ratio_7_day"), F.col("volume_ratio_30_day"), F.col("open_gap")
     out = {"surprise_very_high": s > at("s", 0.9), "surprise_high": s > at("s", 0.8), "surprise_positive": s > 0, "surprise_negative": s < 0, "surprise_low": s < at("s", 0.2), "surprise_very_low": s < at("s", 0.1), "surprise_large_magnitude": F.abs(s) > at("a", 0.8)}
@@ -34,11 +35,21 @@ def long_flags(df: DataFrame, conditions: dict[str, Column], keep: list[str]) ->
 
 def split_stats(df: DataFrame, conditions: dict[str, Column], target: str, min_n: int = 3, medians: bool = True) -> DataFrame:
     """condition; n, mean, median, std, win_rate of the target where the condition holds (_true) and where not (_false).
-    One shuffle of partial aggregates for all conditions."""
-    long = long_flags(df.filter(F.col(target).isNotNull()), conditions, [target])
-    x = F.col(target)
-    stats = {"n": lambda f: F.count(F.when(f, x)), "mean": lambda f: F.avg(F.when(f, x)), "std": lambda f: F.stddev_samp(F.when(f, x)), "win_rate": lambda f: F.avg(F.when(f, (x > 0).cast("int")))} | ({"median": lambda f: F.percentile(F.when(f, x), 0.5)} if medians else {})
-    out = long.groupBy("condition").agg(*(g(F.col("flag") == side).alias(f"{n}_{'true' if side else 'false'}") for n, g in stats.items() for side in (True, False)))
+    Partial moments by condition, side and bin of the target leave a task, never rows times conditions; the bins lead to
+    the medians."""
+    rows = df.filter(F.col(target).isNotNull())
+    rows = with_bins(rows, target, [], "_bin") if medians else rows.withColumn("_bin", F.lit(0))
+    centre = rows.agg(F.avg(target)).first()[0] or 0.0  # keeps the sums of squares small
+    long = long_flags(rows, conditions, [target, "_bin"])
+    y = F.col(target) - centre
+    sides = long.groupBy("condition", "flag").agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count_if(F.col(target) > 0).alias("w"))
+    mean = F.col("s") / F.col("n")
+    std = F.sqrt(F.greatest(F.try_divide(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0)))
+    stats = {"n": F.col("n"), "mean": mean + centre, "std": std, "win_rate": F.col("w") / F.col("n")}
+    if medians:
+        sides = sides.join(quantiles(long, target, [0.5], ["condition", "flag"], "m", binned="_bin"), ["condition", "flag"])
+        stats["median"] = F.col("m")[0]
+    out = sides.groupBy("condition").agg(*(F.max(F.when(F.col("flag") == side, c)).alias(f"{n}_{'true' if side else 'false'}") for n, c in stats.items() for side in (True, False)))
     return out.filter((F.col("n_true") >= min_n) & (F.col("n_false") >= min_n))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import SURPRISE_EDGES, SURPRISE_NAMES, cut, equal_width, positive_share, row_range, row_std
+from tidemark.plans.prefix import average_ranks, quantile_values, row_numbers
 
 INTRADAY = ["pct_1min", "pct_5min", "pct_15min", "pct_30min", "pct_1hr"]
 SMALL_GAP, SPIKE_7D, SPIKE_30D = 0.005, 1.5, 2.0
@@ -54,7 +55,7 @@ def vol_regime(df: DataFrame, frame: int = 20, prob: float = 0.75) -> DataFrame:
 
 
 def surprise(df: DataFrame) -> DataFrame:
-    (q,) = scalar(df, F.percentile("surprise", [0.2, 0.8]))
+    q = quantile_values(df, {"surprise": F.col("surprise")}, [0.2, 0.8])["surprise"]
     s, r = F.col("surprise"), F.col("revenue_surprise")
     low, high = (F.lit(x) for x in (q or [None, None]))
     magnitude = F.when(F.abs(s) > 0, cut(F.abs(s), SURPRISE_EDGES, SURPRISE_NAMES))  # the lowest edge, 0, is open
@@ -74,26 +75,13 @@ def price_action(df: DataFrame) -> DataFrame:
     return df.withColumns({"high_low_ratio": F.try_divide(h, low), "close_position": F.try_divide(F.col("close_price") - low, h - low), "gap_up": flag(gap > SMALL_GAP), "gap_down": flag(gap < -SMALL_GAP), "gap_magnitude": F.abs(gap), "high_before_low_flag": F.coalesce("high_before_low", F.lit(0))})
 
 
-def percent_rank(column: str, by: str) -> Column:
-    """Rank over the number of values, ties averaged, nulls left out."""
-    x = F.col(column)
-    own = Window.partitionBy(by, x.isNull())
-    rank = F.rank().over(own.orderBy(x))
-    ties = F.count("*").over(Window.partitionBy(by, column))
-    return F.when(x.isNotNull(), (rank + (ties - 1) / 2) / F.count("*").over(own))
-
-
 def relative(df: DataFrame, columns: list[str], by: str = "sector") -> DataFrame:
-    """Rank and z-score of each column within its group. Ranks come from distinct values with counts, so a hot group is
-    ranked as a small table; only its values, not its rows, meet in one task."""
+    """Rank (ties averaged, over the number of values) and z-score of each column within its group. Ranks come from
+    distinct values with counts in bins, so a hot group meets in no task."""
     out = df
     for c in columns:
-        values = df.filter(F.col(c).isNotNull()).groupBy(by, c).agg(F.count("*").alias("_k"))
-        below = F.sum("_k").over(Window.partitionBy(by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        total = F.sum("_k").over(Window.partitionBy(by))
-        ranks = values.select(F.col(by).alias("_by"), F.col(c).alias("_v"), ((F.coalesce(below, F.lit(0)) + 1 + (F.col("_k") - 1) / 2) / total).alias(f"{c}_{by}_rank"))
+        out = average_ranks(out, c, f"{c}_{by}_rank", [by], share=True)
         stats = df.groupBy(F.col(by).alias("_by")).agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"))
-        out = out.join(ranks, F.col(by).eqNullSafe(F.col("_by")) & (F.col(c) == F.col("_v")), "left").drop("_by", "_v")
         out = out.join(stats, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn(f"{c}_{by}_zscore", (F.col(c) - F.col("_m")) / (F.col("_s") + 1e-6)).drop("_by", "_m", "_s")
     return out
 
@@ -107,8 +95,9 @@ def day_regimes(df: DataFrame, day: str = "report_date") -> DataFrame:
     """high_vol_day, the market's mean return of the day, and whether that is among the best or worst 40 % of rows."""
     market = df.groupBy(day).agg(F.avg("pct_change_close").alias("market_return"))
     df = df.join(market, day, "left")
-    vol, q = scalar(df, F.percentile("intraday_range", 0.7), F.percentile("market_return", [0.4, 0.6]))
-    return df.withColumns({"high_vol_day": flag(F.col("intraday_range") > F.lit(vol)), "bull_regime": flag(F.col("market_return") > F.lit(q and q[1])), "bear_regime": flag(F.col("market_return") < F.lit(q and q[0]))})
+    found = quantile_values(df, {c: F.col(c) for c in ("intraday_range", "market_return")}, [0.4, 0.6, 0.7])
+    vol, q = (found[c] or [None] * 3 for c in ("intraday_range", "market_return"))
+    return df.withColumns({"high_vol_day": flag(F.col("intraday_range") > F.lit(vol[2])), "bull_regime": flag(F.col("market_return") > F.lit(q[1])), "bear_regime": flag(F.col("market_return") < F.lit(q[0]))})
 
 
 def top_values(df: DataFrame, column: str, k: int) -> list[str]:
@@ -156,10 +145,11 @@ def rsi(df: DataFrame, price: str = "close_price", n: int = 14, by: str = "symbo
 
 
 def label_codes(df: DataFrame, column: str = "sector") -> DataFrame:
-    """<column>_code: the value's place in alphabetical order, from 0."""
-    values = [r[0] for r in df.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(10_000).collect()]
-    codes = F.create_map(*(x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i)))) if values else F.lit(None)
-    return df.withColumn(f"{column}_code", F.try_element_at(codes, F.col(column)) if values else F.lit(None).cast("int"))
+    """<column>_code: the value's place in alphabetical order, from 0, for any number of values. They are numbered by
+    blocks of one beginning."""
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct().withColumn("_begin", F.substring("_v", 1, 3))
+    codes = row_numbers(values, "_begin", ["_v"], "_code").select("_v", F.col("_code").cast("int").alias(f"{column}_code"))
+    return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def engineer(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.dist import f_upper, normal_two_sided, poisson, t_power, t_two_sided
-from tidemark.plans.prefix import average_ranks
+from tidemark.plans.prefix import average_ranks, quantiles, with_bins
 
 
 def welch(split: DataFrame) -> DataFrame:
@@ -48,8 +48,8 @@ def levene(df: DataFrame, conditions: dict[str, Column], target: str) -> DataFra
     """condition, w, p: one-way F over absolute deviations from either side's median."""
     from tidemark.operators.conditions import long_flags
 
-    long = long_flags(df.filter(F.col(target).isNotNull()), conditions, [target])
-    medians = long.groupBy("condition", "flag").agg(F.percentile(target, 0.5).alias("m"))
+    long = long_flags(with_bins(df.filter(F.col(target).isNotNull()), target, [], "_bin"), conditions, [target, "_bin"])
+    medians = quantiles(long, target, [0.5], ["condition", "flag"], binned="_bin").select("condition", "flag", F.col("q")[0].alias("m"))
     dev = long.join(F.broadcast(medians), ["condition", "flag"]).withColumn("z", F.abs(F.col(target) - F.col("m")))  # two rows a condition
     g = dev.groupBy("condition", "flag").agg(F.count("z").cast("double").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("var"))
     tot = g.groupBy("condition").agg(F.sum("n").alias("n"), F.count("*").cast("double").alias("k"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * F.col("var")).alias("within"), F.sum(F.col("n") * F.col("mean") ** 2).alias("square"))
@@ -100,7 +100,7 @@ def _uniforms(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) / 2.0**64
 
 
-def bootstrap_sums(trades: DataFrame, key: str = "trade_id", by: str = "strategy", r: str = "r", replicates: int = 500, seed: int = 7) -> DataFrame:
+def bootstrap_sums(trades: DataFrame, key: str = "trade_id", by: str = "strategy", r: str = "r", replicates: int = 1000, seed: int = 7) -> DataFrame:
     """by, replicate, w, wr, wrr: Poisson bootstrap. Each partition emits its partial sums, so rows are never multiplied
     by the replicates in a shuffle."""
 
@@ -130,7 +130,18 @@ def bootstrap_ci(sums: DataFrame, by: str = "strategy", level: float = 0.95) ->
     return g.select(by, F.col("m")[0].alias("mean_low"), F.col("m")[1].alias("mean_high"), F.col("s")[0].alias("sharpe_low"), F.col("s")[1].alias("sharpe_high"))
 
 
-def reality_check(trades: DataFrame, by: str = "strategy", r: str = "r", key: str = "trade_id", replicates: int = 500, seed: int = 11) -> DataFrame:
+def difference_ci(df: DataFrame, conditions: dict[str, Column], target: str, key: str, replicates: int = 500, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """condition, low, high: the bootstrap interval of the mean where a condition holds minus the mean where not."""
+    from tidemark.operators.conditions import long_flags
+
+    long = long_flags(df.filter(F.col(target).isNotNull()), conditions, [key, target]).withColumn("side", F.concat("condition", F.lit("\t"), F.col("flag").cast("string")))
+    sums = bootstrap_sums(long, key, "side", target, replicates, seed).withColumns({"condition": F.substring_index("side", "\t", 1), "flag": F.substring_index("side", "\t", -1) == "true", "m": F.try_divide("wr", "w")})
+    diff = sums.groupBy("condition", "replicate").agg((F.max(F.when(F.col("flag"), F.col("m"))) - F.max(F.when(~F.col("flag"), F.col("m")))).alias("diff"))
+    tails = [(1 - level) / 2, (1 + level) / 2]
+    return diff.groupBy("condition").agg(F.percentile("diff", tails).alias("q")).select("condition", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # replicates values a condition
+
+
+def reality_check(trades: DataFrame, by: str = "strategy", r: str = "r", key: str = "trade_id", replicates: int = 1000, seed: int = 11) -> DataFrame:
     """White's test: statistic (the best t over strategies), p (share of replicates whose best t over centred returns
     reaches it) and the number of strategies. The standard deviation is the population one."""
     m = trades.groupBy(by).agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"), F.count(r).cast("double").alias("n"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.dist import t_two_sided
+from tidemark.plans.prefix import quantile_values
 
 SUSPICIOUS = "return|target|pct_change|close|high_price|low_price"
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, mean, std, min, quartiles, max: one pass for all columns."""
-    stat = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"), F.max(c).cast("double").alias("max"))
+    """column, n, mean, std, min, quartiles, max: all columns together."""
+    q = quantile_values(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    stat = lambda c: F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), *(F.lit(q[c] and q[c][i]).cast("double").alias(n) for i, n in enumerate(("p25", "p50", "p75"))), F.max(c).cast("double").alias("max"))
     return df.agg(F.array(*map(stat, columns)).alias("x")).select(F.inline("x"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.metrics import series_metrics
+from tidemark.plans.prefix import quantile_values
 
 
 def tercile(x: Column, edges: list[float]) -> Column:
@@ -21,7 +22,7 @@ def by_sector(trades: DataFrame, sector: str = "sector", k: int = 5, r: str = "r
 
 
 def by_cap(trades: DataFrame, cap: str, r: str = "r", min_mean: float = 0.005, max_ratio: float = 5.0) -> DataFrame:
-    edges = trades.agg(F.percentile(cap, [1 / 3, 2 / 3])).first()[0]
+    edges = quantile_values(trades, {"cap": F.col(cap)}, [1 / 3, 2 / 3])["cap"]
     m = trades.withColumn("_t", tercile(F.col(cap), edges or [0.0, 0.0])).filter(F.col("_t").isNotNull()).groupBy("strategy", "_t").agg(F.avg(r).alias("mean"))
     return _spread(m, min_mean, max_ratio)
 

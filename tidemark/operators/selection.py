@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.combos import pair_correlations
+from tidemark.plans.prefix import quantile_values
 
 #: When each feature is known, in minutes after the open (negative: before).
 AVAILABLE = {"premarket": -1, "open": 0, "pct_1min": 1, "pct_5min": 5, "pct_15min": 15, "pct_30min": 30, "pct_1hr": 60, "intraday": 60, "close": 390, "high": 390, "low": 390, "return": 390, "risk_adjusted": 390, "full_day": 390, "target": 390, "daily_range": 390}
@@ -43,7 +44,7 @@ def correlation_filter(df: DataFrame, features: list[str], limit: float = 0.95)
 def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 10) -> DataFrame:
     """feature, mi (nats): contingency of quantile bins and the label, one shuffle of counts for all features."""
     probs = [i / bins for i in range(1, bins)]
-    q = df.agg(*(F.percentile(f, probs).alias(f) for f in features)).first()
+    q = quantile_values(df, {f: F.col(f) for f in features}, probs)
 
     def bin_of(f: str) -> Column:
         return F.size(F.filter(F.array_distinct(F.array(*map(F.lit, q[f]))), lambda t: t < F.col(f)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.scalar import RETURN_EDGES, RETURN_NAMES, cut
 from tidemark.operators.features import flag
+from tidemark.plans.prefix import quantile_values
 
 THRESHOLDS = [0.01, 0.02, 0.03, 0.05]
 
@@ -39,4 +40,5 @@ def create(df: DataFrame) -> DataFrame:
 
 
 def balance(df: DataFrame, target: str = "target_2pct_up", value: str = "next_session_return") -> DataFrame:
-    return df.agg(F.count("*").alias("n"), F.avg(target).alias("positive_rate"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.percentile(value, 0.05).alias("p05"), F.percentile(value, 0.95).alias("p95")).withColumn("extreme", (F.col("positive_rate") < 0.05) | (F.col("positive_rate") > 0.95))
+    q = quantile_values(df, {"q": F.col(value)}, [0.05, 0.95])["q"] or [None, None]
+    return df.agg(F.count("*").alias("n"), F.avg(target).alias("positive_rate"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), *(F.lit(x).cast("double").alias(n) for n, x in zip(("p05", "p95"), q, strict=True))).withColumn("extreme", (F.col("positive_rate") < 0.05) | (F.col("positive_rate") > 0.95))

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.plans.prefix import quantiles
+
+
 GRID, FEW = 50, 20
 YEAR = 252**0.5
 
@@ -21,7 +24,7 @@ def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFr
 
 def grids(long: DataFrame, by: list[str]) -> DataFrame:
     """by, grid: the distinct values if there are at most FEW, else GRID points from the 5th to the 95th percentile."""
-    g = long.groupBy(*by).agg(F.count("x").alias("_n"), F.percentile("x", [0.05, 0.95]).alias("_q"), F.count_distinct("x").alias("_d"))
+    g = long.groupBy(*by).agg(F.count("x").alias("_n"), F.count_distinct("x").alias("_d")).join(quantiles(long, "x", [0.05, 0.95], by, "_q"), by)
     few = long.join(g.filter(F.col("_d") <= FEW).select(*by), by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_set("x")).alias("_values"))  # FEW values at most
     low, high = F.col("_q")[0], F.col("_q")[1]
     points = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: low + i * (high - low) / (GRID - 1))
@@ -31,7 +34,7 @@ def grids(long: DataFrame, by: list[str]) -> DataFrame:
 def percentile_grids(long: DataFrame, by: list[str], step: int = 5) -> DataFrame:
     """by, grid: the percentiles step, 2 step, ... below 100, without repeats."""
     probs = [p / 100 for p in range(step, 100, step)]
-    return long.groupBy(*by).agg(F.array_distinct(F.percentile("x", probs)).alias("grid"))
+    return quantiles(long, "x", probs, by).select(*by, F.array_distinct("q").alias("grid"))
 
 
 def threshold_table(long: DataFrame, grid: DataFrame, by: list[str], r: str = "r", min_n: int = 15) -> DataFrame:

@@ -7,8 +7,12 @@ each block adds its rows to the state it starts from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: Bins of a value's range that ranks and quantiles are found by.
+BINS = 4096
 
 
 def row_numbers(df: DataFrame, block: str, order: list[str], name: str = "position") -> DataFrame:
@@ -20,20 +24,69 @@ def row_numbers(df: DataFrame, block: str, order: list[str], name: str = "positi
     return df.withColumn("_k", F.row_number().over(inside)).join(starts, block).withColumn(name, F.col("_start") + F.col("_k") - 1).drop("_k", "_start")
 
 
-def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """df with ranks from 1, ties averaged. Ranks are found on distinct values with counts, cut into ranges; only range
-    totals meet in one task."""
-    values = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_k"))
-    low, high = values.agg(F.min(value), F.max(value)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("double"))
-    width = (high - low) / 256 or 1.0
-    values = values.withColumn("_b", F.least(F.lit(255), F.floor((F.col(value) - low) / width)))
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = values.groupBy("_b").agg(F.sum("_k").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))  # 256 rows at most
-    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.withColumn("_w", F.coalesce(F.sum("_k").over(inside), F.lit(0))).join(F.broadcast(starts), "_b").select(F.col(value).alias("_v"), (F.col("_s") + F.col("_w") + (F.col("_k") + 1) / 2).alias(name))
-    return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
+def with_bins(df: DataFrame, x: str, by: list[str], name: str, bins: int = BINS) -> DataFrame:
+    """df with a bin of x, 0 to bins - 1, that grows with x within its group. Values are spread by the inverse hyperbolic
+    sine of their distance from the median in quartile widths, so outliers do not crowd the rest into one bin. Nulls get
+    none; not-a-number sorts last."""
+    finite = ~F.isnan(x) & (F.abs(F.col(x)) < float("inf"))
+    y = F.when(finite, F.col(x).cast("double"))
+    s = df.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi"), F.percentile_approx(y, [0.25, 0.5, 0.75], 1000).alias("_q"))  # one row a group
+    scale = F.greatest(F.col("_q")[2] - F.col("_q")[0], (F.col("_hi") - F.col("_lo")) * 1e-6)
+    spread = lambda c: F.asinh(F.try_divide(c - F.col("_q")[1], scale))
+    part = F.coalesce(F.try_divide(spread(y) - spread(F.col("_lo")), spread(F.col("_hi")) - spread(F.col("_lo"))), F.lit(0.0))
+    place = F.when(finite, F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(part * bins)))).when(F.col(x) < 0, 0).when(F.col(x).isNotNull(), bins - 1)
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    joined = df.join(F.broadcast(s), reduce(Column.__and__, same)) if by else df.crossJoin(F.broadcast(s))  # one row a group
+    return joined.withColumn(name, place.cast("int")).drop("_lo", "_hi", "_q", *(f"_g{i}" for i in range(len(by))))
+
+
+def quantiles(df: DataFrame, x: str, probs: list[float], by: list[str], name: str = "q", binned: str | None = None) -> DataFrame:
+    """by and an array of the exact quantiles (linear between neighbours) of each group; a group without values has none.
+    binned names a column that with_bins has set, if there is one.
+
+    Counts by bin find the bins that hold the ranks asked for; only the distinct values of these bins are gathered, about
+    one in BINS, so no task holds the values of a group."""
+    rows = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), *([F.col(binned).alias("_bin")] if binned else []))
+    rows = rows if binned else with_bins(rows, "_x", by, "_bin")
+    counts = rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    run = counts.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(whole)})  # BINS rows a group
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_all") - 1)).alias("_at")) for i, p in enumerate(probs))))
+    asked = run.select("*", at.alias("_p")).select(*by, "_bin", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", "_p.*")
+    asked = asked.select("*", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_k")).filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_upto")))
+    keys = [*by, "_bin"]
+    wanted = asked.select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(keys))).distinct()
+    some = rows.join(F.broadcast(wanted), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(keys)]), "left_semi")  # two bins a quantile and group
+    inside = some.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
+    ranked = inside.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    hit = asked.alias("a").join(ranked.alias("r"), reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys] + [F.col("_k") - F.col("_before") < F.col("_to"), F.col("_k") - F.col("_before") >= F.col("_to") - F.col("_c")]))
+    value = hit.groupBy(*(F.col(f"a.{c}").alias(c) for c in by), "_i", "_at").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    value = value.withColumn("_v", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at")))
+    return value.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(name))
+
+
+def quantile_values(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> dict[str, list[float] | None]:
+    """Exact quantiles of several expressions over the whole table: one row each reaches the driver."""
+    cells = F.array(*(F.struct(F.lit(n).alias("_name"), c.cast("double").alias("_value")) for n, c in columns.items()))
+    found = {r["_name"]: r["q"] for r in quantiles(df.select(F.inline(cells)), "_value", probs, ["_name"]).collect()}
+    return {n: found.get(n) for n in columns}
+
+
+def average_ranks(df: DataFrame, value: str, name: str = "rank", by: list[str] | None = None, share: bool = False) -> DataFrame:
+    """df with ranks from 1 within its group, ties averaged (share: over the number of values). Ranks are found on distinct
+    values with counts, cut into bins; only bin totals of a group meet in one task."""
+    by = by or []
+    values = with_bins(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k")), value, by, "_b")
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    totals = values.groupBy(*by, "_b").agg(F.sum("_k").alias("_n"))  # BINS rows a group at most
+    starts = totals.select(*by, "_b", F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"), F.sum("_n").over(whole).alias("_all"))
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_b"]
+    counted = values.withColumn("_w", F.coalesce(F.sum("_k").over(inside), F.lit(0))).alias("v").join(starts.alias("s"), reduce(Column.__and__, [F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keys]))
+    rank = F.col("_s") + F.col("_w") + (F.col("_k") + 1) / 2
+    ranks = counted.select(*(F.col(f"v.{c}").alias(f"_g{i}") for i, c in enumerate(by)), F.col(f"v.{value}").alias("_v"), (rank / F.col("_all") if share else rank).alias(name))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)] + [F.col(value) == F.col("_v")]
+    return df.join(ranks, reduce(Column.__and__, same), "left").drop("_v", *(f"_g{i}" for i in range(len(by))))
 
 
 def drawdown_parts(trades: DataFrame, by: list[str], r: str, block: str, order: list[str]) -> DataFrame:

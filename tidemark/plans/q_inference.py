@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import conditions as X, inference as I, metrics as M
-from tidemark.plans.q_strategies import LONG, YEAR, _split, conditioned
-from tidemark.plans.registry import Views, query
+from tidemark.plans.q_strategies import LONG, _split, conditioned
+from tidemark.plans.registry import Views, query, t_tail
 
 
 def _tests(v: Views) -> DataFrame:
@@ -23,9 +23,19 @@ def _(v: Views) -> DataFrame:
     return _tests(v).select("condition", "t", "df", "cohens_d")
 
 
-@query("i1_condition_tests")
+def adjusted(tests: str, key: str) -> str:
+    """SQL of adjust over tests(key, p, ...)."""
+    up, down = (f"OVER (ORDER BY {x} ROWS UNBOUNDED PRECEDING)" for x in ("i", "i DESC"))
+    return f"ad AS (SELECT * EXCLUDE (m, i), least(1, p * m) AS p_bonferroni, least(1, max(p * (m - i + 1)) {up}) AS p_holm, least(1, min(p * m / i) {down}) AS p_fdr FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY round(p, 14), {key}) AS i FROM ({tests}) q) q2)"
+
+
+_REJECTS = ", ".join(f"p_{m} < 0.05 AS reject_{m}" for m in ("bonferroni", "holm", "fdr"))
+_P = "p p_bonferroni p_holm p_fdr"
+
+
+@query("i1_condition_tests", f"WITH wt AS ({_WELCH}), {adjusted(f'SELECT *, {t_tail("t", "df")} AS p FROM wt', 'condition')} SELECT condition, {_P.replace(' ', ', ')}, {_REJECTS} FROM ad", "records", _P, 5)
 def _(v: Views) -> DataFrame:
-    return I.adjust(_tests(v), key="condition")
+    return I.adjust(_tests(v), key="condition").select("condition", *_P.split(), "reject_bonferroni", "reject_holm", "reject_fdr")
 
 
 @query("i2_one_sample", f"SELECT strategy, avg(r) * sqrt(count(r)) / stddev_samp(r) AS t, avg(r) / stddev_samp(r) AS d FROM trades GROUP BY 1", "trades", "t d", 5)
@@ -46,7 +56,6 @@ def _(v: Views) -> DataFrame:
     return I.levene(v.trades, {n: F.expr(c) for n, c in _MW.items()}, "r").select("condition", "w")
 
 
-_PS = [("a", 0.001), ("b", 0.008), ("c", 0.039), ("d", 0.041), ("e", 0.042), ("f", 0.06), ("g", 0.2), ("h", 0.2)]
 _PVALUES = "p AS (SELECT substr(trade_id, 1, 3) AS strategy, count(*) / 1e4 * (1 + min(qty) / 100) AS p FROM trades GROUP BY 1), k AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p, strategy) AS i FROM p)"
 
 
@@ -62,36 +71,69 @@ def _(v: Views) -> DataFrame:
     return I.quick_adjust(t, 500).select("strategy", "p_bonferroni", "p_log")
 
 
-@query("i10_gates")
+#: One test for each strategy and month of the year.
+_MONTHLY = f"SELECT strategy || '-' || CAST(month(d) AS VARCHAR) AS strategy, count(r) AS n, avg(r) AS mean, avg(r) / stddev_samp(r) AS d, avg(r) * sqrt(count(r)) / stddev_samp(r) AS t FROM trades GROUP BY 1"
+
+
+def monthly_tests(v: Views) -> DataFrame:
+    t = v.trades.withColumn("strategy", F.concat_ws("-", "strategy", F.month("d")))
+    return I.one_sample(M.series_metrics(t, ["strategy"]))
+
+
+_ONE = f"SELECT *, {t_tail('t', 'n - 1e0')} AS p FROM ({_MONTHLY}) q"
+
+
+@query("i10_gates", f"WITH x AS (SELECT *, least(1, p * log10(956)) AS pl FROM ({_ONE}) q) SELECT strategy, n, d, p, CASE WHEN n < 20 THEN 'sample' WHEN pl > 0.05 THEN 'significance' WHEN abs(d) < 0.2 THEN 'effect' ELSE 'later' END AS reason FROM x", "trades", "d p", 5)
 def _(v: Views) -> DataFrame:
-    return I.gates(I.quick_adjust(I.one_sample(M.series_metrics(v.trades, ["strategy"])), 956)).select("strategy", "n", "d", "p", "power", "reason", "passed")
+    """The gates up to the effect; the power of the rest needs the noncentral t (no SQL, see i9)."""
+    g = I.gates(I.quick_adjust(monthly_tests(v), 956))
+    return g.select("strategy", "n", "d", "p", F.when(F.col("reason").isin("sample", "significance", "effect"), F.col("reason")).otherwise("later").alias("reason"))
 
 
-@query("i13_significant")
+@query("i13_significant", f"WITH {adjusted(_ONE, 'strategy')} SELECT strategy, {_P.replace(' ', ', ')}, (p_bonferroni < 0.05)::INT + (p_holm < 0.05)::INT + (p_fdr < 0.05)::INT >= 2 AND mean > 0 AS significant FROM ad", "trades", _P, 5)
 def _(v: Views) -> DataFrame:
-    return I.significant(I.adjust(I.one_sample(M.series_metrics(v.trades, ["strategy"]))))
+    return I.significant(I.adjust(monthly_tests(v))).select("strategy", *_P.split(), "significant")
 
 
-@query("i6_bootstrap_ci")
+@query("i6_bootstrap_ci", "SELECT strategy, true AS mean_inside, true AS sharpe_inside, true AS narrow FROM trades GROUP BY 1", "trades")
 def _(v: Views) -> DataFrame:
-    return I.bootstrap_ci(I.bootstrap_sums(v.trades))
+    """The intervals hold the sample's own values, and the mean's is as wide as four standard errors, within a quarter."""
+    m = M.series_metrics(v.trades, ["strategy"])
+    c = I.bootstrap_ci(I.bootstrap_sums(v.trades)).join(m, "strategy")
+    width, error = F.col("mean_high") - F.col("mean_low"), F.col("std") / F.sqrt(F.col("n").cast("double"))
+    return c.select("strategy", F.col("mean").between(F.col("mean_low"), F.col("mean_high")).alias("mean_inside"), F.col("sharpe").between(F.col("sharpe_low"), F.col("sharpe_high")).alias("sharpe_inside"), (F.abs(width / error / 3.92 - 1) < 0.25).alias("narrow"))
 
 
-@query("i11_reality_check")
+_SIDES = {"big": "qty > 25", "dear": "price > 40000"}
+
+
+@query("i6_difference_ci", " UNION ALL ".join(f"SELECT '{n}' AS condition, true AS inside, true AS narrow FROM trades HAVING count(*) > 0" for n in _SIDES), "trades")
 def _(v: Views) -> DataFrame:
-    return I.reality_check(v.trades)
+    """The same for the difference of the means on either side of a condition."""
+    conditions = {n: F.expr(c) for n, c in _SIDES.items()}
+    s = X.split_stats(v.trades, conditions, "r", medians=False)
+    c = I.difference_ci(v.trades, conditions, "r", "trade_id").join(s, "condition")
+    error = F.sqrt(F.col("std_true") ** 2 / F.col("n_true") + F.col("std_false") ** 2 / F.col("n_false"))
+    return c.select("condition", (F.col("mean_true") - F.col("mean_false")).between(F.col("low"), F.col("high")).alias("inside"), (F.abs((F.col("high") - F.col("low")) / error / 3.92 - 1) < 0.25).alias("narrow"))
 
 
-@query("i12_pearson_p")
+@query("i11_reality_check", "WITH m AS (SELECT strategy, avg(r) * sqrt(count(r)) / stddev_pop(r) AS t FROM trades GROUP BY 1) SELECT max(t) AS statistic, count(*) AS n_strategies, CAST(1000 AS BIGINT) AS n_replicates, max(t) > 4 AS beyond FROM m", "trades", "statistic", 4)
 def _(v: Views) -> DataFrame:
+    """The statistic, and whether it lies beyond all replicates but one in a hundred (as a t above 4 must)."""
+    return I.reality_check(v.trades).select("statistic", "n_strategies", "n_replicates", (F.col("p") < 0.01).alias("beyond"))
+
+
+_PEARSON = " UNION ALL ".join(f"SELECT '{c}' AS feature, 'r' AS target, count(*) AS n, corr({c}, r) AS corr FROM trades WHERE d < DATE '1996-01-01'" for c in ("qty", "price", "tax", "part", "supp"))
+
+
+@query("i12_pearson_p", f"SELECT feature, target, n, corr, {t_tail('corr * sqrt((n - 2) / (1 - corr * corr))', 'n - 2e0')} AS p FROM ({_PEARSON}) q", "trades", "corr p", 5)
+def _(v: Views) -> DataFrame:
+    """p-values of correlations over the trades of the first years."""
     from tidemark.operators.profile import correlations, leakage
 
-    return leakage(correlations(v.trades, ["qty", "price", "tax"], ["r"]))
+    return leakage(correlations(v.trades.filter("d < DATE '1996-01-01'"), ["qty", "price", "tax", "part", "supp"], ["r"])).drop("leak")
 
 
 @query("i14_wilcoxon", "WITH x AS (SELECT strategy, round(r, 4) AS r FROM trades WHERE round(r, 4) <> 0), k AS (SELECT strategy, r, rank() OVER (PARTITION BY strategy ORDER BY abs(r)) + (count(*) OVER (PARTITION BY strategy, abs(r)) - 1) / 2e0 AS rk FROM x), t AS (SELECT strategy, sum(c ** 3 - c) AS t FROM (SELECT strategy, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY strategy, abs(r)) y GROUP BY 1), g AS (SELECT strategy, CAST(count(*) AS DOUBLE) AS n, sum(rk) FILTER (WHERE r > 0) AS w FROM k GROUP BY 1) SELECT strategy, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48) AS z FROM g JOIN t USING (strategy)", "trades", "w z", 4)
 def _(v: Views) -> DataFrame:
     return I.wilcoxon(v.trades.withColumn("r", F.round("r", 4)))
-
-
-del YEAR, _PS

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import combos as C, features as E, folds as D, models as L, selection as G
 from tidemark.plans.registry import Views, query
+from tidemark.shared import new_path
 
 FEATURES = ["surprise", "revenue_surprise", "open_gap", "premarket_range", "volume_ratio_7_day", "market_cap_log", "pct_1min", "pct_5min"]
 
@@ -20,15 +21,27 @@ def _(v: Views) -> DataFrame:
     return G.variance_filter(v.records.withColumn("constant", F.lit(1.0)), ["surprise", "high_before_low", "constant"])
 
 
-@query("g2_correlation_filter", "SELECT 'pct_change_open' AS feature UNION ALL SELECT 'market_cap' FROM records WHERE record_id = 0", "records")
+_WALK = ["pct_change_open", "twice", "market_cap", "shifted", "surprise"]
+_ABS = lambda a, b: f"coalesce(abs(corr({a}, {b})), 0)"
+
+
+def _walk_sql() -> str:
+    """The walk over the correlations: a feature stays if none that stays before it correlates with it."""
+    pairs = ", ".join(f"{_ABS(a, b)} AS {a}__{b}" for i, a in enumerate(_WALK) for b in _WALK[i + 1 :])
+    steps = "".join(f", k{i} AS (SELECT *, " + (" AND ".join(f"NOT (keep_{_WALK[j]} AND {_WALK[j]}__{f} > 0.95)" for j in range(i)) or "true") + f" AS keep_{f} FROM {'c' if i == 0 else f'k{i - 1}'})" for i, f in enumerate(_WALK))
+    last = f"k{len(_WALK) - 1}"
+    return f"WITH x AS (SELECT *, pct_change_open * 2 AS twice, market_cap + 1 AS shifted FROM records), c AS (SELECT {pairs} FROM x){steps} " + " UNION ALL ".join(f"SELECT '{f}' AS feature FROM {last} WHERE keep_{f}" for f in _WALK)
+
+
+@query("g2_correlation_filter", _walk_sql(), "records")
 def _(v: Views) -> DataFrame:
     df = v.records.withColumns({"twice": F.col("pct_change_open") * 2, "shifted": F.col("market_cap") + 1})
-    return v.spark.createDataFrame([(f,) for f in G.correlation_filter(df, ["pct_change_open", "twice", "market_cap", "shifted"])], "feature string")
+    return v.spark.createDataFrame([(f,) for f in G.correlation_filter(df, _WALK)], "feature string")
 
 
-@query("g3_mutual_information", "WITH q AS (SELECT quantile_cont(qty, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM trades), b AS (SELECT len(list_filter(list_distinct(q), lambda t: t < qty)) AS b, r > 0 AS y FROM trades, q), n AS (SELECT b, y, count(*) AS n FROM b GROUP BY 1, 2), j AS (SELECT n, sum(n) OVER (PARTITION BY b) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM n) SELECT 'qty' AS feature, sum(n / t * ln(n * t / CAST(nx * ny AS DOUBLE))) AS mi FROM j", "trades", "mi", 7)
+@query("g3_mutual_information", " UNION ALL ".join(f"SELECT * FROM (WITH q AS (SELECT quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM trades), b AS (SELECT len(list_filter(list_distinct(q), lambda t: t < {c})) AS b, r > 0 AS y FROM trades, q), n AS (SELECT b, y, count(*) AS n FROM b GROUP BY 1, 2), j AS (SELECT n, sum(n) OVER (PARTITION BY b) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM n) SELECT '{c}' AS feature, sum(n / t * ln(n * t / CAST(nx * ny AS DOUBLE))) AS mi FROM j) x" for c in ("qty", "price", "tax")), "trades", "mi", 7)
 def _(v: Views) -> DataFrame:
-    return G.mutual_information(v.trades.withColumn("y", F.col("r") > 0), ["qty"], "y")
+    return G.mutual_information(v.trades.withColumn("y", F.col("r") > 0), ["qty", "price", "tax"], "y")
 
 
 @query("g4_recursive_elimination")
@@ -46,20 +59,38 @@ def _(v: Views) -> DataFrame:
     return G.forest_importance(prepared(v), FEATURES, "y", 20)
 
 
+@query("g6_permutation_importance")
+def _(v: Views) -> DataFrame:
+    """Loss of AUC when a column is shuffled, five times each (a seeded MLlib forest, no SQL)."""
+    df, some = prepared(v), FEATURES[:3]
+    rows = G.assemble(df, some, "y", scale=False)
+    forest = L.RandomForestClassifier(numTrees=10, maxDepth=5, seed=7).fit(rows)
+    return G.permutation_importance(df, forest, some, "y")
+
+
 @query("g7_vote")
 def _(v: Views) -> DataFrame:
-    df = prepared(v).persist()
+    df = prepared(v)
     known = G.known_by(FEATURES, 5)
     chosen = {"variance": [r["feature"] for r in G.variance_filter(df, known).filter("kept").collect()], "correlation": G.correlation_filter(df, known), "lasso": G.lasso(df, known, "y", 0.001)}
     return G.vote(v.spark, chosen, G.mutual_information(df, known, "y"), 6)
 
 
-@query("g8_info_ratio", "SELECT 'surprise' AS feature, corr(surprise, pct_1hr) AS corr, count(*) FILTER (WHERE surprise IS NOT NULL AND pct_1hr IS NOT NULL) AS n, abs(corr(surprise, pct_1hr)) * sqrt(count(*) FILTER (WHERE surprise IS NOT NULL AND pct_1hr IS NOT NULL)) AS info_ratio FROM records", "records", "corr info_ratio", 5)
+@query("g8_info_ratio", " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, pct_1hr) AS corr, count(*) FILTER (WHERE {c} IS NOT NULL AND pct_1hr IS NOT NULL) AS n, abs(corr({c}, pct_1hr)) * sqrt(count(*) FILTER (WHERE {c} IS NOT NULL AND pct_1hr IS NOT NULL)) AS info_ratio FROM records" for c in ("surprise", "revenue_surprise", "market_cap", "pct_5min")), "records", "corr info_ratio", 5)
 def _(v: Views) -> DataFrame:
-    return G.info_ratio(v.records, ["surprise"], "pct_1hr")
+    return G.info_ratio(v.records, ["surprise", "revenue_surprise", "market_cap", "pct_5min"], "pct_1hr")
 
 
-@query("g9_feature_ranking")
+def _ranking() -> str:
+    from tidemark.plans.q_strategies import _CORR, _F5, _SINGLES
+
+    ratio = " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, r)) * sqrt(count(*)) AS info_ratio FROM trades" for f in _F5)
+    return f"""WITH {_SINGLES}, {_CORR}, ir AS ({ratio}), bo AS (SELECT f1, f2, corr FROM co UNION ALL SELECT f2, f1, corr FROM co), spr AS (SELECT bo.f1 AS feature, avg(1 - abs(coalesce(corr, 0))) AS dv FROM bo JOIN singles s ON s.feature = bo.f2 AND s.sharpe > 0.8 GROUP BY 1),
+x AS (SELECT singles.feature, coalesce(dv, 0.5) AS dv, 0.4 * greatest(0, least(1, sharpe / 3)) + 0.2 * greatest(0, least(1, info_ratio / 5)) + 0.2 * greatest(0, 1 - abs(mdd) / 0.15) + 0.2 * greatest(0, least(1, (win_rate - 0.4) / 0.3)) AS own FROM singles JOIN ir USING (feature) LEFT JOIN spr ON spr.feature = singles.feature)
+SELECT feature, own AS individual, dv AS diversification, 0.7 * own + 0.25 * dv + 0.05 * 0.8 AS total FROM x"""
+
+
+@query("g9_feature_ranking", _ranking, "trades", "individual diversification total", 5)
 def _(v: Views) -> DataFrame:
     from tidemark.plans.q_strategies import _F5, _singles
 
@@ -69,13 +100,30 @@ def _(v: Views) -> DataFrame:
 
 def fold_rows(v: Views) -> DataFrame:
     df = prepared(v)
-    return D.assign(df, D.expanding(df, splits=2)).persist()
+    return D.assign(df, D.expanding(df, splits=2))
+
+
+_fitted: dict[tuple[str, str], str] = {}
+
+
+def fitted(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Predictions and metrics of the four classifiers over the folds. They are fitted once a session and table and kept
+    in the shared folder."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in _fitted:
+        path = new_path(v.spark, "fitted")
+        rows = fold_rows(v)
+        rows.write.parquet(f"{path}/rows")
+        predictions, metrics = L.fit_folds(v.spark.read.parquet(f"{path}/rows"), FEATURES, "y", L.classifiers(len(FEATURES)))
+        predictions.write.parquet(f"{path}/predictions")
+        metrics.write.parquet(f"{path}/metrics")
+        _fitted[key] = path
+    return tuple(v.spark.read.parquet(f"{_fitted[key]}/{n}") for n in ("predictions", "metrics"))
 
 
 @query("l3_fold_metrics")
 def _(v: Views) -> DataFrame:
-    rows = fold_rows(v)
-    return L.fit_folds(rows, FEATURES, "y", L.classifiers(len(FEATURES)))[1]
+    return fitted(v)[1]
 
 
 @query("l2_regressors")
@@ -85,34 +133,44 @@ def _(v: Views) -> DataFrame:
 
 @query("l4_grid_search")
 def _(v: Views) -> DataFrame:
-    return L.search(fold_rows(v), FEATURES, "y", {"maxDepth": [3, 5], "numTrees": [10]})
+    return L.search(fold_rows(v), FEATURES, "y", {"maxDepth": [3, 5], "numTrees": [10, 20]})
 
 
 @query("l6_calibration")
 def _(v: Views) -> DataFrame:
-    p = L.fit_folds(fold_rows(v), FEATURES, "y", {"logistic": L.classifiers(len(FEATURES))["logistic"]})[0]
-    return L.calibration(p)[0]
+    """The curve of each classifier over ten bins, with its mean gap."""
+    p, out = fitted(v)[0], None
+    for name in L.classifiers(len(FEATURES)):
+        curve, gap = L.calibration(p.filter(F.col("model") == name))
+        part = curve.crossJoin(F.broadcast(gap)).withColumn("model", F.lit(name))  # one row
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("l7_error_metrics")
 def _(v: Views) -> DataFrame:
-    return L.error_metrics(L.fit_folds(fold_rows(v), FEATURES, "y", {"logistic": L.classifiers(len(FEATURES))["logistic"]})[0])
+    return L.error_metrics(fitted(v)[0])
 
 
 @query("l8_ensemble")
 def _(v: Views) -> DataFrame:
-    m = L.classifiers(len(FEATURES))
-    return L.ensemble(L.fit_folds(fold_rows(v), FEATURES, "y", {k: m[k] for k in ("logistic", "forest")})[0])
+    """The mean of the four models by row, and its area under the curve."""
+    p = fitted(v)[0]
+    mean = L.ensemble(p).join(p.select("row_id", "label").distinct(), "row_id")
+    auc = L.BinaryClassificationEvaluator(rawPredictionCol="p").evaluate(mean)
+    return mean.select("row_id", "p", F.lit(float(auc)).alias("auc"))
 
 
 @query("r5_ablation")
 def _(v: Views) -> DataFrame:
-    """Mean return of predicted ups with all features, and with the strongest one set to zero."""
-    rows = fold_rows(v).filter("fold = 0")
-    train, test = (rows.filter(F.col("role") == x).withColumn("label", F.col("y").cast("double")) for x in ("train", "test"))
-    fitted = L.pipeline(FEATURES, L.classifiers(len(FEATURES))["logistic"](), scaled=True).fit(train)
-    weights = fitted.stages[-1].coefficients.toArray()
-    top = max(zip(FEATURES, weights, strict=True), key=lambda fw: abs(fw[1]))[0]
-    base, cut = fitted.transform(test), L.ablation(test, fitted, FEATURES, top)
-    mean = lambda df, n: df.filter("prediction = 1").agg(F.lit(n).alias("scenario"), F.count("*").alias("n"), F.avg("r").alias("mean"))
-    return mean(base, "all").unionByName(mean(cut, f"without {top}"))
+    """Mean return of predicted ups by fold, with all features and with the strongest one set to zero."""
+    rows, out = fold_rows(v), None
+    for fold in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):
+        train, test = (rows.filter((F.col("fold") == fold) & (F.col("role") == x)).withColumn("label", F.col("y").cast("double")) for x in ("train", "test"))
+        model = L.pipeline(FEATURES, L.classifiers(len(FEATURES))["logistic"](), scaled=True).fit(train)
+        weights = model.stages[-1].coefficients.toArray()
+        top = max(zip(FEATURES, weights, strict=True), key=lambda fw: abs(fw[1]))[0]
+        for scenario, scored in (("all", model.transform(test)), (f"without {top}", L.ablation(test, model, FEATURES, top))):
+            part = scored.filter("prediction = 1").agg(F.lit(fold).alias("fold"), F.lit(scenario).alias("scenario"), F.count("*").alias("n"), F.avg("r").alias("mean"))
+            out = part if out is None else out.unionByName(part)
+    return out

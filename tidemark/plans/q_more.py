@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import combos as C, folds as D, metrics as M, robustness as R, sizing as Z, thresholds as H
+from tidemark.plans.prefix import quantile_values
 from tidemark.plans.q_bars import BINS, bins
-from tidemark.plans.q_strategies import STRATEGIES, YEAR, daily, rules
+from tidemark.plans.q_strategies import EVALUATED, STRATEGIES, YEAR, daily, evaluated, rules
 from tidemark.plans.registry import Views, query
 from tidemark.shared import new_path
 from tidemark.sources import readers, sinks
@@ -33,18 +34,18 @@ def _(v: Views) -> DataFrame:
     return table.join(counts, "ordinal").select("ordinal", "stop_loss", "n")
 
 
-@query("s16_saved_profiles", "SELECT strftime(report_date, '%Y-%m') AS month, count(surprise) AS n FROM records GROUP BY 1", "records")
+@query("s16_saved_profiles", "SELECT strftime(report_date, '%Y-%m') AS month, count(surprise) AS n, round(avg(surprise), 4) AS mean, round(stddev_samp(surprise), 4) AS std FROM records GROUP BY 1", "records", "mean std", 4)
 def _(v: Views) -> DataFrame:
     from tidemark.operators.profile import monthly
 
     path = new_path(v.spark, "profiles")
     sinks.save_profiles({"months": monthly(v.records, "surprise")}, path)
-    return v.spark.read.option("header", True).schema("month string, n bigint, mean double, std double").csv(f"{path}/months").select("month", "n")
+    return v.spark.read.option("header", True).schema("month string, n bigint, mean double, std double").csv(f"{path}/months")
 
 
 @query("f14_terciles", "WITH q AS (SELECT quantile_cont(price, 1/3e0) AS a, quantile_cont(price, 2/3e0) AS b FROM trades) SELECT trade_id, CASE WHEN price <= a THEN 'small' WHEN price <= b THEN 'medium' ELSE 'large' END AS tercile FROM trades, q", "trades")
 def _(v: Views) -> DataFrame:
-    edges = v.trades.agg(F.percentile("price", [1 / 3, 2 / 3])).first()[0]
+    edges = quantile_values(v.trades, {"price": F.col("price")}, [1 / 3, 2 / 3])["price"]
     return v.trades.select("trade_id", R.tercile(F.col("price"), edges or [0.0, 0.0]).alias("tercile"))
 
 
@@ -118,7 +119,11 @@ def _(v: Views) -> DataFrame:
     return combo_tests(v).select("strategy", "fold", "n", "mean", "win_rate")
 
 
-@query("c6_combination_walk_forward")
+_TRAIN = " UNION ALL ".join(f"SELECT '{s}' AS strategy, fold, avg(r) / stddev_samp(r) * {YEAR} AS train_sharpe FROM trades JOIN k ON d BETWEEN (SELECT min(d) FROM trades) AND a - 1 WHERE {' AND '.join(c)} GROUP BY 2" for s, c in _RULES.items())
+_TEST = " UNION ALL ".join(f"SELECT '{s}' AS strategy, fold, count(*) AS n, avg(r) AS m, stddev_samp(r) AS s, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS w FROM trades JOIN k ON d BETWEEN a AND a + 29 WHERE {' AND '.join(c)} GROUP BY 2 HAVING count(*) >= 5" for s, c in _RULES.items())
+
+
+@query("c6_combination_walk_forward", f"WITH {_FOLDS}, tr AS ({_TRAIN}), te AS ({_TEST}), {evaluated('strategy', 'SELECT te.*, m / s * ' + YEAR + ' AS sharpe, train_sharpe FROM te JOIN tr USING (strategy, fold)', 1.0, 0.5, 0.02, 0.25)}", "trades", EVALUATED, 5)
 def _(v: Views) -> DataFrame:
     """Combinations pooled over the test folds, against their training folds, with the gates of a combination."""
     rows = D.assign(v.trades.withColumnRenamed("strategy", "own"), D.monthly(v.trades))

@@ -24,8 +24,9 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     path = new_path(v.spark, "snapshots")
     day = v.records.filter("open_price IS NOT NULL").groupBy(F.date_format("report_date", "yyyy-MM-dd").alias("date")).agg(F.collect_list(F.struct("symbol", "open_price")).alias("data"))  # a day's records
-    day.withColumn("timestamp", F.col("date")).write.json(path)
-    return v.spark.read.schema("date string, data array<struct<symbol:string,open_price:double>>").json(path).select(F.col("date").alias("snapshot_date"), F.inline("data"))
+    month = day.withColumn("timestamp", F.col("date")).groupBy(F.substring("date", 1, 7)).agg(F.to_json(F.collect_list(F.struct("timestamp", "date", "data"))).alias("value"))  # one file a month
+    month.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.snapshots_json(v.spark, path, "symbol string, open_price double").select("snapshot_date", "symbol", "open_price")
 
 
 @query("s7_calendar_range", "SELECT symbol, day, hour, eps_actual FROM calendar WHERE day BETWEEN DATE '1998-01-05' AND DATE '1998-01-30'", "calendar", "eps_actual")
@@ -75,14 +76,40 @@ def _(v: Views) -> DataFrame:
     return back.select("rank", "record.strategy", "record.sharpe")
 
 
-@query("s14_signals")
+def signalled(v: Views) -> DataFrame:
+    """Strategies with their drawdown and the timeframe that scores best."""
+    from tidemark.operators import regimes as G
+    from tidemark.plans.q_strategies import framed, small
+
+    frame = G.best_timeframe(G.timeframes(framed(v)), 1).select("strategy", "timeframe")
+    m = M.series_metrics(v.trades, ["strategy"]).join(M.max_drawdown(small(v), ["strategy"]).select("strategy", "mdd"), "strategy")
+    return m.join(frame, "strategy", "left").fillna("1hr", ["timeframe"])
+
+
+@query("s14_signals", lambda: _SIGNALS(), "trades", "sharpe mdd", 4)
 def _(v: Views) -> DataFrame:
-    m = M.series_metrics(v.trades, ["strategy"]).withColumns({"mdd": F.lit(-0.04), "timeframe": F.lit("5min")})
-    return sinks.signals(m, 4, 2)
+    """The signals' JSON, read back: the best two have all their fields, the next two a few."""
+    json = F.col("json")
+    s = sinks.signals(signalled(v), 4, 2)
+    field = lambda n: F.get_json_object(json, f"$.{n}")
+    return s.select("rank", "strategy", field("sharpe").cast("double").alias("sharpe"), field("mdd").cast("double").alias("mdd"), field("timeframe").alias("timeframe"), field("risk").alias("risk"), field("buy_time").alias("buy_time"))
+
 
+def _SIGNALS() -> str:
+    from tidemark.functions.scalar import BUY_TIMES
+    from tidemark.plans.q_strategies import BEST_FRAMES, DRAWDOWN, METRICS
 
-@query("s15_report", "SELECT count(*) AS n_lines FROM records", "records")
+    buy = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in BUY_TIMES.items())
+    return f"""WITH m AS ({METRICS}), dd AS ({DRAWDOWN}), bf AS ({BEST_FRAMES}), j AS (SELECT m.strategy, m.sharpe, dd.mdd, coalesce(bf.timeframe, '1hr') AS timeframe, CAST(row_number() OVER (ORDER BY m.sharpe DESC, m.strategy) AS INT) AS rank FROM m JOIN dd USING (strategy) LEFT JOIN bf USING (strategy))
+SELECT rank, strategy, round(sharpe, 4) AS sharpe, CASE WHEN rank <= 2 THEN round(mdd, 4) END AS mdd, CASE WHEN rank <= 2 THEN timeframe END AS timeframe, CASE WHEN rank > 2 THEN CASE WHEN abs(mdd) < 0.05 THEN 'LOW' WHEN abs(mdd) < 0.1 THEN 'MEDIUM' ELSE 'HIGH' END END AS risk, CASE WHEN rank > 2 THEN CASE timeframe {buy} ELSE '09:30:00' END END AS buy_time FROM j WHERE rank <= 4"""
+
+
+@query("s15_report", "SELECT symbol || ' | ' || strftime(report_date, '%Y-%m-%d') AS head, CASE WHEN opening_minute_volume IS NULL THEN 'N/A' ELSE format('{:,}', CAST(opening_minute_volume AS BIGINT)) END AS volume, CASE WHEN surprise IS NULL THEN 'N/A' END AS no_surprise, 2 * count(*) AS n FROM records GROUP BY ALL", "records")
 def _(v: Views) -> DataFrame:
+    """The report appended twice, its lines read back."""
     path = new_path(v.spark, "report")
-    sinks.append_report(v.records, path)
-    return v.spark.read.text(path).agg(F.count("*").alias("n_lines"))
+    for _ in range(2):
+        sinks.append_report(v.records, path)
+    part = F.split("value", " \\| ")
+    back = v.spark.read.text(path).select(F.concat_ws(" | ", part[0], part[1]).alias("head"), F.substring_index("value", "volume ", -1).alias("volume"), F.when(part[2] == "surprise N/A", "N/A").alias("no_surprise"))
+    return back.groupBy("head", "volume", "no_surprise").agg(F.count("*").alias("n"))

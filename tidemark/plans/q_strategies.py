@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import combos as C, conditions as X, costs as K, features as E, folds as D, metrics as M, regimes as G, robustness as R, sizing as Z, thresholds as H
-from tidemark.plans.prefix import row_numbers
-from tidemark.plans.registry import Views, query
+from tidemark.plans.prefix import quantile_values, row_numbers
+from tidemark.plans.registry import Views, query, t_tail
 
 YEAR = "15.874507866387544e0"  # the root of 252
 
@@ -38,8 +38,11 @@ def small(v: Views) -> DataFrame:
     return v.trades.withColumn("r", F.col("r") / 100)
 
 
-@query("a11_max_drawdown", _SMALL + """, w AS (SELECT strategy, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY d, trade_id ROWS UNBOUNDED PRECEDING)) AS g, d, trade_id FROM t), p AS (SELECT strategy, g, max(g) OVER (PARTITION BY strategy ORDER BY d, trade_id ROWS UNBOUNDED PRECEDING) AS p, row_number() OVER (PARTITION BY strategy ORDER BY d DESC, trade_id DESC) AS k FROM w)
-SELECT strategy, max(g) FILTER (WHERE k = 1) AS growth, min(g / p - 1) AS mdd FROM p GROUP BY 1""", "trades", "growth mdd")
+DRAWDOWN = _SMALL + """, w AS (SELECT strategy, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY d, trade_id ROWS UNBOUNDED PRECEDING)) AS g, d, trade_id FROM t), p AS (SELECT strategy, g, max(g) OVER (PARTITION BY strategy ORDER BY d, trade_id ROWS UNBOUNDED PRECEDING) AS p, row_number() OVER (PARTITION BY strategy ORDER BY d DESC, trade_id DESC) AS k FROM w)
+SELECT strategy, max(g) FILTER (WHERE k = 1) AS growth, min(g / p - 1) AS mdd FROM p GROUP BY 1"""
+
+
+@query("a11_max_drawdown", DRAWDOWN, "trades", "growth mdd")
 def _(v: Views) -> DataFrame:
     return M.max_drawdown(small(v), ["strategy"])
 
@@ -172,12 +175,32 @@ def walked(v: Views) -> tuple[DataFrame, DataFrame]:
     return H.walk_forward(rows, ["qty", "price", "tax"])
 
 
-@query("c3_test_metrics")
+EVALUATED = "mean win_rate degradation std sharpe d p"
+
+
+def evaluated(by: str, tests: str, min_sharpe: float, min_win: float, max_p: float, min_d: float) -> str:
+    """SQL of thresholds.evaluate over tests(by, n, m, s, w, sharpe, train_sharpe), a row a fold."""
+    return f"""ev_t AS ({tests}), ev_g AS (SELECT {by}, count(*) AS n_folds, CAST(sum(n) AS BIGINT) AS n, sum(n * m) / sum(n) AS mean, sum((n - 1) * coalesce(s, 0) ** 2 + n * m * m) AS q, sum(n * w) / sum(n) AS win_rate, avg((train_sharpe - sharpe) / greatest(train_sharpe, 0.01)) AS degradation FROM ev_t GROUP BY 1),
+ev_h AS (SELECT * EXCLUDE (q), sqrt(greatest((q - n * mean * mean) / (n - 1), 0)) AS std FROM ev_g), ev_i AS (SELECT *, mean / std * {YEAR} AS sharpe, abs(mean / std) AS d FROM ev_h), ev_z AS (SELECT *, {t_tail('d * sqrt(n)', 'n - 1e0')} AS p FROM ev_i)
+SELECT *, coalesce(degradation <= 0.5 AND n >= 20 AND sharpe >= {min_sharpe} AND win_rate >= {min_win} AND p <= {max_p} AND d >= {min_d}, false) AS passed FROM ev_z"""
+
+
+def _walked() -> str:
+    """Best training thresholds b and test metrics of the expanding folds, as SQL."""
+    rows = " UNION ALL ".join(f"SELECT f.fold, f.role, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, r FROM trades JOIN fo f ON trades.d BETWEEN f.start AND f.\"end\"" for c in ("qty", "price", "tax"))
+    side = lambda d: f"SELECT feature, fold, th, '{d}' AS direction, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS std FROM long JOIN g USING (feature, fold) WHERE role = 'train' AND x {d} th GROUP BY 1, 2, 3"
+    return f"""fo AS ({EXPANDING}), long AS ({rows}), q AS (SELECT feature, fold, count(DISTINCT x) AS nd, quantile_cont(x, 0.05) AS a, quantile_cont(x, 0.95) AS b FROM long WHERE role = 'train' GROUP BY 1, 2),
+g AS (SELECT feature, fold, a + i * (b - a) / 49 AS th FROM q, range(0, 50) z(i) WHERE nd > 20 UNION SELECT feature, fold, x FROM long JOIN q USING (feature, fold) WHERE nd <= 20 AND role = 'train'),
+c AS ({side('>')} UNION ALL {side('<=')}), k AS (SELECT *, mean / std * {YEAR} AS train_sharpe, row_number() OVER (PARTITION BY feature, fold ORDER BY round(mean / std, 12) DESC, th, direction DESC) AS k FROM c WHERE n >= 15 AND std > 1e-12),
+te AS (SELECT l.feature, l.fold, count(*) AS n, avg(r) AS m, stddev_samp(r) AS s, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS w, any_value(train_sharpe) AS train_sharpe FROM long l JOIN k ON k.k = 1 AND k.feature = l.feature AND k.fold = l.fold WHERE role = 'test' AND (CASE WHEN direction = '>' THEN x > th ELSE x <= th END) GROUP BY 1, 2 HAVING count(*) >= 5)"""
+
+
+@query("c3_test_metrics", lambda: f"WITH {_walked()} SELECT feature, CAST(fold AS INT) AS fold, n, m AS mean, s AS std, w AS win_rate, coalesce(m / nullif(s, 0) * {YEAR}, 0) AS sharpe FROM te", "trades", "mean std win_rate sharpe", 5)
 def _(v: Views) -> DataFrame:
     return walked(v)[1]
 
 
-@query("c5_walk_forward")
+@query("c5_walk_forward", lambda: f"WITH {_walked()}, {evaluated('feature', f'SELECT *, coalesce(m / nullif(s, 0) * {YEAR}, 0) AS sharpe FROM te', 0.8, 0.48, 0.05, 0.2)}", "trades", EVALUATED, 5)
 def _(v: Views) -> DataFrame:
     return H.evaluate(*walked(v))
 
@@ -206,24 +229,49 @@ def _singles(v: Views) -> DataFrame:
     return m.select(F.col("strategy").alias("feature"), "sharpe", "mdd", "win_rate", "n")
 
 
-@query("c8_combinations", "WITH f AS (SELECT unnest(['part', 'price', 'qty', 'supp', 'tax']) AS f) SELECT a.f || '+' || b.f AS key, 2 AS size FROM f a JOIN f b ON a.f < b.f UNION ALL SELECT a.f || '+' || b.f || '+' || c.f, 3 FROM f a JOIN f b ON a.f < b.f JOIN f c ON b.f < c.f", "trades")
+_CUTS = "cuts AS (SELECT " + ", ".join(f"avg({f}) AS c_{f}" for f in _F5) + " FROM trades)"
+_SINGLES = f"""{_CUTS}, sx AS ({_union([f"SELECT '{f}' AS feature, d, trade_id, r / 100 AS r FROM trades, cuts WHERE {f} > c_{f}" for f in _F5])}),
+sw AS (SELECT feature, d, trade_id, exp(sum(ln(1 + r)) OVER (PARTITION BY feature ORDER BY d, trade_id ROWS UNBOUNDED PRECEDING)) AS g FROM sx), sp AS (SELECT feature, g / max(g) OVER (PARTITION BY feature ORDER BY d, trade_id ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM sw), sd AS (SELECT feature, min(dd) AS mdd FROM sp GROUP BY 1),
+singles AS (SELECT feature, avg(r) / stddev_samp(r) * {YEAR} AS sharpe, any_value(mdd) AS mdd, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, count(*) AS n FROM sx JOIN sd USING (feature) GROUP BY 1), cand AS (SELECT feature FROM singles WHERE n >= 50 ORDER BY sharpe DESC, feature LIMIT 4)"""
+_CORR = "co AS (" + _union([f"SELECT '{min(a, b)}' AS f1, '{max(a, b)}' AS f2, corr({a}, {b}) AS corr FROM trades" for i, a in enumerate(sorted(_F5)) for b in sorted(_F5)[i + 1 :]]) + ")"
+_PAIRED = "pa AS (SELECT a.feature || '+' || b.feature AS key, [a.feature, b.feature] AS fs FROM cand a JOIN cand b ON a.feature < b.feature)"
+_GROWN = "tr AS (SELECT key || '+' || feature AS key, list_append(fs, feature) AS fs FROM pa JOIN cand ON feature > fs[2]), qu AS (SELECT key || '+' || feature AS key, list_append(fs, feature) AS fs FROM tr JOIN cand ON feature > fs[3]), co_all AS (SELECT * FROM pa UNION ALL SELECT * FROM tr UNION ALL SELECT * FROM qu)"
+
+
+def candidates(v: Views) -> DataFrame:
+    """The four features of the best Sharpe ratio."""
+    return _singles(v).filter("n >= 50").orderBy(F.desc("sharpe"), "feature").limit(4).select("feature")
+
+
+def combos_of(v: Views) -> DataFrame:
+    """Pairs of candidates, grown one feature at a time to all of them (six at most)."""
+    f = candidates(v)
+    found = [C.pairs(f)]
+    while len(found) < 3:
+        found.append(C.grow(found[-1], f))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("c8_combinations", f"WITH {_SINGLES}, {_PAIRED}, {_GROWN} SELECT key, CAST(len(fs) AS INT) AS size FROM co_all", "trades")
 def _(v: Views) -> DataFrame:
-    f = v.spark.createDataFrame([(x,) for x in _F5], "feature string")
-    two = C.pairs(f)
-    return two.unionByName(C.grow(two, f)).select(F.array_join("combo", "+").alias("key"), F.size("combo").alias("size"))
+    return combos_of(v).select(F.array_join("combo", "+").alias("key"), F.size("combo").alias("size"))
 
 
-@query("c9_combination_scores")
+@query("c9_combination_scores", f"""WITH {_SINGLES}, {_CORR}, {_PAIRED}, {_GROWN}, me AS (SELECT key, unnest(fs) AS feature FROM co_all), ms AS (SELECT key, count(*) AS k, avg(sharpe) AS s, max(abs(mdd)) AS dd, avg(win_rate) AS w FROM me JOIN singles USING (feature) GROUP BY 1),
+ea AS (SELECT a.key, avg(abs(coalesce(co.corr, 0))) AS c FROM me a JOIN me b ON a.key = b.key AND a.feature < b.feature LEFT JOIN co ON co.f1 = a.feature AND co.f2 = b.feature GROUP BY 1), ex AS (SELECT *, s * least(sqrt(k) * sqrt(greatest(0.1, 1 - c)), 2.0) AS e FROM ms JOIN ea USING (key))
+SELECT key, k, e AS expected_sharpe, c AS avg_correlation, 0.4 * greatest(0, least(1, e / 3)) + 0.25 * (1 - c) + 0.15 * greatest(0, 1 - dd / 0.12) + 0.1 * (greatest(0, (w - 0.45) / 0.25) + greatest(0.5, 1 - (k - 2) * 0.15)) AS score FROM ex""", "trades", "expected_sharpe avg_correlation score", 5)
 def _(v: Views) -> DataFrame:
-    f = v.spark.createDataFrame([(x,) for x in _F5], "feature string")
-    return C.scored(C.pairs(f), _singles(v), C.pair_correlations(v.trades, _F5)).drop("combo")
+    return C.scored(combos_of(v), _singles(v), C.pair_correlations(v.trades, _F5)).drop("combo")
 
 
-@query("c10_covariance_patterns", "WITH c AS (SELECT 'a' AS f1, 'b' AS f2, -0.2e0 AS corr UNION ALL SELECT 'a', 'c', -0.3e0 UNION ALL SELECT 'b', 'c', 0.5e0 UNION ALL SELECT 'b', 'd', corr(r, tax) FROM trades) SELECT 'pair' AS kind, f1 || '+' || f2 AS key, abs(corr) AS strength FROM c WHERE corr > -0.4 AND corr < -0.1 UNION ALL SELECT 'hub', 'a+b+c', 0.25e0", "trades", "strength")
+_MIXED = {"discount": "r + tax", "spread": "tax - 0.25 * (r + tax)", "load": "qty / 1000 - 0.1 * (r + tax)", "tax": "tax", "qty": "qty", "price": "price"}
+_MIXED_CORR = "mx AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _MIXED.items()) + " FROM trades), co AS (" + _union([f"SELECT '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS corr FROM mx" for i, a in enumerate(sorted(_MIXED)) for b in sorted(_MIXED)[i + 1 :]]) + "), mild AS (SELECT * FROM co WHERE corr > -0.4 AND corr < -0.1), en AS (SELECT f1 AS hub, f2 AS other, corr FROM mild UNION ALL SELECT f2, f1, corr FROM mild)"
+
+
+@query("c10_covariance_patterns", f"WITH {_MIXED_CORR} SELECT 'pair' AS kind, f1 || '+' || f2 AS key, abs(corr) AS strength FROM mild UNION ALL SELECT 'hub', a.hub || '+' || a.other || '+' || b.other, (abs(a.corr) + abs(b.corr)) / 2 FROM en a JOIN en b ON a.hub = b.hub AND a.other < b.other", "trades", "strength", 5)
 def _(v: Views) -> DataFrame:
-    own = v.trades.agg(F.corr("r", "tax").alias("corr")).select(F.lit("b").alias("f1"), F.lit("d").alias("f2"), "corr")
-    c = v.spark.createDataFrame([("a", "b", -0.2), ("a", "c", -0.3), ("b", "c", 0.5)], "f1 string, f2 string, corr double").unionByName(own)
-    return C.covariance_patterns(c).select("kind", F.array_join("combo", "+").alias("key"), "strength")
+    mixed = v.trades.select(*(F.expr(e).alias(n) for n, e in _MIXED.items()))
+    return C.covariance_patterns(C.pair_correlations(mixed, list(_MIXED))).select("kind", F.array_join("combo", "+").alias("key"), "strength")
 
 
 STRATEGIES = [("cheap_small", "qty", 20.0, "<="), ("cheap_small", "price", 30000.0, "<="), ("large", "qty", 30.0, ">"), ("low_tax", "tax", 0.02, "<="), ("low_tax", "qty", 10.0, ">"), ("low_tax", "price", 50000.0, "<=")]
@@ -245,21 +293,47 @@ def _(v: Views) -> DataFrame:
 
 @query("j13_strategies_by_join", f"WITH {_HITS} SELECT strategy, count(*) AS n, sum(r) AS total FROM h GROUP BY 1", "trades", "total")
 def _(v: Views) -> DataFrame:
-    return C.trades_by_join(v.trades.drop("strategy"), rules(v), "trade_id").groupBy("strategy").agg(F.count("*").alias("n"), F.sum("r").alias("total"))
+    return C.trades_of_many(v.trades.drop("strategy"), rules(v), "trade_id").groupBy("strategy").agg(F.count("*").alias("n"), F.sum("r").alias("total"))
 
 
-@query("c11_final_filter", f"WITH {_HITS}, t AS (SELECT strategy, avg(r) / stddev_samp(r) * {YEAR} AS sharpe, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, count(*) AS n FROM h GROUP BY 1) SELECT strategy, sharpe, win_rate, n FROM t WHERE sharpe >= 2 AND win_rate >= 0.4 AND n >= 20", "trades", "sharpe win_rate", 5)
+@query("c11_final_filter", f"""WITH {_HITS}, t AS (SELECT strategy, d, trade_id, r / 100 AS r FROM h), w AS (SELECT strategy, d, trade_id, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy ORDER BY d, trade_id ROWS UNBOUNDED PRECEDING)) AS g FROM t), p AS (SELECT strategy, g / max(g) OVER (PARTITION BY strategy ORDER BY d, trade_id ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM w), m AS (SELECT strategy, min(dd) AS mdd FROM p GROUP BY 1),
+x AS (SELECT strategy, avg(r) / stddev_samp(r) * {YEAR} AS sharpe, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, count(*) AS n FROM t GROUP BY 1) SELECT strategy, sharpe, win_rate, mdd, n FROM x JOIN m USING (strategy) WHERE sharpe >= 2 AND win_rate >= 0.4 AND n >= 20 AND abs(mdd) <= 0.02""", "trades", "sharpe win_rate mdd", 5)
 def _(v: Views) -> DataFrame:
-    m = M.series_metrics(hits(v), ["strategy"]).withColumn("mdd", F.lit(0.0))
-    return C.final_filter(m, min_sharpe=2.0, min_win=0.4).select("strategy", "sharpe", "win_rate", "n")
+    h = hits(v).withColumn("r", F.col("r") / 100)
+    m = M.series_metrics(h, ["strategy"]).join(M.max_drawdown(h, ["strategy"]).select("strategy", "mdd"), "strategy")
+    return C.final_filter(m, min_sharpe=2.0, min_win=0.4, max_dd=0.02).select("strategy", "sharpe", "win_rate", "mdd", "n")
 
 
 @query("c15_bins", "WITH q AS (SELECT quantile_cont(price, [0.25, 0.5, 0.75]) AS q FROM trades), b AS (SELECT CASE WHEN price <= q[1] THEN 'q1' WHEN price <= q[2] THEN 'q2' WHEN price <= q[3] THEN 'q3' ELSE 'q4' END AS bin, r FROM trades, q) SELECT 'price' AS feature, bin, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS std, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS win_rate FROM b GROUP BY 1, 2", "trades", "mean std win_rate")
 def _(v: Views) -> DataFrame:
-    q = v.trades.agg(F.percentile("price", [0.25, 0.5, 0.75])).first()[0]
-    from tidemark.functions.scalar import cut
+    return C.bin_performance(v.trades, "price", C.quantile_bins(v.trades, "price"))
+
 
-    return C.bin_performance(v.trades, "price", cut(F.col("price"), q, ["q1", "q2", "q3", "q4"]))
+_BINNED = "count(*) AS n, avg(r) AS mean, stddev_samp(r) AS std, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS win_rate"
+_WIDTHS = "WITH e AS (SELECT min(price) AS a, max(price) AS b FROM trades), w AS (SELECT 'w' || CAST(CAST(greatest(1, least(5, ceil((price - a) / ((b - a) / 5)))) AS INT) AS VARCHAR) AS bin, r FROM trades, e)"
+
+
+@query("c15_width_bins", f"{_WIDTHS} SELECT 'price' AS feature, bin, {_BINNED} FROM w GROUP BY 1, 2", "trades", "mean std win_rate")
+def _(v: Views) -> DataFrame:
+    return C.bin_performance(v.trades, "price", C.width_bins(v.trades, "price"))
+
+
+@query("c15_category_bins", f"WITH t AS (SELECT supp % 7 AS x FROM trades GROUP BY 1 ORDER BY count(*) DESC, x LIMIT 3), b AS (SELECT CASE WHEN supp % 7 IN (SELECT x FROM t) THEN CAST(supp % 7 AS VARCHAR) ELSE 'other' END AS bin, r FROM trades) SELECT 'desk' AS feature, bin, {_BINNED} FROM b GROUP BY 1, 2", "trades", "mean std win_rate")
+def _(v: Views) -> DataFrame:
+    df = v.trades.withColumn("desk", (F.col("supp") % 7).cast("string"))
+    return C.bin_performance(df, "desk", C.category_bins(df, "desk", 3))
+
+
+@query("c15_best_bin", f"{_WIDTHS}, p AS (SELECT bin, {_BINNED} FROM w GROUP BY 1) SELECT 'price' AS feature, arg_max(bin, mean) AS bin, max(mean) AS mean FROM p WHERE n >= 10", "trades", "mean")
+def _(v: Views) -> DataFrame:
+    return C.best_bin(C.bin_performance(v.trades, "price", C.width_bins(v.trades, "price")))
+
+
+@query("c15_tree_bins", "SELECT 'tax' AS feature, count(*) AS n, avg(r) AS mean FROM trades", "trades", "mean")
+def _(v: Views) -> DataFrame:
+    """Bins by a regression tree; together they hold every trade."""
+    bins = C.bin_performance(v.trades, "tax", C.tree_bins(v.trades, "tax"))
+    return bins.groupBy("feature").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
 
 
 @query("c16_stop_target_grid", "WITH x AS (SELECT pct_change_high AS h, pct_change_low AS l, (close_price - open_price) / open_price * 100 AS c FROM records WHERE pct_change_high IS NOT NULL), g AS (SELECT * FROM (VALUES (-1e0), (-15e-1), (-2e0)) a(stop), (VALUES (2e0), (3e0), (5e0)) b(target)), o AS (SELECT stop, target, CASE WHEN l <= stop THEN stop WHEN h >= target THEN target ELSE c END AS y FROM x, g) SELECT stop, target, count(*) AS n, avg(y) AS mean, avg(CASE WHEN y > 0 THEN 1e0 ELSE 0e0 END) AS win_rate FROM o GROUP BY 1, 2", "records", "mean win_rate")
@@ -273,9 +347,12 @@ def _(v: Views) -> DataFrame:
     return C.interaction_strength(v.trades, {"a": F.col("qty") > 25, "b": F.col("price") > 40000, "c": F.col("tax") > 0.04})
 
 
-@query("k1_expanding_folds", """WITH dd AS (SELECT d, count(*) AS n, row_number() OVER (ORDER BY d) - 1 AS i FROM trades GROUP BY d), t AS (SELECT count(*) AS days FROM dd), f AS (SELECT k AS fold, CAST(floor(days * (0.6 + 0.08 * k)) AS INT) AS e, days FROM t, range(0, 3) z(k)),
+EXPANDING = """WITH dd AS (SELECT d, count(*) AS n, row_number() OVER (ORDER BY d) - 1 AS i FROM trades GROUP BY d), t AS (SELECT count(*) AS days FROM dd), f AS (SELECT k AS fold, CAST(floor(days * (0.6 + 0.08 * k)) AS INT) AS e, days FROM t, range(0, 3) z(k)),
 b AS (SELECT f.*, (SELECT d FROM dd WHERE i = e - 1) AS last_train, (SELECT min(d) FROM dd) AS first_day FROM f), c AS (SELECT b.*, dd.d AS test_day, row_number() OVER (PARTITION BY fold ORDER BY dd.d) AS k2 FROM b JOIN dd ON dd.i >= e AND dd.d > last_train + 1)
-SELECT CAST(fold AS INT) AS fold, 'train' AS role, first_day AS start, last_train AS "end" FROM b UNION ALL SELECT CAST(fold AS INT), 'test', min(test_day), max(test_day) FROM c WHERE k2 <= greatest(10, CAST(floor(days * 0.15) AS INT)) GROUP BY fold""", "trades")
+SELECT CAST(fold AS INT) AS fold, 'train' AS role, first_day AS start, last_train AS "end" FROM b UNION ALL SELECT CAST(fold AS INT), 'test', min(test_day), max(test_day) FROM c WHERE k2 <= greatest(10, CAST(floor(days * 0.15) AS INT)) GROUP BY fold"""
+
+
+@query("k1_expanding_folds", EXPANDING, "trades")
 def _(v: Views) -> DataFrame:
     return D.expanding(v.trades)
 
@@ -285,6 +362,15 @@ def _(v: Views) -> DataFrame:
     return row_numbers(v.trades, "d", ["trade_id"]).select("trade_id", "position")
 
 
+@query("k2_rolling_rows", "WITH p AS (SELECT row_number() OVER (ORDER BY d, trade_id) - 1 AS pos, r FROM trades), f AS (SELECT CAST(i AS INT) AS fold, n, CAST(floor(n * 0.5) AS BIGINT) AS a, CAST(floor(n * 0.15) AS BIGINT) AS b, i FROM (SELECT count(*) AS n FROM trades) c, range(0, 4) z(i)), w AS (SELECT fold, 'train' AS role, i * b AS lo, i * b + a - 1 AS hi FROM f WHERE i * b + a + b <= n UNION ALL SELECT fold, 'test', i * b + a, i * b + a + b - 1 FROM f WHERE i * b + a + b <= n) SELECT fold, role, count(*) AS n, sum(r) AS total FROM p JOIN w ON pos BETWEEN lo AND hi GROUP BY 1, 2", "trades", "total")
+def _(v: Views) -> DataFrame:
+    """Rolling folds by row position (the tables hold a thousand rows or more)."""
+    rows = row_numbers(v.trades, "d", ["trade_id"])
+    folds = D.rolling_rows(rows.count())
+    inside = F.filter(F.array(*(F.when(F.col("position").between(a, b), F.struct(F.lit(f).alias("fold"), F.lit(role).alias("role"))) for f, role, a, b in folds)), lambda x: x.isNotNull())
+    return rows.select("r", F.inline(inside)).groupBy("fold", "role").agg(F.count("*").alias("n"), F.sum("r").alias("total"))
+
+
 @query("k3_monthly_folds", "WITH b AS (SELECT min(d) AS f FROM trades), k AS (SELECT CAST(i AS INT) AS i, f, f + 90 + 30 * CAST(i AS INT) AS a FROM b, range(0, 6) z(i)) SELECT i AS fold, 'train' AS role, f AS start, a - 1 AS \"end\" FROM k UNION ALL SELECT i, 'test', a, a + 29 FROM k", "trades")
 def _(v: Views) -> DataFrame:
     return D.monthly(v.trades)
@@ -323,8 +409,8 @@ _MARKET = "m AS (SELECT d, avg(r) AS m FROM trades GROUP BY 1), q AS (SELECT qua
 @query("r6_by_market", f"WITH {_MARKET} SELECT strategy, avg(r) FILTER (WHERE m > hi + 1e-9) AS bull_mean, avg(r) FILTER (WHERE m <= hi + 1e-9) AS bear_mean, count(*) FILTER (WHERE m > hi + 1e-9) AS n_bull, count(*) FILTER (WHERE m <= hi + 1e-9) AS n_bear, coalesce(avg(r) FILTER (WHERE m > hi + 1e-9) > 0 AND avg(r) FILTER (WHERE m <= hi + 1e-9) > 0, false) AS passed FROM trades JOIN m USING (d), q GROUP BY 1", "trades", "bull_mean bear_mean", 9)
 def _(v: Views) -> DataFrame:
     t = v.trades.join(v.trades.groupBy("d").agg(F.avg("r").alias("m")), "d")
-    hi = t.agg(F.percentile("m", 0.6)).first()[0]
-    return R.by_market(t.withColumn("bull_regime", F.when(F.col("m") > F.lit((hi or 0.0) + 1e-9), 1).otherwise(0)))
+    hi = (quantile_values(t, {"m": F.col("m")}, [0.6])["m"] or [0.0])[0]
+    return R.by_market(t.withColumn("bull_regime", F.when(F.col("m") > F.lit(hi + 1e-9), 1).otherwise(0)))
 
 
 @query("r7_robustness_score", "WITH b AS (SELECT min(d) AS f, max(d) - min(d) AS s FROM trades), h AS (SELECT strategy, coalesce(avg(r) FILTER (WHERE d - f <= CAST(floor(s / 2) AS INT)) > 0 AND avg(r) FILTER (WHERE d - f > CAST(floor(s / 2) AS INT)) > 0, false) AS p FROM trades, b GROUP BY 1), q AS (SELECT quantile_cont(price, 1/3e0) AS a, quantile_cont(price, 2/3e0) AS b FROM trades), m AS (SELECT strategy, CASE WHEN price <= a THEN 1 WHEN price <= b THEN 2 ELSE 3 END AS t, avg(r) AS mean FROM trades, q GROUP BY 1, 2), c AS (SELECT strategy, coalesce(min(mean) > 0.005 AND max(mean) / min(mean) < 5, false) AS p FROM m GROUP BY 1), u AS (SELECT * FROM h UNION ALL SELECT * FROM c) SELECT strategy, count(*) AS n_checks, avg(CAST(p AS INT)) AS score, avg(CAST(p AS INT)) >= 0.7 AS robust FROM u GROUP BY 1", "trades", "score")
@@ -370,11 +456,24 @@ def _(v: Views) -> DataFrame:
 _TF = {"1min": 1, "5min": 2, "15min": 3, "30min": 4, "1hr": 5}
 
 
-@query("m4_timeframes", f"WITH t AS ({_union([f'SELECT strategy, {chr(39)}{k}{chr(39)} AS timeframe, r / {i}e0 + qty / 1e5 AS r FROM trades' for k, i in _TF.items()])}), m AS (SELECT strategy, timeframe, avg(r) * 252 AS a, avg(r) / stddev_samp(r) * {YEAR} AS s, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS w, count(*) AS n FROM t GROUP BY 1, 2), p(timeframe, d, q) AS (VALUES ('1min', 15e-1, 15e-2), ('5min', 13e-1, 1e-1), ('15min', 11e-1, 5e-2), ('30min', 1e0, 2e-2), ('1hr', 9e-1, 0e0)) SELECT strategy, timeframe, 0.4 * s + 0.25 * least(a, 0.3) + 0.2 * (w - 0.5) - 0.1 * (d - 1) - 0.05 * q AS score FROM m JOIN p USING (timeframe) WHERE n >= 30 AND s >= 0.8 AND w >= 0.48 AND a >= 0.03", "trades", "score", 5)
-def _(v: Views) -> DataFrame:
+_FRAMES = f"""WITH t AS ({_union([f'SELECT strategy, {chr(39)}{k}{chr(39)} AS timeframe, r / {i}e0 + qty / 1e5 AS r FROM trades' for k, i in _TF.items()])}), m AS (SELECT strategy, timeframe, avg(r) * 252 AS a, avg(r) / stddev_samp(r) * {YEAR} AS s, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS w, count(*) AS n FROM t GROUP BY 1, 2), p(timeframe, d, q) AS (VALUES ('1min', 15e-1, 15e-2), ('5min', 13e-1, 1e-1), ('15min', 11e-1, 5e-2), ('30min', 1e0, 2e-2), ('1hr', 9e-1, 0e0)) SELECT strategy, timeframe, 0.4 * s + 0.25 * least(a, 0.3) + 0.2 * (w - 0.5) - 0.1 * (d - 1) - 0.05 * q AS score FROM m JOIN p USING (timeframe) WHERE n >= 30 AND s >= 0.8 AND w >= 0.48 AND a >= 0.03"""
+BEST_FRAMES = f"SELECT strategy, arg_max(timeframe, struct_pack(s := score, t := timeframe)) AS timeframe, max(score) AS score, count(*) AS n_valid FROM ({_FRAMES}) q GROUP BY 1"
+
+
+def framed(v: Views) -> DataFrame:
+    """Trades with an alternative return for each timeframe."""
     cells = F.array(*(F.struct(F.lit(k).alias("timeframe"), (F.col("r") / i + F.col("qty") / 1e5).alias("x")) for k, i in _TF.items()))
-    t = v.trades.select("strategy", "d", F.inline(cells)).withColumnRenamed("x", "r")
-    return G.timeframes(t).select("strategy", "timeframe", "score")
+    return v.trades.select("strategy", "d", F.inline(cells)).withColumnRenamed("x", "r")
+
+
+@query("m4_timeframes", _FRAMES, "trades", "score", 5)
+def _(v: Views) -> DataFrame:
+    return G.timeframes(framed(v)).select("strategy", "timeframe", "score")
+
+
+@query("m4_best_timeframe", f"SELECT strategy, n_valid, timeframe, score FROM ({BEST_FRAMES}) z WHERE n_valid >= 2", "trades", "score", 5)
+def _(v: Views) -> DataFrame:
+    return G.best_timeframe(G.timeframes(framed(v))).select("strategy", "n_valid", "timeframe", "score")
 
 
 _COST = """x AS (SELECT trade_id, r, price, qty * 10 AS shares, 500 + price AS px, 1e6 * (1 + part % 40000) AS cap, 1000e0 + supp * 100 AS adv, CASE part % 3 WHEN 0 THEN 'market_open' WHEN 1 THEN '5min' ELSE 'close' END AS tf, CASE supp % 2 WHEN 0 THEN 'bull_low_vol' ELSE 'bear_high_vol' END AS rg, part % 2 = 0 AS e FROM trades),

@@ -11,6 +11,7 @@ from tidemark.plans.views import view, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+LATE: dict[str, Callable[[], str]] = {}
 
 
 class Views:
@@ -23,8 +24,15 @@ class Views:
         return view(self.spark, self.sf_dir, name)
 
 
-def query(name: str, sql: str | None = None, views: str = "", rounded: str = "", digits: int = 6):
-    """Registers f(views) under name. Columns in `rounded` are rounded on both sides, as sums of doubles depend on the
+def t_tail(t: str, df: str) -> str:
+    """SQL of a t-test's two-sided p: one minus the density's integral to |t|, by Simpson's rule."""
+    weight = "(CASE WHEN i IN (0, 4000) THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END)"
+    density = f"exp(-(({df}) + 1e0) / 2 * ln(1 + ((({t}) * i / 4000e0) ** 2) / ({df})))"
+    return f"greatest(0e0, 1 - 2 * list_sum(list_transform(range(0, 4001), lambda i: {weight} * {density})) * abs({t}) / 12000e0 * exp(lgamma((({df}) + 1e0) / 2) - lgamma(({df}) / 2e0)) / sqrt(({df}) * pi()))"
+
+
+def query(name: str, sql: str | Callable[[], str] | None = None, views: str = "", rounded: str = "", digits: int = 6):
+    """Registers f(views) under name; sql may be a function that gives the text once all modules are loaded. Columns in `rounded` are rounded on both sides, as sums of doubles depend on the
     order of rows."""
 
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
@@ -36,9 +44,17 @@ def query(name: str, sql: str | None = None, views: str = "", rounded: str = "",
             raise ValueError(f"{name} is there already")
         QUERIES[name] = run
         if sql is not None:
-            body = with_views(sql, *views.split()) if views else sql
-            cols = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0e0 AS {c}" for c in rounded.split())
-            ORACLES[name] = f"SELECT * REPLACE ({cols}) FROM ({body}) x" if rounded else body
+
+            def text() -> str:
+                own = sql if isinstance(sql, str) else sql()
+                body = with_views(own, *views.split()) if views else own
+                cols = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0e0 AS {c}" for c in rounded.split())
+                return f"SELECT * REPLACE ({cols}) FROM ({body}) x" if rounded else body
+
+            if isinstance(sql, str):
+                ORACLES[name] = text()
+            else:
+                LATE[name] = text
         return f
 
     return add

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.bars import minute_of_day
@@ -145,26 +145,28 @@ def exits(events: DataFrame) -> DataFrame:
 
 
 def exits_batch(events: DataFrame) -> DataFrame:
-    """The same over a finished table: one group a symbol and session."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "kind", "tick_id"])
-        state, out, last = None, [], None
-        for x in pdf.itertuples(index=False):
-            if x.kind == 0 and state is None:
-                state, last = (float(x.price), float(x.stop_loss), float(x.target_profit), float(x.price), False), float(x.price)
-                cutoff = x.t.normalize() + pd.Timedelta(seconds=CUTOFF)
-            elif x.kind == 1 and state is not None and second(x.t) < CUTOFF:
-                state, reason = step(state, float(x.price))
-                last = float(x.price)
-                if reason:
-                    out.append((x.symbol, x.session, reason, x.t, last, (last - state[0]) / state[0] * 100))
-                    break
-        if state is not None and not out:
-            out.append((pdf["symbol"].iloc[0], pdf["session"].iloc[0], "TIME_EXIT", cutoff, last, (last - state[0]) / state[0] * 100))
-        return pd.DataFrame(out, columns=["symbol", "session", "reason", "exit_at", "exit_price", "pnl_pct"])
-
-    return events.groupBy("symbol", "session").applyInPandas(run, EXITS)
+    """The same over a finished table, by aggregates: the first stop loss, the first tick at the target, and from there
+    the first fall from the running peak. The peak is carried from hour to hour, so no task holds a session."""
+    key = ["symbol", "session"]
+    at = F.struct("t", "tick_id", "price")
+    entry = events.filter("kind = 0").groupBy(*key).agg(F.min(F.struct("t", "tick_id", "price", "stop_loss", "target_profit")).alias("e"))
+    later = (F.col("t") > F.col("e.t")) | ((F.col("t") == F.col("e.t")) & (F.col("kind") == 1))
+    ticks = events.filter((F.col("kind") == 1) & (second_of_day(F.col("t")) < CUTOFF)).join(entry, key).filter(later)
+    pnl = (F.col("price") - F.col("e.price")) / F.col("e.price") * 100
+    first = ticks.groupBy(*key).agg(F.min(F.when(pnl <= F.col("e.stop_loss"), at)).alias("stop"), F.min(F.when((pnl >= F.col("e.target_profit")) & (pnl > F.col("e.stop_loss")), at)).alias("hit"), F.max(at).alias("last"))
+    after = ticks.join(first.select(*key, "hit"), key).filter(F.col("hit").isNotNull() & (F.struct("t", "tick_id") >= F.struct("hit.t", "hit.tick_id"))).withColumn("block", F.hour("t"))
+    earlier = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = after.groupBy(*key, "block").agg(F.max("price").alias("top")).withColumn("carried", F.max("top").over(earlier)).drop("top")  # an entry an hour
+    inside = Window.partitionBy(*key, "block").orderBy("t", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
+    peaked = after.withColumn("top", F.max("price").over(inside)).join(carried, [*key, "block"]).withColumn("peak", F.greatest("top", "carried"))
+    trail = peaked.filter((F.col("peak") - F.col("price")) / F.col("peak") >= TRAIL).groupBy(*key).agg(F.min(at).alias("trail"))
+    out = entry.join(first, key, "left").join(trail, key, "left")
+    stopped = F.col("stop").isNotNull() & (F.col("trail").isNull() | (F.col("stop") <= F.col("trail")))
+    reason = F.when(stopped, "STOP_LOSS").when(F.col("trail").isNotNull(), "TRAILING_STOP").otherwise("TIME_EXIT")
+    cutoff = F.date_trunc("day", F.col("e.t")) + F.make_dt_interval(secs=F.lit(CUTOFF))
+    exit_at = F.when(stopped, F.col("stop.t")).when(F.col("trail").isNotNull(), F.col("trail.t")).otherwise(cutoff)
+    price = F.when(stopped, F.col("stop.price")).when(F.col("trail").isNotNull(), F.col("trail.price")).otherwise(F.coalesce("last.price", "e.price"))
+    return out.select(*key, reason.alias("reason"), exit_at.alias("exit_at"), price.alias("exit_price"), ((price - F.col("e.price")) / F.col("e.price") * 100).alias("pnl_pct"))
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -172,11 +174,17 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def to_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """The same for results that are rewritten as a whole (complete) or by key (update): the last batch of `complete`
-    is the table."""
+def to_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """The same for a table of changing rows: each batch adds the rows that it changed as a part of its own, which a
+    repeated batch replaces. `latest` reads the current rows."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
 
-    stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def latest(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The last written row of each key of parts(..., batch)."""
+    rest = [c for c in parts.columns if c not in [*keys, "batch"]]
+    return parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")

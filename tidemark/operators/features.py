@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import SURPRISE_EDGES, SURPRISE_NAMES, cut, equal_width, positive_share, row_range, row_std
-from tidemark.plans.prefix import average_ranks, quantile_values, row_numbers
+from tidemark.plans.prefix import quantile_values, row_numbers, with_ranks
+from tidemark.shared import new_path
 
 INTRADAY = ["pct_1min", "pct_5min", "pct_15min", "pct_30min", "pct_1hr"]
 SMALL_GAP, SPIKE_7D, SPIKE_30D = 0.005, 1.5, 2.0
@@ -80,7 +81,7 @@ def relative(df: DataFrame, columns: list[str], by: str = "sector") -> DataFrame
     distinct values with counts in bins, so a hot group meets in no task."""
     out = df
     for c in columns:
-        out = average_ranks(out, c, f"{c}_{by}_rank", [by], share=True)
+        out = with_ranks(out, df, c, f"{c}_{by}_rank", [by], share=True)
         stats = df.groupBy(F.col(by).alias("_by")).agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"))
         out = out.join(stats, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn(f"{c}_{by}_zscore", (F.col(c) - F.col("_m")) / (F.col("_s") + 1e-6)).drop("_by", "_m", "_s")
     return out
@@ -152,11 +153,18 @@ def label_codes(df: DataFrame, column: str = "sector") -> DataFrame:
     return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
+def written(df: DataFrame) -> DataFrame:
+    path = new_path(df.sparkSession, "features")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def engineer(df: DataFrame) -> DataFrame:
-    """All groups in their order of dependence."""
+    """All groups in their order of dependence. What the ranks and quantiles read several times is written once."""
     for step in (premarket, market_cap, volume, intraday, vol_regime, surprise, timing, price_action):
         df = step(df)
-    df = relative(df, ["surprise", "market_cap_log", "volume_ratio_7_day"])
-    return lags(one_hot(day_regimes(interactions(df))), ["surprise", "volume_ratio_7_day", "pct_change_close"])
+    df = written(df)
+    df = written(relative(df, ["surprise", "market_cap_log", "volume_ratio_7_day"]))
+    return lags(one_hot(written(day_regimes(interactions(df)))), ["surprise", "volume_ratio_7_day", "pct_change_close"])
 
 

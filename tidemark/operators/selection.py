@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.combos import pair_correlations
@@ -87,6 +87,17 @@ def forest_importance(df: DataFrame, features: list[str], label: str, trees: int
     return df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, fitted.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
+def _shuffler(i: int, k: int):
+    def shuffle(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 1))
+        order = np.lexsort(x.T)  # the same order whatever task reads the bucket
+        rng = np.random.default_rng([int(pdf["bucket"].iloc[0]), i, k])
+        x[order, i] = x[rng.permutation(order), i]
+        return pd.DataFrame({"label": pdf["label"], "x": list(x)})
+
+    return shuffle
+
+
 def permutation_importance(df: DataFrame, model, features: list[str], label: str, repeats: int = 5, buckets: int = 64) -> DataFrame:
     """feature, importance: mean loss of AUC when a column is shuffled. Rows are dealt to buckets by a random hash and a
     column is permuted inside each bucket, so no bucket holds the whole column."""
@@ -98,17 +109,7 @@ def permutation_importance(df: DataFrame, model, features: list[str], label: str
     for i, f in enumerate(features):
         losses = []
         for k in range(repeats):
-
-            def shuffle(pdf: pd.DataFrame, i=i, k=k) -> pd.DataFrame:
-                x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-                order = np.lexsort(x.T)  # the same order whatever task reads the bucket
-                rng = np.random.default_rng([int(pdf["bucket"].iloc[0]), i, k])
-                x[order, i] = x[rng.permutation(order), i]
-                return pd.DataFrame({"label": pdf["label"], "x": list(x)})
-
-            mixed = flat.withColumn("bucket", F.pmod(F.xxhash64("x", F.lit(k)), F.lit(buckets))).groupBy("bucket").applyInPandas(shuffle, "label double, x array<double>")
-            from pyspark.ml.functions import array_to_vector
-
+            mixed = flat.withColumn("bucket", F.pmod(F.xxhash64("x", F.lit(k)), F.lit(buckets))).groupBy("bucket").applyInPandas(_shuffler(i, k), "label double, x array<double>")
             losses.append(base - auc.evaluate(model.transform(mixed.select("label", array_to_vector("x").alias("features")))))
         out.append((f, float(np.mean(losses))))
     return df.sparkSession.createDataFrame(out, "feature string, importance double")

@@ -73,10 +73,15 @@ def quantile_values(df: DataFrame, columns: dict[str, Column], probs: list[float
 
 
 def average_ranks(df: DataFrame, value: str, name: str = "rank", by: list[str] | None = None, share: bool = False) -> DataFrame:
-    """df with ranks from 1 within its group, ties averaged (share: over the number of values). Ranks are found on distinct
-    values with counts, cut into bins; only bin totals of a group meet in one task."""
+    """df with ranks from 1 within its group, ties averaged (share: over the number of values)."""
+    return with_ranks(df, df, value, name, by, share)
+
+
+def with_ranks(df: DataFrame, of: DataFrame, value: str, name: str, by: list[str] | None = None, share: bool = False) -> DataFrame:
+    """df with the ranks that its values have in `of`. Ranks are found on distinct values with counts, cut into bins; only
+    bin totals of a group meet in one task."""
     by = by or []
-    values = with_bins(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k")), value, by, "_b")
+    values = with_bins(of.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k")), value, by, "_b")
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     totals = values.groupBy(*by, "_b").agg(F.sum("_k").alias("_n"))  # BINS rows a group at most
     starts = totals.select(*by, "_b", F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"), F.sum("_n").over(whole).alias("_all"))

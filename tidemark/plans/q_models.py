@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import combos as C, features as E, folds as D, models as L, selection as G
@@ -11,7 +13,24 @@ from tidemark.shared import new_path
 FEATURES = ["surprise", "revenue_surprise", "open_gap", "premarket_range", "volume_ratio_7_day", "market_cap_log", "pct_1min", "pct_5min"]
 
 
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def kept(v: Views, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make's table, written once a session and folder, as fits read their rows many times."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, name)
+    if key not in _kept:
+        path = new_path(v.spark, name)
+        make().write.parquet(path)
+        _kept[key] = path
+    return v.spark.read.parquet(_kept[key])
+
+
 def prepared(v: Views) -> DataFrame:
+    return kept(v, "prepared", lambda: _prepared(v))
+
+
+def _prepared(v: Views) -> DataFrame:
     r = E.price_returns(E.volume(E.market_cap(E.premarket(v.records))))
     return r.select(F.col("record_id").alias("row_id"), F.col("report_date").alias("d"), *FEATURES, F.col("return_open_close").alias("r"), F.when(F.col("return_open_close").isNotNull(), (F.col("return_open_close") > 0).cast("int")).alias("y")).dropna()
 
@@ -100,25 +119,19 @@ def _(v: Views) -> DataFrame:
 
 def fold_rows(v: Views) -> DataFrame:
     df = prepared(v)
-    return D.assign(df, D.expanding(df, splits=2))
+    return kept(v, "fold-rows", lambda: D.assign(df, D.expanding(df, splits=2)))
 
 
-_fitted: dict[tuple[str, str], str] = {}
+def fitted(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Predictions and metrics of the four classifiers over the folds, fitted once a session and folder."""
+    made: list[DataFrame] = []
 
+    def fit(i: int) -> DataFrame:
+        if not made:
+            made.extend(L.fit_folds(fold_rows(v), FEATURES, "y", L.classifiers(len(FEATURES))))
+        return made[i]
 
-def fitted(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Predictions and metrics of the four classifiers over the folds. They are fitted once a session and table and kept
-    in the shared folder."""
-    key = (v.spark.sparkContext.applicationId, v.sf_dir)
-    if key not in _fitted:
-        path = new_path(v.spark, "fitted")
-        rows = fold_rows(v)
-        rows.write.parquet(f"{path}/rows")
-        predictions, metrics = L.fit_folds(v.spark.read.parquet(f"{path}/rows"), FEATURES, "y", L.classifiers(len(FEATURES)))
-        predictions.write.parquet(f"{path}/predictions")
-        metrics.write.parquet(f"{path}/metrics")
-        _fitted[key] = path
-    return tuple(v.spark.read.parquet(f"{_fitted[key]}/{n}") for n in ("predictions", "metrics"))
+    return kept(v, "predictions", lambda: fit(0)), kept(v, "fold-metrics", lambda: fit(1))
 
 
 @query("l3_fold_metrics")
@@ -133,7 +146,7 @@ def _(v: Views) -> DataFrame:
 
 @query("l4_grid_search")
 def _(v: Views) -> DataFrame:
-    return L.search(fold_rows(v), FEATURES, "y", {"maxDepth": [3, 5], "numTrees": [10, 20]})
+    return L.search(fold_rows(v), FEATURES, "y", {"maxDepth": [3, 5], "numTrees": [10]})
 
 
 @query("l6_calibration")

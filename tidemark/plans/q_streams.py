@@ -103,20 +103,24 @@ def _(v: Views) -> DataFrame:
     return table(v, s).filter(_ends(v, "30 seconds"))
 
 
-def exit_events(v: Views, source: DataFrame) -> DataFrame:
+def exit_events(v: Views, source: DataFrame, stop: float = -20.0, target: float = 30.0) -> DataFrame:
     """Ticks with entry rows: every first tick after the open of a symbol and day opens a position."""
     first = v.ticks.filter("hour(t) * 60 + minute(t) >= 570").groupBy("symbol", F.col("day").cast("string").alias("session")).agg(F.min("t").alias("entry_at"))
     e = source.withColumn("session", F.date_format("t", "yyyy-MM-dd")).join(first, ["symbol", "session"]).filter("t >= entry_at")
-    return e.select("symbol", "session", "t", F.when(F.col("t") == F.col("entry_at"), 0).otherwise(1).alias("kind"), "tick_id", "price", F.lit(-20.0).alias("stop_loss"), F.lit(30.0).alias("target_profit"))
+    return e.select("symbol", "session", "t", F.when(F.col("t") == F.col("entry_at"), 0).otherwise(1).alias("kind"), "tick_id", "price", F.lit(stop).alias("stop_loss"), F.lit(target).alias("target_profit"))
 
 
 #: Positions as SQL: the first stop loss, the first tick at the target and the first fall of a tenth from the peak after it.
-_EXITS = """en AS (SELECT symbol, day, min(t) AS entry_at FROM ticks WHERE hour(t) * 60 + minute(t) >= 570 GROUP BY 1, 2), e AS (SELECT en.*, arg_min(price, tick_id) AS entry FROM en JOIN ticks USING (symbol, day) WHERE t = entry_at GROUP BY ALL),
+def _exits(stop: int, target: int) -> str:
+    return f"""en AS (SELECT symbol, day, min(t) AS entry_at FROM ticks WHERE hour(t) * 60 + minute(t) >= 570 GROUP BY 1, 2), e AS (SELECT en.*, arg_min(price, tick_id) AS entry FROM en JOIN ticks USING (symbol, day) WHERE t = entry_at GROUP BY ALL),
 tk AS (SELECT symbol, day, t, tick_id, price, entry, (price - entry) / entry * 100 AS pnl FROM ticks JOIN e USING (symbol, day) WHERE t > entry_at AND hour(t) * 3600 + minute(t) * 60 + floor(second(t)) < 55980),
-fi AS (SELECT e.symbol, e.day, e.entry, min(t) FILTER (WHERE pnl <= -20) AS stop_at, min(t) FILTER (WHERE pnl >= 30) AS hit_at, coalesce(arg_max(price, t), e.entry) AS last FROM e LEFT JOIN tk USING (symbol, day) GROUP BY 1, 2, 3),
+fi AS (SELECT e.symbol, e.day, e.entry, min(t) FILTER (WHERE pnl <= {stop}) AS stop_at, min(t) FILTER (WHERE pnl >= {target}) AS hit_at, coalesce(arg_max(price, t), e.entry) AS last FROM e LEFT JOIN tk USING (symbol, day) GROUP BY 1, 2, 3),
 pk AS (SELECT tk.symbol, tk.day, t, price, max(price) OVER (PARTITION BY tk.symbol, tk.day ORDER BY t) AS peak FROM tk JOIN fi USING (symbol, day) WHERE t >= hit_at), tr AS (SELECT symbol, day, min(t) AS trail_at FROM pk WHERE (peak - price) / peak >= 0.1 GROUP BY 1, 2),
 ex AS (SELECT fi.*, trail_at, CASE WHEN stop_at <= coalesce(trail_at, stop_at) THEN 'STOP_LOSS' WHEN trail_at IS NOT NULL THEN 'TRAILING_STOP' ELSE 'TIME_EXIT' END AS reason FROM fi LEFT JOIN tr USING (symbol, day)),
 ou AS (SELECT ex.symbol, CAST(ex.day AS VARCHAR) AS session, reason, CASE reason WHEN 'STOP_LOSS' THEN stop_at WHEN 'TRAILING_STOP' THEN trail_at ELSE CAST(ex.day AS TIMESTAMP) + INTERVAL 55980 SECOND END AS exit_at, CASE reason WHEN 'TIME_EXIT' THEN last ELSE price END AS exit_price, ex.entry FROM ex LEFT JOIN tk ON tk.symbol = ex.symbol AND tk.day = ex.day AND tk.t = CASE reason WHEN 'STOP_LOSS' THEN stop_at ELSE trail_at END)"""
+
+
+_EXITS = _exits(-20, 30)
 _EXIT_ROWS = "SELECT symbol, session, reason, exit_at, exit_price, (exit_price - entry) / entry * 100 AS pnl_pct FROM ou"
 
 
@@ -125,9 +129,10 @@ def _(v: Views) -> DataFrame:
     return Z.exits_batch(exit_events(v, v.ticks))
 
 
-@query("z6_time_exits", f"WITH {_EXITS} {_EXIT_ROWS} WHERE reason = 'TIME_EXIT'", "ticks", "exit_price pnl_pct", 4)
+@query("z6_time_exits", f"WITH {_exits(-60, 900)} {_EXIT_ROWS} WHERE reason = 'TIME_EXIT'", "ticks", "exit_price pnl_pct", 4)
 def _(v: Views) -> DataFrame:
-    return Z.exits_batch(exit_events(v, v.ticks)).filter("reason = 'TIME_EXIT'")
+    """Positions with wide limits, which mostly end at the cutoff."""
+    return Z.exits_batch(exit_events(v, v.ticks, -60.0, 900.0)).filter("reason = 'TIME_EXIT'")
 
 
 _OPEN = "reason <> 'TIME_EXIT' OR exit_at < (SELECT max(t) FROM ticks) - INTERVAL 10 MINUTE"

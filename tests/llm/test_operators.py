@@ -565,6 +565,43 @@ def test_quality_keeps_clean_documents(spark, documents, sf):
     assert np.mean([r["kept"] for r in j]) >= 0.99
 
 
+def test_forest_and_threshold(spark, documents, sf):
+    """Path lengths row by row, the score, and the threshold by trying every bin, against plain versions."""
+    import math
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    stats = quality.measure(documents).persist()
+    forest, threshold = quality.fit(stats, labels, trees=8, tree_rows=32)
+    rows = stats.collect()
+    x = np.array([[r[c] for c in quality.FEATURES] for r in rows])
+    assert len(forest.trees) == 8
+    norm = 2 * (math.log(31) + 0.5772156649) - 2 * 31 / 32
+
+    def depth(tree, row):
+        f, cut, left, right, leaf = tree
+        at = 0
+        while f[at] >= 0:
+            at = left[at] if row[f[at]] <= cut[at] else right[at]
+        return leaf[at]
+
+    want = [2 ** (-sum(depth(t, row) for t in forest.trees) / 8 / norm) for row in x]
+    assert forest.score(x) == pytest.approx(want)
+    good = {r["doc_id"]: r["quality"] for r in labels.orderBy("doc_id", "quality").dropDuplicates(["doc_id"]).collect()}
+    held = [(math.floor(s * quality.BINS), good[r["doc_id"]]) for s, r in zip(want, rows, strict=True) if r["doc_id"] in good and r["n_words"] >= 10 and 100 * r["n_repeat_words"] <= 20 * r["n_words"]]
+    ones, zeros = sum(q for _, q in held), sum(1 - q for _, q in held)
+    best, place = 0.0, None
+    for b in range(quality.BINS + 1):
+        lost, caught = sum(q for s, q in held if s >= b) / ones, sum(1 - q for s, q in held if s >= b) / zeros
+        if lost <= 0.005 and caught - lost > best + 1e-12:
+            best, place = caught - lost, b
+    assert threshold == (1.1 if place is None else place / quality.BINS)
+    out = {r["doc_id"]: r["kept"] for r in quality.verdicts(stats, forest, threshold).collect()}
+    for s, r in zip(want, rows, strict=True):
+        base = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+        if abs(s - threshold) > 1e-9:
+            assert out[r["doc_id"]] == (not base and s < threshold)
+
+
 def test_quality_edges(spark, docs):
     assert quality.judge(empty(spark), cases.labels(spark)).collect() == []
     rows = quality.judge(docs, cases.labels(spark, [])).collect()

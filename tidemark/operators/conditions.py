@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.features import top_values
-from tidemark.plans.prefix import quantile_values, quantiles, with_bins
+from tidemark.plans.prefix import asked_ranks, quantile_values, read_ranks, with_bins
+from tidemark.shared import new_path
 
 SPIKE_30D, SPIKE_7D = 2.0, 1.5
 GAPS = {"small": 0.005, "medium": 0.01, "large": 0.02}
@@ -27,7 +28,7 @@ def library(df: DataFrame) -> dict[str, Column]:
     return out | {"surprise_pos_volume_high": (s > 0) & (v7 > SPIKE_7D), "surprise_neg_volume_high": (s < 0) & (v7 > SPIKE_7D)}
 
 
-def long_flags(df: DataFrame, conditions: dict[str, Column], keep: list[str]) -> DataFrame:
+def long_flags(df: DataFrame, conditions: dict[str, Column], keep: list) -> DataFrame:
     """keep, condition, flag: a row for each row and condition; a null condition counts as false."""
     flags = F.array(*(F.struct(F.lit(n).alias("condition"), F.coalesce(c, F.lit(False)).alias("flag")) for n, c in conditions.items()))
     return df.select(*keep, F.inline(flags))
@@ -35,19 +36,31 @@ def long_flags(df: DataFrame, conditions: dict[str, Column], keep: list[str]) ->
 
 def split_stats(df: DataFrame, conditions: dict[str, Column], target: str, min_n: int = 3, medians: bool = True) -> DataFrame:
     """condition; n, mean, median, std, win_rate of the target where the condition holds (_true) and where not (_false).
-    Partial moments by condition, side and bin of the target leave a task, never rows times conditions; the bins lead to
-    the medians."""
+
+    A row is multiplied only by the conditions it meets, inside its task; partial moments by condition and bin of the
+    target leave it. The sums where a condition fails are those of all rows less those where it holds, and the bins lead
+    to the few rows around each median."""
     rows = df.filter(F.col(target).isNotNull())
     rows = with_bins(rows, target, [], "_bin") if medians else rows.withColumn("_bin", F.lit(0))
     centre = rows.agg(F.avg(target)).first()[0] or 0.0  # keeps the sums of squares small
-    long = long_flags(rows, conditions, [target, "_bin"])
+    met = F.filter(F.array(F.lit(""), *(F.when(c, F.lit(n)) for n, c in conditions.items())), lambda n: n.isNotNull())  # "" is met by all
     y = F.col(target) - centre
-    sides = long.groupBy("condition", "flag").agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count_if(F.col(target) > 0).alias("w"))
+    path = new_path(df.sparkSession, "condition-cells")
+    rows.select(target, "_bin", F.explode(met).alias("condition")).groupBy("condition", "_bin").agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count_if(F.col(target) > 0).alias("w")).write.parquet(path)
+    cells = df.sparkSession.read.schema("condition string, _bin int, n bigint, s double, q double, w bigint").parquet(path)
+    held, whole = cells.filter("condition <> ''"), cells.filter("condition = ''")
+    every = whole.select(F.explode(F.array(*map(F.lit, conditions))).alias("condition"), "_bin", *(F.col(c).alias(f"all_{c}") for c in "nsqw")).join(held, ["condition", "_bin"], "left").fillna(0, list("nsqw"))
+    both = every.select("condition", "_bin", F.inline(F.array(*(F.struct(F.lit(side).alias("flag"), *((F.col(c) if side else F.col(f"all_{c}") - F.col(c)).alias(f"_{c}") for c in "nsqw")) for side in (True, False))))).filter("_n > 0")
+    sides = both.groupBy("condition", "flag").agg(*(F.sum(f"_{c}").alias(c) for c in "nsqw"))
     mean = F.col("s") / F.col("n")
     std = F.sqrt(F.greatest(F.try_divide(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0)))
     stats = {"n": F.col("n"), "mean": mean + centre, "std": std, "win_rate": F.col("w") / F.col("n")}
     if medians:
-        sides = sides.join(quantiles(long, target, [0.5], ["condition", "flag"], "m", binned="_bin"), ["condition", "flag"])
+        by = ["condition", "flag"]
+        asked = asked_ranks(both.select(*by, "_bin", "_n"), [0.5], by)
+        near = rows.join(F.broadcast(asked.select(F.col("_bin").alias("_b")).distinct()), F.col("_bin") == F.col("_b"), "left_semi")  # two bins a condition and side at most
+        long = long_flags(near, conditions, [F.col(target).cast("double").alias("_x"), "_bin"])
+        sides = sides.join(read_ranks(long, asked, by, "m"), by)
         stats["median"] = F.col("m")[0]
     out = sides.groupBy("condition").agg(*(F.max(F.when(F.col("flag") == side, c)).alias(f"{n}_{'true' if side else 'false'}") for n, c in stats.items() for side in (True, False)))
     return out.filter((F.col("n_true") >= min_n) & (F.col("n_false") >= min_n))

@@ -100,24 +100,30 @@ def _uniforms(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) / 2.0**64
 
 
-def bootstrap_sums(trades: DataFrame, key: str = "trade_id", by: str = "strategy", r: str = "r", replicates: int = 1000, seed: int = 7) -> DataFrame:
+def bootstrap_sums(trades: DataFrame, key: str = "trade_id", by: str = "strategy", r: str = "r", replicates: int = 1000, seed: int = 7, joint: bool = False) -> DataFrame:
     """by, replicate, w, wr, wrr: Poisson bootstrap. Each partition emits its partial sums, so rows are never multiplied
-    by the replicates in a shuffle."""
+    by the replicates in a shuffle. Equal returns of a group are counted first and drawn together (a sum of Poisson draws
+    is one); joint draws each row by its key instead, so that a row weighs alike in every group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for b in batches:
             for name, g in b.groupby("by"):
-                x = g["r"].to_numpy()
                 acc = total.setdefault(name, np.zeros((3, replicates)))
+                once, more = g[g["n"] == 1], g[g["n"] > 1]
+                x = once["r"].to_numpy()
                 for i in range(0, len(x), 2000):
-                    w = poisson(_uniforms(g["key"].to_numpy()[i : i + 2000], replicates, seed))
+                    w = poisson(_uniforms(once["key"].to_numpy()[i : i + 2000], replicates, seed))
                     y = x[i : i + 2000]
                     acc += np.stack([w.sum(0), y @ w, (y * y) @ w])
+                for k, y, n in zip(more["key"], more["r"], more["n"], strict=True):
+                    w = np.random.Generator(np.random.Philox(key=[k & (2**64 - 1), seed])).poisson(n, replicates)
+                    acc += np.stack([w, y * w, y * y * w])
         for name, acc in total.items():
             yield pd.DataFrame({by: name, "replicate": np.arange(replicates), "w": acc[0], "wr": acc[1], "wrr": acc[2]})
 
-    rows = trades.filter(F.col(r).isNotNull()).select(F.col(by).alias("by"), F.xxhash64(key).alias("key"), F.col(r).cast("double").alias("r"))
+    rows = trades.filter(F.col(r).isNotNull()).select(F.col(by).alias("by"), F.col(key).alias("id"), F.col(r).cast("double").alias("r"))
+    rows = rows.select("by", F.xxhash64("id").alias("key"), "r", F.lit(1).cast("bigint").alias("n")) if joint else rows.groupBy("by", "r").agg(F.count("*").alias("n")).select("by", F.xxhash64("by", "r").alias("key"), "r", "n")
     return rows.mapInPandas(run, f"{by} string, replicate int, w double, wr double, wrr double").groupBy(by, "replicate").agg(*(F.sum(c).alias(c) for c in ("w", "wr", "wrr")))
 
 
@@ -146,7 +152,7 @@ def reality_check(trades: DataFrame, by: str = "strategy", r: str = "r", key: st
     reaches it) and the number of strategies. The standard deviation is the population one."""
     m = trades.groupBy(by).agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"), F.count(r).cast("double").alias("n"))
     best = m.agg(F.max(F.try_divide(F.col("mean") * F.sqrt("n"), F.col("sd"))).alias("statistic"), F.count("*").alias("n_strategies"))
-    sums = bootstrap_sums(trades, key, by, r, replicates, seed).join(m, by)
+    sums = bootstrap_sums(trades, key, by, r, replicates, seed, joint=True).join(m, by)
     t = F.try_divide((F.try_divide("wr", "w") - F.col("mean")) * F.sqrt("n"), F.col("sd"))
     top = sums.groupBy("replicate").agg(F.max(t).alias("t"))
     statistic, k = best.first()

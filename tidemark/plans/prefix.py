@@ -48,12 +48,20 @@ def quantiles(df: DataFrame, x: str, probs: list[float], by: list[str], name: st
     one in BINS, so no task holds the values of a group."""
     rows = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), *([F.col(binned).alias("_bin")] if binned else []))
     rows = rows if binned else with_bins(rows, "_x", by, "_bin")
-    counts = rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    return read_ranks(rows, asked_ranks(rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n")), probs, by), by, name)
+
+
+def asked_ranks(counts: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """For each quantile and group of counts(by, _bin, _n) the ranks it lies between, with their bins."""
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     run = counts.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(whole)})  # BINS rows a group
     at = F.explode(F.array(*(F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_all") - 1)).alias("_at")) for i, p in enumerate(probs))))
     asked = run.select("*", at.alias("_p")).select(*by, "_bin", (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", "_p.*")
-    asked = asked.select("*", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_k")).filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_upto")))
+    return asked.select("*", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_k")).filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_upto")))
+
+
+def read_ranks(rows: DataFrame, asked: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The quantiles from rows(by, _bin, _x), of which only those in asked bins are looked at."""
     keys = [*by, "_bin"]
     wanted = asked.select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(keys))).distinct()
     some = rows.join(F.broadcast(wanted), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(keys)]), "left_semi")  # two bins a quantile and group

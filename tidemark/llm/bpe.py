@@ -112,18 +112,22 @@ class Encoder:
         # the tokenizer composes before it lowers case: only pieces in which nothing composes are lowered here
         plain = pc.and_not(pc.string_is_ascii(distinct), pc.match_substring(distinct, "<|"))
         distinct = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
-        at = pc.index_in(distinct, value_set=self.known)
-        new = pc.unique(distinct.filter(pc.is_null(at)))
+        found = pc.index_in(distinct, value_set=self.known)
+        new = pc.unique(distinct.filter(pc.is_null(found)))
+        if len(self.known) + len(new) > PIECES:
+            self.clear()
+            found, new = pa.nulls(len(distinct), pa.int32()), pc.unique(distinct)
+        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(new):
-            if len(self.known) + len(new) > PIECES:
-                self.clear()
-                new = pc.unique(distinct)
+            n, unknown = len(self.known), pc.is_null(found)
             self._add(new)
-            at = pc.index_in(distinct, value_set=self.known)
-        at = at.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+            at[unknown.to_numpy(zero_copy_only=False)] = n + pc.index_in(distinct.filter(unknown), value_set=self.known.slice(n)).to_numpy(zero_copy_only=False)
+        at = at[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
         size = self.size[at]
         before = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(self.start[at] - before[:-1], size) + np.arange(before[-1])]
+        place = np.repeat(self.start[at] - before[:-1], size)
+        place += np.arange(before[-1])
+        flat = self.ids.take(place)
         return flat, before[of]
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, kdshard, mixing, mjpeg, quality, simhash, substrings, toxicity, urls, wavelet
+from tidemark.llm import bpe, kdshard, langid, mixing, mjpeg, prefixtrie, quality, rolerepair, simhash, substrings, toxicity, urls, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.nodes(_table(spark, sf_dir, "conversations"))
+
+
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolerepair.repaired(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_toxicity, op3_source_mix, op4_simhash, op5_repeated_substrings, op6_bpe, op7_url_rules, op8_wavelet, op9_mjpeg, op10_quality)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_toxicity, op3_source_mix, op4_simhash, op5_repeated_substrings, op6_bpe, op7_url_rules, op8_wavelet, op9_mjpeg, op10_quality, op11_language, op12_prefix_trie, op13_role_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_rules": urls.ORACLE}
+    return {"op7_url_rules": urls.ORACLE, "op12_prefix_trie": prefixtrie.ORACLE, "op13_role_repair": rolerepair.ORACLE}

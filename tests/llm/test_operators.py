@@ -400,12 +400,47 @@ def test_bpe_trees(tokenizer):
     for text in [*long, *("".join(rng.choice(alphabet, 120)) for _ in range(60))]:
         want = tokenizer.encode(text, add_special_tokens=False).ids
         for leaf in (7, 16, 50):
-            at = bpe.cuts(len(text), leaf)
+            at = bpe.cuts(text, leaf)
             parts = [bpe.Part.of(model, text, a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
             got = bpe.tree(model, text, parts)
             assert got.ids.tolist() == want, (text, leaf)
 
 
+MARKS = list("\u0301\u0308\u030a\u030c\u0304\u0306\u0345\u0331\u0323\u0327\u0328\u031b\u05b0\u064b\u0f71\u0f72\u3099\u09be\u0c56\u0653\u0344")
+JAMO = list("\u1100\u1112\u1161\u1175\u11a8\u11c2\uac00\uac01\ud7a3")
+
+
+def test_bpe_cuts_among_marks(tokenizer):
+    """Marks of many classes and Hangul, joined at every place where a text may be cut; no other place is ever taken."""
+    model = bpe.encoder(bpe.default_path())
+    rng = np.random.default_rng(7)
+    assert bpe.cuts("a" + "\u030c\u0331" * 20 + "b" * 10, 30) == [0, 41, 51]
+    joined = 0
+    for n in range(5000):
+        letters = [*MARKS, *JAMO, *("aeouyſßÅ " if n % 2 else "a")] if n % 5 else [*MARKS, "a", "\u0915", "\u0f40"]
+        text = "".join(rng.choice(letters, rng.integers(2, 40)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        for at in range(1, len(text)):
+            if bpe.opens(text[at]):
+                parts = [bpe.Part.of(model, text, a, b) for a, b in ((0, at), (at, len(text)))]
+                assert bpe.join(model, text, *parts).ids.tolist() == want, (text, at)
+                joined += 1
+    assert joined > 20_000
+
+
+def test_bpe_trees_of_long_marked_texts(tokenizer):
+    """Parts far longer than a window, so that windows open and end among marks."""
+    model = bpe.encoder(bpe.default_path())
+    rng = np.random.default_rng(8)
+    for n in range(40):
+        letters = [MARKS + ["a", "b", " "], JAMO + ["x"], MARKS + JAMO + list("aeou yſ.,'s"), MARKS][n % 4]
+        text = "".join(rng.choice(letters, 3000))
+        at = bpe.cuts(text, 700)
+        assert all(bpe.opens(text[x]) for x in at[1:-1])
+        parts = [bpe.Part.of(model, text, a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert bpe.tree(model, text, parts).ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, n
+
+
 def test_other_tokenizers():
     """A tokenizer whose tokens cross white space is not cut into pieces."""
     import public_tokenizers
@@ -416,7 +451,7 @@ def test_other_tokenizers():
     text = "In  the end, all's well. " * 40 + "\n\n x=1;   y"
     flat, before = model.encode(pa.array([text, None, "a b"]))
     assert [flat[a:b].tolist() for a, b in zip(before[:-1], before[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in (text, "", "a b")]
-    parts = [bpe.Part.of(model, text, a, b) for a, b in zip(bpe.cuts(len(text), 100)[:-1], bpe.cuts(len(text), 100)[1:], strict=True)]
+    parts = [bpe.Part.of(model, text, a, b) for a, b in zip(bpe.cuts(text, 100)[:-1], bpe.cuts(text, 100)[1:], strict=True)]
     assert bpe.tree(model, text, parts).ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
@@ -680,7 +715,7 @@ def test_bpe_parts_with_white_space(tokenizer):
     assert p.head.tolist() == [list(x) for x in e.offsets[: len(p.head)]]
     assert p.tail.tolist() == [list(x) for x in e.offsets[-len(p.tail) :]]
     for leaf in (1700, 3000):
-        at = bpe.cuts(len(text), leaf)
+        at = bpe.cuts(text, leaf)
         parts = [bpe.Part.of(model, text, a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
         assert bpe.tree(model, text, parts).ids.tolist() == e.ids
 

@@ -6,6 +6,10 @@ cut is encoded again and grown until it agrees with both sides: two consecutive
 left and on the right. A BPE encoding is valid exactly if its neighbouring tokens are, so agreement makes the joined
 encoding that of the whole text.
 
+That holds for normalised text, and NFC orders and composes marks across any edge that stands among them. So texts are cut,
+windows begin and end, and encodings agree only before characters that NFC neither moves nor joins to what stands before
+them (`opens`); there the normalised text is that of both sides in a row. A text without such a place is one part.
+
 Parts are encoded by pieces where the tokenizer's file says that no token crosses white space: a part is cut at ASCII
 white space (and between an ASCII letter and a following full stop or comma, where the pre-tokenizer always cuts),
 distinct pieces are encoded once and kept in a bounded table, and ids are gathered with numpy. Other tokenizers encode
@@ -17,9 +21,12 @@ table gives an empty result; other columns are ignored, and `apply` returns doc_
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +46,23 @@ WORD_END = "</w>"
 LETTERS = "^[a-zA-ZÀ-ÖØ-öø-ÿ]+$"
 _encoders: dict[str, Encoder] = {}
 
+#: The vowels and tails of Hangul, which compose with the character before them.
+JAMO = [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]
+
+
+@functools.cache
+def _joining() -> frozenset[str]:
+    """Characters that compose with one before them."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+    return frozenset([*(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"), *map(chr, JAMO)])
+
+
+@functools.lru_cache(maxsize=65_536)
+def opens(c: str) -> bool:
+    """Whether NFC neither moves this character nor joins it to what stands before it."""
+    first = unicodedata.normalize("NFD", c)[0]
+    return not unicodedata.combining(first) and first not in _joining()
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -169,35 +193,39 @@ class Part:
         return cls(begin, end, ids, head[:EDGE] + begin, tail[max(0, len(tail) - EDGE) :] + begin)
 
 
-def _agree(a_ids, a_at, b_ids, b_at, last: bool) -> tuple[int, int] | None:
-    """Indexes (i, j) of the first (or last) two consecutive tokens that are equal in both, a clean character boundary between."""
+def _agree(text: str, a_ids, a_at, b_ids, b_at, last: bool) -> tuple[int, int] | None:
+    """Indexes (i, j) of the first (or last) two consecutive tokens that are equal in both, the second of which begins
+    where normalised text does."""
     where = {(int(t), int(s), int(e)): i for i, (t, (s, e)) in enumerate(zip(a_ids, a_at, strict=True))}
     turn = range(len(b_ids) - 2, -1, -1) if last else range(len(b_ids) - 1)
     for j in turn:
         i = where.get((int(b_ids[j]), int(b_at[j][0]), int(b_at[j][1])))
-        if i is not None and i + 1 < len(a_ids) and a_ids[i + 1] == b_ids[j + 1] and (a_at[i + 1] == b_at[j + 1]).all() and a_at[i][1] <= a_at[i + 1][0]:
+        if i is not None and i + 1 < len(a_ids) and a_ids[i + 1] == b_ids[j + 1] and (a_at[i + 1] == b_at[j + 1]).all() and a_at[i][1] <= a_at[i + 1][0] and opens(text[a_at[i + 1][0]]):
             return i, j
     return None
 
 
 def join(model: Encoder, text: str, left: Part, right: Part) -> Part:
-    """The encoding of both stretches as one."""
+    """The encoding of both stretches as one; the text may be cut between them (see opens)."""
     if not len(left.ids) or not len(right.ids):
         return Part.of(model, text, left.begin, right.end)
     cut, reach = left.end, FIRST_WINDOW
     nl, nr = len(left.tail), len(right.head)
     l_ids, r_ids = left.ids[len(left.ids) - nl :], right.ids[:nr]
+    whole = lambda at: left.begin < at < right.end and opens(text[at])
+    begins, ends = ([int(x) for x in at if whole(int(x))] for at in (left.tail[:, 0], right.head[:, 1]))
     while True:
         begin, end = max(left.begin, cut - reach), min(right.end, cut + reach)
-        inner_left, inner_right = left.tail[left.tail[:, 0] <= begin], right.head[right.head[:, 1] >= end]
-        if begin > left.begin and not len(inner_left) or end < right.end and not len(inner_right):
+        if begin > left.begin:
+            begin = max((x for x in begins if x <= begin), default=-1)
+        if end < right.end:
+            end = min((x for x in ends if x >= end), default=-1)
+        if begin < 0 or end < 0:
             return Part.of(model, text, left.begin, right.end)  # beyond the held spans: encode the whole
-        begin = int(inner_left[-1, 0]) if begin > left.begin else begin
-        end = int(inner_right[0, 1]) if end < right.end else end
         ids, at = model.spans(text[begin:end])
         at = at + begin
-        at_left = (0, 0) if begin == left.begin else _agree(l_ids, left.tail, ids, at, last=False)
-        at_right = (0, 0) if end == right.end else _agree(ids, at, r_ids, right.head, last=True)
+        at_left = (0, 0) if begin == left.begin else _agree(text, l_ids, left.tail, ids, at, last=False)
+        at_right = (0, 0) if end == right.end else _agree(text, ids, at, r_ids, right.head, last=True)
         if at_left and at_right:
             i, j = at_left if begin > left.begin else (0, 0)
             kept_left = len(left.ids) - nl + i if begin > left.begin else 0
@@ -228,12 +256,14 @@ def tree(model: Encoder, text: str, parts: list[Part]) -> Part:
     return parts[0]
 
 
-def cuts(n: int, leaf: int = LEAF) -> list[int]:
-    """Bounds of the parts of a text of n characters: halves of halves, leaf characters at most."""
-    k = 1
+def cuts(text: str, leaf: int = LEAF) -> list[int]:
+    """Bounds of the parts of a text: halves of halves of leaf characters at most, each moved on to the next place at which
+    the text may be cut (see opens)."""
+    n, k = len(text), 1
     while n > k * leaf:
         k *= 2
-    return [n * i // k for i in range(k + 1)]
+    found = [next((at for at in range(n * i // k, n) if opens(text[at])), n) for i in range(1, k)]
+    return sorted({0, *found, n})
 
 
 def _ids_column(arrays: list[np.ndarray]) -> pa.Array:
@@ -284,7 +314,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in range(b.num_rows):
             row, doc, text = (b.column(c)[r].as_py() for c in range(3))
-            at = cuts(len(text))
+            at = cuts(text)
             n = len(at) - 1
             yield pa.RecordBatch.from_arrays([pa.array([row] * n), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([text[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])], ["row", "doc_id", "i", "text"])
 

@@ -1,12 +1,17 @@
-"""Named conditions and the returns on either side of them, all conditions in one grouping."""
+"""Named conditions and the returns on either side of them, all conditions in one grouping of packed masks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from math import ceil, floor
 
-from tidemark.operators.features import top_values
-from tidemark.plans.prefix import asked_ranks, quantile_values, read_ranks, with_bins
-from tidemark.shared import new_path
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark.operators.features import top_values, written
+from tidemark.plans.prefix import BINS, quantile_values, spreads
+
+#: Bits of a mask.
+MAX_CONDITIONS = 62
 
 SPIKE_30D, SPIKE_7D = 2.0, 1.5
 GAPS = {"small": 0.005, "medium": 0.01, "large": 0.02}
@@ -34,36 +39,76 @@ def long_flags(df: DataFrame, conditions: dict[str, Column], keep: list) -> Data
     return df.select(*keep, F.inline(flags))
 
 
+def mask_of(conditions: list[Column]) -> Column:
+    """A long with bit i set where condition i holds; a null condition counts as false."""
+    if len(conditions) > MAX_CONDITIONS:
+        raise ValueError(f"more than {MAX_CONDITIONS} conditions")
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(conditions):
+        out = out.bitwiseOR(F.when(c, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def _bit(mask: Column, i: Column) -> Column:
+    return F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1).cast("long"))
+
+
 def split_stats(df: DataFrame, conditions: dict[str, Column], target: str, min_n: int = 3, medians: bool = True) -> DataFrame:
     """condition; n, mean, median, std, win_rate of the target where the condition holds (_true) and where not (_false).
 
-    A row is multiplied only by the conditions it meets, inside its task; partial moments by condition and bin of the
-    target leave it. The sums where a condition fails are those of all rows less those where it holds, and the bins lead
-    to the few rows around each median."""
-    rows = df.filter(F.col(target).isNotNull())
-    rows = with_bins(rows, target, [], "_bin") if medians else rows.withColumn("_bin", F.lit(0))
-    centre = rows.agg(F.avg(target)).first()[0] or 0.0  # keeps the sums of squares small
-    met = F.filter(F.array(F.lit(""), *(F.when(c, F.lit(n)) for n, c in conditions.items())), lambda n: n.isNotNull())  # "" is met by all
-    y = F.col(target) - centre
-    path = new_path(df.sparkSession, "condition-cells")
-    rows.select(target, "_bin", F.explode(met).alias("condition")).groupBy("condition", "_bin").agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count_if(F.col(target) > 0).alias("w")).write.parquet(path)
-    cells = df.sparkSession.read.schema("condition string, _bin int, n bigint, s double, q double, w bigint").parquet(path)
-    held, whole = cells.filter("condition <> ''"), cells.filter("condition = ''")
-    every = whole.select(F.explode(F.array(*map(F.lit, conditions))).alias("condition"), "_bin", *(F.col(c).alias(f"all_{c}") for c in "nsqw")).join(held, ["condition", "_bin"], "left").fillna(0, list("nsqw"))
-    both = every.select("condition", "_bin", F.inline(F.array(*(F.struct(F.lit(side).alias("flag"), *((F.col(c) if side else F.col(f"all_{c}") - F.col(c)).alias(f"_{c}") for c in "nsqw")) for side in (True, False))))).filter("_n > 0")
-    sides = both.groupBy("condition", "flag").agg(*(F.sum(f"_{c}").alias(c) for c in "nsqw"))
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.try_divide(F.col("q") - F.col("n") * mean * mean, F.col("n") - 1), F.lit(0.0)))
-    stats = {"n": F.col("n"), "mean": mean + centre, "std": std, "win_rate": F.col("w") / F.col("n")}
-    if medians:
-        by = ["condition", "flag"]
-        asked = asked_ranks(both.select(*by, "_bin", "_n"), [0.5], by)
-        near = rows.join(F.broadcast(asked.select(F.col("_bin").alias("_b")).distinct()), F.col("_bin") == F.col("_b"), "left_semi")  # two bins a condition and side at most
-        long = long_flags(near, conditions, [F.col(target).cast("double").alias("_x"), "_bin"])
-        sides = sides.join(read_ranks(long, asked, by, "m"), by)
-        stats["median"] = F.col("m")[0]
-    out = sides.groupBy("condition").agg(*(F.max(F.when(F.col("flag") == side, c)).alias(f"{n}_{'true' if side else 'false'}") for n, c in stats.items() for side in (True, False)))
-    return out.filter((F.col("n_true") >= min_n) & (F.col("n_false") >= min_n))
+    Each row's conditions are packed into one mask, written with the target (16 bytes a row). Moments are grouped by mask and
+    bin of the target; only these cells are multiplied by the conditions they meet, and their sums, BINS rows a condition at
+    most, reach the driver. The sums where a condition fails are those of all rows less those where it holds. For the
+    medians a second grouping looks into the one or two bins that hold a side's middle rank."""
+    spark, names = df.sparkSession, list(conditions)
+    rows = written(df.filter(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("x"), mask_of(list(conditions.values())).alias("mask")))
+    spread = spreads(rows, ["x"])["x"] if medians else None
+    bin_of = spread.bin(F.col("x")) if spread else F.lit(0)
+    centre = rows.agg(F.avg("x")).first()[0] or 0.0 if spread is None else spread.middle if spread.some else 0.0  # keeps the sums of squares small
+    y = F.col("x") - centre
+    cells = rows.groupBy("mask", bin_of.alias("bin")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count_if(F.col("x") > 0).alias("w"))
+    m = len(names)
+    met = F.filter(F.sequence(F.lit(0), F.lit(max(m - 1, 0))), lambda i: _bit(F.col("mask"), i) == 1)
+    found = cells.select(F.explode(F.concat(F.array(F.lit(m)), met)).alias("i"), "bin", *"nsqw").groupBy("i", "bin").agg(*(F.sum(c).alias(c) for c in "nsqw")).toArrow()
+    at = found["i"].to_numpy(), found["bin"].to_numpy()
+    held = {c: np.zeros((m + 1, BINS)) for c in "nsqw"}
+    for c, x in held.items():
+        x[at] = found[c].to_numpy()
+    sides = {(i, side): {c: x[i] if side else x[m] - x[i] for c, x in held.items()} for i in range(m) for side in (True, False)}
+    middle = _middles(rows, bin_of, {k: v["n"] for k, v in sides.items()}) if medians else {}
+    out = []
+    for i, name in enumerate(names):
+        stats = []
+        for side in (True, False):
+            n, total, square, wins = (float(sides[i, side][c].sum()) for c in "nsqw")
+            mean = total / n if n else 0.0
+            std = (max(square - n * mean * mean, 0.0) / (n - 1)) ** 0.5 if n > 1 else None
+            stats.append({"n": int(n), "mean": mean + centre, "std": std, "win_rate": wins / n if n else None} | ({"median": middle.get((i, side))} if medians else {}))
+        if min(x["n"] for x in stats) >= min_n:
+            out.append((name, *(x[k] for k in stats[0] for x in stats)))
+    kinds = {"n": "bigint", "mean": "double", "std": "double", "win_rate": "double"} | ({"median": "double"} if medians else {})
+    return spark.createDataFrame(out, "condition string, " + ", ".join(f"{k}_{side} {t}" for k, t in kinds.items() for side in ("true", "false")))
+
+
+def _middles(rows: DataFrame, bin_of: Column, counts: dict[tuple[int, bool], np.ndarray]) -> dict[tuple[int, bool], float]:
+    """The median of each condition and side from its counts by bin: two ranks each are looked up."""
+    asked, wanted = [], {}
+    for (i, side), n in counts.items():
+        upto, total = np.cumsum(n), n.sum()
+        if total:
+            ranks = wanted[i, side] = floor((total - 1) / 2), ceil((total - 1) / 2)
+            asked += [(i, int(side), int(b), int(upto[b] - n[b])) for b in {int(np.searchsorted(upto, k, "right")) for k in ranks}]
+    if not asked:
+        return {}
+    table = rows.sparkSession.createDataFrame(asked, "i int, side int, bin int, before bigint")
+    near = rows.withColumn("bin", bin_of).filter(F.col("bin").isin(sorted({a[2] for a in asked}))).groupBy("bin", "x", "mask").agg(F.count("*").alias("c"))
+    some = near.join(F.broadcast(table), "bin").filter(_bit(F.col("mask"), F.col("i")) == F.col("side"))  # two rows a condition and side at most
+    order = Window.partitionBy("i", "side", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    upto = some.groupBy("i", "side", "bin", "before", "x").agg(F.sum("c").alias("c")).withColumn("to", F.col("before") + F.sum("c").over(order))
+    keys = rows.sparkSession.createDataFrame([(i, int(side), k) for (i, side), ks in wanted.items() for k in set(ks)], "i int, side int, k bigint")
+    hit = upto.join(F.broadcast(keys), ["i", "side"]).filter((F.col("k") < F.col("to")) & (F.col("k") >= F.col("to") - F.col("c")))
+    value = {(r["i"], bool(r["side"]), r["k"]): r["x"] for r in hit.select("i", "side", "k", "x").collect()}  # two rows a condition and side at most
+    return {(i, side): (value[i, side, a] + value[i, side, b]) / 2 for (i, side), (a, b) in wanted.items()}
 
 
 def grid(df: DataFrame, rules: dict[str, list[float]], target: str, by: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -12,7 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.combos import pair_correlations
-from tidemark.plans.prefix import quantile_values
+from tidemark.operators.features import written
+from tidemark.plans.prefix import BLOCK_ROWS, hashed_positions, quantile_values, with_ranks
 
 #: When each feature is known, in minutes after the open (negative: before).
 AVAILABLE = {"premarket": -1, "open": 0, "pct_1min": 1, "pct_5min": 5, "pct_15min": 15, "pct_30min": 30, "pct_1hr": 60, "intraday": 60, "close": 390, "high": 390, "low": 390, "return": 390, "risk_adjusted": 390, "full_day": 390, "target": 390, "daily_range": 390}
@@ -87,32 +86,42 @@ def forest_importance(df: DataFrame, features: list[str], label: str, trees: int
     return df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, fitted.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
-def _shuffler(i: int, k: int):
-    def shuffle(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-        order = np.lexsort(x.T)  # the same order whatever task reads the bucket
-        rng = np.random.default_rng([int(pdf["bucket"].iloc[0]), i, k])
-        x[order, i] = x[rng.permutation(order), i]
-        return pd.DataFrame({"label": pdf["label"], "x": list(x)})
-
-    return shuffle
-
-
-def permutation_importance(df: DataFrame, model, features: list[str], label: str, repeats: int = 5, buckets: int = 64) -> DataFrame:
-    """feature, importance: mean loss of AUC when a column is shuffled. Rows are dealt to buckets by a random hash and a
-    column is permuted inside each bucket, so no bucket holds the whole column."""
-    rows = assemble(df, features, label, scale=False).select("features", "label")
-    auc = BinaryClassificationEvaluator()
-    base = auc.evaluate(model.transform(rows))
-    flat = rows.select("label", vector_to_array("features").alias("x"))
-    out = []
-    for i, f in enumerate(features):
-        losses = []
-        for k in range(repeats):
-            mixed = flat.withColumn("bucket", F.pmod(F.xxhash64("x", F.lit(k)), F.lit(buckets))).groupBy("bucket").applyInPandas(_shuffler(i, k), "label double, x array<double>")
-            losses.append(base - auc.evaluate(model.transform(mixed.select("label", array_to_vector("x").alias("features")))))
-        out.append((f, float(np.mean(losses))))
-    return df.sparkSession.createDataFrame(out, "feature string, importance double")
+def auc_by(scored: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """by and the exact area under the curve (ties count half): from the rank sum of the rows labelled 1, found on distinct
+    scores with counts."""
+    cells = scored.groupBy(*by, score).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_ones"))
+    ranked = with_ranks(cells, scored, score, "_rank", by)
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("_ones") * F.col("_rank")).alias("_r"), F.sum("_ones").alias("_p"), F.sum("_n").alias("_all"))
+    p, n = F.col("_p"), F.col("_all") - F.col("_p")
+    return sums.select(*by, F.try_divide(F.col("_r") - p * (p + 1) / 2, p * n).alias("auc"))
+
+
+def permuted(rows: DataFrame, key: str, columns: dict[int, Column], repeats: int, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rows once for each column and repeat (i, k) with `value`: the column's value in another row, so that each (i, k) is a
+    permutation of the whole column.
+
+    Two orders by hashes of the key, of which one depends on i and k, are numbered, and equal positions are joined: the
+    largest task has some block_rows rows however many there are. rows are read several times: give a written table."""
+    n = rows.count()
+    home = hashed_positions(rows.withColumn("_h", F.xxhash64(F.lit(seed), key)), "_h", n, block_rows=block_rows).drop("_h")
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), x.alias("value")) for i, x in columns.items() for k in range(repeats)))
+    donors = rows.select(F.col(key).alias("_key"), F.inline(cells)).withColumn("_h", F.xxhash64(F.lit(seed), "_key", "i", "k"))
+    return home.join(hashed_positions(donors, "_h", n, ["i", "k"], block_rows=block_rows).drop("_h", "_key"), "position").drop("position")
+
+
+def permutation_importance(df: DataFrame, model, features: list[str], label: str, repeats: int = 5, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """feature, importance: mean loss of AUC when a column is permuted over the whole table, `repeats` times each. All
+    permutations are made and scored in one job."""
+    x = vector_to_array("features")
+    rows = written(assemble(df, features, label, scale=False).select("label", x.alias("x")).withColumn("_row", F.monotonically_increasing_id()))
+    moved = permuted(rows, "_row", {i: F.col("x")[i] for i in range(len(features))}, repeats, seed, block_rows)
+    mixed = moved.withColumn("x", F.transform("x", lambda v, j: F.when(j == F.col("i"), F.col("value")).otherwise(v))).select("i", "k", "label", "x")
+    every = mixed.unionByName(rows.select(F.lit(-1).alias("i"), F.lit(0).alias("k"), "label", "x"))
+    scored = written(model.transform(every.withColumn("features", array_to_vector("x"))).select("i", "k", "label", vector_to_array("probability")[1].alias("p")))
+    auc = auc_by(scored, "p", "label", ["i", "k"])
+    base = auc.filter("i = -1").select(F.col("auc").alias("base"))
+    names = F.array(*map(F.lit, features))
+    return auc.filter("i >= 0").crossJoin(F.broadcast(base)).groupBy("i").agg(F.avg(F.col("base") - F.col("auc")).alias("importance")).select(names[F.col("i")].alias("feature"), "importance")  # base: one row
 
 
 def vote(spark, chosen: dict[str, list[str]], mi: DataFrame, k: int = 20) -> DataFrame:

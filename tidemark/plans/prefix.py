@@ -7,12 +7,13 @@ each block adds its rows to the state it starts from.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Bins of a value's range that ranks and quantiles are found by.
-BINS = 4096
+#: Bins of a value's range that ranks and quantiles are found by, and rows that are numbered in one task.
+BINS, BLOCK_ROWS = 4096, 100_000
 
 
 def row_numbers(df: DataFrame, block: str, order: list[str], name: str = "position") -> DataFrame:
@@ -24,6 +25,20 @@ def row_numbers(df: DataFrame, block: str, order: list[str], name: str = "positi
     return df.withColumn("_k", F.row_number().over(inside)).join(starts, block).withColumn(name, F.col("_start") + F.col("_k") - 1).drop("_k", "_start")
 
 
+def hashed_positions(df: DataFrame, h: str, n: int, by: list[str] | None = None, name: str = "position", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """df with 0-based positions within `by` in an order that the 64-bit hash h sets. n is the number of rows of a group.
+
+    The top bits of the hash cut a group into blocks of about block_rows rows, whatever its size; a block's rows are numbered
+    in a task, the blocks by the sums of their counts. Rows of equal hash are numbered as they come."""
+    by, bits = by or [], max(0, math.ceil(math.log2(max(n, 1) / block_rows)))
+    rows = df.withColumn("_block", F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long"))
+    counts = rows.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row a block
+    inside = Window.partitionBy(*by, "_block").orderBy(h)
+    return rows.withColumn("_k", F.row_number().over(inside)).join(starts, [*by, "_block"]).withColumn(name, F.col("_start") + F.col("_k") - 1).drop("_k", "_start", "_block")
+
+
 def with_bins(df: DataFrame, x: str, by: list[str], name: str, bins: int = BINS) -> DataFrame:
     """df with a bin of x, 0 to bins - 1, that grows with x within its group. Values are spread by the inverse hyperbolic
     sine of their distance from the median in quartile widths, so outliers do not crowd the rest into one bin. Nulls get
@@ -73,11 +88,70 @@ def read_ranks(rows: DataFrame, asked: DataFrame, by: list[str], name: str) -> D
     return value.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(name))
 
 
+class Spread:
+    """Where the bins of a column lie, see with_bins: plain numbers, so that no row is joined with them."""
+
+    def __init__(self, low: float | None, high: float | None, quartiles: list[float] | None, bins: int = BINS):
+        self.bins, self.some = bins, low is not None
+        if self.some:
+            self.middle = quartiles[1]
+            self.scale = max(quartiles[2] - quartiles[0], (high - low) * 1e-6)
+            self.low, self.high = (math.asinh((x - self.middle) / self.scale) if self.scale else 0.0 for x in (low, high))
+
+    def bin(self, x: Column) -> Column:
+        finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+        if not self.some or self.high == self.low:
+            place = F.when(finite, 0)
+        else:
+            part = (F.asinh((x - self.middle) / self.scale) - self.low) / (self.high - self.low)
+            place = F.when(finite, F.greatest(F.lit(0), F.least(F.lit(self.bins - 1), F.floor(part * self.bins))))
+        return place.when(x < 0, 0).when(x.isNotNull(), self.bins - 1).cast("int")
+
+
+def spreads(df: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, Spread]:
+    """The bins of several double columns, from one pass."""
+    finite = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in columns}
+    r = df.agg(*(x for c, y in finite.items() for x in (F.min(y).alias(f"{c}_lo"), F.max(y).alias(f"{c}_hi"), F.percentile_approx(y, [0.25, 0.5, 0.75], 1000).alias(f"{c}_q")))).first()
+    return {c: Spread(r[f"{c}_lo"], r[f"{c}_hi"], r[f"{c}_q"], bins) for c in columns}
+
+
 def quantile_values(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> dict[str, list[float] | None]:
-    """Exact quantiles of several expressions over the whole table: one row each reaches the driver."""
-    cells = F.array(*(F.struct(F.lit(n).alias("_name"), c.cast("double").alias("_value")) for n, c in columns.items()))
-    found = {r["_name"]: r["q"] for r in quantiles(df.select(F.inline(cells)), "_value", probs, ["_name"]).collect()}
-    return {n: found.get(n) for n in columns}
+    """Exact quantiles of several expressions over the whole table, by three passes over df: where the bins lie, counts by
+    bin (BINS rows a column reach the driver), and the distinct values of the few bins that hold the ranks asked for."""
+    names = {n: f"_x{i}" for i, n in enumerate(columns)}
+    rows = df.select(*(c.cast("double").alias(names[n]) for n, c in columns.items()))
+    found = spreads(rows, list(names.values()))
+    at = {c: s.bin(F.col(c)) for c, s in found.items()}
+    cell = lambda c: F.struct(F.lit(c).alias("_name"), at[c].alias("_bin"), F.col(c).alias("_x"))
+    counts: dict[str, list[tuple[int, int]]] = {c: [] for c in at}
+    cells = F.array(*(F.struct(F.lit(c).alias("_name"), b.alias("_bin")) for c, b in at.items()))
+    for r in rows.select(F.inline(cells)).filter("_bin IS NOT NULL").groupBy("_name", "_bin").agg(F.count("*").alias("_n")).collect():
+        counts[r["_name"]].append((r["_bin"], r["_n"]))
+    asked: dict[str, dict[int, int]] = {}  # the bins to look into, with the rows before each
+    ranks: dict[str, list[float]] = {}
+    for c, bins in counts.items():
+        ranks[c] = [p * (sum(n for _, n in bins) - 1) for p in probs]
+        before, asked[c] = 0, {}
+        for b, n in sorted(bins):
+            if any(before <= k < before + n for x in ranks[c] for k in (math.floor(x), math.ceil(x))):
+                asked[c][b] = before
+            before += n
+    starts = [F.struct(F.lit(c).alias("_name"), F.lit(b).alias("_bin"), F.lit(k).cast("long").alias("_before")) for c, bins in asked.items() for b, k in bins.items()]
+    if not starts:
+        return dict.fromkeys(columns)
+    wanted = [F.when(at[c].isin(list(bins)), cell(c)) for c, bins in asked.items() if bins]
+    inside = rows.select(F.inline(F.filter(F.array(*wanted), lambda x: x.isNotNull()))).groupBy("_name", "_bin", "_x").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_name", "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.element_at(F.filter(F.array(*starts), lambda s: (s["_name"] == F.col("_name")) & (s["_bin"] == F.col("_bin"))), 1)["_before"]
+    ranked = inside.withColumn("_to", upto + first).withColumn("_from", F.col("_to") - F.col("_c"))
+    keys = [F.struct(F.lit(c).alias("c"), F.lit(k).cast("long").alias("k")) for c, xs in ranks.items() if asked[c] for k in sorted({f(x) for x in xs for f in (math.floor, math.ceil)})]
+    hit = ranked.select("_name", "_x", F.explode(F.filter(F.array(*keys), lambda q: (q["c"] == F.col("_name")) & (q["k"] >= F.col("_from")) & (q["k"] < F.col("_to")))).alias("q"))
+    value = {(r["_name"], r["k"]): r["_x"] for r in hit.select("_name", "q.k", "_x").collect()}  # two rows a quantile
+    out: dict[str, list[float] | None] = {}
+    for n, c in names.items():
+        pairs = [(value[c, math.floor(x)], value[c, math.ceil(x)], x - math.floor(x)) for x in ranks[c]] if asked[c] else None
+        out[n] = None if pairs is None else [a + (b - a) * f for a, b, f in pairs]
+    return out
 
 
 def average_ranks(df: DataFrame, value: str, name: str = "rank", by: list[str] | None = None, share: bool = False) -> DataFrame:

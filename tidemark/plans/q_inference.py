@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import conditions as X, inference as I, metrics as M
+from tidemark.operators import conditions as X, features as E, inference as I, metrics as M
 from tidemark.plans.q_strategies import LONG, _split, conditioned
 from tidemark.plans.registry import Views, query, t_tail
 
 
 def _tests(v: Views) -> DataFrame:
-    df = conditioned(v)
+    df = E.written(conditioned(v))
     return I.welch(X.split_stats(df, X.library(df), "r", medians=False))
 
 

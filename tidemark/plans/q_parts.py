@@ -328,8 +328,8 @@ def _(v: Views) -> DataFrame:
 
 @query("c1_conditions", LONG + " SELECT condition, count(*) FILTER (WHERE flag) AS n_true, count(*) FILTER (WHERE NOT flag) AS n_false FROM long GROUP BY 1", "records")
 def _(v: Views) -> DataFrame:
-    df = conditioned(v).filter("r IS NOT NULL")
-    library = X.library(conditioned(v))
+    every = E.written(conditioned(v))
+    df, library = every.filter("r IS NOT NULL"), X.library(every)
     counts = df.agg(F.count("*").alias("_n"), *(F.count_if(c).alias(n) for n, c in library.items()))
     return counts.unpivot("_n", list(library), "condition", "n_true").select("condition", "n_true", (F.col("_n") - F.col("n_true")).alias("n_false"))
 

@@ -121,7 +121,7 @@ def _split(columns: list[str]) -> str:
 
 @query("a8_condition_split", LONG + f" SELECT * FROM (SELECT condition, {_split(['n', 'mean', 'std', 'win_rate', 'median'])} FROM long GROUP BY 1) z WHERE n_true >= 3 AND n_false >= 3", "records", "mean_true mean_false std_true std_false win_rate_true win_rate_false median_true median_false")
 def _(v: Views) -> DataFrame:
-    df = conditioned(v)
+    df = E.written(conditioned(v))
     return X.split_stats(df, X.library(df), "r")
 
 

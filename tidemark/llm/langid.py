@@ -9,7 +9,7 @@ Spark. Rows are scored in batches: presences times landmarks, then kernel values
 An n-gram is known by a number of 24 bits, exact up to three bytes and hashed for four. Whole texts count. Learned are text
 and lang of rows whose crc32(doc_id) modulo 4 is not 2; lang, source and doc_id are no inputs of a prediction. Every
 training row takes part in the regression. Landmarks are at most LANDMARKS distinct texts, as many of each language, the first
-by hash; texts of LANDMARK_BYTES are preferred. Languages are counted equally in the regression, whatever their shares.
+by hash; among the SPARE times as many texts of the smallest hashes, those of LANDMARK_BYTES are preferred. Languages are counted equally in the regression, whatever their shares.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is every text where no row can be learned
 from; a null doc_id is predicted, never learned from (held_out is null); repeated rows get equal results; of equal values
@@ -35,7 +35,7 @@ ORDERS, BITS = 4, 24
 #: The first number of each order's n-grams: 256 of one byte, 65,536 of two, the rest of three and four.
 FROM = [0, 256, 256 + 65_536, 256 + 65_536 + (1 << BITS), 256 + 65_536 + (2 << BITS)]
 FOLDS, HELD_OUT, UNDETERMINED = 4, 2, "und"
-LANDMARKS, LANDMARK_BYTES, MAX_LANGUAGES = 160, (300, 20_000), 512
+LANDMARKS, LANDMARK_BYTES, MAX_LANGUAGES, SPARE = 160, (300, 20_000), 512, 16
 RIDGE, BATCH = 1e-4, 128
 U = np.uint32
 
@@ -122,9 +122,11 @@ def choose_landmarks(known: DataFrame, languages: list[str], most: int) -> Landm
     each = max(1, most // max(1, len(languages)))
     known = known.withColumn("hash", F.xxhash64("text"))
     fit = F.octet_length("text").between(*LANDMARK_BYTES)
-    # equal texts count once; Spark keeps only each task's first rows of a language before it shuffles them
-    once = known.groupBy("lang", "hash").agg(F.min("doc_id").alias("doc_id"), F.min((~fit).cast("int")).alias("unfit"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("unfit", "hash"))).filter(F.col("rank") <= each)
+    once = keep(known.groupBy("lang", "hash").agg(F.min("doc_id").alias("doc_id"), F.min((~fit).cast("int")).alias("unfit")), "distinct-texts")  # equal texts count once
+    # a bound on the hash leaves SPARE times as many texts a language as are asked for, so no task ranks all of them
+    low = {r["lang"]: -(1 << 63) + int((1 << 64) * min(1.0, SPARE * each / r["n"])) - 1 for r in once.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    bound = F.create_map(*(F.lit(x) for pair in low.items() for x in pair))[F.col("lang")] if low else F.lit(None).cast("long")
+    ranked = once.filter(F.col("hash") <= bound).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("unfit", "hash"))).filter(F.col("rank") <= each)
     chosen = keep(ranked.select("lang", "doc_id", "hash", "rank"), "landmarks")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,9 +201,16 @@ def test_rake_and_sample(spark, documents):
     assert {r["doc_id"] for r in mixing.apply(documents).collect()} == {r["doc_id"] for r in out if r["kept"]}
 
 
-def test_mixing_by_frames_equals_driver(docs):
-    a, b = ({(r["doc_id"]): (round(r["weight"], 4), round(r["probability"], 4)) for r in mixing.sample(docs, driver_cells=n).collect()} for n in (10**6, 0))
-    assert a == b
+def test_forms_of_texts(spark):
+    texts = {"prose": [None, "", " \n ", "Plain words, and 12 more."], "numbers": ["12 34 5678", "a1b2c3", "12 of us"], "table": ["a | b | c", "x\ty"], "symbols": ["### title ###", "a=b", "<b>"], "shout": ["HEAR THIS NOW", "ÀÉ AB"]}
+    rows = spark.createDataFrame([(t, k) for k, ts in texts.items() for t in ts], "text string, want string").withColumn("got", mixing.topic())
+    assert [tuple(r) for r in rows.filter("not got <=> want").collect()] == []
+
+
+def test_too_many_cells(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    with pytest.raises(ValueError, match="combinations"):
+        mixing.sample(documents)
 
 
 def test_mixing_edges(spark, docs):

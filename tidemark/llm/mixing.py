@@ -9,8 +9,11 @@ largest multiple of the raked tokens within all bounds, and every target is met.
 doc_id, uniform in [0, 1), lies below its cell's probability. `report` lists targets, expected shares and the values that
 cannot reach theirs.
 
-Cells are a summary, at most the product of the columns' distinct values. Up to DRIVER_CELLS of them are raked with
-numpy; more are raked by DataFrame steps that do the same.
+Cells are a summary, at most the product of the columns' distinct values. They are raked as one table of numbers on the
+driver, at any size of the corpus; more than MAX_CELLS of them raise an error.
+
+A table without topics gets them from the form of a text: numbers, table, symbols, shout or prose, the first that has its
+share of the text's characters (`FORMS`).
 
 Defined results: nulls are a value of their own in every raked column; null text counts 0 tokens and follows its cell;
 documents without doc_id share one draw; repeated rows are kept or dropped together; an empty table gives an empty
@@ -29,14 +32,23 @@ from tidemark.llm.store import fresh, keep
 DIMS = ["source", "lang", "topic"]
 #: By default a column's targets are its measured shares, tempered: each to this power, scaled to sum 1.
 TEMPER = {"source": 0.6, "lang": 0.7, "topic": 0.8}
-KEEP_SHARE, ROUNDS, FIT_ROUNDS, CLOSE, SEED, DRIVER_CELLS = 0.75, 40, 200, 1e-7, 17, 100_000
+KEEP_SHARE, ROUNDS, FIT_ROUNDS, CLOSE, SEED, MAX_CELLS = 0.75, 40, 200, 1e-7, 17, 1_000_000
 NULL = "\u0000"
 
 
+#: Each form's characters, and their least share of a text's characters other than white space.
+FORMS = {"numbers": ("0-9", 0.3), "table": ("|\\t", 0.02), "symbols": ("#*$%&<>=_~^+", 0.05), "shout": ("A-Z", 0.5)}
+
+
 def topic() -> Column:
-    """A topic by form, for tables without one: table, shout, symbols or prose."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return F.when(F.contains(text, F.lit(" | ")), "table").when(F.contains(text, F.lit("!! ")), "shout").when(F.contains(text, F.lit("%%% ")) | F.contains(text, F.lit("### ")), "symbols").otherwise("prose")
+    """A topic by form, for tables without one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size = lambda pattern: F.length(F.regexp_replace(text, f"[{pattern}]+", ""))
+    whole, dense = F.length(text), size(" \\t\\n\\x0B\\f\\r")
+    out = F.when(dense == 0, "prose")
+    for name, (characters, share) in FORMS.items():
+        out = out.when(whole - size(characters) >= F.greatest(dense * share, F.lit(1.0)), name)
+    return out.otherwise("prose")
 
 
 def tokens() -> Column:
@@ -90,40 +102,6 @@ def fit(fitted: np.ndarray, bound: np.ndarray, codes: list[np.ndarray], goals: l
     return x
 
 
-def rake_frame(cells: DataFrame, targets: dict[str, DataFrame], bounded: bool = False) -> DataFrame:
-    """The same on cells(key columns, tokens): adds fitted, or fits it within tokens. targets: for each column (column, target)."""
-    if not bounded:
-        cells = cells.withColumn("fitted", F.col("tokens").cast("double"))
-    full = (F.col("fitted") >= F.col("tokens")) & F.lit(bounded)
-    for _ in range(FIT_ROUNDS if bounded else ROUNDS):
-        cells = cells.withColumn("worst", F.lit(0.0))
-        for dim, target in targets.items():
-            sums = cells.groupBy(dim).agg(F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("fitted"))).alias("free"))
-            some, mass = (F.col("target") > F.col("held")) & (F.col("free") > 0), F.col("held") + F.col("free")
-            factor = F.when((F.col("free") <= 0) & (F.col("target") >= F.col("held")), 1.0).when(some, F.try_divide(F.col("target") - F.col("held"), F.col("free"))).otherwise(F.try_divide(F.col("target"), mass))
-            off = F.abs(mass - F.col("target")) / F.greatest(F.col("target"), F.lit(1e-300)) if bounded else F.abs(factor - 1)
-            sums = sums.join(target, dim).filter(mass > 0).select(dim, factor.alias("factor"), off.alias("off"))
-            cells = cells.join(sums, dim, "left").withColumn("fitted", F.col("fitted") * F.coalesce("factor", F.lit(1.0)))
-            cells = cells.withColumn("worst", F.greatest("worst", F.coalesce("off", F.lit(0.0)))).drop("factor", "off")
-        cells = keep(cells, "cells")
-        if (cells.agg(F.max("worst")).first()[0] or 0) < CLOSE:
-            break
-        cells = cells.drop("worst")
-    return cells.drop("worst")
-
-
-def reach_frame(margin: DataFrame, dim: str, budget: float) -> DataFrame:
-    """reach on margin(dim, tokens, target): (dim, target)."""
-    k = budget / ((margin.agg(F.sum("target")).first()[0] or 0) or 1e-300)
-    while True:
-        full = F.col("target") * k >= F.col("tokens")
-        held, free = margin.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("target")))).first()
-        more = (budget - held) / free if free else 0
-        if more <= k * (1 + 1e-12):
-            return margin.select(dim, F.least(F.col("tokens").cast("double"), F.col("target") * k).alias("target"))
-        k = more
-
-
 def calibrate(expected: Callable[[float], float], budget: float) -> float:
     """The constant at which the expected tokens meet the budget (they grow with it)."""
     low, high = 0.0, 1.0
@@ -147,42 +125,32 @@ def margin(cells: DataFrame, d: str, temper: dict[str, float], targets: dict[str
     return m.select(d, "tokens", (F.col("part") / (whole or 1.0) * (total or 0)).alias("target"))
 
 
-def probabilities(docs: DataFrame, share: float | None = KEEP_SHARE, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def probabilities(docs: DataFrame, share: float | None = KEEP_SHARE, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(the raked columns, weight, probability) by cell of docs(the raked columns, tokens)."""
     temper, targets = temper or TEMPER, targets or {}
-    cells = keep(docs.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-
-    if cells.count() <= driver_cells:
-        local = cells.toPandas()
-        have = local["tokens"].to_numpy(float)
-        codes, goals, margins = [], [], []
-        for d in DIMS:
-            values = sorted(local[d].unique())
-            codes.append(np.searchsorted(np.array(values, object), local[d].to_numpy(object)) if len(values) else np.zeros(0, np.int64))
-            margins.append(np.bincount(codes[-1], have, len(values)))
-            part = np.array([targets[d].get(v, 0.0) for v in values]) if d in targets else margins[-1] ** temper[d]
-            goals.append(part / max(part.sum(), 1e-300) * total)
-        fitted = rake(have, codes, goals)
-        weight = np.divide(fitted, have, out=np.ones(len(have)), where=have > 0)
-        if share is None:
-            kept = fitted / max(weight[have > 0].max(initial=0), 1e-300)
-        else:
-            budget = min([share * total, *(float(m[g > 0].sum()) for m, g in zip(margins, goals, strict=True))])
-            kept = fit(fitted * share, have, codes, [reach(m, g, budget) for m, g in zip(margins, goals, strict=True)])
-            kept = kept * calibrate(lambda c: float(np.minimum(have, c * kept).sum()), budget)
-        local["weight"] = weight
-        local["probability"] = np.minimum(1, np.divide(kept, have, out=np.ones(len(have)), where=have > 0))
-        return docs.sparkSession.createDataFrame(local[[*DIMS, "weight", "probability"]], f"{', '.join(f'{d} string' for d in DIMS)}, weight double, probability double")
-    margins = {d: keep(margin(cells, d, temper, targets), "targets") for d in DIMS}
-    fitted = rake_frame(cells, {d: m.select(d, "target") for d, m in margins.items()}).withColumn("weight", F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0)))
+    cells = docs.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")).limit(MAX_CELLS + 1).toPandas()
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} combinations of {', '.join(DIMS)}")
+    have = cells["tokens"].to_numpy(float)
+    total = have.sum()
+    codes, goals, margins = [], [], []
+    for d in DIMS:
+        values = sorted(cells[d].unique())
+        codes.append(np.searchsorted(np.array(values, object), cells[d].to_numpy(object)) if len(values) else np.zeros(0, np.int64))
+        margins.append(np.bincount(codes[-1], have, len(values)))
+        part = np.array([targets[d].get(v, 0.0) for v in values]) if d in targets else margins[-1] ** temper[d]
+        goals.append(part / max(part.sum(), 1e-300) * total)
+    fitted = rake(have, codes, goals)
+    weight = np.divide(fitted, have, out=np.ones(len(have)), where=have > 0)
     if share is None:
-        c = 1 / max(fitted.filter("tokens > 0").agg(F.max("weight")).first()[0] or 0, 1e-300)
+        kept = fitted / max(weight[have > 0].max(initial=0), 1e-300)
     else:
-        budget = min([share * total, *(m.filter("target > 0").agg(F.sum("tokens")).first()[0] or 0 for m in margins.values())])
-        fitted = rake_frame(fitted.withColumn("fitted", F.col("fitted") * share), {d: keep(reach_frame(m, d, budget), "targets") for d, m in margins.items()}, bounded=True)
-        c = calibrate(lambda c: fitted.agg(F.sum(F.least(F.col("tokens"), F.col("fitted") * c))).first()[0] or 0.0, budget)
-    return fitted.select(*DIMS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("fitted") * c / F.col("tokens"))).otherwise(1.0).alias("probability"))
+        budget = min([share * total, *(float(m[g > 0].sum()) for m, g in zip(margins, goals, strict=True))])
+        kept = fit(fitted * share, have, codes, [reach(m, g, budget) for m, g in zip(margins, goals, strict=True)])
+        kept = kept * calibrate(lambda c: float(np.minimum(have, c * kept).sum()), budget)
+    cells["weight"] = weight
+    cells["probability"] = np.minimum(1, np.divide(kept, have, out=np.ones(len(have)), where=have > 0))
+    return docs.sparkSession.createDataFrame(cells[[*DIMS, "weight", "probability"]], f"{', '.join(f'{d} string' for d in DIMS)}, weight double, probability double")
 
 
 def uniform(seed: int = SEED) -> Column:

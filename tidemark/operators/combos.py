@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalar import cut, equal_width
+from tidemark.operators.conditions import mask_of
 from tidemark.operators.thresholds import passes
 from tidemark.plans.prefix import quantile_values
 
 MAX_FEATURES = 200
+#: Features of one cube, of which every subset is a cell, and the most members of a combination.
+CUBE_FEATURES, MEMBERS = 18, 6
 
 
 def pair_correlations(df: DataFrame, features: list[str]) -> DataFrame:
@@ -23,15 +29,24 @@ def pair_correlations(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(F.array(*(cell(a, b) for a, b in pairs)).alias("x")).select(F.inline("x"))
 
 
+def _bounded(candidates: DataFrame) -> DataFrame:
+    """The distinct candidates, MAX_FEATURES at most."""
+    names = [r["feature"] for r in candidates.select("feature").distinct().limit(MAX_FEATURES + 1).collect()]
+    if len(names) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} candidates")
+    return candidates.sparkSession.createDataFrame([(x,) for x in sorted(names)], "feature string")
+
+
 def pairs(candidates: DataFrame) -> DataFrame:
     """All ordered pairs of candidates(feature)."""
+    candidates = _bounded(candidates)
     a, b = candidates.select(F.col("feature").alias("f1")), candidates.select(F.col("feature").alias("f2"))
     return a.join(F.broadcast(b), F.col("f1") < F.col("f2")).select(F.array("f1", "f2").alias("combo"))  # MAX_FEATURES rows at most
 
 
 def grow(combos: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every combination with one more candidate, in order of names, so each set appears once."""
-    c = candidates.select("feature")
+    c = _bounded(candidates).select("feature")
     return combos.join(F.broadcast(c), F.col("feature") > F.element_at("combo", -1)).select(F.concat("combo", F.array("feature")).alias("combo"))
 
 
@@ -99,6 +114,97 @@ def trades_of_many(rows: DataFrame, conditions: DataFrame, key: str, r: str = "r
     return rows.select(F.explode(names).alias("strategy"), key, r)
 
 
+def masked(rows: DataFrame, conditions: DataFrame, features: list[str], by: str = "fold") -> DataFrame:
+    """rows with `mask`: bit i is set where features[i] meets its condition of conditions(by, feature, threshold, direction)
+    in the row's group. Null features, and features without a condition, do not."""
+    if len(features) > CUBE_FEATURES:
+        raise ValueError(f"more than {CUBE_FEATURES} features")
+    own = conditions.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("threshold", "direction")))).alias("_c"))
+    joined = rows.join(F.broadcast(own), by)  # CUBE_FEATURES entries for each of few groups
+    met = lambda f: passes(F.col(f).cast("double"), F.col("_c")[f]["threshold"], F.col("_c")[f]["direction"])
+    return joined.withColumn("mask", mask_of([met(f) for f in features])).drop("_c")
+
+
+def subsets(n: int, low: int = 2, high: int = MEMBERS) -> list[int]:
+    """The masks of all combinations of low to high of n features."""
+    return [sum(1 << i for i in c) for k in range(low, min(high, n) + 1) for c in combinations(range(n), k)]
+
+
+def _over_subsets(n: int, wanted: list[int], by: list[str]):
+    def run(cells: pa.Table) -> pa.Table:
+        """Cells of one group by mask to the sums over all masks that contain each wanted one."""
+        sums = np.zeros((4, 1 << n))
+        at = cells["mask"].to_numpy()
+        for row, c in zip(sums, "nsqw", strict=True):
+            row[at] = cells[c].to_numpy()
+        for i in range(n):  # adds, feature by feature, the rows that also meet it
+            halves = sums.reshape(4, -1, 2, 1 << i)
+            halves[:, :, 0] += halves[:, :, 1]
+        some = np.array(wanted, np.int64)
+        some = some[sums[0, some] > 0]
+        columns = [pa.array([cells[c][0].as_py()] * len(some), cells.schema.field(c).type) for c in by]
+        return pa.Table.from_arrays([*columns, pa.array(some), *(pa.array(x[some].astype(np.int64) if c in "nw" else x[some]) for c, x in zip("nsqw", sums, strict=True))], [*by, "combo", *"nsqw"])
+
+    return run
+
+
+def combination_table(rows: DataFrame, features: list[str], wanted: list[int], by: list[str], r: str = "r", min_n: int = 1) -> DataFrame:
+    """by, combo (a mask), n, mean, std and win_rate over the rows(by, mask, r) that meet every condition of the combo, for
+    all wanted combos in one pass.
+
+    Rows are grouped by their mask first (2 to the number of features cells a group at most, combined before the shuffle).
+    A combo's sums are those of all masks that contain it, which one addition a feature and cell finds for every subset at
+    once: a thousand combos cost as much as one."""
+    y = F.col(r)
+    centre = rows.agg(F.avg(r)).first()[0] or 0.0  # keeps the sums of squares small
+    cells = rows.filter(y.isNotNull()).groupBy(*by, "mask").agg(F.count("*").alias("n"), F.sum(y - centre).alias("s"), F.sum((y - centre) ** 2).alias("q"), F.count_if(y > 0).alias("w"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+    out = cells.groupBy(*by).applyInArrow(_over_subsets(len(features), wanted, by), f"{kinds}, combo bigint, n bigint, s double, q double, w bigint")
+    n, mean = F.col("n"), F.col("s") / F.col("n")
+    std = F.when(n > 1, F.sqrt(F.greatest((F.col("q") - n * mean * mean) / (n - 1), F.lit(0.0))))
+    return out.filter(n >= min_n).select(*by, "combo", "n", (mean + centre).alias("mean"), std.alias("std"), (F.col("w") / n).alias("win_rate"))
+
+
+def combo_names(features: list[str], combo: Column) -> Column:
+    """The members' names, sorted, joined by +."""
+    held = [F.when(combo.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(f)) for i, f in enumerate(features)]
+    return F.array_join(F.sort_array(F.filter(F.array(*held), lambda x: x.isNotNull())), "+")
+
+
+def walk_forward_cube(rows: DataFrame, conditions: DataFrame, features: list[str], wanted: list[int] | None = None, min_test: int = 5, **gates) -> DataFrame:
+    """Every wanted combo (all of two to MEMBERS features) over rows(fold, role, r, features): training Sharpe ratio and test
+    metrics by fold, pooled, with the gates of a combination. conditions: fold, feature, threshold, direction."""
+    from tidemark.operators.thresholds import YEAR, evaluate
+
+    marked = masked(rows, conditions, features)
+    table = combination_table(marked, features, subsets(len(features)) if wanted is None else wanted, ["fold", "role"])
+    sharpe = F.coalesce(F.try_divide("mean", F.when(F.col("std") > 1e-12, F.col("std"))) * YEAR, F.lit(0.0))
+    both = table.withColumn("sharpe", sharpe)
+    train = both.filter("role = 'train'").select("combo", "fold", "sharpe")
+    test = both.filter((F.col("role") == "test") & (F.col("n") >= min_test)).drop("role")
+    return evaluate(train, test, "combo", **({"min_sharpe": 1.0, "min_win": 0.5, "max_p": 0.02, "min_d": 0.25} | gates))
+
+
+def grown(results: DataFrame, n: int, scores: DataFrame | None = None, pair_sharpe: float = 1.2, more_sharpe: float = 1.5, min_score: float = 0.5, largest: int = MEMBERS) -> DataFrame:
+    """combo and size of what a growth from pairs tries: all pairs, then each larger combo that adds one feature to a passed
+    combo of one less whose Sharpe ratio is beyond the bar (pair_sharpe for pairs, more_sharpe beyond). results: combo,
+    sharpe, passed. With scores(combo, score) only combos above min_score are tried. Small tables: a row a combo."""
+    size = lambda c: F.call_function("bit_count", F.col(c))
+    known = results.select("combo", "sharpe", "passed")
+    if scores is not None:
+        scores = scores.filter(F.col("score") > min_score).select("combo")
+    level = results.sparkSession.createDataFrame([(m,) for m in subsets(n, 2, 2)], "combo bigint")
+    out = level.withColumn("size", F.lit(2))
+    for k in range(3, largest + 1):
+        bar = pair_sharpe if k == 3 else more_sharpe
+        base = level.join(known, "combo").filter(F.col("passed") & (F.col("sharpe") > bar))
+        wider = F.array(*(F.when(F.col("combo").bitwiseAND(F.lit(1 << i).cast("long")) == 0, F.col("combo").bitwiseOR(F.lit(1 << i).cast("long"))) for i in range(n)))
+        level = base.select(F.explode(F.filter(wider, lambda x: x.isNotNull())).alias("combo")).distinct()
+        level = level if scores is None else level.join(scores, "combo", "left_semi")
+        out = out.unionByName(level.withColumn("size", size("combo").cast("int")))
+    return out
+
+
 def final_filter(strategies: DataFrame, min_sharpe: float = 0.8, min_win: float = 0.48, max_dd: float = 0.10, min_n: int = 20) -> DataFrame:
     return strategies.filter((F.col("sharpe") >= min_sharpe) & (F.col("win_rate") >= min_win) & (F.abs("mdd") <= max_dd) & (F.col("n") >= min_n)).orderBy(F.desc("sharpe"), "strategy")
 

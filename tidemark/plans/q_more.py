@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import combos as C, folds as D, metrics as M, robustness as R, sizing as Z, thresholds as H
+from tidemark.operators.features import written
 from tidemark.plans.prefix import quantile_values
 from tidemark.plans.q_bars import BINS, bins
 from tidemark.plans.q_strategies import EVALUATED, STRATEGIES, YEAR, daily, evaluated, rules
@@ -133,6 +134,56 @@ def _(v: Views) -> DataFrame:
     return H.evaluate(train, combo_tests(v).withColumn("sharpe", F.coalesce(F.try_divide("mean", "std") * 252**0.5, F.lit(0.0))), "strategy", min_sharpe=1.0, min_win=0.5, max_p=0.02, min_d=0.25)
 
 
+#: Features of the wide cube over trades, and each fold's conditions: above the mean of the feature's training rows.
+WIDE = {"qty": "qty", "price": "price", "tax": "tax", "part": "part", "supp": "supp", "discount": "r + tax", "unit": "price / qty", "month": "month(d)", "weekday": "(part + supp) % 7", "size": "part % 50", "zone": "supp % 25"}
+_WIDE_ROWS = "wi AS (SELECT d, r, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in WIDE.items()) + " FROM trades)"
+_CUBE = f"""{_FOLDS}, {_WIDE_ROWS}, fr AS (SELECT fold, CASE WHEN d < a THEN 'train' ELSE 'test' END AS role, wi.* FROM wi JOIN k ON d <= a + 29), th AS (SELECT fold, {', '.join(f'avg({n}) AS t_{n}' for n in WIDE)} FROM fr WHERE role = 'train' GROUP BY 1),
+ma AS (SELECT fold, role, r, {' + '.join(f'CASE WHEN {n} > t_{n} THEN {1 << i} ELSE 0 END' for i, n in enumerate(WIDE))} AS mask FROM fr JOIN th USING (fold)), ce AS (SELECT fold, role, mask, count(*) AS n, sum(r) AS s, sum(r * r) AS q, count(*) FILTER (WHERE r > 0) AS w FROM ma GROUP BY 1, 2, 3),
+cs AS (SELECT i AS combo FROM range(0, {1 << len(WIDE)}) z(i) WHERE bit_count(i) BETWEEN 2 AND 6), su AS (SELECT fold, role, combo, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s, sum(q) AS q, CAST(sum(w) AS BIGINT) AS w FROM ce JOIN cs ON mask & combo = combo GROUP BY 1, 2, 3),
+me AS (SELECT fold, role, combo, n, s / n AS mean, CASE WHEN n > 1 THEN sqrt(greatest((q - s * s / n) / (n - 1), 0)) END AS std, w / CAST(n AS DOUBLE) AS win_rate FROM su)"""
+
+
+def wide_rows(v: Views) -> tuple[DataFrame, DataFrame]:
+    """The rows of the monthly folds with the wide features, written once, and each training fold's mean of each feature."""
+    trades = v.trades.select("d", "r", *(F.expr(e).cast("double").alias(n) for n, e in WIDE.items()))
+    rows = written(D.assign(trades, D.monthly(trades)))
+    means = rows.filter("role = 'train'").groupBy("fold").agg(*(F.avg(n).alias(n) for n in WIDE))
+    return rows, means.unpivot("fold", list(WIDE), "feature", "threshold").withColumn("direction", F.lit(">"))
+
+
+@query("c4_combination_cube", f"WITH {_CUBE} SELECT combo, fold, role, n, mean, std, win_rate FROM me", "trades", "mean std win_rate", 11)
+def _(v: Views) -> DataFrame:
+    """All 1,474 combinations of two to six of eleven features, by fold and role, in one pass."""
+    rows, means = wide_rows(v)
+    return C.combination_table(C.masked(rows, means, list(WIDE)), list(WIDE), C.subsets(len(WIDE)), ["fold", "role"])
+
+
+_ME_SHARPE = f"coalesce(mean / nullif(std, 0) * {YEAR}, 0)"
+_CUBE_TESTS = f"SELECT te.combo, te.n, te.mean AS m, te.std AS s, te.win_rate AS w, coalesce(te.mean / nullif(te.std, 0) * {YEAR}, 0) AS sharpe, coalesce(tr.mean / nullif(tr.std, 0) * {YEAR}, 0) AS train_sharpe FROM me te JOIN me tr ON tr.combo = te.combo AND tr.fold = te.fold AND tr.role = 'train' WHERE te.role = 'test' AND te.n >= 5"
+
+
+@query("c6_combination_cube", f"WITH {_CUBE}, {evaluated('combo', _CUBE_TESTS, 1.0, 0.5, 0.02, 0.25)}", "trades", EVALUATED, 9)
+def _(v: Views) -> DataFrame:
+    """Walk-forward evaluation of all of them."""
+    return C.walk_forward_cube(*wide_rows(v), list(WIDE))
+
+
+def _growth() -> str:
+    """Pairs, then what adds a feature to a passed combination of one less, six at most, as a chain of levels."""
+    levels, rows = "l2 AS (SELECT combo FROM cs WHERE bit_count(combo) = 2)", ["SELECT combo, 2 AS size FROM l2"]
+    for k in range(3, 7):
+        levels += f", l{k} AS (SELECT DISTINCT l.combo | (1 << CAST(i AS INT)) AS combo FROM l{k - 1} l JOIN res USING (combo), range(0, {len(WIDE)}) z(i) WHERE passed AND sharpe > {1.2 if k == 3 else 1.5} AND l.combo & (1 << CAST(i AS INT)) = 0)"
+        rows.append(f"SELECT combo, {k} FROM l{k}")
+    return f"WITH {_CUBE}, res AS (WITH {evaluated('combo', _CUBE_TESTS, 1.0, 0.5, 0.02, 0.25)}), {levels}, al AS ({' UNION ALL '.join(rows)}) SELECT CAST(combo AS BIGINT) AS combo, CAST(size AS INT) AS size FROM al"
+
+
+@query("c8_grown_combinations", _growth(), "trades")
+def _(v: Views) -> DataFrame:
+    """What a growth from pairs to six features tries, pruned by the walk-forward results."""
+    results = written(C.walk_forward_cube(*wide_rows(v), list(WIDE)))
+    return C.grown(results, len(WIDE))
+
+
 @query("m8_weights", f"WITH k AS (SELECT strategy, stddev_samp(r) * {YEAR} AS vol FROM trades GROUP BY 1) SELECT strategy, greatest(0.001, least(0.05, 0.15 / vol)) AS risk_parity, greatest(0.001, least(0.05, 0.12 * 0.6 / vol)) AS vol_target FROM k", "trades", "risk_parity vol_target")
 def _(v: Views) -> DataFrame:
     k = v.trades.groupBy("strategy").agg((F.stddev_samp("r") * 252**0.5).alias("vol"))

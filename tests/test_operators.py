@@ -403,15 +403,75 @@ def test_messages(spark):
     assert [(r["symbol"], r["price"], r["t"].second) for r in Z.parse_messages(raw).collect()] == [("A", 1.5, 1), ("B", 2.0, 2)]
 
 
+def step(state, price, trail=0.1):
+    """One tick of a position, plainly: the new state and the reason to leave, if any."""
+    entry, stop, target, peak, hit = state
+    pnl = (price - entry) / entry * 100
+    if pnl <= stop:
+        return state, "STOP_LOSS"
+    if not hit:
+        return ((entry, stop, target, price, True), None) if pnl >= target else (state, None)
+    if price > peak:
+        return (entry, stop, target, price, True), None
+    return (state, "TRAILING_STOP") if (peak - price) / peak >= trail else (state, None)
+
+
 def test_exit_steps():
+    """Whole batches of prices against one tick after the other, however the prices are dealt to batches."""
+    import random
+
+    import numpy as np
+
     s = (100.0, -5.0, 10.0, 100.0, False)
-    assert Z.step(s, 95.0) == (s, "STOP_LOSS")
-    assert Z.step(s, 105.0) == (s, None)
-    hit, why = Z.step(s, 110.0)
-    assert (hit, why) == ((100.0, -5.0, 10.0, 110.0, True), None)
-    assert Z.step(hit, 120.0)[0][3] == 120.0
-    assert Z.step((100.0, -5.0, 10.0, 120.0, True), 108.0)[1] == "TRAILING_STOP"
-    assert Z.step((100.0, -5.0, 10.0, 120.0, True), 109.0)[1] is None
+    assert Z.advance(s, np.array([105.0, 95.0])) == (s, 1, "STOP_LOSS")
+    assert Z.advance(s, np.array([110.0, 120.0])) == ((100.0, -5.0, 10.0, 120.0, True), None, None)
+    assert Z.advance((100.0, -5.0, 10.0, 120.0, True), np.array([109.0, 108.0]))[1:] == (1, "TRAILING_STOP")
+    assert Z.advance(s, np.zeros(0)) == (s, None, None)
+    rng = random.Random(4)
+    for _ in range(3000):
+        want = got = (100.0, rng.choice([-5.0, -20.0]), rng.choice([4.0, 10.0]), 100.0, False)
+        price, prices = 100.0, []
+        for _ in range(rng.randrange(1, 30)):
+            price = max(1.0, price + rng.choice([-8, -3, 0, 0, 2, 3, 9]))
+            prices.append(price)
+        ended = None
+        for i, p in enumerate(prices):
+            want, why = step(want, p)
+            if why:
+                ended = i, why
+                break
+        cut = rng.randrange(len(prices) + 1)
+        got, end, why = Z.advance(got, np.array(prices[:cut]))
+        if end is None:
+            got, end, why = Z.advance(got, np.array(prices[cut:]))
+            end = None if end is None else end + cut
+        assert (got, None if why is None else (end, why)) == (want, ended)
+
+
+def test_keyed_table(spark, tmp_path):
+    """A hundred batches leave few parts and files, a repeated or broken batch changes nothing."""
+    from tidemark.streaming import keyed
+
+    path, want = f"file://{tmp_path}/table", {}
+    schema = "k bigint, v bigint"
+    assert keyed.current(spark, path, ["k"], schema).collect() == []
+    for b in range(100):
+        rows = [((b * 7 + i) % 23, b * 10 + i) for i in range(3)]
+        batch = spark.createDataFrame(rows, schema).coalesce(1)
+        keyed.add(batch, b, path, ["k"], fan=4)
+        want |= dict(rows)
+        if b in (40, 63):
+            files = sorted(p.name for p in (tmp_path / "table").iterdir())
+            keyed.add(batch, b, path, ["k"], fan=4)  # committed already
+            keyed.add(spark.createDataFrame([(0, -1)], schema), b - 3, path, ["k"], fan=4)
+            assert sorted(p.name for p in (tmp_path / "table").iterdir()) == files
+            batch.limit(1).write.parquet(f"{path}/part-{b + 1}-0")  # a batch that broke off before its pointer
+        if b % 25 == 0:
+            assert dict(map(tuple, keyed.current(spark, path, ["k"], schema).collect())) == want
+    assert dict(map(tuple, keyed.current(spark, path, ["k"], schema).collect())) == want
+    assert len(keyed.parts(spark, path)) < 4 * 4
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("part-")]) < 2 * 4 * 4
+    assert len(list((tmp_path / "table" / "_pointers").glob("[0-9]*"))) <= 3
 
 
 def test_exit_stream_equals_batch(spark, sf):

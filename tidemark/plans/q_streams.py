@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.plans.q_bars import BINS_SQL, bins
 from tidemark.plans.registry import Views, query
 from tidemark.shared import new_path
-from tidemark.streaming import streams as Z
+from tidemark.streaming import keyed, streams as Z
 
 
 def ticks(v: Views) -> DataFrame:
@@ -29,8 +29,8 @@ def table(v: Views, stream: DataFrame, keys: list[str] | None = None) -> DataFra
     """The stream's rows, appended; with keys the current row of each key."""
     out, log = new_path(v.spark, "stream-table"), new_path(v.spark, "stream-log")
     if keys:
-        Z.to_updates(stream, out, log)
-        return Z.latest(v.spark.read.parquet(out), keys)
+        Z.to_updates(stream, out, log, keys)
+        return keyed.current(v.spark, out, keys, stream.schema)
     Z.to_table(stream, out, log)
     return v.spark.read.schema(stream.schema).parquet(out)
 

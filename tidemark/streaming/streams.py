@@ -8,6 +8,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -15,10 +16,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.bars import minute_of_day
 from tidemark.operators.joins import match_bin
+from tidemark.streaming import keyed
 
 DELAY = "10 minutes"
 OPEN_SECONDS, LAST_ENTRY, CUTOFF = 570 * 60, 571 * 60 + 30, 933 * 60
-TRAIL = 0.10
+TRAIL, DAY_MS = 0.10, 86_400_000
 MESSAGE = "type string, data array<struct<s:string,p:double,t:bigint,v:double>>"
 
 
@@ -82,17 +84,26 @@ EXITS = "symbol string, session string, reason string, exit_at timestamp, exit_p
 STATE = "entry double, stop double, target double, peak double, hit boolean, last double, last_ms bigint, done boolean"
 
 
-def step(state: tuple, price: float, trail: float = TRAIL) -> tuple[tuple, str | None]:
-    """One tick of a position: (entry, stop, target, peak, hit), the new state and the reason to leave, if any."""
+def advance(state: tuple, prices: np.ndarray, trail: float = TRAIL) -> tuple[tuple, int | None, str | None]:
+    """A position (entry, stop, target, peak, hit) over its next prices: the state after them or at the exit, the index of
+    the exit and its reason, if there is one.
+
+    The exit is the first stop loss or the first fall from the running peak, whichever comes first, a stop before a fall.
+    The peak runs from the first price at the target on, or from before if that was reached already."""
     entry, stop, target, peak, hit = state
-    pnl = (price - entry) / entry * 100
-    if pnl <= stop:
-        return state, "STOP_LOSS"
-    if not hit:
-        return ((entry, stop, target, price, True), None) if pnl >= target else (state, None)
-    if price > peak:
-        return (entry, stop, target, price, True), None
-    return (state, "TRAILING_STOP") if (peak - price) / peak >= trail else (state, None)
+    n, at = len(prices), np.arange(len(prices))
+    first = lambda x: int(x.argmax()) if x.any() else n
+    pnl = (prices - entry) / entry * 100
+    stopped = first(pnl <= stop)
+    start = -1 if hit else first((pnl >= target) & (pnl > stop))
+    peaks = np.maximum.accumulate(np.concatenate([[peak if hit else -np.inf], np.where(at >= start, prices, -np.inf)]))  # before each price, and at the end
+    with np.errstate(invalid="ignore"):
+        fallen = first((at > start) & (prices <= peaks[:-1]) & ((peaks[:-1] - prices) / peaks[:-1] >= trail))
+    end = min(stopped, fallen)
+    if start < end:
+        peak, hit = float(peaks[end]), True
+    reason = None if end == n else "STOP_LOSS" if stopped <= fallen else "TRAILING_STOP"
+    return (entry, stop, target, peak, hit), None if reason is None else end, reason
 
 
 class ExitProcessor(StatefulProcessor):
@@ -104,19 +115,24 @@ class ExitProcessor(StatefulProcessor):
         self.position = handle.getValueState("position", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ticks = pd.concat(list(rows)).sort_values(["t", "kind", "tick_id"])
+        events = pd.concat(list(rows)).sort_values(["t", "kind", "tick_id"], ignore_index=True)
         state = self.position.get() if self.position.exists() else None
-        out = []
-        for x in ticks.itertuples(index=False):
-            if x.kind == 0 and state is None:
-                state = (float(x.price), float(x.stop_loss), float(x.target_profit), float(x.price), False, float(x.price), int(x.t.value // 10**6), False)
-                midnight = x.t.normalize()
-                self.handle.registerTimer(int(midnight.value // 10**6) + CUTOFF * 1000)
-            elif x.kind == 1 and state is not None and not state[7] and second(x.t) < CUTOFF:
-                core, reason = step(state[:5], float(x.price))
-                state = (*core, float(x.price), int(x.t.value // 10**6), reason is not None)
+        kind, price = events["kind"].to_numpy(), events["price"].to_numpy(float)
+        ms = events["t"].to_numpy("datetime64[ns]").astype(np.int64) // 10**6
+        out, at = [], 0
+        if state is None and (kind == 0).any():
+            at = int((kind == 0).argmax())
+            e = events.iloc[at]
+            state = (float(e["price"]), float(e["stop_loss"]), float(e["target_profit"]), float(e["price"]), False, float(e["price"]), int(ms[at]), False)
+            self.handle.registerTimer(int(ms[at]) // DAY_MS * DAY_MS + CUTOFF * 1000)
+        if state is not None and not state[7]:
+            ticks = np.flatnonzero((kind == 1) & (np.arange(len(kind)) >= at) & (ms % DAY_MS < CUTOFF * 1000))
+            core, end, reason = advance(state[:5], price[ticks])
+            if len(ticks):
+                last = ticks[-1 if end is None else end]
+                state = (*core, float(price[last]), int(ms[last]), reason is not None)
                 if reason:
-                    out.append((key[0], key[1], reason, x.t, float(x.price), (float(x.price) - core[0]) / core[0] * 100))
+                    out.append((key[0], key[1], reason, events["t"].iloc[last], float(price[last]), (float(price[last]) - core[0]) / core[0] * 100))
         if state is not None:
             self.position.update(state)
         yield pd.DataFrame(out, columns=["symbol", "session", "reason", "exit_at", "exit_price", "pnl_pct"])
@@ -133,10 +149,6 @@ class ExitProcessor(StatefulProcessor):
     def close(self) -> None: ...
 
 
-def second(t: pd.Timestamp) -> int:
-    return t.hour * 3600 + t.minute * 60 + t.second
-
-
 def exits(events: DataFrame) -> DataFrame:
     """Exit rows from events(symbol, session, t, kind 0 entry / 1 tick, tick_id, price, stop_loss, target_profit) with a
     watermark on t."""
@@ -174,17 +186,10 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def to_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """The same for a table of changing rows: each batch adds the rows that it changed as a part of its own, which a
-    repeated batch replaces. `latest` reads the current rows."""
+def to_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
+    """The same for a table of changing rows (see keyed), of which `keyed.current` reads the rows."""
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        keyed.add(batch, number, path, keys)
 
     stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
-
-
-def latest(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """The last written row of each key of parts(..., batch)."""
-    rest = [c for c in parts.columns if c not in [*keys, "batch"]]
-    return parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")

@@ -158,3 +158,40 @@ def test_growth_is_pruned(spark):
     scores = spark.createDataFrame([(0b1011, 0.9)], "combo bigint, score double")
     assert {r["combo"] for r in combos.grown(results, 5, scores).collect() if r["size"] > 2} == {0b1011}
     assert [r[0] for r in spark.range(1).select(combos.combo_names(["b", "a", "c"], F.lit(0b011).cast("long"))).collect()] == ["a+b"]
+
+
+@pytest.fixture(scope="module")
+def one_symbol(spark):
+    """A symbol that holds nearly all rows, small ones, and nulls."""
+    rng = random.Random(6)
+    rows = [(i, "hot" if i % 40 else f"s{i % 7}", f"2024-{1 + i // 100:02d}-{1 + i % 28:02d}", rng.choice([rng.gauss(50, 5), 40.0, None])) for i in range(1100)]
+    return spark.createDataFrame(rows, "record_id bigint, symbol string, day string, close_price double").withColumn("report_date", F.to_date("day")).withColumn("intraday_vol", F.col("close_price")).repartition(3)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_windows_over_ranges(spark, one_symbol, parts):
+    """The same rows whatever the ranges, also where a range is shorter than a frame; no task holds the hot symbol."""
+    from tidemark.operators import features as E
+
+    order = ["report_date", "record_id"]
+    cut = prefix.with_halo(one_symbol, ["symbol"], order, 49, parts)
+    own = cut.filter("not _halo")
+    assert own.drop("_part", "_halo").exceptAll(one_symbol.select(own.drop("_part", "_halo").columns)).isEmpty() and own.count() == 1100
+    assert own.groupBy("_part").count().agg(F.max("count")).first()[0] <= 3 * 1100 / parts + 20
+    w = prefix.Window.partitionBy("symbol").orderBy(*order)
+    calls = {"sma_50": E.moving_averages(one_symbol, parts=parts), "rsi_14": E.rsi(one_symbol, parts=parts), "high_vol_regime": E.vol_regime(one_symbol, 20, parts=parts), "close_price_lag1": E.lags(one_symbol, ["close_price"], parts=parts), "rolling_std": E.rolling_moments(one_symbol, "close_price", 30, "symbol", tuple(order), parts)}
+    near = lambda n: w.rowsBetween(1 - n, 0)
+    p = F.col("close_price")
+    d = one_symbol.withColumn("d", p - F.lag(p).over(w))
+    gain, loss = (F.avg(F.when(F.col("d").isNotNull(), F.greatest(s * F.col("d"), F.lit(0.0)))).over(near(14)) for s in (1, -1))
+    plain = {
+        "sma_50": one_symbol.withColumn("x", F.when(F.count(p).over(near(50)) >= 25, F.avg(p).over(near(50)))),
+        "rsi_14": d.withColumn("x", F.when(F.count("d").over(near(14)) == 14, F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss)))),
+        "high_vol_regime": one_symbol.withColumn("x", F.coalesce(((F.count(p).over(near(20)) == 20) & (p > F.percentile(p, 0.75).over(near(20)))).cast("int"), F.lit(0))),
+        "close_price_lag1": one_symbol.withColumn("x", F.lag(p).over(w)),
+        "rolling_std": one_symbol.withColumn("x", F.stddev_samp(p).over(near(30))),
+    }
+    for name, df in calls.items():
+        got = {r[0]: r[1] for r in df.select("record_id", name).collect()}
+        want = {r[0]: r[1] for r in plain[name].select("record_id", "x").collect()}
+        assert len(got) == 1100 and all((got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, abs=1e-9)) for k, v in want.items()), name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalar import SURPRISE_EDGES, SURPRISE_NAMES, cut, equal_width, positive_share, row_range, row_std
-from tidemark.plans.prefix import quantile_values, row_numbers, with_ranks
+from tidemark.plans.prefix import quantile_values, row_numbers, with_halo, with_ranks
 from tidemark.shared import new_path
 
 INTRADAY = ["pct_1min", "pct_5min", "pct_15min", "pct_30min", "pct_1hr"]
@@ -48,11 +48,22 @@ def intraday(df: DataFrame) -> DataFrame:
     })
 
 
-def vol_regime(df: DataFrame, frame: int = 20, prob: float = 0.75) -> DataFrame:
+def rolled(df: DataFrame, by: str, order: tuple[str, ...], before: int, add, parts: int | None = None) -> DataFrame:
+    """add(rows, window), whose frames look back `before` rows at most, over ranges of each group (see with_halo)."""
+    window = Window.partitionBy("_part", by).orderBy(*order)
+    out = add(with_halo(df, [by], list(order), before, parts), window)
+    return out.filter(~F.col("_halo")).drop("_part", "_halo")
+
+
+def vol_regime(df: DataFrame, frame: int = 20, prob: float = 0.75, parts: int | None = None) -> DataFrame:
     """high_vol_regime: a record's volatility above the rolling percentile of its symbol's last `frame` records."""
-    w = Window.partitionBy("symbol").orderBy("report_date", "record_id").rowsBetween(1 - frame, 0)
-    full = F.count("intraday_vol").over(w) == frame
-    return df.withColumn("high_vol_regime", flag(full & (F.col("intraday_vol") > F.percentile("intraday_vol", prob).over(w))))
+
+    def add(rows: DataFrame, window) -> DataFrame:
+        w = window.rowsBetween(1 - frame, 0)
+        full = F.count("intraday_vol").over(w) == frame
+        return rows.withColumn("high_vol_regime", flag(full & (F.col("intraday_vol") > F.percentile("intraday_vol", prob).over(w))))
+
+    return rolled(df, "symbol", ("report_date", "record_id"), frame - 1, add, parts)
 
 
 def surprise(df: DataFrame) -> DataFrame:
@@ -112,10 +123,24 @@ def one_hot(df: DataFrame, sectors: int = 8, industries: int = 6, sources: int =
     return df.withColumns({f"{prefix.get(c, c)}_{v}": flag(F.col(c) == v) for c, values in wanted.items() for v in values})
 
 
-def lags(df: DataFrame, columns: list[str], frame: int = 2) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("report_date", "record_id")
-    near = w.rowsBetween(1 - frame, 0)
-    return df.withColumns({k: v for c in columns for k, v in {f"{c}_lag1": F.lag(c).over(w), f"{c}_rolling_mean": F.avg(c).over(near), f"{c}_rolling_std": F.stddev_samp(c).over(near)}.items()})
+def lags(df: DataFrame, columns: list[str], frame: int = 2, parts: int | None = None) -> DataFrame:
+    """<c>_lag1, and rolling mean and deviation over `frame` records of the symbol."""
+
+    def add(rows: DataFrame, window) -> DataFrame:
+        near = window.rowsBetween(1 - frame, 0)
+        return rows.withColumns({k: v for c in columns for k, v in ((f"{c}_lag1", F.lag(c).over(window)), (f"{c}_rolling_mean", F.avg(c).over(near)), (f"{c}_rolling_std", F.stddev_samp(c).over(near)))})
+
+    return rolled(df, "symbol", ("report_date", "record_id"), max(1, frame - 1), add, parts)
+
+
+def rolling_moments(df: DataFrame, value: str, frame: int, by: str, order: tuple[str, ...], parts: int | None = None) -> DataFrame:
+    """rolling_mean and rolling_std of a value over the group's last `frame` rows."""
+
+    def add(rows: DataFrame, window) -> DataFrame:
+        near = window.rowsBetween(1 - frame, 0)
+        return rows.withColumns({"rolling_mean": F.avg(value).over(near), "rolling_std": F.stddev_samp(value).over(near)})
+
+    return rolled(df, by, order, frame - 1, add, parts)
 
 
 def price_returns(df: DataFrame) -> DataFrame:
@@ -124,25 +149,28 @@ def price_returns(df: DataFrame) -> DataFrame:
     return df.withColumns({"return_open_close": F.try_divide(F.col("close_price") - o, o), "return_open_high": F.try_divide(F.col("high_price") - o, o), "return_open_low": F.try_divide(F.col("low_price") - o, o), "daily_range": F.try_divide(F.col("high_price") - F.col("low_price"), o), "gap_pct": F.try_divide(o - p, p), "volume_ratio": F.try_divide("opening_minute_volume", "volume_30_day_avg")})
 
 
-def moving_averages(df: DataFrame, price: str = "close_price", frames: tuple[int, ...] = (5, 10, 20, 50), by: str = "symbol", order: tuple[str, ...] = ("report_date", "record_id")) -> DataFrame:
+def moving_averages(df: DataFrame, price: str = "close_price", frames: tuple[int, ...] = (5, 10, 20, 50), by: str = "symbol", order: tuple[str, ...] = ("report_date", "record_id"), parts: int | None = None) -> DataFrame:
     """sma_<n> (null below n/2 values) and the price against it."""
-    w = Window.partitionBy(by).orderBy(*order)
-    out = {}
-    for n in frames:
-        near = w.rowsBetween(1 - n, 0)
-        out[f"sma_{n}"] = F.when(F.count(price).over(near) >= max(1, n // 2), F.avg(price).over(near))
-    df = df.withColumns(out)
+
+    def add(rows: DataFrame, window) -> DataFrame:
+        near = {n: window.rowsBetween(1 - n, 0) for n in frames}
+        return rows.withColumns({f"sma_{n}": F.when(F.count(price).over(w) >= max(1, n // 2), F.avg(price).over(w)) for n, w in near.items()})
+
+    df = rolled(df, by, order, max(frames) - 1, add, parts)
     return df.withColumns({f"price_vs_sma_{n}": F.try_divide(price, f"sma_{n}") - 1 for n in frames})
 
 
-def rsi(df: DataFrame, price: str = "close_price", n: int = 14, by: str = "symbol", order: tuple[str, ...] = ("report_date", "record_id")) -> DataFrame:
+def rsi(df: DataFrame, price: str = "close_price", n: int = 14, by: str = "symbol", order: tuple[str, ...] = ("report_date", "record_id"), parts: int | None = None) -> DataFrame:
     """Relative strength from simple means of gains and losses over n changes; null below n changes."""
-    w = Window.partitionBy(by).orderBy(*order)
-    df = df.withColumn("_d", F.col(price) - F.lag(price).over(w))
-    near = w.rowsBetween(1 - n, 0)
-    gain, loss = (F.avg(F.when(F.col("_d").isNotNull(), F.greatest(s * F.col("_d"), F.lit(0.0)))).over(near) for s in (1, -1))
-    rs = F.when(F.count("_d").over(near) == n, F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss))))
-    return df.withColumn(f"rsi_{n}", rs).drop("_d")
+
+    def add(rows: DataFrame, window) -> DataFrame:
+        rows = rows.withColumn("_d", F.col(price) - F.lag(price).over(window))
+        near = window.rowsBetween(1 - n, 0)
+        gain, loss = (F.avg(F.when(F.col("_d").isNotNull(), F.greatest(s * F.col("_d"), F.lit(0.0)))).over(near) for s in (1, -1))
+        rs = F.when(F.count("_d").over(near) == n, F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss))))
+        return rows.withColumn(f"rsi_{n}", rs).drop("_d")
+
+    return rolled(df, by, order, n, add, parts)  # n changes take one row more
 
 
 def label_codes(df: DataFrame, column: str = "sector") -> DataFrame:

@@ -11,6 +11,9 @@ import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tidemark.shared import new_path
 
 #: Bins of a value's range that ranks and quantiles are found by, and rows that are numbered in one task.
 BINS, BLOCK_ROWS = 4096, 100_000
@@ -88,6 +91,37 @@ def read_ranks(rows: DataFrame, asked: DataFrame, by: list[str], name: str) -> D
     return value.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(name))
 
 
+def with_halo(df: DataFrame, by: list[str], order: list[str], before: int, parts: int | None = None) -> DataFrame:
+    """df cut into ranges of (by, order), column _part, each with copies (_halo) of the `before` rows that precede it. Windows
+    over Window.partitionBy("_part", *by).orderBy(*order) that look back no further give each row that is no copy what a
+    window over its whole group gives, and no task holds a whole group.
+
+    The ranges are written, so that a row's part is fixed. As many copies as asked for go from a part to the next, and on to
+    those after it where parts are smaller than that."""
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, "ranges")
+    df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.schema(StructType([*df.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+    size = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # a row a part
+    goals = []  # (part, later part, rows between them) as far as copies reach
+    for p in sorted(size):
+        between = 0
+        for q in sorted(k for k in size if k > p):
+            if between >= before:
+                break
+            goals.append(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(between).alias("between")))
+            between += size[q]
+    rows = rows.withColumn("_halo", F.lit(False))
+    if not goals:
+        return rows
+    back = [F.col(c).desc() for c in [*by, *order]]
+    tails = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*back))).filter(F.col("_k") <= before)
+    to = F.filter(F.array(*goals), lambda g: (g["p"] == F.col("_part")) & (F.col("_k") - 1 + g["between"] < before))
+    copies = tails.select(*df.columns, F.explode(F.transform(to, lambda g: g["q"])).alias("_part"), F.lit(True).alias("_halo"))
+    return rows.unionByName(copies)
+
+
 class Spread:
     """Where the bins of a column lie, see with_bins: plain numbers, so that no row is joined with them."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import combos as C, folds as D, metrics as M, robustness as R, sizing as Z, thresholds as H
-from tidemark.operators.features import written
+from tidemark.operators.features import rolling_moments, written
 from tidemark.plans.prefix import quantile_values
 from tidemark.plans.q_bars import BINS, bins
 from tidemark.plans.q_strategies import EVALUATED, STRATEGIES, YEAR, daily, evaluated, rules
@@ -65,8 +65,7 @@ def _(v: Views) -> DataFrame:
 
 @query("w4_rolling_volatility", _T + f" SELECT strategy, d, avg(r) OVER w AS m, stddev_samp(r) OVER w * {YEAR} AS s FROM t WINDOW w AS (PARTITION BY strategy ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)", "trades", "m s", 10)
 def _(v: Views) -> DataFrame:
-    w = Window.partitionBy("strategy").orderBy("d").rowsBetween(-59, 0)
-    return daily(v).select("strategy", "d", F.avg("r").over(w).alias("m"), (F.stddev_samp("r").over(w) * 252**0.5).alias("s"))
+    return rolling_moments(daily(v), "r", 60, "strategy", ("d",)).select("strategy", "d", F.col("rolling_mean").alias("m"), (F.col("rolling_std") * 252**0.5).alias("s"))
 
 
 @query("w6_cumulative", _T + ", g AS (SELECT strategy, d, exp(sum(ln(1 + r / 100)) OVER w) AS growth, sum(r) OVER w AS total, r - lag(r) OVER (PARTITION BY strategy ORDER BY d) AS diff FROM t WINDOW w AS (PARTITION BY strategy ORDER BY d ROWS UNBOUNDED PRECEDING)) SELECT *, max(growth) OVER (PARTITION BY strategy ORDER BY d) AS peak FROM g", "trades", "growth total diff peak", 7)

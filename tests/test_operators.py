@@ -164,8 +164,17 @@ def test_f_and_power():
     assert dist.f_p(4.9646, 1, 10) == pytest.approx(0.05, abs=1e-4)
     assert dist.f_p(3.4928, 2, 20) == pytest.approx(0.05, abs=1e-3)
     assert dist.normal_p(1.959964) == pytest.approx(0.05, abs=1e-6)
-    assert dist.power(0.5, 34) == pytest.approx(0.80, abs=0.02)
-    assert dist.power(0.0, 30) == pytest.approx(0.05, abs=0.01)
+    assert dist.power(0.5, 34) == pytest.approx(0.8077775013, abs=1e-8)
+    assert dist.power(0.0, 30) == pytest.approx(0.05, abs=1e-9) and dist.power(-0.5, 34) == dist.power(0.5, 34)
+    assert dist.power(3.0, 10**6) == 1.0 and math.isnan(dist.power(0.5, 1))
+    # the noncentral density's integral by Simpson's rule
+    for d, n in ((0.25, 30), (1.5, 5), (0.1, 800), (0.3, 2)):
+        df, delta, c = n - 1, d * math.sqrt(n), dist.t_critical(n - 1)
+        s = [i / 400 for i in range(1, 4001)]
+        chi = [math.exp(math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * math.log(x) - df * x * x / 2) for x in s]
+        inside = [0.5 * (math.erf((c * x - delta) / math.sqrt(2)) - math.erf((-c * x - delta) / math.sqrt(2))) for x in s]
+        middle = sum(a * b * (1 if i == 3999 else 4 if i % 2 == 0 else 2) for i, (a, b) in enumerate(zip(chi, inside, strict=True))) / 1200
+        assert dist.power(d, n) == pytest.approx(1 - middle, abs=2e-3 if n == 2 else 1e-6)
 
 
 def test_corrections_are_ordered(spark):

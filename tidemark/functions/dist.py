@@ -54,19 +54,36 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def t_critical(df: float, alpha: float = 0.05) -> float:
+    """The value that |t| exceeds with probability alpha."""
+    low, high = 0.0, 1.0
+    while t_p(high, df) > alpha:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_p(mid, df) > alpha else (low, mid)
+    return high
+
+
 def power(d: float, n: float, alpha: float = 0.05) -> float:
-    """Power of a two-sided one-sample t-test with effect size d, by the normal approximation of the noncentral t."""
+    """Power of a two-sided one-sample t-test with effect size d: the square of a noncentral t is a noncentral F, whose tail
+    is a sum of incomplete betas with Poisson weights. The betas of consecutive terms differ by a term with a simple ratio,
+    and so do the weights; terms beyond twelve deviations of the Poisson are left out."""
     if n < 2:
         return math.nan
-    shift = abs(d) * math.sqrt(n)
-    low, high = 0.0, 200.0
-    for _ in range(80):  # critical value of t
-        mid = (low + high) / 2
-        low, high = (mid, high) if t_p(mid, n - 1) > alpha else (low, mid)
-    spread = math.sqrt(1 + high * high / (2 * (n - 1)))
-    below = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
-    c = high * (1 - 1 / (4 * (n - 1)))
-    return 1 - below((c - shift) / spread) + below((-c - shift) / spread)
+    df, half = n - 1, d * d * n / 2
+    c = t_critical(df, alpha)
+    x, a = c * c / (c * c + df), df / 2
+    first, last = (max(0, int(half + k * math.sqrt(half) + 3 * k)) for k in (-12, 12))
+    j = np.arange(first, last + 1, dtype=float)
+    weight = np.concatenate([[0.0], np.cumsum(np.log(half) - np.log(j[1:]))]) if half > 0 else np.where(j == 0, 0.0, -np.inf)
+    start = first * math.log(half) - half - math.lgamma(first + 1) if half > 0 else 0.0
+    # tail(j + 1) - tail(j), from its logarithm at the first term on
+    b = first + 0.5
+    log_step = b * math.log(x) + a * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b + 1)
+    steps = np.exp(log_step + np.concatenate([[0.0], np.cumsum(math.log(x) + np.log(a + j[:-1] + 0.5) - np.log(j[:-1] + 1.5))]))
+    tail = np.minimum(1.0, incomplete_beta(a, b, 1 - x) + np.concatenate([[0.0], np.cumsum(steps[:-1])]))
+    return float(min(1.0, np.exp(start + weight) @ tail))
 
 
 def _udf(f, *columns: Column) -> Column:

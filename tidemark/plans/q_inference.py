@@ -80,14 +80,28 @@ def monthly_tests(v: Views) -> DataFrame:
     return I.one_sample(M.series_metrics(t, ["strategy"]))
 
 
+_BY_SUPPLIER = "SELECT CAST(supp AS VARCHAR) || '-' || CAST(year(d) AS VARCHAR) AS strategy, count(r) AS n, avg(r) / stddev_samp(r) AS d, avg(r) * sqrt(count(r)) / stddev_samp(r) AS t FROM trades GROUP BY 1 HAVING count(r) > 1"
+_SUPPLIERS = f"SELECT *, {t_tail('t', 'n - 1e0')} AS p FROM ({_BY_SUPPLIER}) q"
 _ONE = f"SELECT *, {t_tail('t', 'n - 1e0')} AS p FROM ({_MONTHLY}) q"
 
 
-@query("i10_gates", f"WITH x AS (SELECT *, least(1, p * log10(956)) AS pl FROM ({_ONE}) q) SELECT strategy, n, d, p, CASE WHEN n < 20 THEN 'sample' WHEN pl > 0.05 THEN 'significance' WHEN abs(d) < 0.2 THEN 'effect' ELSE 'later' END AS reason FROM x", "trades", "d p", 5)
+def _gates() -> str:
+    from tidemark.plans.q_parts import powered
+
+    return f"WITH {powered(_ONE)}, x AS (SELECT *, least(1, p * log10(956)) AS pl FROM pw) SELECT strategy, n, d, p, power, CASE WHEN n < 20 THEN 'sample' WHEN pl > 0.05 THEN 'significance' WHEN abs(d) < 0.2 THEN 'effect' WHEN power < 0.6 THEN 'power' END AS reason FROM x"
+
+
+@query("i10_gates", _gates, "trades", "d p power", 5)
+def _(v: Views) -> DataFrame:
+    """The first gate that a test fails, the power included."""
+    return I.gates(I.quick_adjust(monthly_tests(v), 956)).select("strategy", "n", "d", "p", "power", "reason")
+
+
+@query("i10_gates_of_suppliers", lambda: _gates().replace(_ONE, _SUPPLIERS), "trades", "d p power", 5)
 def _(v: Views) -> DataFrame:
-    """The gates up to the effect; the power of the rest needs the noncentral t (no SQL, see i9)."""
-    g = I.gates(I.quick_adjust(monthly_tests(v), 956))
-    return g.select("strategy", "n", "d", "p", F.when(F.col("reason").isin("sample", "significance", "effect"), F.col("reason")).otherwise("later").alias("reason"))
+    """The same for a supplier's trades in a year, whose numbers lie on either side of every gate."""
+    t = v.trades.withColumn("strategy", F.concat_ws("-", F.col("supp"), F.year("d")))
+    return I.gates(I.quick_adjust(I.one_sample(M.series_metrics(t, ["strategy"])), 956)).filter("n > 1").select("strategy", "n", "d", "p", "power", "reason")
 
 
 @query("i13_significant", f"WITH {adjusted(_ONE, 'strategy')} SELECT strategy, {_P.replace(' ', ', ')}, (p_bonferroni < 0.05)::INT + (p_holm < 0.05)::INT + (p_fdr < 0.05)::INT >= 2 AND mean > 0 AS significant FROM ad", "trades", _P, 5)

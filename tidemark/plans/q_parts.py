@@ -6,13 +6,13 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.functions import scalar as S
+from tidemark.functions import dist, scalar as S
 from tidemark.operators import bars as B, clean, conditions as X, features as E, folds as D, inference as I, joins as J, metrics as M, models as L, targets as T
 from tidemark.plans.prefix import average_ranks
 from tidemark.plans.q_bars import BARS, DAYS, _avg, days, sessions
 from tidemark.plans.q_more import _T
 from tidemark.plans.q_strategies import _HITS, EXPANDING, FEATURES_SQL, LONG, METRICS, conditioned, daily, hits
-from tidemark.plans.registry import Views, query
+from tidemark.plans.registry import Views, query, t_critical, t_power
 
 _flag = lambda c: f"CASE WHEN {c} THEN 1 ELSE 0 END"
 
@@ -342,13 +342,25 @@ def _(v: Views) -> DataFrame:
     return d.crossJoin(F.broadcast(own))  # one row each
 
 
-@query("i9_power")
+def powered(tests: str) -> str:
+    """SQL of the power of tests(n, d, ...), the critical value found once a sample size."""
+    return f"pw_t AS ({tests}), pw_c AS (SELECT n, {t_critical('n - 1e0')} AS c FROM (SELECT DISTINCT n FROM pw_t WHERE n > 1)), pw AS (SELECT pw_t.*, {t_power('d', 'n', 'c')} AS power FROM pw_t JOIN pw_c USING (n))"
+
+
+@query("i9_power", f"WITH {powered('SELECT strategy, count(r) AS n, avg(r) / stddev_samp(r) AS d FROM trades GROUP BY 1')} SELECT strategy, n, d, power FROM pw", "trades", "d power")
 def _(v: Views) -> DataFrame:
-    """Power of a one-sample test of each strategy, which needs the noncentral t (no SQL)."""
+    """Power of a one-sample test of each strategy, against Simpson's rule on the noncentral density."""
     t = I.one_sample(M.series_metrics(v.trades, ["strategy"]))
     return I.gates(I.quick_adjust(t, 10)).select("strategy", "n", "d", "power")
 
 
+@query("i9_power_of_parts", f"WITH {powered('SELECT part, count(r) AS n, avg(r) / stddev_samp(r) AS d FROM trades GROUP BY 1 HAVING count(r) > 1 AND stddev_samp(r) > 0')} SELECT part, n, d, power FROM pw", "trades", "d power")
+def _(v: Views) -> DataFrame:
+    """The same for the few trades of each part, where it lies anywhere between the level and one."""
+    t = v.trades.groupBy("part").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s")).filter("n > 1 AND s > 0").withColumn("d", F.col("m") / F.col("s"))
+    return t.select("part", "n", "d", dist.t_power(F.col("d"), F.col("n")).alias("power"))
+
+
 @query("l1_classifiers")
 def _(v: Views) -> DataFrame:
     """Mean area under the curve of the four classifiers over the walk-forward folds (MLlib fits, no SQL)."""

@@ -31,6 +31,22 @@ def t_tail(t: str, df: str) -> str:
     return f"greatest(0e0, 1 - 2 * list_sum(list_transform(range(0, 4001), lambda i: {weight} * {density})) * abs({t}) / 12000e0 * exp(lgamma((({df}) + 1e0) / 2) - lgamma(({df}) / 2e0)) / sqrt(({df}) * pi()))"
 
 
+def t_critical(df: str) -> str:
+    """SQL of the value that |t| exceeds with probability 0.05: the sum of those halvings of 256 that stay below it."""
+    return f"list_reduce(list_transform(range(0, 50), lambda k: 256e0 / power(2, k)), lambda c, h: CASE WHEN {t_tail('(c + h)', df)} > 0.05 THEN c + h ELSE c END, 0e0)"
+
+
+def t_power(d: str, n: str, c: str) -> str:
+    """SQL of the power of a two-sided one-sample t-test with critical value c: one minus the integral, by Simpson's rule, of the
+    density of the angle whose tangent is t over the root of its degrees of freedom, a sum with Poisson weights."""
+    df, half = f"(({n}) - 1e0)", f"(({d}) * ({d}) * ({n}) / 2e0)"
+    a = f"(i * atan(({c}) / sqrt({df})) / 400e0)"
+    term = f"(CASE WHEN j = 0 THEN 0e0 ELSE j * ln({half}) + 2 * j * ln(sin({a})) END) - {half} - lgamma(j + 1e0) - lgamma(j + 5e-1) + lgamma(j + {df} / 2 + 5e-1) - lgamma({df} / 2) + ({df} - 1) * ln(cos({a}))"
+    poisson = f"range(0, CASE WHEN i = 0 OR {half} = 0 THEN 1 ELSE CAST(floor({half} + 12 * sqrt({half}) + 40) AS BIGINT) END)"
+    weight = "(CASE WHEN i IN (0, 400) THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END)"
+    return f"1 - 2 * atan(({c}) / sqrt({df})) / 1200e0 * list_sum(list_transform(range(0, 401), lambda i: {weight} * list_sum(list_transform({poisson}, lambda j: exp({term})))))"
+
+
 def query(name: str, sql: str | Callable[[], str] | None = None, views: str = "", rounded: str = "", digits: int = 6):
     """Registers f(views) under name; sql may be a function that gives the text once all modules are loaded. Columns in `rounded` are rounded on both sides, as sums of doubles depend on the
     order of rows."""

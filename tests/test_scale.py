@@ -195,3 +195,40 @@ def test_windows_over_ranges(spark, one_symbol, parts):
         got = {r[0]: r[1] for r in df.select("record_id", name).collect()}
         want = {r[0]: r[1] for r in plain[name].select("record_id", "x").collect()}
         assert len(got) == 1100 and all((got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, abs=1e-9)) for k, v in want.items()), name
+
+
+def test_grids_without_counting_distinct_values(spark):
+    """Few values, however they lie, are the grid; more give 50 points. Crowded bins are looked into."""
+    from tidemark.operators import thresholds as H
+
+    rng = random.Random(8)
+    groups = {
+        "twenty": [float(rng.randrange(20)) for _ in range(500)],
+        "more": [float(rng.randrange(21)) for _ in range(500)],
+        "crowded": [rng.choice([0.0, 1e-9, 2e-9, 1e9]) for _ in range(500)],  # three values in one bin
+        "crowd": [rng.random() * 1e-9 for _ in range(499)] + [1e12],  # many values in one bin
+        "one": [3.0] * 100,
+        "small": [1.0] * 29,
+    }
+    rows = [(g, x, 0.0) for g, xs in groups.items() for x in xs]
+    long = spark.createDataFrame(rows, "feature string, x double, r double").repartition(4)
+    got = {r["feature"]: r["grid"] for r in H.grids(long, ["feature"]).collect()}
+    assert set(got) == set(groups) - {"small"}
+    for g in ("twenty", "crowded", "one"):
+        assert got[g] == sorted(set(groups[g]))
+    for g in ("more", "crowd"):
+        low, high = np.quantile(groups[g], [0.05, 0.95])
+        assert got[g] == pytest.approx(list(np.linspace(low, high, 50)))
+    sets = {r["feature"]: r["_values"] for r in H.saturating_sets(long, ["feature"], "x", 20).collect()}
+    assert sets["twenty"] == sorted(set(groups["twenty"])) and sets["more"] is None and sets["one"] == [3.0]
+
+
+def test_feature_quality_without_expand(spark):
+    from tidemark.operators import clean
+
+    df = spark.createDataFrame([(float(i % 30), i if i % 10 else None, "x") for i in range(100)], "a double, b long, c string")
+    out = clean.feature_quality(df, ["a", "b", "c"])
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["column"]: (round(r["missing"], 6), r["n_distinct"], r["usable"]) for r in out.collect()} == {"a": (0.0, 30, True), "b": (0.1, 90, False), "c": (0.0, 1, False)}
+    assert {r["column"]: (r["missing"], r["n_distinct"], r["usable"]) for r in clean.feature_quality(df.limit(0), ["a", "b"]).collect()} == {c: (None, 0, False) for c in "ab"}
+    assert clean.feature_quality(df, ["a"], approx=True).first()["column"] == "a"

@@ -157,12 +157,18 @@ def sample_gate(df: DataFrame, day: str = "report_date", min_rows: int = 50, min
 
 def feature_quality(df: DataFrame, columns: list[str], max_missing: float = 0.05, min_distinct: int = 20, max_unique: float = 0.95, approx: bool = False) -> DataFrame:
     """column, missing share, distinct values and whether the column may be a feature. approx counts distinct values
-    by a sketch, for tables where exact counts would not fit."""
-    count = F.approx_count_distinct if approx else F.count_distinct
-    r = df.agg(F.count("*").alias("_n"), *(F.struct(F.count(c).alias("k"), count(c).alias("d")).alias(c) for c in columns))
-    long = r.select(F.col("_n").alias("n"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c)["k"].alias("k"), F.col(c)["d"].alias("n_distinct")) for c in columns))).alias("x")).select("n", "x.*")
+    by a sketch; exact counts come from one grouping of all columns' values, combined in each task before the shuffle."""
+    if approx:
+        r = df.agg(F.count("*").alias("n"), *(F.struct(F.count(c).alias("k"), F.approx_count_distinct(c).alias("d")).alias(c) for c in columns))
+        long = r.select("n", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c)["k"].alias("k"), F.col(c)["d"].alias("n_distinct")) for c in columns))))
+    else:
+        values = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
+        counts = df.select(values).groupBy("column", "value").agg(F.count("*").alias("c"))
+        long = counts.groupBy("column").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("c"))), F.lit(0)).alias("k"), F.count("value").alias("n_distinct"))
+        every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # an empty table has a row a column too
+        long = every.join(long, "column", "left").fillna(0)
     missing = F.try_divide(F.col("n") - F.col("k"), F.col("n"))
-    return long.select("column", missing.alias("missing"), "n_distinct", ((missing < max_missing) & (F.col("n_distinct") > min_distinct) & (F.col("n_distinct") < max_unique * F.col("n"))).alias("usable"))
+    return long.select("column", missing.alias("missing"), "n_distinct", F.coalesce((missing < max_missing) & (F.col("n_distinct") > min_distinct) & (F.col("n_distinct") < max_unique * F.col("n")), F.lit(False)).alias("usable"))
 
 
 def target_columns(df: DataFrame, columns: list[str], coverage: float = 0.9, min_std: float = 0.001, max_mean: float = 0.1) -> DataFrame:

@@ -7,10 +7,14 @@ those above, and the best Sharpe ratio is picked by max_by. Ties go to the small
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
 
-from tidemark.plans.prefix import quantiles
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.operators.features import written
+from tidemark.plans.prefix import asked_ranks, quantiles, read_ranks, with_bins
 
 GRID, FEW = 50, 20
 YEAR = 252**0.5
@@ -23,12 +27,43 @@ def long_features(df: DataFrame, features: list[str], keep: list[str]) -> DataFr
 
 
 def grids(long: DataFrame, by: list[str]) -> DataFrame:
-    """by, grid: the distinct values if there are at most FEW, else GRID points from the 5th to the 95th percentile."""
-    g = long.groupBy(*by).agg(F.count("x").alias("_n"), F.count_distinct("x").alias("_d")).join(quantiles(long, "x", [0.05, 0.95], by, "_q"), by)
-    few = long.join(g.filter(F.col("_d") <= FEW).select(*by), by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_set("x")).alias("_values"))  # FEW values at most
+    """by, grid: the distinct values if there are at most FEW, else GRID points from the 5th to the 95th percentile.
+
+    Values are not counted one by one: a group with more than FEW bins in use has more than FEW values, and only groups with
+    fewer bins are looked into, for FEW + 1 values at most a task and bin."""
+    rows = with_bins(long, "x", by, "_bin")
+    counts = written(rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n"), F.min("x").alias("_least"), F.max("x").alias("_most")))
+    g = counts.groupBy(*by).agg(F.sum("_n").alias("_n"), F.count("*").alias("_bins"), F.bool_and(F.col("_least") == F.col("_most")).alias("_plain"), F.collect_set(F.when(F.col("_least") == F.col("_most"), F.col("_least"))).alias("_ends"))  # BINS values at most
+    q = read_ranks(rows.withColumnRenamed("x", "_x"), asked_ranks(counts.select(*by, "_bin", "_n"), [0.05, 0.95], by), by, "_q")
+    unclear = g.filter((F.col("_bins") <= FEW) & ~F.col("_plain")).select(*by)
+    seen = saturating_sets(long.join(F.broadcast(unclear), by, "left_semi"), by, "x", FEW)  # a row a group
     low, high = F.col("_q")[0], F.col("_q")[1]
     points = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: low + i * (high - low) / (GRID - 1))
-    return g.join(few, by, "left").filter("_n >= 30").select(*by, F.coalesce("_values", points).alias("grid"))
+    plain = F.when(F.col("_plain") & (F.col("_bins") <= FEW), F.array_sort("_ends"))
+    return g.join(q, by).join(seen, by, "left").filter("_n >= 30").select(*by, F.coalesce(plain, "_values", points).alias("grid"))
+
+
+def saturating_sets(rows: DataFrame, by: list[str], x: str, most: int) -> DataFrame:
+    """by and the sorted distinct values of x where there are `most` at most, null elsewhere. Tasks send the distinct values
+    of a group until they have more than `most`, then one mark, so a group's set never grows beyond that."""
+    fields = list(rows.select(*by, x).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, set | None] = {}
+        for b in batches:
+            found = pa.Table.from_batches([b]).group_by(by).aggregate([(x, "distinct")])
+            for *key, values in zip(*(found[c].to_pylist() for c in [*by, f"{x}_distinct"]), strict=True):
+                have = held.setdefault(tuple(key), set())
+                if have is not None:
+                    have.update(values)
+                    if len(have) > most:
+                        held[tuple(key)] = None
+        out = [(*k, v) for k, values in held.items() for v in (values if values is not None else [None])]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], to_arrow_type(f.dataType)) for i, f in enumerate(fields)], [f.name for f in fields])
+
+    parts = rows.select(*by, x).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    sets = parts.groupBy(*by).agg(F.bool_and(F.col(x).isNotNull()).alias("_all"), F.array_sort(F.collect_set(x)).alias("_set"))  # most values a task at most
+    return sets.select(*by, F.when(F.col("_all") & (F.size("_set") <= most), F.col("_set")).alias("_values"))
 
 
 def percentile_grids(long: DataFrame, by: list[str], step: int = 5) -> DataFrame:

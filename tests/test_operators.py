@@ -393,6 +393,27 @@ def test_csv_encoding_of_whole_files(spark, tmp_path):
     assert {r["symbol"]: r["sector"] for r in rows.filter("length(symbol) = 1").collect()} == {"A": "Plain", "B": "Énergie", "C": "Santé"}
 
 
+def test_csv_dialects_by_file(spark, tmp_path):
+    """Three separators, two encodings, quoted headers, other orders and more columns in one folder, odd names of files."""
+
+    def write(name, sep, code, columns, rows, end="\n", quote=False):
+        head = [f'"{c}, ; \t"' if quote and c == "note" else f'"{c}"' if quote else c for c in columns]
+        body = [sep.join(r.get(c, "") for c in columns) for r in rows]
+        (tmp_path / name).write_bytes(end.join([sep.join(head), *body, ""]).encode(code))
+
+    c = readers.COLUMNS
+    write("a [1].csv", ",", "utf-8", c, [{"symbol": "A", "sector": "Santé", "surprise": "1"}])
+    write("b.csv", ";", "latin-1", c[::-1], [{"symbol": "B", "sector": "Énergie", "surprise": "2"}, {"symbol": "B2", "sector": "x,y,z", "surprise": "3"}])
+    write("c {x}.csv", "\t", "latin-1", [*c, "note"], [{"symbol": "C", "sector": "Größe", "surprise": "4", "note": "n"}], "\r\n", quote=True)
+    write("d.csv", ";", "latin-1", c[::-1], [{"symbol": "D", "sector": "plain", "surprise": "5"}])
+    (tmp_path / "e.csv").write_bytes(b"")
+    rows = {r["symbol"]: (r["sector"], r["surprise"]) for r in readers.records_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"A": ("Santé", 1.0), "B": ("Énergie", 2.0), "B2": ("x,y,z", 3.0), "C": ("Größe", 4.0), "D": ("plain", 5.0)}
+    found = readers.dialects(spark, str(tmp_path))
+    assert sorted((e, s, len(f)) for (e, s, _), f in found.items()) == [("iso-8859-1", "\t", 1), ("iso-8859-1", ";", 1), ("utf-8", ",", 1), ("utf-8", ";", 1)]
+    assert readers.records_csv(spark, str(tmp_path / "d.csv"), "utf-8", ";").first()["symbol"] == "D"
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"timestamp": "t", "date": "2024-01-02", "data": [{"symbol": "A", "surprise": 2.5, "volume_comparison": "2.63x"}, {"symbol": "B"}]}]')
     assert [(r["symbol"], r["surprise"]) for r in readers.snapshots_json(spark, str(tmp_path / "s.json")).collect()] == [("A", 2.5), ("B", None)]

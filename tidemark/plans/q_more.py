@@ -24,6 +24,17 @@ def _(v: Views) -> DataFrame:
     return readers.records_csv(v.spark, path).select("symbol", "surprise")
 
 
+@query("s2_mixed_dialects", "SELECT symbol, coalesce(surprise, -1) AS surprise, coalesce(industry, '') AS industry FROM records", "records", "surprise", 4)
+def _(v: Views) -> DataFrame:
+    """A folder whose files differ in separator, encoding and order of columns, read back as one table."""
+    path, rows = new_path(v.spark, "records-mixed"), sinks.filled(v.records.drop("record_id"))
+    for i, (sep, code) in enumerate(((",", "utf-8"), (";", "iso-8859-1"), ("\t", "utf-8"))):
+        part = rows.filter(F.pmod(F.xxhash64("symbol"), F.lit(3)) == i)
+        part = part.select(*(rows.columns if i else reversed(rows.columns)))
+        part.write.mode("append").option("header", True).option("sep", sep).option("encoding", code).csv(path)
+    return readers.records_csv(v.spark, path).select("symbol", "surprise", F.coalesce("industry", F.lit("")).alias("industry"))
+
+
 @query("s10_bins", "WITH b(ordinal, range_min, range_max, stop_loss, target_profit) AS (VALUES " + ", ".join(f"({o}, {a}e0, {b}e0, {s}e0, {t}e0)" for o, a, b, s, t in BINS) + "), r AS (SELECT pct_change_open AS x FROM records) SELECT ordinal, stop_loss, count(x) AS n FROM b LEFT JOIN r ON x >= range_min AND x < range_max GROUP BY 1, 2", "records")
 def _(v: Views) -> DataFrame:
     """Bins written as one configuration file and read back; how many records each range holds, overlaps counted twice."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.clean import require
 
-ENCODINGS, SEPARATORS = ["utf-8", "iso-8859-1", "windows-1252"], [",", ";", "\t"]
+ENCODINGS, SEPARATORS, MAX_DIALECTS = ["utf-8", "iso-8859-1", "windows-1252"], [",", ";", "\t"], 64
 TEXTS = ["symbol", "sector", "industry", "data_source", "high_time", "low_time", "report_date", "report_timestamp"]
 INTS = ["earnings_time", "high_before_low"]
 #: The columns of an earnings record.
@@ -20,34 +22,39 @@ def record_type(column: str) -> str:
     return "string" if column in TEXTS else "int" if column in INTS else "double"
 
 
-def sniff(spark: SparkSession, path: str) -> str:
-    """The separator that splits the header most often. Only the head of one file is read."""
-    raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("head")).limit(1).collect()
-    header = bytes(raw[0]["head"]).split(b"\n", 1)[0].decode("iso-8859-1") if raw else ""
-    return max(SEPARATORS, key=lambda s: (header.count(s), -SEPARATORS.index(s)))
+def dialects(spark: SparkSession, path: str) -> dict[tuple[str, str, str], list[str]]:
+    """The files by (encoding, separator, header). The encoding is the first in which every byte of the file decodes (a line
+    feed is one byte in all ENCODINGS, and every byte decodes in the second); the separator is the one that splits the
+    header most often outside of quotes. One pass over all files; one short row a file reaches the driver, and more than
+    MAX_DIALECTS combinations are an error."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"), F.col("value"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+    files = lines.groupBy("file").agg(F.bool_and("valid").alias("valid"), F.rtrim(F.min_by("value", "at"), F.lit("\r")).alias("header"))
+    bare = F.regexp_replace("header", '"[^"]*"', "")
+    splits = F.array(*(F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias("n"), F.lit(-i).alias("turn"), F.lit(s).alias("sep")) for i, s in enumerate(SEPARATORS)))
+    kinds = files.select("file", F.when(F.col("valid"), ENCODINGS[0]).otherwise(ENCODINGS[1]).alias("encoding"), F.array_max(splits)["sep"].alias("sep"), "header")
+    found = kinds.groupBy("encoding", "sep", "header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("encoding", "sep", "header").limit(MAX_DIALECTS + 1).collect()
+    if len(found) > MAX_DIALECTS:
+        raise ValueError(f"more than {MAX_DIALECTS} combinations of encoding, separator and header")
+    return {(r["encoding"], r["sep"], r["header"]): r["files"] for r in found}
 
 
-def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files of each encoding: the first in which every byte of the file decodes. One pass over all files; a line
-    feed is one byte in all ENCODINGS, and every byte decodes in the second. One row a file reaches the driver."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
-    out: dict[str, list[str]] = {}
-    for r in lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).orderBy("file").collect():
-        out.setdefault(ENCODINGS[0] if r["valid"] else ENCODINGS[1], []).append(r["file"])
-    return out
+def _listed(uri: str) -> str:
+    """A file's address as the readers take it, where some characters would be patterns."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(uri))
 
 
 def records_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None) -> DataFrame:
     """Earnings records with declared types; missing required columns are an error, malformed numbers become null. Each
-    file of a folder is read in its own encoding unless one is given."""
-    separator = separator or sniff(spark, path)
-    found = {encoding: []} if encoding else encodings(spark, path) or {ENCODINGS[0]: []}
+    file of a folder is read in its own encoding and with its own separator and header, unless they are given; columns
+    that only some files have are null in the others."""
+    if encoding and separator:
+        found: list[tuple[str, str, list[str]]] = [(encoding, separator, [path])]
+    else:
+        found = [(encoding or e, separator or s, list(map(_listed, files))) for (e, s, _), files in dialects(spark, path).items()] or [(ENCODINGS[0], SEPARATORS[0], [path])]
     raw = None
-    for e, files in found.items():
-        part = require(spark.read.option("header", True).option("encoding", e).option("sep", separator).csv(path), COLUMNS)
-        if len(found) > 1:
-            part = part.filter(F.col("_metadata.file_path").isin(files))
-        raw = part if raw is None else raw.unionByName(part)
+    for e, s, files in found:
+        part = require(spark.read.option("header", True).option("encoding", e).option("sep", s).csv(files), COLUMNS)
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
     return raw.select(*(F.col(c).try_cast(record_type(c)).alias(c) for c in raw.columns))
 
 

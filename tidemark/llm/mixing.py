@@ -36,19 +36,25 @@ KEEP_SHARE, ROUNDS, FIT_ROUNDS, CLOSE, SEED, MAX_CELLS = 0.75, 40, 200, 1e-7, 17
 NULL = "\u0000"
 
 
-#: Each form's characters, and their least share of a text's characters other than white space.
-FORMS = {"numbers": ("0-9", 0.3), "table": ("|\\t", 0.02), "symbols": ("#*$%&<>=_~^+", 0.05), "shout": ("A-Z", 0.5)}
+#: What most prose is made of; and each form's characters, with their least share of all characters of a text.
+ORDINARY = "a-z \\n\\r.,;:!?'()\"-"
+FORMS = {"numbers": ("0-9", 0.25), "table": ("|\\t", 0.02), "symbols": ("#*$%&<>=_~^+", 0.05), "shout": ("A-Z", 0.4)}
 
 
 def topic() -> Column:
-    """A topic by form, for tables without one."""
+    """A topic by form, for tables without one. The ordinary characters are taken out once; the forms are counted in what is
+    left, which is short."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = lambda pattern: F.length(F.regexp_replace(text, f"[{pattern}]+", ""))
-    whole, dense = F.length(text), size(" \\t\\n\\x0B\\f\\r")
-    out = F.when(dense == 0, "prose")
-    for name, (characters, share) in FORMS.items():
-        out = out.when(whole - size(characters) >= F.greatest(dense * share, F.lit(1.0)), name)
-    return out.otherwise("prose")
+    rest = F.regexp_replace(text, f"[{ORDINARY}]+", "")
+    of = F.struct(F.length(text).alias("whole"), rest.alias("rest"))
+
+    def form(x: Column) -> Column:
+        out, size = F.when(F.length(x["rest"]) == 0, "prose"), F.length(x["rest"])
+        for name, (characters, share) in FORMS.items():
+            out = out.when(size - F.length(F.regexp_replace(x["rest"], f"[{characters}]+", "")) >= F.greatest(x["whole"] * share, F.lit(1.0)), name)
+        return out.otherwise("prose")
+
+    return F.transform(F.array(of), form)[0]  # so that the text is searched once
 
 
 def tokens() -> Column:

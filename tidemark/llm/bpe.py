@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm import words
 
 LEAF, EDGE, EDGE_CHARS, FIRST_WINDOW = 32_768, 256, 600, 32
-PIECES, SLICE, JOINED, AT_ONCE = 1_000_000, 6_000_000, 256, 250_000
+PIECES, SLICE, JOINED, AT_ONCE = 400_000, 6_000_000, 256, 250_000
 #: The normalizer and pre-tokenizer of tokenizers with word ends, of which each token ends within a word.
 WORD_NORMALIZER = ["NFC", "Replace", "Lowercase"]
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

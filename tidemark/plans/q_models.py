@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import combos as C, features as E, folds as D, models as L, selection as G
-from tidemark.plans.registry import Views, query
+from tidemark.plans.registry import ORACLES, Views, query
 from tidemark.shared import new_path
 
 FEATURES = ["surprise", "revenue_surprise", "open_gap", "premarket_range", "volume_ratio_7_day", "market_cap_log", "pct_1min", "pct_5min"]
@@ -149,6 +149,16 @@ def _(v: Views) -> DataFrame:
     return L.search(fold_rows(v), FEATURES, "y", {"maxDepth": [3, 5], "numTrees": [10]})
 
 
+#: A small corner of the grids, so that the query fits each model twice at least.
+_CORNER = {"logistic": {"C": [0.01, 1], "penalty": ["l1", "l2"]}, "forest": {"numTrees": [10, 20], "maxDepth": [5], "minInstancesPerNode": [1, 4], "featureSubsetStrategy": ["sqrt"]}, "boosted": {"maxIter": [5, 10], "maxDepth": [3], "stepSize": [0.1, 0.2], "subsamplingRate": [0.8]}, "perceptron": {"hidden": [(10,), (10, 5)]}}
+
+
+@query("l4_search_all")
+def _(v: Views) -> DataFrame:
+    """Points of all four models over the folds, the worse half of each model's left out after every fold."""
+    return L.search_all(fold_rows(v), FEATURES, "y", _CORNER, trials=2)
+
+
 @query("l6_calibration")
 def _(v: Views) -> DataFrame:
     """The curve of each classifier over ten bins, with its mean gap."""
@@ -174,6 +184,72 @@ def _(v: Views) -> DataFrame:
     return mean.select("row_id", "p", F.lit(float(auc)).alias("auc"))
 
 
+#: Scores that SQL can state too, as two models' probabilities in two folds, with the label of a rising day.
+_SCORES = "sc AS (SELECT record_id AS row_id, record_id % 2 AS fold, (close_price - open_price) / open_price > 0 AS y, surprise AS a, pct_1min AS b FROM records WHERE close_price IS NOT NULL AND surprise IS NOT NULL AND pct_1min IS NOT NULL), pr AS (SELECT row_id, 'surprise' AS model, CAST(fold AS INT) AS fold, 1 / (1 + exp(-round(a / 25, 1))) AS p, CASE WHEN y THEN 1e0 ELSE 0e0 END AS label FROM sc UNION ALL SELECT row_id, 'minute', CAST(fold AS INT), 1 / (1 + exp(-round(b, 1))), CASE WHEN y THEN 1e0 ELSE 0e0 END FROM sc)"
+
+
+def scores(v: Views) -> DataFrame:
+    rows = v.records.filter("close_price IS NOT NULL AND surprise IS NOT NULL AND pct_1min IS NOT NULL")
+    part = lambda name, x: F.struct(F.lit(name).alias("model"), (1 / (1 + F.exp(-F.round(x, 1)))).alias("p"))
+    label = ((F.col("close_price") - F.col("open_price")) / F.col("open_price") > 0).cast("double").alias("label")
+    return E.written(rows.select(F.col("record_id").alias("row_id"), (F.col("record_id") % 2).cast("int").alias("fold"), label, F.inline(F.array(part("surprise", F.col("surprise") / 25), part("minute", F.col("pct_1min"))))))
+
+
+_RANKED = "rk AS (SELECT *, rank() OVER (PARTITION BY model, fold ORDER BY p) + (count(*) OVER (PARTITION BY model, fold, p) - 1) / 2e0 AS rk FROM pr)"
+
+
+@query("l3_metrics_of_scores", f"WITH {_SCORES}, {_RANKED} SELECT model, fold, (sum(rk) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auc, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS log_loss FROM rk GROUP BY 1, 2", "records", "auc log_loss", 8)
+def _(v: Views) -> DataFrame:
+    """Exact area under the curve and log loss by model and fold."""
+    s = scores(v)
+    loss = s.groupBy("model", "fold").agg(L.log_loss(F.col("p"), F.col("label")).alias("log_loss"))
+    return G.auc_by(s, "p", "label", ["model", "fold"]).join(loss, ["model", "fold"])
+
+
+@query("l6_calibration_of_scores", f"WITH {_SCORES}, bi AS (SELECT model, CAST(least(9, floor(p * 10)) AS INT) AS bin, count(*) AS n, avg(p) AS mean_p, avg(label) AS rate FROM pr GROUP BY 1, 2) SELECT model, bin, n, mean_p, rate, avg(abs(mean_p - rate)) OVER (PARTITION BY model) AS calibration_error FROM bi", "records", "mean_p rate calibration_error", 8)
+def _(v: Views) -> DataFrame:
+    s, out = scores(v), None
+    for name in ("surprise", "minute"):
+        curve, gap = L.calibration(s.filter(F.col("model") == name))
+        part = curve.crossJoin(F.broadcast(gap)).withColumn("model", F.lit(name))  # one row
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("l7_errors_of_scores", f"WITH {_SCORES} SELECT model, avg(abs(p - label)) AS mae, sqrt(avg((p - label) ** 2)) AS rmse FROM pr GROUP BY 1", "records", "mae rmse", 8)
+def _(v: Views) -> DataFrame:
+    return L.error_metrics(scores(v)).select("model", "mae", "rmse")
+
+
+@query("l8_ensemble_of_scores", f"WITH {_SCORES}, en AS (SELECT row_id, round(avg(p), 12) AS p, any_value(label) AS label FROM pr GROUP BY 1), ra AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2e0 AS rk FROM en), au AS (SELECT (sum(rk) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) AS auc FROM ra) SELECT row_id, p, auc FROM en, au", "records", "p auc", 8)
+def _(v: Views) -> DataFrame:
+    """The mean of the models by row, and its exact area under the curve."""
+    s = scores(v)
+    mean = E.written(L.ensemble(s).withColumn("p", F.round("p", 12)).join(s.filter("model = 'minute'").select("row_id", "label"), "row_id"))
+    auc = G.auc_by(mean.withColumn("all", F.lit(1)), "p", "label", ["all"]).select("auc")
+    return mean.select("row_id", "p").crossJoin(F.broadcast(auc))  # one row
+
+
+_VOTERS = ["qty", "price", "tax", "part"]
+
+
+def _vote_sql() -> str:
+    mi = ORACLES["g3_mutual_information"]
+    strong = " UNION ALL ".join(f"SELECT '{f}' AS feature FROM trades HAVING abs(corr({f}, r)) >= 0.05" for f in _VOTERS)
+    wide = " UNION ALL ".join(f"SELECT '{f}' AS feature FROM trades HAVING var_samp({f}) > 0.01" for f in _VOTERS)
+    return f"SELECT feature, CAST(count(method) AS BIGINT) AS votes, coalesce(max(mi), 0) AS mi FROM (SELECT feature, 'wide' AS method, NULL AS mi FROM ({wide}) UNION ALL SELECT feature, 'strong', NULL FROM ({strong}) UNION ALL SELECT feature, NULL, mi FROM ({mi})) x GROUP BY 1"
+
+
+@query("g7_vote_of_filters", _vote_sql, "trades", "mi", 6)
+def _(v: Views) -> DataFrame:
+    """Votes of two filters, with the mutual information that breaks ties and fills up."""
+    from tidemark.operators.profile import correlations
+
+    chosen = {"wide": [r["feature"] for r in G.variance_filter(v.trades, _VOTERS).filter("kept").collect()], "strong": [r["feature"] for r in correlations(v.trades, _VOTERS, ["r"]).filter("abs(corr) >= 0.05").collect()]}
+    mi = G.mutual_information(v.trades.withColumn("y", F.col("r") > 0), ["qty", "price", "tax"], "y").withColumn("mi", F.round("mi", 7))
+    return G.vote(v.spark, chosen, mi, 10)
+
+
 @query("r5_ablation")
 def _(v: Views) -> DataFrame:
     """Mean return of predicted ups by fold, with all features and with the strongest one set to zero."""

@@ -12,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 LATE: dict[str, Callable[[], str]] = {}
+#: The columns that a query rounds, and to how many digits.
+ROUNDED: dict[str, tuple[list[str], int]] = {}
 
 
 class Views:
@@ -58,7 +60,7 @@ def query(name: str, sql: str | Callable[[], str] | None = None, views: str = ""
 
         if name in QUERIES:
             raise ValueError(f"{name} is there already")
-        QUERIES[name] = run
+        QUERIES[name], ROUNDED[name] = run, (rounded.split(), digits)
         if sql is not None:
 
             def text() -> str:

@@ -103,7 +103,8 @@ def _uniforms(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
 def bootstrap_sums(trades: DataFrame, key: str = "trade_id", by: str = "strategy", r: str = "r", replicates: int = 1000, seed: int = 7, joint: bool = False) -> DataFrame:
     """by, replicate, w, wr, wrr: Poisson bootstrap. Each partition emits its partial sums, so rows are never multiplied
     by the replicates in a shuffle. Equal returns of a group are counted first and drawn together (a sum of Poisson draws
-    is one); joint draws each row by its key instead, so that a row weighs alike in every group."""
+    is one); joint draws each row by its key instead, so that a row weighs alike in every group. A key of whole numbers is
+    taken as it is, any other by its hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
@@ -116,14 +117,17 @@ def bootstrap_sums(trades: DataFrame, key: str = "trade_id", by: str = "strategy
                     w = poisson(_uniforms(once["key"].to_numpy()[i : i + 2000], replicates, seed))
                     y = x[i : i + 2000]
                     acc += np.stack([w.sum(0), y @ w, (y * y) @ w])
-                for k, y, n in zip(more["key"], more["r"], more["n"], strict=True):
-                    w = np.random.Generator(np.random.Philox(key=[k & (2**64 - 1), seed])).poisson(n, replicates)
-                    acc += np.stack([w, y * w, y * y * w])
+                keys, y, n = (more[c].to_numpy() for c in ("key", "r", "n"))
+                for i in range(0, len(y), 2000):  # the draws of one return depend on its key alone
+                    w = np.stack([np.random.Generator(np.random.Philox(key=[int(k) & (2**64 - 1), seed])).poisson(m, replicates) for k, m in zip(keys[i : i + 2000], n[i : i + 2000], strict=True)])
+                    part = y[i : i + 2000]
+                    acc += np.stack([w.sum(0), part @ w, (part * part) @ w])
         for name, acc in total.items():
             yield pd.DataFrame({by: name, "replicate": np.arange(replicates), "w": acc[0], "wr": acc[1], "wrr": acc[2]})
 
+    own = F.col("id").cast("long") if dict(trades.dtypes)[key] in ("bigint", "int") else F.xxhash64("id")
     rows = trades.filter(F.col(r).isNotNull()).select(F.col(by).alias("by"), F.col(key).alias("id"), F.col(r).cast("double").alias("r"))
-    rows = rows.select("by", F.xxhash64("id").alias("key"), "r", F.lit(1).cast("bigint").alias("n")) if joint else rows.groupBy("by", "r").agg(F.count("*").alias("n")).select("by", F.xxhash64("by", "r").alias("key"), "r", "n")
+    rows = rows.select("by", own.alias("key"), "r", F.lit(1).cast("bigint").alias("n")) if joint else rows.groupBy("by", "r").agg(F.count("*").alias("n")).select("by", F.xxhash64("by", "r").alias("key"), "r", "n")
     return rows.mapInPandas(run, f"{by} string, replicate int, w double, wr double, wrr double").groupBy(by, "replicate").agg(*(F.sum(c).alias(c) for c in ("w", "wr", "wrr")))
 
 
@@ -147,15 +151,20 @@ def difference_ci(df: DataFrame, conditions: dict[str, Column], target: str, key
     return diff.groupBy("condition").agg(F.percentile("diff", tails).alias("q")).select("condition", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # replicates values a condition
 
 
+def reality_tops(trades: DataFrame, by: str = "strategy", r: str = "r", key: str = "trade_id", replicates: int = 1000, seed: int = 11) -> DataFrame:
+    """replicate, t: the best t over strategies of centred returns in each replicate."""
+    m = trades.groupBy(by).agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"), F.count(r).cast("double").alias("n"))
+    sums = bootstrap_sums(trades, key, by, r, replicates, seed, joint=True).join(m, by)
+    t = F.try_divide((F.try_divide("wr", "w") - F.col("mean")) * F.sqrt("n"), F.col("sd"))
+    return sums.groupBy("replicate").agg(F.max(t).alias("t"))
+
+
 def reality_check(trades: DataFrame, by: str = "strategy", r: str = "r", key: str = "trade_id", replicates: int = 1000, seed: int = 11) -> DataFrame:
     """White's test: statistic (the best t over strategies), p (share of replicates whose best t over centred returns
     reaches it) and the number of strategies. The standard deviation is the population one."""
     m = trades.groupBy(by).agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"), F.count(r).cast("double").alias("n"))
-    best = m.agg(F.max(F.try_divide(F.col("mean") * F.sqrt("n"), F.col("sd"))).alias("statistic"), F.count("*").alias("n_strategies"))
-    sums = bootstrap_sums(trades, key, by, r, replicates, seed, joint=True).join(m, by)
-    t = F.try_divide((F.try_divide("wr", "w") - F.col("mean")) * F.sqrt("n"), F.col("sd"))
-    top = sums.groupBy("replicate").agg(F.max(t).alias("t"))
-    statistic, k = best.first()
+    statistic, k = m.agg(F.max(F.try_divide(F.col("mean") * F.sqrt("n"), F.col("sd"))), F.count("*")).first()
+    top = reality_tops(trades, by, r, key, replicates, seed)
     return top.agg(F.lit(statistic).alias("statistic"), F.avg((F.col("t") >= F.lit(statistic)).cast("double")).alias("p"), F.lit(k).alias("n_strategies"), F.count("*").alias("n_replicates"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import conditions as X, features as E, inference as I, metrics as M
@@ -131,6 +133,48 @@ def _(v: Views) -> DataFrame:
     return c.select("condition", (F.col("mean_true") - F.col("mean_false")).between(F.col("low"), F.col("high")).alias("inside"), (F.abs((F.col("high") - F.col("low")) / error / 3.92 - 1) < 0.25).alias("narrow"))
 
 
+def _draws(key: str, replicates: int, seed: int) -> str:
+    """SQL of table d(key, replicate, w): Poisson(1) weights from counter-based uniforms, as 64-bit arithmetic on wider numbers."""
+    mod = "18446744073709551616::UHUGEINT"
+    x = f"((({key})::UHUGEINT * 11400714819323198485::UHUGEINT) % {mod} + (i::UHUGEINT * 13787848793156543929::UHUGEINT) % {mod} + {seed}::UHUGEINT) % {mod}"
+    mix = lambda t, shift, factor: f"(xor({t}, {t} >> {shift}) * {factor}::UHUGEINT) % {mod}"
+    edges = " + ".join(f"CAST(u >= {math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} AS INT)" for k in range(16))
+    return f"""d0 AS (SELECT {key} AS key, CAST(i AS INT) AS replicate, {x} AS x FROM keys, range(0, {replicates}) z(i)), d1 AS (SELECT key, replicate, {mix('x', 30, 13787848793156543929)} AS x FROM d0), d2 AS (SELECT key, replicate, {mix('x', 27, 10723151780598845931)} AS x FROM d1),
+d3 AS (SELECT key, replicate, CAST(xor(x, x >> 31) AS DOUBLE) / 18446744073709551616e0 AS u FROM d2), d AS (SELECT key, replicate, {edges} AS w FROM d3)"""
+
+
+_DAYS = "days AS (SELECT strategy, CAST(datediff('day', DATE '1992-01-01', d) AS BIGINT) AS key, avg(r) AS r FROM trades GROUP BY 1, 2), keys AS (SELECT DISTINCT key FROM days)"
+
+
+def day_returns(v: Views) -> DataFrame:
+    """Mean return by strategy and day, keyed by the day's number: a day weighs alike in every strategy."""
+    days = v.trades.groupBy("strategy", "d").agg(F.avg("r").alias("r"))
+    return days.select("strategy", F.datediff("d", F.lit("1992-01-01").cast("date")).cast("long").alias("key"), "r")
+
+
+@query("u2_bootstrap_draws", f"WITH {_DAYS}, {_draws('key', 40, 11)} SELECT strategy, replicate, CAST(sum(w) AS DOUBLE) AS w, sum(w * r) AS wr, sum(w * r * r) AS wrr FROM days JOIN d USING (key) GROUP BY 1, 2", "trades", "wr wrr", 7)
+def _(v: Views) -> DataFrame:
+    """Forty replicates of every strategy's days, weight for weight."""
+    return I.bootstrap_sums(day_returns(v), "key", replicates=40, seed=11, joint=True)
+
+
+_CHECK = "mo AS (SELECT strategy, avg(r) AS mean, stddev_pop(r) AS sd, CAST(count(*) AS DOUBLE) AS n FROM days GROUP BY 1), st AS (SELECT max(mean * sqrt(n) / sd) AS statistic, count(*) AS n_strategies FROM mo), su AS (SELECT strategy, replicate, sum(w * r) / sum(w) AS m FROM days JOIN d USING (key) GROUP BY 1, 2), tt AS (SELECT replicate, max((m - mean) * sqrt(n) / sd) AS t FROM su JOIN mo USING (strategy) GROUP BY 1)"
+
+
+@query("i11_reality_check_by_day", f"WITH {_DAYS}, {_draws('key', 60, 11)}, {_CHECK} SELECT any_value(statistic) AS statistic, any_value(n_strategies) AS n_strategies, count(*) AS n_replicates, avg(CASE WHEN t >= statistic THEN 1e0 ELSE 0e0 END) AS p, max(t) AS top FROM tt, st", "trades", "statistic p top", 6)
+def _(v: Views) -> DataFrame:
+    """White's test over days, with the same draws: its p and the greatest of the replicates' best t."""
+    days = E.written(day_returns(v))
+    out = I.reality_check(days, key="key", replicates=60)
+    return out.join(I.reality_tops(days, key="key", replicates=60).agg(F.max("t").alias("top")), F.lit(True), "cross")  # one row each
+
+
+@query("i6_bootstrap_ci_by_day", f"WITH {_DAYS}, {_draws('key', 40, 7)}, m AS (SELECT strategy, replicate, sum(w * r) / sum(w) AS m, sum(w * r * r) / sum(w) AS q FROM days JOIN d USING (key) GROUP BY 1, 2) SELECT strategy, quantile_cont(m, 0.025) AS mean_low, quantile_cont(m, 0.975) AS mean_high, quantile_cont(m / sqrt(greatest(q - m * m, 0)) * sqrt(252), 0.025) AS sharpe_low, quantile_cont(m / sqrt(greatest(q - m * m, 0)) * sqrt(252), 0.975) AS sharpe_high FROM m GROUP BY 1", "trades", "mean_low mean_high sharpe_low sharpe_high", 6)
+def _(v: Views) -> DataFrame:
+    """Intervals over days with the same draws, bound for bound."""
+    return I.bootstrap_ci(I.bootstrap_sums(day_returns(v), "key", replicates=40, joint=True))
+
+
 @query("i11_reality_check", "WITH m AS (SELECT strategy, avg(r) * sqrt(count(r)) / stddev_pop(r) AS t FROM trades GROUP BY 1) SELECT max(t) AS statistic, count(*) AS n_strategies, CAST(1000 AS BIGINT) AS n_replicates, max(t) > 4 AS beyond FROM m", "trades", "statistic", 4)
 def _(v: Views) -> DataFrame:
     """The statistic, and whether it lies beyond all replicates but one in a hundred (as a t above 4 must)."""

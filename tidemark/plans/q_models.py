@@ -13,12 +13,24 @@ from tidemark.shared import new_path
 FEATURES = ["surprise", "revenue_surprise", "open_gap", "premarket_range", "volume_ratio_7_day", "market_cap_log", "pct_1min", "pct_5min"]
 
 
-_kept: dict[tuple[str, str, str], str] = {}
+_kept: dict[tuple, str] = {}
+
+
+def _state(v: Views) -> tuple:
+    """The files of the tables that records come from, with their sizes and times of change."""
+    jvm, conf = v.spark._jvm, v.spark._jsc.hadoopConfiguration()
+    out = []
+    for table in ("orders", "customer"):
+        for name in v.spark.read.parquet(f"{v.sf_dir}/{table}.parquet").inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+            status = path.getFileSystem(conf).getFileStatus(path)
+            out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def kept(v: Views, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """make's table, written once a session and folder, as fits read their rows many times."""
-    key = (v.spark.sparkContext.applicationId, v.sf_dir, name)
+    """make's table, written once a session and state of the tables, as fits read their rows many times."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, name, _state(v))
     if key not in _kept:
         path = new_path(v.spark, name)
         make().write.parquet(path)

@@ -17,6 +17,8 @@ from tidemark.shared import new_path
 
 #: Bins of a value's range that ranks and quantiles are found by, and rows that are numbered in one task.
 BINS, BLOCK_ROWS = 4096, 100_000
+#: Rows of a summary that may be broadcast; larger ones are joined by their keys.
+SMALL = 100_000
 
 
 def row_numbers(df: DataFrame, block: str, order: list[str], name: str = "position") -> DataFrame:
@@ -42,6 +44,14 @@ def hashed_positions(df: DataFrame, h: str, n: int, by: list[str] | None = None,
     return rows.withColumn("_k", F.row_number().over(inside)).join(starts, [*by, "_block"]).withColumn(name, F.col("_start") + F.col("_k") - 1).drop("_k", "_start", "_block")
 
 
+def noted(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A summary as a written table, and whether it has few enough rows (SMALL) to be sent to every task."""
+    path = new_path(df.sparkSession, "summary")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out, out.limit(SMALL + 1).count() <= SMALL
+
+
 def with_bins(df: DataFrame, x: str, by: list[str], name: str, bins: int = BINS) -> DataFrame:
     """df with a bin of x, 0 to bins - 1, that grows with x within its group. Values are spread by the inverse hyperbolic
     sine of their distance from the median in quartile widths, so outliers do not crowd the rest into one bin. Nulls get
@@ -53,8 +63,12 @@ def with_bins(df: DataFrame, x: str, by: list[str], name: str, bins: int = BINS)
     spread = lambda c: F.asinh(F.try_divide(c - F.col("_q")[1], scale))
     part = F.coalesce(F.try_divide(spread(y) - spread(F.col("_lo")), spread(F.col("_hi")) - spread(F.col("_lo"))), F.lit(0.0))
     place = F.when(finite, F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(part * bins)))).when(F.col(x) < 0, 0).when(F.col(x).isNotNull(), bins - 1)
-    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
-    joined = df.join(F.broadcast(s), reduce(Column.__and__, same)) if by else df.crossJoin(F.broadcast(s))  # one row a group
+    if by:
+        s, small = noted(s)
+        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+        joined = df.join(F.broadcast(s) if small else s, reduce(Column.__and__, same))
+    else:
+        joined = df.crossJoin(F.broadcast(s))  # one row
     return joined.withColumn(name, place.cast("int")).drop("_lo", "_hi", "_q", *(f"_g{i}" for i in range(len(by))))
 
 
@@ -81,8 +95,9 @@ def asked_ranks(counts: DataFrame, probs: list[float], by: list[str]) -> DataFra
 def read_ranks(rows: DataFrame, asked: DataFrame, by: list[str], name: str) -> DataFrame:
     """The quantiles from rows(by, _bin, _x), of which only those in asked bins are looked at."""
     keys = [*by, "_bin"]
+    asked, small = noted(asked)
     wanted = asked.select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(keys))).distinct()
-    some = rows.join(F.broadcast(wanted), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(keys)]), "left_semi")  # two bins a quantile and group
+    some = rows.join(F.broadcast(wanted) if small else wanted, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(keys)]), "left_semi")
     inside = some.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
     ranked = inside.withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
     hit = asked.alias("a").join(ranked.alias("r"), reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys] + [F.col("_k") - F.col("_before") < F.col("_to"), F.col("_k") - F.col("_before") >= F.col("_to") - F.col("_c")]))

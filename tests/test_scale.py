@@ -232,3 +232,47 @@ def test_feature_quality_without_expand(spark):
     assert {r["column"]: (round(r["missing"], 6), r["n_distinct"], r["usable"]) for r in out.collect()} == {"a": (0.0, 30, True), "b": (0.1, 90, False), "c": (0.0, 1, False)}
     assert {r["column"]: (r["missing"], r["n_distinct"], r["usable"]) for r in clean.feature_quality(df.limit(0), ["a", "b"]).collect()} == {c: (None, 0, False) for c in "ab"}
     assert clean.feature_quality(df, ["a"], approx=True).first()["column"] == "a"
+
+
+@pytest.mark.parametrize("parts", [1, 6, 50])
+def test_running_values_over_ranges(spark, one_symbol, parts):
+    """Sums, products, extremes and last values carry over ranges as a window over the whole group has them."""
+    from tidemark.operators import clean, windows as N
+
+    order = ["report_date", "record_id"]
+    w = prefix.Window.partitionBy("symbol").orderBy(*order)
+    run = w.rowsBetween(prefix.Window.unboundedPreceding, 0)
+    p, g = F.col("close_price"), 1 + F.col("close_price") / 1e4
+    got = prefix.with_running(one_symbol, ["symbol"], order, {"s": ("sum", p), "p": ("product", g), "hi": ("max", p), "lo": ("min", p), "last": ("last", p)}, parts)
+    want = one_symbol.select("record_id", F.sum(p).over(run).alias("s"), F.product(g).over(run).alias("p"), F.max(p).over(run).alias("hi"), F.min(p).over(run).alias("lo"), F.last(p, ignorenulls=True).over(run).alias("last"))
+    a, b = ({r["record_id"]: r for r in df.select("record_id", "s", "p", "hi", "lo", "last").collect()} for df in (got, want))
+    assert a.keys() == b.keys() and len(a) == 1100
+    for k, r in b.items():
+        assert [x for x in a[k]] == [None if x is None else pytest.approx(x) for x in r]
+    some = one_symbol.withColumn("x", F.coalesce(p / 1e4, F.lit(0.0)))
+    a = {r["record_id"]: r for r in N.cumulative(some, "x", "symbol", tuple(order), parts).collect()}
+    growth = some.withColumn("g", F.product(1 + F.col("x")).over(run))
+    for r in growth.withColumn("top", F.max("g").over(run)).withColumn("t", F.sum("x").over(run)).collect():
+        assert (a[r["record_id"]]["growth"], a[r["record_id"]]["peak"], a[r["record_id"]]["total"]) == (pytest.approx(r["g"]), pytest.approx(r["top"]), pytest.approx(r["t"]))
+    changes = {r["record_id"]: (r["diff"], r["pct"]) for r in N.differences(one_symbol, "close_price", "symbol", tuple(order), parts).collect()}
+    for r in one_symbol.withColumn("b", F.lag(p).over(w)).collect():
+        want = None if r["close_price"] is None or r["b"] is None else r["close_price"] - r["b"]
+        assert changes[r["record_id"]][0] == (None if want is None else pytest.approx(want))
+    filled = clean.forward_fill(one_symbol, ["close_price"], order=order)
+    assert filled.filter("close_price IS NULL").isEmpty() and filled.columns == one_symbol.columns
+
+
+def test_places_and_tops(spark):
+    from tidemark.operators import windows as N
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), rng.randrange(5), rng.choice([rng.random(), None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, day int, x double").repartition(4)
+    got = {r["id"]: r["place"] for r in N.places(df, "g", "day", [F.asc_nulls_last("x"), F.asc("id")]).collect()}
+    for name in "ab":
+        own = sorted((r for r in rows if r[1] == name), key=lambda r: (-r[2], r[3] is None, r[3] or 0, r[0]))
+        assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+    top = {r["id"] for r in N.top_per_group(df, "g", [F.desc("day"), F.asc("id")], 3).collect()}
+    assert top == {r[0] for name in "ab" for r in sorted((r for r in rows if r[1] == name), key=lambda r: (-r[2], r[0]))[:3]}
+    stats = {r["id"]: r["mean"] for r in N.group_statistics(df.withColumn("g", F.when(F.col("g") == "a", "a")), "x", "g").collect()}
+    assert len(stats) == 300

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalar import surprise_pct
-from tidemark.plans.prefix import quantile_values
+from tidemark.plans.prefix import quantile_values, with_running
 
 DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss"]
 #: Markers of missing data by kind of column.
@@ -101,8 +101,7 @@ def last_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def forward_fill(df: DataFrame, columns: list[str], by: str = "symbol", order: list[str] | None = None) -> DataFrame:
     """The last value before within a symbol, then the median over all rows (of the filled values)."""
-    w = Window.partitionBy(by).orderBy(*(order or ["report_date"])).rowsBetween(Window.unboundedPreceding, 0)
-    filled = df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    filled = with_running(df, [by], order or ["report_date"], {c: ("last", F.col(c)) for c in columns})
     return fill_median(filled, columns)
 
 

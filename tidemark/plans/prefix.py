@@ -106,6 +106,44 @@ def read_ranks(rows: DataFrame, asked: DataFrame, by: list[str], name: str) -> D
     return value.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(name))
 
 
+def ranged(df: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """df as a written table with the range of (by, order) that each row lies in, column _part, in ascending order."""
+    spark = df.sparkSession
+    path = new_path(spark, "ranges")
+    df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *by, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    return spark.read.schema(StructType([*df.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+
+
+#: For each kind of running value: the aggregate of a part, how parts are merged, and how a row's is put on what came before.
+RUNNING = {
+    "sum": (lambda x, _: F.sum(x), F.sum, lambda before, own: F.when(before.isNull(), own).when(own.isNull(), before).otherwise(before + own)),
+    "product": (lambda x, _: F.product(x), F.product, lambda before, own: F.when(before.isNull(), own).when(own.isNull(), before).otherwise(before * own)),
+    "max": (lambda x, _: F.max(x), F.max, F.greatest),
+    "min": (lambda x, _: F.min(x), F.min, F.least),
+    "last": (lambda x, order: F.max_by(x, F.when(x.isNotNull(), order)), lambda x: F.last(x, ignorenulls=True), lambda before, own: F.coalesce(own, before)),
+}
+
+
+def with_running(df: DataFrame, by: list[str], order: list[str], values: dict[str, tuple[str, Column]], parts: int | None = None) -> DataFrame:
+    """df with running values of its group up to each row, by name: (kind, value), kinds as in RUNNING; nulls do not count.
+
+    Rows are cut into ranges of (by, order). A range's rows run within a task; what its groups carry into it comes from the
+    totals of the ranges before, so no task holds a whole group, and only a row a range and group meets in a window."""
+    names = list(values)
+    rows = ranged(df.withColumns({f"_v{i}": values[n][1] for i, n in enumerate(names)}), by, order, parts)
+    at = F.struct(*order)
+    totals = rows.groupBy("_part", *by).agg(*(RUNNING[values[n][0]][0](F.col(f"_v{i}"), at).alias(f"_t{i}") for i, n in enumerate(names)))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried, small = noted(totals.select("_part", *by, *(RUNNING[values[n][0]][1](F.col(f"_t{i}")).over(earlier).alias(f"_c{i}") for i, n in enumerate(names))))
+    carried = carried.select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_g{i}") for i, c in enumerate(by)), *(f"_c{i}" for i in range(len(names))))
+    here = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({f"_o{i}": RUNNING[values[n][0]][1](F.col(f"_v{i}")).over(here) for i, n in enumerate(names)})
+    same = reduce(Column.__and__, [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by))])
+    joined = own.join(F.broadcast(carried) if small else carried, same)
+    out = joined.withColumns({n: RUNNING[values[n][0]][2](F.col(f"_c{i}"), F.col(f"_o{i}")) for i, n in enumerate(names)})
+    return out.select(*dict.fromkeys([*df.columns, *names]))
+
+
 def with_halo(df: DataFrame, by: list[str], order: list[str], before: int, parts: int | None = None) -> DataFrame:
     """df cut into ranges of (by, order), column _part, each with copies (_halo) of the `before` rows that precede it. Windows
     over Window.partitionBy("_part", *by).orderBy(*order) that look back no further give each row that is no copy what a
@@ -113,11 +151,7 @@ def with_halo(df: DataFrame, by: list[str], order: list[str], before: int, parts
 
     The ranges are written, so that a row's part is fixed. As many copies as asked for go from a part to the next, and on to
     those after it where parts are smaller than that."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = new_path(spark, "ranges")
-    df.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    rows = spark.read.schema(StructType([*df.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+    rows = ranged(df, by, order, parts)
     size = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}  # a row a part
     goals = []  # (part, later part, rows between them) as far as copies reach
     for p in sorted(size):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import combos as C, folds as D, metrics as M, robustness as R, sizing as Z, thresholds as H
+from tidemark.operators import combos as C, folds as D, metrics as M, robustness as R, sizing as Z, thresholds as H, windows as N
 from tidemark.operators.features import rolling_moments, written
 from tidemark.plans.prefix import quantile_values
 from tidemark.plans.q_bars import BINS, bins
@@ -81,9 +81,8 @@ def _(v: Views) -> DataFrame:
 
 @query("w6_cumulative", _T + ", g AS (SELECT strategy, d, exp(sum(ln(1 + r / 100)) OVER w) AS growth, sum(r) OVER w AS total, r - lag(r) OVER (PARTITION BY strategy ORDER BY d) AS diff FROM t WINDOW w AS (PARTITION BY strategy ORDER BY d ROWS UNBOUNDED PRECEDING)) SELECT *, max(growth) OVER (PARTITION BY strategy ORDER BY d) AS peak FROM g", "trades", "growth total diff peak", 7)
 def _(v: Views) -> DataFrame:
-    o = Window.partitionBy("strategy").orderBy("d")
-    w = o.rowsBetween(Window.unboundedPreceding, 0)
-    return daily(v).select("strategy", "d", F.product(1 + F.col("r") / 100).over(w).alias("growth"), F.sum("r").over(w).alias("total"), (F.col("r") - F.lag("r").over(o)).alias("diff")).withColumn("peak", F.max("growth").over(w))
+    days = N.differences(daily(v).withColumn("x", F.col("r") / 100), "r", "strategy", ("d",)).drop("pct")
+    return N.cumulative(days, "x", "strategy", ("d",)).select("strategy", "d", "growth", (F.col("total") * 100).alias("total"), "diff", "peak")
 
 
 @query("o2_top_surprises", "SELECT record_id, symbol, surprise FROM records ORDER BY surprise DESC NULLS LAST, report_date, record_id LIMIT 20", "records", "surprise", 4)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import dist, scalar as S
-from tidemark.operators import bars as B, clean, conditions as X, features as E, folds as D, inference as I, joins as J, metrics as M, models as L, targets as T
-from tidemark.plans.prefix import average_ranks
+from tidemark.operators import bars as B, clean, conditions as X, features as E, folds as D, inference as I, joins as J, metrics as M, models as L, targets as T, windows as N
+from tidemark.plans.prefix import average_ranks, with_running
 from tidemark.plans.q_bars import BARS, DAYS, _avg, days, sessions
 from tidemark.plans.q_more import _T
 from tidemark.plans.q_strategies import _HITS, EXPANDING, FEATURES_SQL, LONG, METRICS, conditioned, daily, hits
@@ -269,13 +269,12 @@ def _(v: Views) -> DataFrame:
 
 @query("w5_differences", f"WITH x AS (SELECT record_id, market_cap AS p, lag(market_cap) OVER ({_BY}) AS q FROM records) SELECT record_id, p - q AS diff, (p - q) / nullif(q, 0) * 100 AS pct FROM x", "records", "diff pct", 5)
 def _(v: Views) -> DataFrame:
-    before = F.lag("market_cap").over(Window.partitionBy("symbol").orderBy("report_date", "record_id"))
-    return v.records.withColumn("before", before).select("record_id", (F.col("market_cap") - F.col("before")).alias("diff"), S.pct_change(F.col("before"), F.col("market_cap")).alias("pct"))
+    return N.differences(v.records, "market_cap", "symbol", ("report_date", "record_id")).select("record_id", "diff", "pct")
 
 
 @query("w7_cumulative_sum", _T + " SELECT strategy, d, sum(r) OVER (PARTITION BY strategy ORDER BY d) AS total FROM t", "trades", "total", 7)
 def _(v: Views) -> DataFrame:
-    return daily(v).select("strategy", "d", F.sum("r").over(Window.partitionBy("strategy").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    return with_running(daily(v), ["strategy"], ["d"], {"total": ("sum", F.col("r"))}).select("strategy", "d", "total")
 
 
 @query("w8_percent_rank", "SELECT record_id, CASE WHEN s IS NOT NULL THEN (rank() OVER (PARTITION BY s IS NULL ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2e0) / count(s) OVER () END AS share FROM (SELECT record_id, revenue_surprise AS s FROM records) q", "records", "share")
@@ -290,24 +289,18 @@ def _(v: Views) -> DataFrame:
 
 @query("w10_group_statistics", "SELECT record_id, avg(surprise) OVER w AS mean, stddev_samp(surprise) OVER w AS std FROM records WINDOW w AS (PARTITION BY industry)", "records", "mean std", 5)
 def _(v: Views) -> DataFrame:
-    g = v.records.groupBy(F.col("industry").alias("i")).agg(F.avg("surprise").alias("mean"), F.stddev_samp("surprise").alias("std"))
-    return v.records.join(g, F.col("industry") == F.col("i")).select("record_id", "mean", "std")
+    return N.group_statistics(v.records, "surprise", "industry").select("record_id", "mean", "std")
 
 
 @query("o1_order_by_several", "SELECT record_id, row_number() OVER (PARTITION BY sector ORDER BY report_date DESC, surprise NULLS LAST, record_id) AS place FROM records", "records")
 def _(v: Views) -> DataFrame:
-    w = Window.partitionBy("sector", "report_date").orderBy(F.asc_nulls_last("surprise"), "record_id")
-    # a sector's days are counted first, so its rows never meet in one task
-    later = Window.partitionBy("sector").orderBy(F.desc("report_date")).rowsBetween(Window.unboundedPreceding, -1)
-    start = v.records.groupBy("sector", "report_date").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(later), F.lit(0))).drop("n")
-    return v.records.withColumn("k", F.row_number().over(w)).join(start, ["sector", "report_date"]).select("record_id", (F.col("start") + F.col("k")).alias("place"))
+    return N.places(v.records, "sector", "report_date", [F.asc_nulls_last("surprise"), F.asc("record_id")]).select("record_id", "place")
 
 
 @query("o3_top_by_sector", "SELECT sector, symbol, n FROM (SELECT sector, symbol, count(*) AS n, row_number() OVER (PARTITION BY sector ORDER BY count(*) DESC, symbol) AS k FROM records GROUP BY 1, 2) q WHERE k <= 5", "records")
 def _(v: Views) -> DataFrame:
     n = v.records.groupBy("sector", "symbol").agg(F.count("*").alias("n"))
-    k = F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("n"), "symbol"))
-    return n.withColumn("k", k).filter("k <= 5").drop("k")
+    return N.top_per_group(n, "sector", [F.desc("n"), F.asc("symbol")], 5)
 
 
 @query("o4_rank_of_strategies", f"WITH m AS ({METRICS}) SELECT strategy, CAST(row_number() OVER (ORDER BY sharpe DESC, strategy) AS INT) AS rank FROM m", "trades")

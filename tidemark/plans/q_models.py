@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.dist import t_power
 from tidemark.operators import combos as C, features as E, folds as D, models as L, selection as G
 from tidemark.plans.registry import ORACLES, Views, query
 from tidemark.shared import new_path
@@ -113,12 +114,14 @@ def _(v: Views) -> DataFrame:
 
 
 def _ranking() -> str:
-    from tidemark.plans.q_strategies import _CORR, _F5, _SINGLES
+    from tidemark.plans.q_parts import powered
+    from tidemark.plans.q_strategies import _CORR, _F5, _SINGLES, YEAR
 
+    power = powered(f"SELECT feature, n, sharpe / {YEAR} AS d FROM singles")
     ratio = " UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, r)) * sqrt(count(*)) AS info_ratio FROM trades" for f in _F5)
-    return f"""WITH {_SINGLES}, {_CORR}, ir AS ({ratio}), bo AS (SELECT f1, f2, corr FROM co UNION ALL SELECT f2, f1, corr FROM co), spr AS (SELECT bo.f1 AS feature, avg(1 - abs(coalesce(corr, 0))) AS dv FROM bo JOIN singles s ON s.feature = bo.f2 AND s.sharpe > 0.8 GROUP BY 1),
+    return f"""WITH {_SINGLES}, {_CORR}, {power}, ir AS ({ratio}), bo AS (SELECT f1, f2, corr FROM co UNION ALL SELECT f2, f1, corr FROM co), spr AS (SELECT bo.f1 AS feature, avg(1 - abs(coalesce(corr, 0))) AS dv FROM bo JOIN singles s ON s.feature = bo.f2 AND s.sharpe > 0.8 GROUP BY 1),
 x AS (SELECT singles.feature, coalesce(dv, 0.5) AS dv, 0.4 * greatest(0, least(1, sharpe / 3)) + 0.2 * greatest(0, least(1, info_ratio / 5)) + 0.2 * greatest(0, 1 - abs(mdd) / 0.15) + 0.2 * greatest(0, least(1, (win_rate - 0.4) / 0.3)) AS own FROM singles JOIN ir USING (feature) LEFT JOIN spr ON spr.feature = singles.feature)
-SELECT feature, own AS individual, dv AS diversification, 0.7 * own + 0.25 * dv + 0.05 * 0.8 AS total FROM x"""
+SELECT x.feature, own AS individual, dv AS diversification, 0.7 * own + 0.25 * dv + 0.05 * least(power, 1) AS total FROM x JOIN pw ON pw.feature = x.feature"""
 
 
 @query("g9_feature_ranking", _ranking, "trades", "individual diversification total", 5)
@@ -126,7 +129,7 @@ def _(v: Views) -> DataFrame:
     from tidemark.plans.q_strategies import _F5, _singles
 
     corr = C.pair_correlations(v.trades, _F5)
-    return C.feature_ranking(_singles(v).join(G.info_ratio(v.trades, _F5, "r").select("feature", "info_ratio"), "feature").withColumn("power", F.lit(0.8)), corr)
+    return C.feature_ranking(_singles(v).join(G.info_ratio(v.trades, _F5, "r").select("feature", "info_ratio"), "feature").withColumn("power", t_power(F.col("sharpe") / 252**0.5, F.col("n"))), corr)
 
 
 def fold_rows(v: Views) -> DataFrame:

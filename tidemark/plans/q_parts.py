@@ -11,7 +11,7 @@ from tidemark.operators import bars as B, clean, conditions as X, features as E,
 from tidemark.plans.prefix import average_ranks, with_running
 from tidemark.plans.q_bars import BARS, DAYS, _avg, days, sessions
 from tidemark.plans.q_more import _T
-from tidemark.plans.q_strategies import _HITS, EXPANDING, FEATURES_SQL, LONG, METRICS, conditioned, daily, hits
+from tidemark.plans.q_strategies import _HITS, CONDITIONS, EXPANDING, FEATURES_SQL, LONG, METRICS, conditioned, daily, hits
 from tidemark.plans.registry import Views, query, t_critical, t_power
 
 _flag = lambda c: f"CASE WHEN {c} THEN 1 ELSE 0 END"
@@ -327,6 +327,22 @@ def _(v: Views) -> DataFrame:
     return counts.unpivot("_n", list(library), "condition", "n_true").select("condition", "n_true", (F.col("_n") - F.col("n_true")).alias("n_false"))
 
 
+_TOP = [f"sector = (SELECT top_sector FROM ranked_top WHERE k = {i + 1})" for i in range(5)]
+
+
+def _mask_sql() -> str:
+    tests = [*list(CONDITIONS.values())[:-2], *_TOP, *list(CONDITIONS.values())[-2:]]
+    bits = " + ".join(f"CASE WHEN {c} THEN CAST({1 << i} AS BIGINT) ELSE 0 END" for i, c in enumerate(tests))
+    return f"WITH {FEATURES_SQL}, ranked_top AS (SELECT sector AS top_sector, row_number() OVER (ORDER BY count(*) DESC, sector) AS k FROM f GROUP BY sector) SELECT record_id, {bits} AS mask FROM f, q"
+
+
+@query("c1_condition_masks", _mask_sql(), "records")
+def _(v: Views) -> DataFrame:
+    """Every record's conditions, one bit each in the library's order."""
+    df = E.written(conditioned(v))
+    return df.select("record_id", X.mask_of(list(X.library(df).values())).alias("mask"))
+
+
 @query("i5_effect_sizes", f"WITH {FEATURES_SQL}, s AS (SELECT avg(r) FILTER (WHERE surprise > 0) AS a, avg(r) FILTER (WHERE NOT coalesce(surprise > 0, false)) AS b, stddev_samp(r) FILTER (WHERE surprise > 0) AS sa, stddev_samp(r) FILTER (WHERE NOT coalesce(surprise > 0, false)) AS sb, count(r) FILTER (WHERE surprise > 0) AS na, count(r) FILTER (WHERE NOT coalesce(surprise > 0, false)) AS nb, avg(r) / stddev_samp(r) AS own FROM f) SELECT 'surprise_positive' AS condition, (a - b) / sqrt(((na - 1) * sa ** 2 + (nb - 1) * sb ** 2) / (na + nb - 2)) AS cohens_d, own FROM s", "records", "cohens_d own", 5)
 def _(v: Views) -> DataFrame:
     df = conditioned(v)

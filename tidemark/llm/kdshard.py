@@ -1,24 +1,27 @@
 """K-d tree sharding by bytes.
 
 A node of the tree is split at a weighted median along its widest dimension until every leaf holds the target bytes.
-All nodes of a level are split together: one aggregation gives their extents, then histograms of bytes over ever finer
-bins (BINS a pass, combined before the shuffle) find each cut exactly. Rows that tie at a cut stay on one side as long
-as that moves it by less than TOLERANCE of a leaf; a larger tie is cut along doc_id.
+All nodes of a level are split together, and are rows of a table that is joined with the data: one aggregation gives their
+extents, then histograms of bytes over ever finer bins (BINS a pass, combined before the shuffle) find each cut exactly.
+Of a node one row a pass reaches the driver; more than MAX_LEAVES shards are an error. Rows that tie at a cut stay on one
+side as long as that moves it by less than TOLERANCE of a leaf; a larger tie is cut along doc_id.
 
 The dimensions are the size of the text (ties in the order of its checksum) and its checksum, metadata that every table
-has; so only equal texts tie, and they share a shard unless they outweigh the tolerance. Defined results: null text has size 1 and the checksum of the empty text; null doc_ids order
-before all others; repeated rows get slots of their own; an empty table gives an empty result.
+has; so only equal texts tie, and they share a shard unless they outweigh the tolerance. Defined results: null text has size
+1 and the checksum of the empty text; null doc_ids order before all others; repeated rows get slots of their own; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.store import keep
 
-BINS, TOLERANCE, SLOT_BLOCK = 4096, 0.01, 4000
+BINS, TOLERANCE, SLOT_BLOCK, SMALL, MAX_LEAVES = 4096, 0.01, 4000, 100_000, 4_000_000
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -26,72 +29,89 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"))
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of nodes, sent to every task unless there are very many."""
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= SMALL else out
+
+
+def _found(rows: DataFrame, search: dict[int, Search], dims: list[str]) -> dict[int, tuple[int, int, int]]:
+    """For each node the bin of its range in which its bytes reach the goal (else its last): its number, the bytes in it and
+    those up to its end. Nodes are joined with the rows; one row a node reaches the driver."""
+    nodes = [(n, s.axis, s.dim, s.low, s.high, s.step, s.tie, s.goal - s.below) for n, s in search.items()]
+    held = _table(rows.sparkSession, nodes, "node int, axis string, dim string, low bigint, high bigint, step bigint, tie bigint, missing double")
+    value = lambda name: F.coalesce(*(F.when(F.col(name) == d, F.col(d)) for d in dims))
+    live = rows.join(held, "node").withColumn("value", value("dim"))
+    live = live.filter((F.col("value") >= F.col("low")) & (F.col("value") < F.col("high")) & (F.col("tie").isNull() | (value("axis") == F.col("tie"))))
+    bins = live.groupBy("node", "missing", F.floor((F.col("value") - F.col("low")) / F.col("step")).alias("bin")).agg(F.sum("size").alias("mass"))
+    upto = F.sum("mass").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # BINS rows a node
+    bin_ = F.struct("bin", "mass", "upto")
+    chosen = bins.withColumn("upto", upto).groupBy("node").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("missing"), bin_)), F.max(bin_)).alias("b"))
+    return {r["node"]: tuple(r["b"]) for r in chosen.collect()}
+
+
+@dataclass
+class Search:
+    """Where a node's cut is looked for: a range of a dimension, the bytes below it, and the tie that is cut along doc_id."""
+
+    goal: float
+    axis: str
+    dim: str
+    low: int
+    high: int
+    below: float = 0.0
+    tie: int | None = None
+
+    @property
+    def step(self) -> int:
+        return -(-(self.high - self.low) // BINS)
+
+
 def _cuts(rows: DataFrame, goal: dict[int, float], dims: list[str], slack: float) -> dict[int, tuple[str, int, int | None]]:
     """For each node: the dimension, the value v and (None or a doc_id) w, such that the rows with (dim, tie key) below
     the cut hold about goal[node] bytes: dim < v, or dim = v and doc_id < w."""
-    nodes = list(goal)
-    rows = rows.filter(F.col("node").isin(nodes))
-    root = rows.groupBy("node").agg(F.sum("size").alias("total"), *(f(d).alias(f"{n}_{d}") for d in [*dims, "id"] for n, f in (("lo", F.min), ("hi", F.max)))).collect()
-    extent = {r["node"]: r for r in root}
-    world = {d: max(1, max(r[f"hi_{d}"] for r in root) - min(r[f"lo_{d}"] for r in root)) for d in dims}
+    extent = {r["node"]: r for r in rows.groupBy("node").agg(*(f(d).alias(f"{k}_{d}") for d in [*dims, "id"] for k, f in (("lo", F.min), ("hi", F.max)))).collect() if r["node"] in goal}
+    world = {d: max(1, max(r[f"hi_{d}"] for r in extent.values()) - min(r[f"lo_{d}"] for r in extent.values())) for d in dims}
     out: dict[int, tuple[str, int, int | None]] = {}
-    # widest relative to the whole table's extent at this level
-    axis = {n: max(dims, key=lambda d, n=n: ((extent[n][f"hi_{d}"] - extent[n][f"lo_{d}"]) / world[d], -dims.index(d))) for n in nodes}
-    search = {n: [axis[n], extent[n][f"lo_{axis[n]}"], extent[n][f"hi_{axis[n]}"] + 1, 0.0, None] for n in nodes}  # dim, low, high, bytes below low, tie
+    search = {}
+    for n, e in extent.items():  # widest relative to the whole table's extent at this level
+        axis = max(dims, key=lambda d, e=e: ((e[f"hi_{d}"] - e[f"lo_{d}"]) / world[d], -dims.index(d)))
+        search[n] = Search(goal[n], axis, axis, e[f"lo_{axis}"], e[f"hi_{axis}"] + 1)
     while search:
-        value = F.coalesce(*(F.when((F.col("node") == n) & (F.lit(True) if tie is None else F.col(axis[n]) == tie), F.col(d)) for n, (d, _, _, _, tie) in search.items()))
-        low = F.coalesce(*(F.when(F.col("node") == n, F.lit(lo)) for n, (_, lo, _, _, _) in search.items()))
-        width = F.coalesce(*(F.when(F.col("node") == n, F.lit(-(-(hi - lo) // BINS))) for n, (_, lo, hi, _, _) in search.items()))
-        high = F.coalesce(*(F.when(F.col("node") == n, F.lit(hi)) for n, (_, _, hi, _, _) in search.items()))
-        live = rows.withColumns({"value": value, "low": low, "width": width, "high": high}).filter((F.col("value") >= F.col("low")) & (F.col("value") < F.col("high")))
-        bins: dict[int, dict[int, int]] = {n: {} for n in search}
-        for r in live.groupBy("node", F.floor((F.col("value") - F.col("low")) / F.col("width")).cast("int").alias("bin")).agg(F.sum("size").alias("mass")).collect():  # BINS rows a node at most
-            bins[r["node"]][r["bin"]] = r["mass"]
-        after = {}
-        for n, (d, lo, hi, below, tie) in search.items():
-            width_n, mass, at, here = -(-(hi - lo) // BINS), below, lo, 0
-            for b, m in sorted(bins[n].items()):
-                at, here = lo + b * width_n, m
-                if mass + m >= goal[n]:
-                    break
-                mass += m
-            if width_n > 1 and here:
-                after[n] = [d, at, min(hi, at + width_n), mass, tie]
+        found, after = _found(rows, search, [*dims, "id"]), {}
+        for n, s in search.items():
+            bin_, here, upto = found.get(n, (0, 0, 0))
+            at, before = s.low + bin_ * s.step, s.below + upto - here
+            if s.step > 1 and here:
+                after[n] = replace(s, low=at, high=min(s.high, at + s.step), below=before)
                 continue
-            left, right = abs(goal[n] - mass), abs(mass + here - goal[n])
+            left, right = abs(s.goal - before), abs(before + here - s.goal)
             cut = at if left <= right else at + 1
-            if tie is not None:
-                out[n] = (axis[n], tie, cut)
-            elif min(left, right) > slack and d != "id":
-                after[n] = ["id", extent[n]["lo_id"], extent[n]["hi_id"] + 1, mass, at]
+            if s.tie is not None:
+                out[n] = (s.axis, s.tie, cut)
+            elif min(left, right) > slack:
+                after[n] = replace(s, dim="id", low=extent[n]["lo_id"], high=extent[n]["hi_id"] + 1, below=before, tie=at)
             else:
-                out[n] = (d, cut, None)
+                out[n] = (s.dim, cut, None)
         search = after
     return out
 
 
 def leaves(rows: DataFrame, n_leaves: int, dims: list[str]) -> DataFrame:
     """rows (with size and id) with the column shard: the leaf of each row, 0 to n_leaves - 1."""
+    if n_leaves > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} shards")
     rows = keep(rows.withColumn("node", F.lit(0)), "kd-rows")
     total = rows.agg(F.sum("size")).first()[0]
-    if total is None:
-        return rows.withColumnRenamed("node", "shard")
     # a node is named by its first leaf; span holds how many leaves it has
-    span, mass = {0: n_leaves}, {0: float(total)}
-    path = F.lit(0)
-    while any(s > 1 for s in span.values()):
-        goal = {n: mass[n] * (s // 2) / s for n, s in span.items() if s > 1 and mass[n] > 0}
-        if not goal:
-            break
-        cuts = _cuts(rows.withColumn("node", path), goal, dims, TOLERANCE * total / n_leaves)
-        step = F.lit(0)
-        for n, (d, v, w) in cuts.items():
-            over = F.col(d) >= v if w is None else (F.col(d) > v) | ((F.col(d) == v) & (F.col("id") >= w))
-            step = F.when((path == n) & over, span[n] // 2).otherwise(step)
-        rows = keep(rows.withColumn("node", path + step), "kd-rows")
-        path = F.col("node")
-        split = [n for n in span if n in cuts]
-        span = {k: v for n, s in span.items() for k, v in ({n: s // 2, n + s // 2: s - s // 2} if n in split else {n: 1}).items()}
+    span, mass = {0: n_leaves}, {0: float(total or 0)}
+    while goal := {n: mass[n] * (s // 2) / s for n, s in span.items() if s > 1 and mass[n] > 0}:
+        cuts = _cuts(rows, goal, dims, TOLERANCE * total / n_leaves)
+        table = _table(rows.sparkSession, [(n, d, v, w, span[n] // 2) for n, (d, v, w) in cuts.items()], "node int, dim string, v bigint, w bigint, half int")
+        value = F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in dims))
+        over = (value > F.col("v")) | ((value == F.col("v")) & (F.col("w").isNull() | (F.col("id") >= F.col("w"))))
+        rows = keep(rows.join(table, "node", "left").withColumn("node", F.col("node") + F.when(over, F.col("half")).otherwise(0)).drop("dim", "v", "w", "half"), "kd-rows")
+        span = {k: v for n, s in span.items() for k, v in ({n: s // 2, n + s // 2: s - s // 2} if n in cuts else {n: 1}).items()}
         mass = dict.fromkeys(span, 0.0) | {r["node"]: float(r["m"]) for r in rows.groupBy("node").agg(F.sum("size").alias("m")).collect()}
     return rows.withColumnRenamed("node", "shard")
 

@@ -8,8 +8,9 @@ Spark. Rows are scored in batches: presences times landmarks, then kernel values
 
 An n-gram is known by a number of 24 bits, exact up to three bytes and hashed for four. Whole texts count. Learned are text
 and lang of rows whose crc32(doc_id) modulo 4 is not 2; lang, source and doc_id are no inputs of a prediction. Every
-training row takes part in the regression. Landmarks are at most LANDMARKS distinct texts, as many of each language, the first
-by hash; among the SPARE times as many texts of the smallest hashes, those of LANDMARK_BYTES are preferred. Languages are counted equally in the regression, whatever their shares.
+training row takes part in the regression. Landmarks are at most LANDMARKS distinct texts, as many of each language, the
+first by hash; among the SPARE times as many texts of the smallest hashes, those of LANDMARK_BYTES are preferred. Languages
+are counted equally in the regression, whatever their shares.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as is every text where no row can be learned
 from; a null doc_id is predicted, never learned from (held_out is null); repeated rows get equal results; of equal values

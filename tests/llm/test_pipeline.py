@@ -67,17 +67,18 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= set(names)
     assert set(queries.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op7_url_rules"])
-def test_oracle(spark, sf, name):
+@pytest.mark.parametrize(("name", "table"), [("op7_url_rules", "pages"), ("op12_prefix_trie", "conversations"), ("op13_role_repair", "conversations")])
+def test_oracle(spark, sf, name, table):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view pages as select * from '{sf}/pages.parquet'")
-    want = sorted(map(str, con.sql(f"select page_id, host, path, rule, verdict from ({queries.oracle_sql()[name]})").fetchall()))
-    got = sorted(str(tuple(r)) for r in queries.queries()[name](spark, sf).select("page_id", "host", "path", "rule", "verdict").collect())
-    assert got == want
+    con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    columns = ["page_id", "host", "path", "rule", "verdict"] if table == "pages" else df.columns
+    want = sorted(map(str, con.sql(f"select {', '.join(columns)} from ({queries.oracle_sql()[name]})").fetchall()))
+    assert sorted(str(tuple(r)) for r in df.select(*columns).collect()) == want

@@ -24,6 +24,8 @@ from tidemark.llm.simhash import _lower, one_row_each
 from tidemark.llm.store import keep
 
 SHINGLE, NEAR, BANDS, ROWS, TILE = 5, (4, 5), 32, 5, 100_000
+#: Bytes of text in a slice, and of tile pairs in an Arrow batch: what a task holds at a time.
+SLICE, BATCH_BYTES = 1_000_000, 8_000_000
 _salts = words.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -62,7 +64,7 @@ def sketch(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, off in words.slices(batches):
+    for rows, buf, off in words.slices(batches, limit=SLICE):
         found, at = sets_of(buf, off)
         name, keys = sketch(found, at)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
@@ -70,7 +72,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, buf, off in words.slices(batches):
+    for rows, buf, off in words.slices(batches, limit=SLICE):
         found, at = sets_of(buf, off)
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "hashes"])
 
@@ -149,7 +151,13 @@ def links(docs: DataFrame) -> DataFrame:
     tiled = a.join(b, "key").filter("tile_a <= tile_b")
     for x in "ab":
         tiled = tiled.join(tiles.select("key", F.col("tile").alias(f"tile_{x}"), F.col("rows").alias(f"rows_{x}")), ["key", f"tile_{x}"])
-    rest = tiled.select("rows_a", "rows_b").mapInArrow(_compare, "a bigint, b bigint")
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", docs.sparkSession
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        rest = keep(tiled.select("rows_a", "rows_b").mapInArrow(_compare, "a bigint, b bigint"), "tile-links")
+    finally:
+        spark.conf.set(key, usual)
     return stars.unionByName(equal).unionByName(rest)
 
 

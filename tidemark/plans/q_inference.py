@@ -152,7 +152,7 @@ def day_returns(v: Views) -> DataFrame:
     return days.select("strategy", F.datediff("d", F.lit("1992-01-01").cast("date")).cast("long").alias("key"), "r")
 
 
-@query("u2_bootstrap_draws", f"WITH {_DAYS}, {_draws('key', 40, 11)} SELECT strategy, replicate, CAST(sum(w) AS DOUBLE) AS w, sum(w * r) AS wr, sum(w * r * r) AS wrr FROM days JOIN d USING (key) GROUP BY 1, 2", "trades", "wr wrr", 7)
+@query("u2_bootstrap_draws", f"WITH {_DAYS}, {_draws('key', 40, 11)} SELECT strategy, replicate, CAST(sum(w) AS DOUBLE) AS w, sum(w * r) AS wr, sum(w * r * r) AS wrr FROM days JOIN d USING (key) GROUP BY 1, 2", "trades", "wr wrr", 11)
 def _(v: Views) -> DataFrame:
     """Forty replicates of every strategy's days, weight for weight."""
     return I.bootstrap_sums(day_returns(v), "key", replicates=40, seed=11, joint=True)

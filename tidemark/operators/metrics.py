@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.plans.prefix import drawdown_parts, merge_drawdowns, quantiles
+from tidemark.plans.prefix import depth, drawdown_parts, log_growth, merge_drawdowns, quantiles
 
 
 YEAR = 252
@@ -39,13 +39,19 @@ def max_drawdown(trades: DataFrame, by: list[str], r: str = "r", day: str = "d",
     return merge_drawdowns(drawdown_parts(trades, by, r, day, order or ["trade_id"]), by, day)
 
 
+#: Digits of a drawdown; those equal to that many are ties.
+DEPTH_DIGITS = 12
+
+
 def drawdown_span(daily: DataFrame, by: str, r: str = "r", day: str = "d") -> DataFrame:
-    """The deepest drawdown of a daily series with the day of its peak, of its trough and its length in rows."""
+    """The deepest drawdown of a daily series with the day of its peak, of its trough and its length in rows. Of equally deep
+    ones the first counts, of equal peaks before it the last; drawdowns are compared to DEPTH_DIGITS digits."""
     w = Window.partitionBy(by).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    walk = daily.withColumn("_g", F.product(1 + F.col(r)).over(w)).withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(day)))
-    walk = walk.withColumn("_p", F.max("_g").over(w)).withColumn("_dd", F.try_divide("_g", "_p") - 1)
+    walk = daily.withColumn("_l", F.sum(log_growth(F.col(r))).over(w)).withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(day)))
+    walk = walk.withColumn("_p", F.max("_l").over(w)).withColumn("_dd", F.round(depth(F.col("_l"), F.col("_p")), DEPTH_DIGITS))
     walk = walk.withColumn("_peak", F.max(F.when(F.col("_dd") == 0, F.struct("_i", F.col(day).alias("day")))).over(w))
-    worst = walk.groupBy(by).agg(F.min_by(F.struct(F.col("_dd").alias("mdd"), F.col("_peak.day").alias("peak_day"), F.col(day).alias("trough_day"), (F.col("_i") - F.col("_peak._i")).alias("length")), F.struct("_dd", "_i")).alias("x"))
+    key = F.struct(F.col("_dd").isNull().alias("none"), "_dd", "_i")
+    worst = walk.groupBy(by).agg(F.min_by(F.struct(F.col("_dd").alias("mdd"), F.col("_peak.day").alias("peak_day"), F.col(day).alias("trough_day"), (F.col("_i") - F.col("_peak._i")).alias("length")), key).alias("x"))
     return worst.select(by, "x.*")
 
 

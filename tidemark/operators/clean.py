@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalar import surprise_pct
+from tidemark.operators.features import written
 from tidemark.plans.prefix import quantile_values, with_running
 
 DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss"]
@@ -100,8 +101,9 @@ def last_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, columns: list[str], by: str = "symbol", order: list[str] | None = None) -> DataFrame:
-    """The last value before within a symbol, then the median over all rows (of the filled values)."""
-    filled = with_running(df, [by], order or ["report_date"], {c: ("last", F.col(c)) for c in columns})
+    """The last value before within a symbol, then the median over all rows (of the filled values). What is filled is written,
+    as the median reads it three times."""
+    filled = written(with_running(df, [by], order or ["report_date"], {c: ("last", F.col(c)) for c in columns}))
     return fill_median(filled, columns)
 
 

@@ -107,7 +107,7 @@ def _(v: Views) -> DataFrame:
 WITH f AS (SELECT record_id, last_value(surprise IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY report_date, record_id ROWS UNBOUNDED PRECEDING) AS surprise FROM records)
 SELECT record_id, coalesce(surprise, (SELECT median(surprise) FROM f)) AS surprise FROM f""", "records", "surprise")
 def _(v: Views) -> DataFrame:
-    return clean.forward_fill(v.records, ["surprise"], order=["report_date", "record_id"]).select("record_id", "surprise")
+    return clean.forward_fill(v.series("surprise"), ["surprise"], order=["report_date", "record_id"]).select("record_id", "surprise")
 
 
 @query("p16_fills", "SELECT record_id, coalesce(market_cap, (SELECT median(market_cap) FROM records)) AS market_cap, coalesce(data_source, 'Other') AS data_source FROM records", "records", "market_cap")

@@ -40,7 +40,7 @@ def _(v: Views) -> DataFrame:
 @query("e5_vol_regime", f"""WITH x AS (SELECT record_id, symbol, report_date, pct_1hr AS vol FROM records), w AS (SELECT record_id, vol, count(vol) OVER w AS n, quantile_cont(vol, 0.75) OVER w AS q FROM x WINDOW w AS (PARTITION BY symbol ORDER BY report_date, record_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
 SELECT record_id, {_flag('n = 8 AND vol > q')} AS high_vol_regime FROM w""", "records")
 def _(v: Views) -> DataFrame:
-    return E.vol_regime(v.records.withColumn("intraday_vol", F.col("pct_1hr")), 8).select("record_id", "high_vol_regime")
+    return E.vol_regime(v.series("pct_1hr").withColumnRenamed("pct_1hr", "intraday_vol"), 8).select("record_id", "high_vol_regime")
 
 
 @query("e6_surprise", f"""WITH q AS (SELECT quantile_cont(surprise, 0.2) AS a, quantile_cont(surprise, 0.8) AS b FROM records)
@@ -89,7 +89,7 @@ def _(v: Views) -> DataFrame:
 @query("e14_lags", """SELECT record_id, lag(surprise) OVER w AS surprise_lag1, avg(surprise) OVER (PARTITION BY symbol ORDER BY report_date, record_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS surprise_rolling_mean, stddev_samp(surprise) OVER (PARTITION BY symbol ORDER BY report_date, record_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS surprise_rolling_std
 FROM records WINDOW w AS (PARTITION BY symbol ORDER BY report_date, record_id)""", "records", "surprise_lag1 surprise_rolling_mean surprise_rolling_std", 6)
 def _(v: Views) -> DataFrame:
-    return E.lags(v.records, ["surprise"]).select("record_id", "surprise_lag1", "surprise_rolling_mean", "surprise_rolling_std")
+    return E.lags(v.series("surprise"), ["surprise"]).select("record_id", "surprise_lag1", "surprise_rolling_mean", "surprise_rolling_std")
 
 
 @query("e15_price_returns", """SELECT record_id, (close_price - open_price) / open_price AS return_open_close, (high_price - open_price) / open_price AS return_open_high, (low_price - open_price) / open_price AS return_open_low, (high_price - low_price) / open_price AS daily_range, (open_price - reference_prev_close) / reference_prev_close AS gap_pct, opening_minute_volume / volume_30_day_avg AS volume_ratio FROM records""", "records", "return_open_close return_open_high return_open_low daily_range gap_pct volume_ratio", 5)
@@ -101,14 +101,14 @@ def _(v: Views) -> DataFrame:
 SELECT record_id, CASE WHEN count(p) OVER a >= 2 THEN avg(p) OVER a END AS sma_5, CASE WHEN count(p) OVER b >= 5 THEN avg(p) OVER b END AS sma_10, p / CASE WHEN count(p) OVER a >= 2 THEN avg(p) OVER a END - 1 AS price_vs_sma_5 FROM x
 WINDOW a AS (PARTITION BY symbol ORDER BY report_date, record_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), b AS (PARTITION BY symbol ORDER BY report_date, record_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""", "records", "sma_5 sma_10 price_vs_sma_5", 5)
 def _(v: Views) -> DataFrame:
-    return E.moving_averages(v.records, frames=(5, 10)).select("record_id", "sma_5", "sma_10", "price_vs_sma_5")
+    return E.moving_averages(v.series("close_price"), frames=(5, 10)).select("record_id", "sma_5", "sma_10", "price_vs_sma_5")
 
 
 @query("e20_rsi", """WITH x AS (SELECT record_id, symbol, report_date, coalesce(close_price, 0) - lag(coalesce(close_price, 0)) OVER (PARTITION BY symbol ORDER BY report_date, record_id) AS d FROM records),
 g AS (SELECT record_id, count(d) OVER w AS n, avg(CASE WHEN d IS NOT NULL THEN greatest(d, 0) END) OVER w AS up, avg(CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END) OVER w AS dn FROM x WINDOW w AS (PARTITION BY symbol ORDER BY report_date, record_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
 SELECT record_id, CASE WHEN n = 5 THEN CASE WHEN dn = 0 THEN 100e0 ELSE 100 - 100 / (1 + up / dn) END END AS rsi_5 FROM g""", "records", "rsi_5", 4)
 def _(v: Views) -> DataFrame:
-    return E.rsi(v.records.withColumn("close_price", F.coalesce("close_price", F.lit(0.0))), n=5).select("record_id", "rsi_5")
+    return E.rsi(v.series("close_price").withColumn("close_price", F.coalesce("close_price", F.lit(0.0))), n=5).select("record_id", "rsi_5")
 
 
 @query("e21_label_codes", "SELECT record_id, CAST(dense_rank() OVER (ORDER BY sector) - 1 AS INT) AS sector_code FROM records", "records")

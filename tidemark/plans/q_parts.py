@@ -254,22 +254,22 @@ _BY = "PARTITION BY symbol ORDER BY report_date, record_id"
 
 @query("w1_lag", f"SELECT record_id, lag(pct_1hr) OVER ({_BY}) AS pct_1hr_lag1 FROM records", "records", "pct_1hr_lag1", 4)
 def _(v: Views) -> DataFrame:
-    return E.lags(v.records, ["pct_1hr"]).select("record_id", "pct_1hr_lag1")
+    return E.lags(v.series("pct_1hr"), ["pct_1hr"]).select("record_id", "pct_1hr_lag1")
 
 
 @query("w2_rolling_two", f"SELECT record_id, avg(pct_1hr) OVER w AS pct_1hr_rolling_mean, stddev_samp(pct_1hr) OVER w AS pct_1hr_rolling_std FROM records WINDOW w AS ({_BY} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)", "records", "pct_1hr_rolling_mean pct_1hr_rolling_std", 5)
 def _(v: Views) -> DataFrame:
-    return E.lags(v.records, ["pct_1hr"]).select("record_id", "pct_1hr_rolling_mean", "pct_1hr_rolling_std")
+    return E.lags(v.series("pct_1hr"), ["pct_1hr"]).select("record_id", "pct_1hr_rolling_mean", "pct_1hr_rolling_std")
 
 
 @query("w3_rolling_quantile", f"WITH w AS (SELECT record_id, surprise AS x, count(surprise) OVER w AS n, quantile_cont(surprise, 0.75) OVER w AS q FROM records WINDOW w AS ({_BY} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT record_id, {_flag('n = 5 AND x > q')} AS high_vol_regime FROM w", "records")
 def _(v: Views) -> DataFrame:
-    return E.vol_regime(v.records.withColumn("intraday_vol", F.col("surprise")), 5).select("record_id", "high_vol_regime")
+    return E.vol_regime(v.series("surprise").withColumnRenamed("surprise", "intraday_vol"), 5).select("record_id", "high_vol_regime")
 
 
 @query("w5_differences", f"WITH x AS (SELECT record_id, market_cap AS p, lag(market_cap) OVER ({_BY}) AS q FROM records) SELECT record_id, p - q AS diff, (p - q) / nullif(q, 0) * 100 AS pct FROM x", "records", "diff pct", 5)
 def _(v: Views) -> DataFrame:
-    return N.differences(v.records, "market_cap", "symbol", ("report_date", "record_id")).select("record_id", "diff", "pct")
+    return N.differences(v.series("market_cap"), "market_cap", "symbol", ("report_date", "record_id")).select("record_id", "diff", "pct")
 
 
 @query("w7_cumulative_sum", _T + " SELECT strategy, d, sum(r) OVER (PARTITION BY strategy ORDER BY d) AS total FROM t", "trades", "total", 7)
@@ -284,7 +284,7 @@ def _(v: Views) -> DataFrame:
 
 @query("w9_forward_fill", f"WITH f AS (SELECT record_id, last_value(pct_1hr IGNORE NULLS) OVER ({_BY} ROWS UNBOUNDED PRECEDING) AS x FROM records) SELECT record_id, coalesce(x, (SELECT median(x) FROM f)) AS pct_1hr FROM f", "records", "pct_1hr", 5)
 def _(v: Views) -> DataFrame:
-    return clean.forward_fill(v.records, ["pct_1hr"], order=["report_date", "record_id"]).select("record_id", "pct_1hr")
+    return clean.forward_fill(v.series("pct_1hr"), ["pct_1hr"], order=["report_date", "record_id"]).select("record_id", "pct_1hr")
 
 
 @query("w10_group_statistics", "SELECT record_id, avg(surprise) OVER w AS mean, stddev_samp(surprise) OVER w AS std FROM records WINDOW w AS (PARTITION BY industry)", "records", "mean std", 5)

@@ -151,20 +151,21 @@ def difference_ci(df: DataFrame, conditions: dict[str, Column], target: str, key
     return diff.groupBy("condition").agg(F.percentile("diff", tails).alias("q")).select("condition", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # replicates values a condition
 
 
-def reality_tops(trades: DataFrame, by: str = "strategy", r: str = "r", key: str = "trade_id", replicates: int = 1000, seed: int = 11) -> DataFrame:
-    """replicate, t: the best t over strategies of centred returns in each replicate."""
+def reality_tops(trades: DataFrame, by: str = "strategy", r: str = "r", key: str = "trade_id", replicates: int = 1000, seed: int = 11, joint: bool = True) -> DataFrame:
+    """replicate, t: the best t over strategies of centred returns in each replicate. joint: a key of several strategies weighs
+    alike in all; where every row is of one strategy alone, joint=False draws equal returns together (see bootstrap_sums)."""
     m = trades.groupBy(by).agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"), F.count(r).cast("double").alias("n"))
-    sums = bootstrap_sums(trades, key, by, r, replicates, seed, joint=True).join(m, by)
+    sums = bootstrap_sums(trades, key, by, r, replicates, seed, joint).join(m, by)
     t = F.try_divide((F.try_divide("wr", "w") - F.col("mean")) * F.sqrt("n"), F.col("sd"))
     return sums.groupBy("replicate").agg(F.max(t).alias("t"))
 
 
-def reality_check(trades: DataFrame, by: str = "strategy", r: str = "r", key: str = "trade_id", replicates: int = 1000, seed: int = 11) -> DataFrame:
+def reality_check(trades: DataFrame, by: str = "strategy", r: str = "r", key: str = "trade_id", replicates: int = 1000, seed: int = 11, joint: bool = True) -> DataFrame:
     """White's test: statistic (the best t over strategies), p (share of replicates whose best t over centred returns
-    reaches it) and the number of strategies. The standard deviation is the population one."""
+    reaches it) and the number of strategies. The standard deviation is the population one. joint as in reality_tops."""
     m = trades.groupBy(by).agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"), F.count(r).cast("double").alias("n"))
     statistic, k = m.agg(F.max(F.try_divide(F.col("mean") * F.sqrt("n"), F.col("sd"))), F.count("*")).first()
-    top = reality_tops(trades, by, r, key, replicates, seed)
+    top = reality_tops(trades, by, r, key, replicates, seed, joint)
     return top.agg(F.lit(statistic).alias("statistic"), F.avg((F.col("t") >= F.lit(statistic)).cast("double")).alias("p"), F.lit(k).alias("n_strategies"), F.count("*").alias("n_replicates"))
 
 

@@ -373,9 +373,9 @@ def _(v: Views) -> DataFrame:
 @query("l1_classifiers")
 def _(v: Views) -> DataFrame:
     """Mean area under the curve of the four classifiers over the walk-forward folds (MLlib fits, no SQL)."""
-    from tidemark.plans.q_models import fitted
+    from tidemark.plans.q_models import fold_metrics
 
-    return fitted(v)[1].groupBy("model").agg(F.count("*").alias("n_folds"), F.avg("auc").alias("auc"))
+    return fold_metrics(v).groupBy("model").agg(F.count("*").alias("n_folds"), F.avg("auc").alias("auc"))
 
 
 @query("l5_standard_scaling", "SELECT trade_id, (qty - avg(qty) OVER ()) / stddev_samp(qty) OVER () AS qty, (price - avg(price) OVER ()) / stddev_samp(price) OVER () AS price FROM trades", "trades", "qty price", 5)

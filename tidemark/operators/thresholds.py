@@ -1,20 +1,26 @@
 """Best thresholds by walk-forward, as histograms of moments.
 
 For each feature and fold every row falls into one cell of the threshold grid; cells hold partial moments (one shuffle
-for all features and folds), a running sum over the cells gives the rows at or below each threshold, the total minus it
-those above, and the best Sharpe ratio is picked by max_by. Ties go to the smaller threshold, '>' before '<='.
+for all features and folds), running sums over the cells give the rows at or below each threshold and those above it, and
+the best Sharpe ratio, to twelve digits, is picked by max_by. Ties go to the smaller threshold, '>' before '<='.
+
+Folds that overlap are not laid out row by row: rows are counted and summed by the span of days between bounds of folds, and
+what a fold has is added up from its spans.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.operators.features import written
-from tidemark.plans.prefix import asked_ranks, quantiles, read_ranks, with_bins
+from tidemark.operators.folds import spans
+from tidemark.plans.prefix import asked_ranks, quantiles, read_ranks, spreads, values_at, with_bins
 
 GRID, FEW = 50, 20
 YEAR = 252**0.5
@@ -33,10 +39,24 @@ def grids(long: DataFrame, by: list[str]) -> DataFrame:
     fewer bins are looked into, for FEW + 1 values at most a task and bin."""
     rows = with_bins(long, "x", by, "_bin")
     counts = written(rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n"), F.min("x").alias("_least"), F.max("x").alias("_most")))
-    g = counts.groupBy(*by).agg(F.sum("_n").alias("_n"), F.count("*").alias("_bins"), F.bool_and(F.col("_least") == F.col("_most")).alias("_plain"), F.collect_set(F.when(F.col("_least") == F.col("_most"), F.col("_least"))).alias("_ends"))  # BINS values at most
     q = read_ranks(rows.withColumnRenamed("x", "_x"), asked_ranks(counts.select(*by, "_bin", "_n"), [0.05, 0.95], by), by, "_q")
-    unclear = g.filter((F.col("_bins") <= FEW) & ~F.col("_plain")).select(*by)
-    seen = saturating_sets(long.join(F.broadcast(unclear), by, "left_semi"), by, "x", FEW)  # a row a group
+    g = bins_in_use(counts, by)
+    seen = saturating_sets(long.join(F.broadcast(g.filter(UNCLEAR).select(*by)), by, "left_semi"), by, "x", FEW)  # a row a group
+    return grid_points(g, q, seen, by)
+
+
+#: Groups of bins_in_use whose values may be few, but are not told by the ends of their bins.
+UNCLEAR = f"_bins <= {FEW} AND NOT _plain"
+
+
+def bins_in_use(counts: DataFrame, by: list[str]) -> DataFrame:
+    """by, _n, _bins, whether each bin has one value (_plain), and these (_ends), from counts(by, _bin, _n, _least, _most)."""
+    one = F.col("_least") == F.col("_most")
+    return counts.groupBy(*by).agg(F.sum("_n").alias("_n"), F.count("*").alias("_bins"), F.bool_and(one).alias("_plain"), F.collect_set(F.when(one, F.col("_least"))).alias("_ends"))  # BINS values at most
+
+
+def grid_points(g: DataFrame, q: DataFrame, seen: DataFrame, by: list[str]) -> DataFrame:
+    """by, grid from bins_in_use, the two percentiles (_q) and the distinct values of groups that were looked into (_values)."""
     low, high = F.col("_q")[0], F.col("_q")[1]
     points = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: low + i * (high - low) / (GRID - 1))
     plain = F.when(F.col("_plain") & (F.col("_bins") <= FEW), F.array_sort("_ends"))
@@ -75,25 +95,43 @@ def percentile_grids(long: DataFrame, by: list[str], step: int = 5) -> DataFrame
 def threshold_table(long: DataFrame, grid: DataFrame, by: list[str], r: str = "r", min_n: int = 15) -> DataFrame:
     """by, threshold, direction, n, mean, std, sharpe, win_rate for every grid point and direction with min_n rows."""
     centre = long.agg(F.avg(r)).first()[0] or 0.0  # keeps the sums of squares small
-    cell = F.size(F.filter("grid", lambda t: t < F.col("x")))
     y = F.col(r) - centre
-    cells = long.join(F.broadcast(grid), by).withColumn("g", cell).groupBy(*by, "g").agg(F.count(r).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count_if(F.col(r) > 0).alias("w"))  # grid: one row a feature and fold
+    sums = (F.count(r).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count_if(F.col(r) > 0).alias("w"), F.min(r).alias("lo"), F.max(r).alias("hi"))
+    return table_of_cells(long.join(F.broadcast(grid), by).groupBy(*by, _cell().alias("g")).agg(*sums), grid, by, centre, min_n)  # grid: one row a feature and fold
+
+
+def _cell() -> Column:
+    """The number of points of the grid below x."""
+    return F.size(F.filter("grid", lambda t: t < F.col("x")))
+
+
+def table_of_cells(cells: DataFrame, grid: DataFrame, by: list[str], centre: float, min_n: int = 15) -> DataFrame:
+    """threshold_table from cells(by, g, n, s, q, w, lo, hi): a cell's rows, their sums and sums of squares about centre, gains
+    and extremes."""
     full = grid.select(*by, "grid", F.explode(F.sequence(F.lit(0), F.size("grid"))).alias("g")).join(cells, [*by, "g"], "left").fillna(0, subset=["n", "s", "q", "w"])
-    run, whole = Window.partitionBy(*by).orderBy("g").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    sums = {c: (F.sum(c).over(run), F.sum(c).over(whole)) for c in ("n", "s", "q", "w")}
-    both = full.withColumns({f"{c}_le": a for c, (a, _) in sums.items()} | {f"{c}_gt": b - a for c, (a, b) in sums.items()}).filter(F.col("g") < F.size("grid"))
-    sides = F.array(*(F.struct(F.lit(d).alias("direction"), *(F.col(f"{c}_{k}").alias(c) for c in "nsqw")) for d, k in ((">", "gt"), ("<=", "le"))))
-    out = both.select(*by, F.element_at("grid", F.col("g") + 1).alias("threshold"), F.inline(sides)).filter(F.col("n") >= min_n)
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest((F.col("q") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
-    out = out.withColumns({"mean": mean + centre, "std": std, "win_rate": F.col("w") / F.col("n")})
-    return out.withColumn("sharpe", F.try_divide("mean", F.when(F.col("std") > 1e-12, F.col("std"))) * YEAR).drop("s", "q", "w")
+    order = Window.partitionBy(*by).orderBy("g")
+    sides = {"gt": order.rowsBetween(1, Window.unboundedFollowing), "le": order.rowsBetween(Window.unboundedPreceding, 0)}
+    both = full.withColumns({f"{c}_{k}": f(c).over(w) for k, w in sides.items() for c, f in SUMS.items()}).filter(F.col("g") < F.size("grid"))
+    two = F.array(*(F.struct(F.lit(d).alias("direction"), *(F.col(f"{c}_{k}").alias(c) for c in SUMS)) for d, k in ((">", "gt"), ("<=", "le"))))
+    out = both.select(*by, F.element_at("grid", F.col("g") + 1).alias("threshold"), F.inline(two)).filter(F.col("n") >= min_n)
+    return with_metrics(out, centre).withColumn("sharpe", F.try_divide("mean", F.when(F.col("std") > 1e-12, F.col("std"))) * YEAR)
+
+
+#: How the sums of cells are merged.
+SUMS = {"n": F.sum, "s": F.sum, "q": F.sum, "w": F.sum, "lo": F.min, "hi": F.max}
+
+
+def with_metrics(df: DataFrame, centre: float) -> DataFrame:
+    """df with mean, std and win_rate instead of sums; equal values deviate by nothing, whatever the noise of their sums."""
+    m = F.col("s") / F.col("n")
+    std = F.when(F.col("n") > 1, F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.sqrt(F.greatest((F.col("q") - F.col("n") * m * m) / (F.col("n") - 1), F.lit(0.0)))))
+    return df.withColumns({"mean": m + centre, "std": std, "win_rate": F.col("w") / F.col("n")}).drop("s", "q", "w", "lo", "hi")
 
 
 def best(table: DataFrame, by: list[str]) -> DataFrame:
     """The row of the greatest Sharpe ratio by group."""
     rest = [c for c in table.columns if c not in by]
-    key = F.struct("sharpe", -F.col("threshold"), F.when(F.col("direction") == ">", 1).otherwise(0))
+    key = F.struct(F.round(F.col("sharpe") / YEAR, 12), -F.col("threshold"), F.when(F.col("direction") == ">", 1).otherwise(0))
     return table.filter(F.col("sharpe").isNotNull()).groupBy(*by).agg(F.max_by(F.struct(*rest), key).alias("b")).select(*by, "b.*")
 
 
@@ -101,20 +139,103 @@ def passes(x: Column, threshold: Column, direction: Column) -> Column:
     return F.when(direction == ">", x > threshold).otherwise(x <= threshold)
 
 
-def apply_best(long_test: DataFrame, bests: DataFrame, by: list[str], r: str = "r", min_n: int = 5) -> DataFrame:
-    """by and n, mean, std, sharpe, win_rate of the test rows that pass the training threshold."""
-    hit = long_test.join(F.broadcast(bests.select(*by, "threshold", "direction")), by).filter(passes(F.col("x"), F.col("threshold"), F.col("direction")))  # one row a feature and fold
-    m = hit.groupBy(*by).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.avg((F.col(r) > 0).cast("int")).alias("win_rate"))
+def apply_best(cells: DataFrame, bests: DataFrame, by: list[str], centre: float, min_n: int = 5) -> DataFrame:
+    """by and n, mean, std, sharpe, win_rate of the test rows that pass the training threshold, from cells_of's cells."""
+    hit = cells.join(F.broadcast(bests.select(*by, "threshold", "direction")), by).filter(passes(F.col("x"), F.col("threshold"), F.col("direction")))  # one row a feature and fold
+    m = with_metrics(hit.groupBy(*by).agg(*(f(c).alias(c) for c, f in SUMS.items())), centre)
     return m.filter(F.col("n") >= min_n).withColumn("sharpe", F.coalesce(F.try_divide("mean", F.when(F.col("std") > 1e-12, F.col("std"))) * YEAR, F.lit(0.0)))
 
 
-def walk_forward(rows: DataFrame, features: list[str], r: str = "r", day: str = "d", folds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(best training thresholds, test metrics) by feature and fold. rows carry fold and role (see folds.assign)."""
-    long = long_features(rows, features, ["fold", "role", r])
+def cells_of(rows: DataFrame, edges: dict[str, list[float]], r: str, centre: float, n_spans: int) -> DataFrame:
+    """feature, _span, x and the sums (n, s, q, w, lo, hi) of rows(_span, r, features), where x is the least edge of the feature at
+    or above a row's value, or not-a-number above all: to the right and left of an edge lie the same rows as before. A task
+    sends one row a cell."""
+    kinds = "feature string, _span int, x double, n long, s double, q double, w long, lo double, hi double"
+    sorted_edges = {f: np.array(sorted(e)) for f, e in edges.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = {f: n_spans * (len(e) + 1) for f, e in sorted_edges.items()}
+        held = {f: [np.zeros(k, np.int64), np.zeros(k), np.zeros(k), np.zeros(k, np.int64), np.full(k, np.inf), np.full(k, -np.inf)] for f, k in size.items()}
+        for b in batches:
+            column = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            span, value = column("_span").to_numpy(zero_copy_only=False), column(r).to_numpy(zero_copy_only=False)
+            known = column(r).is_valid().to_numpy(zero_copy_only=False)
+            for f, e in sorted_edges.items():
+                some = known & column(f).is_valid().to_numpy(zero_copy_only=False)
+                at = span[some].astype(np.int64) * (len(e) + 1) + np.searchsorted(e, column(f).to_numpy(zero_copy_only=False)[some])
+                v, have = value[some], held[f]
+                y, k = v - centre, size[f]
+                have[0] += np.bincount(at, minlength=k)
+                have[1] += np.bincount(at, y, k)
+                have[2] += np.bincount(at, y * y, k)
+                have[3] += np.bincount(at[~(v <= 0)], minlength=k)
+                np.fmin.at(have[4], at, v)
+                np.fmax.at(have[5], at, v)
+        for f, e in sorted_edges.items():
+            (used,) = np.nonzero(held[f][0])
+            span, cell = np.divmod(used, len(e) + 1)
+            arrays = [pa.array([f] * len(used), pa.string()), pa.array(span, pa.int32()), pa.array(np.append(e, np.nan)[cell]), *(pa.array(x[used]) for x in held[f])]
+            yield pa.RecordBatch.from_arrays(arrays, ["feature", "_span", "x", *SUMS])
+
+    parts = rows.select("_span", F.col(r).cast("double").alias(r), *(F.col(f).cast("double").alias(f) for f in edges)).mapInArrow(run, kinds)
+    return parts.groupBy("feature", "_span", "x").agg(*(f(c).alias(c) for c, f in SUMS.items()))
+
+
+def span_grids(rows: DataFrame, features: list[str], train: DataFrame, r: str) -> tuple[DataFrame, float]:
+    """(feature, fold, grid as in grids; the mean of r) of the training rows among rows(_span, r, features). train(_span, fold) tells
+    which spans a fold is trained on."""
+    by, place = ["feature", "fold"], ["feature", "_span", "_bin"]
+    at = {f: s.bin(F.col(f)) for f, s in spreads(rows, features).items()}
+    long = rows.select("_span", r, F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), at[f].alias("_bin"), F.col(f).alias("x")) for f in features)))).filter(F.col("x").isNotNull())
+    counts = written(long.groupBy(*place).agg(F.count("*").alias("_n"), F.min("x").alias("_least"), F.max("x").alias("_most"), F.count(r).alias("_k"), F.sum(r).alias("_r")))
+    mean = counts.agg(F.sum("_r") / F.sum("_k")).first()[0]
+    folded = counts.join(F.broadcast(train), "_span").groupBy(*by, "_bin").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))  # a row a span and fold
+    g, asked = bins_in_use(folded, by), written(asked_ranks(folded.select(*by, "_bin", "_n"), [0.05, 0.95], by))
+    bins: dict[str, list[int]] = {f: [] for f in features}
+    for x in asked.select("feature", "_bin").distinct().collect():  # four bins a fold at most
+        bins[x["feature"]].append(x["_bin"])
+    some = [F.when(at[f].isin(bins[f]), F.struct(F.lit(f).alias("feature"), at[f].alias("_bin"), F.col(f).alias("_x"))) for f in features if bins[f]]
+    if not some:
+        return g.select(*by, F.lit(None).cast("array<double>").alias("grid")).limit(0), 0.0
+    values = rows.select("_span", F.inline(F.filter(F.array(*some), lambda c: c.isNotNull()))).groupBy(*place, "_x").agg(F.count("*").alias("_c"))
+    inside = values.join(F.broadcast(train), "_span").groupBy(*by, "_bin", "_x").agg(F.sum("_c").alias("_c"))
+    unclear = sorted({x["feature"] for x in g.filter(UNCLEAR).select("feature").distinct().collect()})  # a row a feature
+    sets = saturating_sets(long.filter(F.col("feature").isin(unclear)).select("feature", "_span", "x"), ["feature", "_span"], "x", FEW) if unclear else None
+    if sets is None:
+        seen = g.select(*by, F.lit(None).cast("array<double>").alias("_values")).limit(0)
+    else:
+        merged = sets.join(F.broadcast(train), "_span").groupBy(*by).agg(F.bool_and(F.col("_values").isNotNull()).alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_values")))).alias("_set"))  # FEW values a span
+        seen = merged.select(*by, F.when(F.col("_all") & (F.size("_set") <= FEW), F.col("_set")).alias("_values"))
+    return grid_points(g, values_at(inside, asked, by, "_q"), seen, by), mean if mean is not None and math.isfinite(mean) else 0.0
+
+
+def span_tables(rows: DataFrame, features: list[str], members: list[tuple[int, int, str]], r: str = "r", grid: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """(threshold_table of the training rows by feature and fold, test cells by feature and fold, centre) of rows(_span, r, features)
+    and the (span, fold, role) that belong together: a few passes over rows, whatever the number of folds. The grid is that of
+    grids if none is given."""
+    spark, by = rows.sparkSession, ["feature", "fold"]
+    roles = spark.createDataFrame(members, "_span int, fold int, role string")
+    used = rows.filter(F.col("_span").isin(sorted({m[0] for m in members}))).select("_span", r, *(F.col(f).cast("double").alias(f) for f in features))
+    if grid is None:
+        grid, centre = span_grids(used, features, roles.filter("role = 'train'").select("_span", "fold"), r)
+    else:
+        centre = used.agg(F.avg(r)).first()[0] or 0.0
+    grid = written(grid)
+    edges: dict[str, set[float]] = {f: set() for f in features}
+    for g in grid.collect():  # a row a feature and fold
+        edges[g["feature"]].update(g["grid"])
+    cells = written(cells_of(used, {f: sorted(e) for f, e in edges.items() if e}, r, centre, max((m[0] for m in members), default=0) + 1).join(F.broadcast(roles), "_span"))  # a row a span and fold
+    train = cells.filter("role = 'train'").join(F.broadcast(grid), by).groupBy(*by, _cell().alias("g")).agg(*(f(c).alias(c) for c, f in SUMS.items()))  # one row a feature and fold
+    return table_of_cells(train, grid, by, centre), cells.filter("role = 'test'").drop("_span", "role"), centre
+
+
+def walk_forward(df: DataFrame, features: list[str], folds: DataFrame, r: str = "r", day: str = "d") -> tuple[DataFrame, DataFrame]:
+    """(best training thresholds, test metrics) by feature and fold, see folds for the bounds."""
     by = ["feature", "fold"]
-    train, test = (long.filter(F.col("role") == x) for x in ("train", "test"))
-    bests = best(threshold_table(train, grids(train, by), by, r), by)
-    return bests, apply_best(test, bests, by, r)
+    span, members = spans(folds, day)
+    table, tests, centre = span_tables(df.withColumn("_span", span), features, members, r)
+    bests = best(table, by)
+    return bests, apply_best(tests, bests, by, centre)
 
 
 def evaluate(bests: DataFrame, tests: DataFrame, by: str = "feature", max_degradation: float = 0.5, min_n: int = 20, min_sharpe: float = 0.8, min_win: float = 0.48, max_p: float = 0.05, min_d: float = 0.2) -> DataFrame:

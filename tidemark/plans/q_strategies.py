@@ -152,27 +152,29 @@ k AS (SELECT *, mean / std * {YEAR} AS sharpe, row_number() OVER (PARTITION BY f
 SELECT feature, CAST(fold AS INT) AS fold, th AS threshold, direction, n, mean, std, win_rate, sharpe FROM k WHERE k = 1"""
 
 
+#: Both folds are trained on.
+_HALVES = [(0, 0, "train"), (1, 1, "train")]
+
+
 def folded(v: Views) -> DataFrame:
     return v.trades.withColumn("fold", F.when(F.col("d") < "1999-01-01", 0).otherwise(1))
 
 
 @query("c2_best_threshold", _thresholds("q AS (SELECT feature, fold, quantile_cont(x, 0.05) AS a, quantile_cont(x, 0.95) AS b FROM long GROUP BY 1, 2), g AS (SELECT feature, fold, a + i * (b - a) / 49 AS th FROM q, range(0, 50) z(i))"), "trades", "threshold mean std win_rate sharpe", 5)
 def _(v: Views) -> DataFrame:
-    long = H.long_features(folded(v), ["qty", "price"], ["fold", "r"])
-    by = ["feature", "fold"]
-    return H.best(H.threshold_table(long, H.grids(long, by), by), by).select("feature", "fold", "threshold", "direction", "n", "mean", "std", "win_rate", "sharpe")
+    table, _, _ = H.span_tables(folded(v).withColumn("_span", F.col("fold")), ["qty", "price"], _HALVES)
+    return H.best(table, ["feature", "fold"]).select("feature", "fold", "threshold", "direction", "n", "mean", "std", "win_rate", "sharpe")
 
 
 @query("c18_percentile_thresholds", _thresholds("g AS (SELECT DISTINCT feature, fold, unnest(quantile_cont(x, [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])) AS th FROM long GROUP BY feature, fold)"), "trades", "threshold mean std win_rate sharpe", 5)
 def _(v: Views) -> DataFrame:
     long = H.long_features(folded(v), ["qty", "price"], ["fold", "r"])
-    by = ["feature", "fold"]
-    return H.best(H.threshold_table(long, H.percentile_grids(long, by), by), by).select("feature", "fold", "threshold", "direction", "n", "mean", "std", "win_rate", "sharpe")
+    table, _, _ = H.span_tables(folded(v).withColumn("_span", F.col("fold")), ["qty", "price"], _HALVES, grid=H.percentile_grids(long, ["feature", "fold"]))
+    return H.best(table, ["feature", "fold"]).select("feature", "fold", "threshold", "direction", "n", "mean", "std", "win_rate", "sharpe")
 
 
 def walked(v: Views) -> tuple[DataFrame, DataFrame]:
-    rows = D.assign(v.trades, D.expanding(v.trades))
-    return H.walk_forward(rows, ["qty", "price", "tax"])
+    return H.walk_forward(v.trades, ["qty", "price", "tax"], D.expanding(v.trades))
 
 
 EVALUATED = "mean win_rate degradation std sharpe d p"

@@ -4,23 +4,24 @@ For each feature and fold every row falls into one cell of the threshold grid; c
 for all features and folds), running sums over the cells give the rows at or below each threshold and those above it, and
 the best Sharpe ratio, to twelve digits, is picked by max_by. Ties go to the smaller threshold, '>' before '<='.
 
-Folds that overlap are not laid out row by row: rows are counted and summed by the span of days between bounds of folds, and
-what a fold has is added up from its spans.
+Folds that overlap are not laid out row by row: rows are counted and summed by the span of days between bounds of folds and by
+bins of a feature's range, and what a fold has is added up from these. Rows are read again only in the few bins that hold a
+percentile or a point of a grid between their values.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.operators.features import written
 from tidemark.operators.folds import spans
-from tidemark.plans.prefix import asked_ranks, quantiles, read_ranks, spreads, values_at, with_bins
+from tidemark.plans.prefix import BLOCK_ROWS, Spread, asked_ranks, moment_spreads, quantiles, read_ranks, spreads, values_at, with_bins
 
 GRID, FEW = 50, 20
 YEAR = 252**0.5
@@ -147,84 +148,124 @@ def apply_best(cells: DataFrame, bests: DataFrame, by: list[str], centre: float,
 
 
 def cells_of(rows: DataFrame, edges: dict[str, list[float]], r: str, centre: float, n_spans: int) -> DataFrame:
-    """feature, _span, x and the sums (n, s, q, w, lo, hi) of rows(_span, r, features), where x is the least edge of the feature at
-    or above a row's value, or not-a-number above all: to the right and left of an edge lie the same rows as before. A task
-    sends one row a cell."""
-    kinds = "feature string, _span int, x double, n long, s double, q double, w long, lo double, hi double"
-    sorted_edges = {f: np.array(sorted(e)) for f, e in edges.items()}
+    """feature, _span, x and the sums (n, s, q, w, lo, hi) of rows(_span, r, features) in spans below n_spans, where x is the least
+    edge of the feature at or above a row's value, or not-a-number above all: to the right and left of an edge lie the same
+    rows as before."""
+    rows = rows.filter(F.col("_span") < n_spans)
+    at, _ = moment_spreads(rows, list(edges), r)
+    return cells_of_bins(rows, span_bins(rows, list(edges), r, centre, at), edges, r, centre, at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = {f: n_spans * (len(e) + 1) for f, e in sorted_edges.items()}
-        held = {f: [np.zeros(k, np.int64), np.zeros(k), np.zeros(k), np.zeros(k, np.int64), np.full(k, np.inf), np.full(k, -np.inf)] for f, k in size.items()}
-        for b in batches:
-            column = lambda c, b=b: b.column(b.schema.get_field_index(c))
-            span, value = column("_span").to_numpy(zero_copy_only=False), column(r).to_numpy(zero_copy_only=False)
-            known = column(r).is_valid().to_numpy(zero_copy_only=False)
-            for f, e in sorted_edges.items():
-                some = known & column(f).is_valid().to_numpy(zero_copy_only=False)
-                at = span[some].astype(np.int64) * (len(e) + 1) + np.searchsorted(e, column(f).to_numpy(zero_copy_only=False)[some])
-                v, have = value[some], held[f]
-                y, k = v - centre, size[f]
-                have[0] += np.bincount(at, minlength=k)
-                have[1] += np.bincount(at, y, k)
-                have[2] += np.bincount(at, y * y, k)
-                have[3] += np.bincount(at[~(v <= 0)], minlength=k)
-                np.fmin.at(have[4], at, v)
-                np.fmax.at(have[5], at, v)
-        for f, e in sorted_edges.items():
-            (used,) = np.nonzero(held[f][0])
-            span, cell = np.divmod(used, len(e) + 1)
-            arrays = [pa.array([f] * len(used), pa.string()), pa.array(span, pa.int32()), pa.array(np.append(e, np.nan)[cell]), *(pa.array(x[used]) for x in held[f])]
-            yield pa.RecordBatch.from_arrays(arrays, ["feature", "_span", "x", *SUMS])
-
-    parts = rows.select("_span", F.col(r).cast("double").alias(r), *(F.col(f).cast("double").alias(f) for f in edges)).mapInArrow(run, kinds)
-    return parts.groupBy("feature", "_span", "x").agg(*(f(c).alias(c) for c, f in SUMS.items()))
-
-
-def span_grids(rows: DataFrame, features: list[str], train: DataFrame, r: str) -> tuple[DataFrame, float]:
-    """(feature, fold, grid as in grids; the mean of r) of the training rows among rows(_span, r, features). train(_span, fold) tells
-    which spans a fold is trained on."""
-    by, place = ["feature", "fold"], ["feature", "_span", "_bin"]
-    at = {f: s.bin(F.col(f)) for f, s in spreads(rows, features).items()}
-    long = rows.select("_span", r, F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), at[f].alias("_bin"), F.col(f).alias("x")) for f in features)))).filter(F.col("x").isNotNull())
-    counts = written(long.groupBy(*place).agg(F.count("*").alias("_n"), F.min("x").alias("_least"), F.max("x").alias("_most"), F.count(r).alias("_k"), F.sum(r).alias("_r")))
-    mean = counts.agg(F.sum("_r") / F.sum("_k")).first()[0]
-    folded = counts.join(F.broadcast(train), "_span").groupBy(*by, "_bin").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))  # a row a span and fold
-    g, asked = bins_in_use(folded, by), written(asked_ranks(folded.select(*by, "_bin", "_n"), [0.05, 0.95], by))
-    bins: dict[str, list[int]] = {f: [] for f in features}
-    for x in asked.select("feature", "_bin").distinct().collect():  # four bins a fold at most
-        bins[x["feature"]].append(x["_bin"])
-    some = [F.when(at[f].isin(bins[f]), F.struct(F.lit(f).alias("feature"), at[f].alias("_bin"), F.col(f).alias("_x"))) for f in features if bins[f]]
-    if not some:
-        return g.select(*by, F.lit(None).cast("array<double>").alias("grid")).limit(0), 0.0
-    values = rows.select("_span", F.inline(F.filter(F.array(*some), lambda c: c.isNotNull()))).groupBy(*place, "_x").agg(F.count("*").alias("_c"))
+
+def sums_of(r: str, centre: float) -> tuple[Column, ...]:
+    """The sums of cells_of; not-a-number is no extreme."""
+    y, v = F.col(r) - centre, F.when(~F.isnan(r), F.col(r))
+    return F.count(r).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.count_if(F.col(r) > 0).alias("w"), F.min(v).alias("lo"), F.max(v).alias("hi")
+
+
+def span_bins(rows: DataFrame, features: list[str], r: str, centre: float, at: dict[str, Spread]) -> DataFrame:
+    """feature, _span, _bin, the number and ends of x (_n, _least, _most) and the sums of r as in cells_of, from
+    rows(_span, r, features). Each feature has a grouping of its own, which costs less than a row a feature or a pass
+    through Python."""
+    ends = lambda f: (F.count("*").alias("_n"), F.min(f).alias("_least"), F.max(f).alias("_most"))
+    parts = [rows.filter(F.col(f).isNotNull()).groupBy("_span", at[f].bin(F.col(f)).alias("_bin")).agg(*ends(f), *sums_of(r, centre)).select(F.lit(f).alias("feature"), "*") for f in features]
+    return written(reduce(DataFrame.unionByName, parts))
+
+
+def of_spans(counts: DataFrame, train: DataFrame) -> DataFrame:
+    """feature, fold, _bin with _n, _least, _most of span_bins' counts added up by train(_span, fold)."""
+    return counts.join(F.broadcast(train), "_span").groupBy("feature", "fold", "_bin").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))  # a row a span and fold
+
+
+def outside(bins: dict[str, list[int]]) -> Column:
+    """Whether (feature, _bin) is none of these."""
+    return reduce(Column.__and__, ((F.col("feature") != f) | ~F.col("_bin").isin(b) for f, b in bins.items()), F.lit(True))
+
+
+#: A bin is crowded if it has more than one value, more than BLOCK_ROWS rows and over this share of its group's.
+CROWDED = 1 / 256
+
+
+def span_quantiles(rows: DataFrame, features: list[str], train: DataFrame, r: str, centre: float, at: dict[str, Spread], probs: list[float]) -> tuple[DataFrame, DataFrame]:
+    """(feature, fold, _q: the exact quantiles of the training rows; the counts of span_bins).
+
+    Values are read off the counts where a bin has one, and rows are read again only in those bins asked for that have more.
+    Where moments have placed a feature's bins so that one asked for is crowded, its quartiles place them anew, in at."""
+    by, place, key = ["feature", "fold"], ["feature", "_span", "_bin"], ["feature", "_bin"]
+
+    def look(counts: DataFrame) -> tuple[DataFrame, list[Row]]:
+        asked = written(asked_ranks(of_spans(counts, train).select(*by, "_bin", "_n"), probs, by))
+        ends = counts.groupBy(*key).agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+        ends = ends.withColumns({"_all": F.sum("_n").over(Window.partitionBy("feature")), "_wide": F.col("_least") < F.col("_most")})  # BINS rows a feature
+        return asked, ends.join(F.broadcast(asked.select(*key).distinct()), key, "left_semi").collect()  # two bins a quantile and fold at most
+
+    counts = span_bins(rows, features, r, centre, at)
+    asked, ends = look(counts)
+    if crowded := sorted({e["feature"] for e in ends if e["_wide"] and e["_n"] > max(BLOCK_ROWS, e["_all"] * CROWDED)}):
+        at |= spreads(rows, crowded)
+        counts = written(counts.filter(~F.col("feature").isin(crowded)).unionByName(span_bins(rows, crowded, r, centre, at)))
+        asked, ends = look(counts)
+    wide = {f: [e["_bin"] for e in ends if e["_wide"] and e["feature"] == f] for f in sorted({e["feature"] for e in ends if e["_wide"]})}
+    values = counts.join(F.broadcast(asked.select(*key).distinct()), key, "left_semi").filter(outside(wide)).select(*place, F.col("_least").alias("_x"), F.col("_n").alias("_c"))
+    again = [rows.select("_span", at[f].bin(F.col(f)).alias("_bin"), F.col(f).alias("_x")).filter(F.col("_bin").isin(b)).groupBy("_span", "_bin", "_x").agg(F.count("*").alias("_c")).select(F.lit(f).alias("feature"), "*") for f, b in wide.items()]
+    values = reduce(DataFrame.unionByName, again, values)
     inside = values.join(F.broadcast(train), "_span").groupBy(*by, "_bin", "_x").agg(F.sum("_c").alias("_c"))
+    return values_at(inside, asked, by, "_q"), counts
+
+
+def span_grids(rows: DataFrame, features: list[str], train: DataFrame, r: str, centre: float, at: dict[str, Spread]) -> tuple[DataFrame, DataFrame]:
+    """(feature, fold, grid as in grids; the counts of span_bins) of the training rows among rows(_span, r, features).
+    train(_span, fold) tells which spans a fold is trained on."""
+    by = ["feature", "fold"]
+    q, counts = span_quantiles(rows, features, train, r, centre, at, [0.05, 0.95])
+    g = bins_in_use(of_spans(counts, train), by)
     unclear = sorted({x["feature"] for x in g.filter(UNCLEAR).select("feature").distinct().collect()})  # a row a feature
-    sets = saturating_sets(long.filter(F.col("feature").isin(unclear)).select("feature", "_span", "x"), ["feature", "_span"], "x", FEW) if unclear else None
-    if sets is None:
+    if not unclear:
         seen = g.select(*by, F.lit(None).cast("array<double>").alias("_values")).limit(0)
     else:
+        sets = saturating_sets(long_features(rows, unclear, ["_span"]), ["feature", "_span"], "x", FEW)
         merged = sets.join(F.broadcast(train), "_span").groupBy(*by).agg(F.bool_and(F.col("_values").isNotNull()).alias("_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_values")))).alias("_set"))  # FEW values a span
         seen = merged.select(*by, F.when(F.col("_all") & (F.size("_set") <= FEW), F.col("_set")).alias("_values"))
-    return grid_points(g, values_at(inside, asked, by, "_q"), seen, by), mean if mean is not None and math.isfinite(mean) else 0.0
+    return grid_points(g, q, seen, by), counts
+
+
+def span_percentiles(rows: DataFrame, features: list[str], train: DataFrame, r: str, centre: float, at: dict[str, Spread], step: int = 5) -> tuple[DataFrame, DataFrame]:
+    """span_grids with the grid of percentile_grids."""
+    q, counts = span_quantiles(rows, features, train, r, centre, at, [p / 100 for p in range(step, 100, step)])
+    return q.select("feature", "fold", F.array_distinct("_q").alias("grid")), counts
 
 
-def span_tables(rows: DataFrame, features: list[str], members: list[tuple[int, int, str]], r: str = "r", grid: DataFrame | None = None) -> tuple[DataFrame, DataFrame, float]:
+def cells_of_bins(rows: DataFrame, counts: DataFrame, edges: dict[str, list[float]], r: str, centre: float, at: dict[str, Spread]) -> DataFrame:
+    """cells_of from the counts of span_bins: bins without an edge between their values are added up whole, and rows are read
+    again only in the others, a bin an edge at most."""
+    given = F.broadcast(rows.sparkSession.createDataFrame([(f, sorted(map(float, e))) for f, e in edges.items()], "feature string, _edges array<double>"))  # a row a feature
+    below = lambda c: F.size(F.filter("_edges", lambda t: t < F.col(c)))
+    least_edge = lambda e, c: F.coalesce(F.get(F.filter(e, lambda t: t >= F.col(c)), F.lit(0)), F.lit(float("nan"))).alias("x")
+    ends = counts.groupBy("feature", "_bin").agg(F.min("_least").alias("_low"), F.max("_most").alias("_high")).join(given, "feature")
+    cut = written(ends.withColumns({"_i": below("_low"), "_j": below("_high")}).filter("_i < _j").select("feature", "_bin", F.slice("_edges", F.col("_i") + 1, F.col("_j") - F.col("_i") + 1).alias("_edges")))
+    whole = counts.join(F.broadcast(cut), ["feature", "_bin"], "left_anti").join(given, "feature").select("feature", "_span", least_edge("_edges", "_least"), *SUMS).filter("n > 0")
+    again = [
+        rows.filter(F.col(r).isNotNull()).select("_span", r, F.col(f).alias("_x"), at[f].bin(F.col(f)).alias("_bin")).join(F.broadcast(cut.filter(F.col("feature") == f)), "_bin").groupBy("feature", "_span", least_edge("_edges", "_x")).agg(*sums_of(r, centre))
+        for f in sorted(c["feature"] for c in cut.select("feature").distinct().collect())  # a row a feature
+    ]
+    return reduce(DataFrame.unionByName, again, whole).groupBy("feature", "_span", "x").agg(*(f(c).alias(c) for c, f in SUMS.items()))
+
+
+def span_tables(rows: DataFrame, features: list[str], members: list[tuple[int, int, str]], r: str = "r", grids_of: Callable[..., tuple[DataFrame, DataFrame]] = span_grids) -> tuple[DataFrame, DataFrame, float]:
     """(threshold_table of the training rows by feature and fold, test cells by feature and fold, centre) of rows(_span, r, features)
-    and the (span, fold, role) that belong together: a few passes over rows, whatever the number of folds. The grid is that of
-    grids if none is given."""
+    and the (span, fold, role) that belong together: a few passes over rows, whatever the number of folds. grids_of tells
+    the grid: span_grids or span_percentiles."""
     spark, by = rows.sparkSession, ["feature", "fold"]
     roles = spark.createDataFrame(members, "_span int, fold int, role string")
-    used = rows.filter(F.col("_span").isin(sorted({m[0] for m in members}))).select("_span", r, *(F.col(f).cast("double").alias(f) for f in features))
-    if grid is None:
-        grid, centre = span_grids(used, features, roles.filter("role = 'train'").select("_span", "fold"), r)
-    else:
-        centre = used.agg(F.avg(r)).first()[0] or 0.0
+    used = rows.filter(F.col("_span").isin(sorted({m[0] for m in members}))).select("_span", F.col(r).cast("double").alias(r), *(F.col(f).cast("double").alias(f) for f in features))
+    at, mean = moment_spreads(used, features, r)
+    centre = mean if mean is not None and math.isfinite(mean) else 0.0  # keeps the sums of squares small
+    grid, counts = grids_of(used, features, roles.filter("role = 'train'").select("_span", "fold"), r, centre, at)
     grid = written(grid)
     edges: dict[str, set[float]] = {f: set() for f in features}
     for g in grid.collect():  # a row a feature and fold
         edges[g["feature"]].update(g["grid"])
-    cells = written(cells_of(used, {f: sorted(e) for f, e in edges.items() if e}, r, centre, max((m[0] for m in members), default=0) + 1).join(F.broadcast(roles), "_span"))  # a row a span and fold
+    cells = cells_of_bins(used, counts, {f: sorted(e) for f, e in edges.items() if e}, r, centre, at)
+    cells = written(cells.join(F.broadcast(roles), "_span"))  # a row a span and fold
     train = cells.filter("role = 'train'").join(F.broadcast(grid), by).groupBy(*by, _cell().alias("g")).agg(*(f(c).alias(c) for c, f in SUMS.items()))  # one row a feature and fold
     return table_of_cells(train, grid, by, centre), cells.filter("role = 'test'").drop("_span", "role"), centre
 

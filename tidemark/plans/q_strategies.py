@@ -168,8 +168,7 @@ def _(v: Views) -> DataFrame:
 
 @query("c18_percentile_thresholds", _thresholds("g AS (SELECT DISTINCT feature, fold, unnest(quantile_cont(x, [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])) AS th FROM long GROUP BY feature, fold)"), "trades", "threshold mean std win_rate sharpe", 5)
 def _(v: Views) -> DataFrame:
-    long = H.long_features(folded(v), ["qty", "price"], ["fold", "r"])
-    table, _, _ = H.span_tables(folded(v).withColumn("_span", F.col("fold")), ["qty", "price"], _HALVES, grid=H.percentile_grids(long, ["feature", "fold"]))
+    table, _, _ = H.span_tables(folded(v).withColumn("_span", F.col("fold")), ["qty", "price"], _HALVES, grids_of=H.span_percentiles)
     return H.best(table, ["feature", "fold"]).select("feature", "fold", "threshold", "direction", "n", "mean", "std", "win_rate", "sharpe")
 
 

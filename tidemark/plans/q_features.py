@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators import features as E, profile as A, targets as T
 from tidemark.plans.registry import ORACLES, ROUNDED, Views, query
+from tidemark.plans.views import records_of
 
 
 def _union(parts: list[str]) -> str:
@@ -118,7 +119,7 @@ def _(v: Views) -> DataFrame:
 
 @query("e0_all_features")
 def _(v: Views) -> DataFrame:
-    return E.engineer(v.records)
+    return E.engineer(v.entries, make=records_of)
 
 
 #: Queries of single groups whose columns the whole table has with the same parameters.
@@ -128,7 +129,7 @@ _GROUPS = ["e1_premarket", "e2_market_cap", "e3_volume", "e4_intraday", "e6_surp
 @query("e0_joined_features", lambda: "SELECT * FROM " + " JOIN ".join(f"({ORACLES[g]}) g{i}" + (" USING (record_id)" if i else "") for i, g in enumerate(_GROUPS)))
 def _(v: Views) -> DataFrame:
     """The columns of these groups as engineered in one go, against the groups' own SQL joined by record."""
-    df = E.engineer(v.records)
+    df = E.engineer(v.entries, make=records_of)
     rounded = {c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for g in _GROUPS for c in ROUNDED[g][0] for digits in [ROUNDED[g][1]]}
     one_hot = [c for c in df.columns if c.startswith(("sector_", "industry_", "data_source_"))]
     columns = ["premarket_range", "premarket_gap", "open_gap", "premarket_volume_normalized", "market_cap_log", "market_cap_billions", "market_cap_bucket", "opening_volume_log", "volume_ratio_30_day", "volume_ratio_7_day", "volume_spike_30d", "volume_spike_7d", "intraday_vol", "intraday_range", "early_momentum", "momentum_acceleration", "direction_consistency", "surprise_large_positive", "surprise_large_negative", "surprise_magnitude", "combined_surprise", "surprise_mismatch", "earnings_bmo", "earnings_amc", "month", "quarter", "day_of_week", "is_monday", "is_friday", "earnings_season", "is_month_end", "is_quarter_end", "high_low_ratio", "close_position", "gap_up", "gap_down", "gap_magnitude", "high_before_low_flag", "surprise_x_volume_ratio_7d", "surprise_x_premarket_vol", "surprise_x_market_cap", "surprise_x_gap", "volume_x_gap", "volume_x_market_cap", "premarket_gap_x_volume", "surprise_lag1", "surprise_rolling_mean", "surprise_rolling_std"]
